@@ -6,7 +6,7 @@ none is above (the level at which capped shares add up to the total). A source
 first gives as many complete epochs as fit in its target. The rest is a
 sample without replacement: documents in the order of their keys, exponential
 variates divided by the document's quality weight, up to the word budget.
-The document at the border is taken if that comes nearer to the target.
+The document at the border gives only the words that are left to take.
 
 The sample is a cut-off key for each source, so texts are never sorted or
 shuffled; keys are recomputed where the copies are made. The keys are sorted
@@ -14,7 +14,7 @@ by range, which splits a source that holds most of the rows.
 
 Null and empty texts have size 0; a source's documents of size 0 follow the
 same rule. A null source is a source of its own, the last. Rows equal in id and
-text have equal keys and are taken together. An empty table, or one without
+text have equal keys; at the border they share what is left. An empty table, or one without
 words, gives targets of 0. Other columns are carried along; those named like a
 result column are replaced.
 """
@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm._tables import WORD, cut
+from quillspark.llm._tables import WORD, cut, free_name
 
 #: A table of at most this many sources is broadcast; one with more is joined by shuffle.
 BROADCAST_SOURCES = 10_000
-ADDED = ("size", "quality_weight", "mix_key", "source_size", "target", "epochs", "cut_key", "copies", "taken")
+ADDED = ("size", "quality_weight", "mix_key", "source_size", "target", "epochs", "cut_key", "copies", "border_words", "taken")
 
 
 def quality_weight(text: Column) -> Column:
@@ -75,7 +75,8 @@ def mix_documents(
     text_column: str = "text",
     source_column: str = "source",
 ) -> DataFrame:
-    """``docs`` with size, source_size, target, copies (times the mix takes the row) and taken (words it takes)."""
+    """``docs`` with size, source_size, target, copies (times the mix takes the whole row), border_words (words of
+    one more copy that is cut) and taken (words it takes in all)."""
     docs = docs.select(*(c for c in docs.columns if c.lower() not in ADDED))
     keyed = docs.withColumns(
         {"size": F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long"), "quality_weight": quality_weight(F.col(text_column))}
@@ -88,28 +89,31 @@ def mix_documents(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
     targets = cut(targets)
-    offsets = parts.withColumn("offset", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
-    budget = targets.select("source", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # parts that end before the budget are taken whole, so only the border part of each source is gone through row by row
-    reached = offsets.join(budget, same(offsets, budget)).drop(budget["source"])
-    border = reached.filter((F.col("offset") < F.col("budget")) & (F.col("offset") + F.col("part_size") >= F.col("budget")))
-    whole = reached.filter(F.col("offset") + F.col("part_size") < F.col("budget")).select(F.col("source").alias("s"), F.col("part").alias("p"))
-    in_border = ranged.join(small(border.select(F.col("source").alias("s"), F.col("part").alias("p"), "offset", "budget")), (F.col("source").eqNullSafe(F.col("s"))) & (F.col("part") == F.col("p")))
-    before = F.col("offset") + F.coalesce(F.sum("size").over(Window.partitionBy("s", "p").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = in_border.withColumn("before", before).filter(F.col("before") + F.col("size") / 2 <= F.col("budget")).select("s", "mix_key")
-    all_taken = ranged.join(whole, (F.col("source").eqNullSafe(F.col("s"))) & (F.col("part") == F.col("p")), "left_semi").select(F.col("source").alias("s"), "mix_key")
-    cuts = taken.union(all_taken).groupBy("s").agg(F.max("mix_key").alias("cut_key"))
-    plan = targets.join(cuts, targets["source"].eqNullSafe(cuts["s"]), "left").select(
-        F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut_key"
+    budget = targets.select("source", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"))
+    offsets = parts.withColumn("offset", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
+    # only the part of each source in which the budget ends is gone through key by key
+    holds = lambda n: (F.col("offset") < F.col("budget")) & (F.col("budget") <= F.col("offset") + F.col(n))
+    border = small(offsets.join(budget, same(offsets, budget)).drop(budget["source"]).filter(holds("part_size")).select(F.col("source").alias("s"), F.col("part").alias("p"), "offset", "budget"))
+    keys = (
+        ranged.join(border, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+        .groupBy("s", "p", "offset", "budget", "mix_key")
+        .agg(F.sum("size").alias("key_size"), F.count(F.lit(1)).alias("n"))
+        .withColumn("offset", F.col("offset") + F.sum("key_size").over(Window.partitionBy("s", "p").orderBy("mix_key")) - F.col("key_size"))
+        .filter(holds("key_size"))
+        .select("s", F.col("mix_key").alias("cut_key"), F.floor((F.col("budget") - F.col("offset")) / F.col("n")).alias("rest"))
+    )
+    plan = targets.join(keys, targets["source"].eqNullSafe(keys["s"]), "left").select(
+        F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut_key", "rest"
     )
     plan = small(cut(plan))
-    copies = F.col("epochs") + F.when(F.col("mix_key") <= F.col("cut_key"), 1).otherwise(0)
+    border_words = F.when(F.col("mix_key") == F.col("cut_key"), F.least("rest", "size")).otherwise(0)
+    copies = F.col("epochs") + F.when(F.col("mix_key") < F.col("cut_key"), 1).otherwise(0)
     return (
         keyed.join(plan, keyed[source_column].eqNullSafe(plan["mix_source"]))
-        .withColumn("copies", copies.cast("int"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("mix_source", "quality_weight", "mix_key", "epochs", "cut_key")
+        .withColumns({"copies": copies.cast("int"), "border_words": border_words})
+        .withColumn("taken", F.col("copies") * F.col("size") + F.col("border_words"))
+        .drop("mix_source", "quality_weight", "mix_key", "epochs", "cut_key", "rest")
     )
 
 
@@ -118,6 +122,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else df
 
 
-def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """Each row as many times as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy")
+def repeat_rows(mixed: DataFrame, text_column: str = "text") -> DataFrame:
+    """Each row as many times as the mix takes it; a border document's last copy has its first words, joined by spaces."""
+    n = F.col("copies") + F.when(F.col("border_words") > 0, 1).otherwise(0)
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text_column), F.lit(WORD), F.lit(0)), 1, F.col("border_words").cast("int")), " ")
+    copy = free_name("copy", mixed.columns)
+    return (
+        mixed.filter(n > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int"))))
+        .withColumn(text_column, F.when(F.col(copy) > F.col("copies"), cut_text).otherwise(F.col(text_column)))
+        .drop(copy)
+    )

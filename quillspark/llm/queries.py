@@ -58,6 +58,38 @@ def _url_sql() -> str:
     FROM u"""
 
 
+MIX_SQL = """
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS digest
+  FROM documents),
+keyed AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || digest[1:13])::BIGINT + 1) / 4503599627370496.0::DOUBLE)
+      / greatest(0.05::DOUBLE, 1.0::DOUBLE - 20.0::DOUBLE * (length(t) - length(translate(t, '#*$%&|<>!', ''))) / greatest(length(t), 1)) AS k
+  FROM base),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  FROM keyed GROUP BY source),
+capped AS (SELECT *, source_size * 3.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST) AS place FROM sources),
+levels AS (
+  SELECT a.*, (SELECT (sum(b.source_size) - sum(CASE WHEN b.place < a.place THEN b.cap ELSE 0 END)) / sum(CASE WHEN b.place >= a.place THEN b.w END) FROM capped b) AS level
+  FROM capped a),
+targets AS (
+  SELECT source, source_size, least(cap, w * (SELECT arg_min(level, place) FROM levels WHERE cap / w >= level)) AS target FROM levels),
+run AS (
+  SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY k.source ORDER BY k) - sum(size) OVER (PARTITION BY k.source, k) AS before,
+    sum(size) OVER (PARTITION BY k.source ORDER BY k) AS upto, count(*) OVER (PARTITION BY k.source, k) AS n
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + CASE WHEN upto < target - epochs * source_size THEN size
+    WHEN before < target - epochs * source_size THEN least(size, floor((target - epochs * source_size - before) / n)) ELSE 0 END)::BIGINT AS taken
+FROM run"""
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
@@ -65,4 +97,4 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE = {"op9_url_filters": _url_sql()}
+ORACLE = {"op6_mixing": MIX_SQL, "op9_url_filters": _url_sql()}
