@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import fold, table
+from quillspark.llm.ann import nearest
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality_classifier import classify
@@ -15,6 +16,10 @@ from quillspark.llm.toxicity import add_toxicity
 from quillspark.llm.url_filters import RULES, SOFT, STRICT, filter_urls
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs, shards=16).select(
@@ -113,6 +118,7 @@ FROM run"""
 
 
 QUERIES = {
+    "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
