@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._tables import fold, table
 from quillspark.llm.ann import nearest
+from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality_classifier import classify
@@ -50,6 +51,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", F.col("is_kept").alias("kept"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -123,6 +128,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
