@@ -13,10 +13,16 @@ from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality_classifier import classify
 from quillspark.llm.quality_rules import judge_quality
 from quillspark.llm.sharding import shard_documents
+from quillspark.llm.substring_dedup import remove_repeats
 from quillspark.llm.toxicity import add_toxicity
 from quillspark.llm.url_filters import RULES, SOFT, STRICT, filter_urls
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -122,7 +128,19 @@ SELECT doc_id, size, source_size, target,
 FROM run"""
 
 
+REPEATS_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+h AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS t FROM p),
+twice AS (SELECT t FROM h GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM h JOIN twice USING (t)),
+words AS (SELECT r, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)"""
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
@@ -134,4 +152,4 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE = {"op6_mixing": MIX_SQL, "op9_url_filters": _url_sql()}
+ORACLE = {"op1_substring_dedup": REPEATS_SQL, "op6_mixing": MIX_SQL, "op9_url_filters": _url_sql()}
