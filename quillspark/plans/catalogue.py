@@ -1,4 +1,7 @@
-"""Named queries over the driver's tables, each with its SQL oracle."""
+"""Named queries over the driver's tables, each with its SQL oracle where SQL can say the same."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quillspark.plans import results, voting
+
+_MODULES = (voting, results)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
