@@ -15,6 +15,7 @@ are not read. An empty table gives no pieces.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Tokens of this many words are kept by a worker.
-CACHE_WORDS = 300_000
+#: Words and parts of words that a worker remembers.
+WORDS_KEPT, PARTS_KEPT = 300_000, 500_000
+#: Punctuation that may close a word, without the apostrophe of contractions; letters from here on may lower-case differently.
+CLOSING, LATIN_END = '.,;:!?#*$%&|"', "\u0180"
 #: Separators that str.split knows and the tokenizer doesn't.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -90,28 +93,56 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_cache: dict[str, bytes] = {}
-_cache_of = [""]
+class WordEncoder:
+    """Token ids of words, remembered.
 
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers.
-
-    The tokenizer drops white space and never looks across it, so each
-    different word between white space is encoded once.
+    The tokenizer drops white space and never looks across it, so a text is its
+    words one after the other. It also splits letters from punctuation, and
+    lower-cases: a word of Latin letters and closing punctuation is two parts,
+    each encoded once. The first words seen stay remembered, up to a limit;
+    common words are among them.
     """
-    if _cache_of[0] != path or len(_cache) > CACHE_WORDS:
-        _cache.clear()
-        _cache_of[0] = path
-    split = [None if t and any(c in t for c in ODD_SPACE) else (t or "").split() for t in texts]
-    new = list({w for words in split if words for w in words if w not in _cache})
-    tokenizer = _tokenizer(path)
-    for low in range(0, len(new), 20_000):
-        part = new[low : low + 20_000]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _cache[word] = np.array(e.ids, "<u4").tobytes()
-    get = _cache.__getitem__
-    return [b"".join(map(get, words)) if words is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for words, t in zip(split, texts, strict=True)]
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        letters = word.rstrip(CLOSING)
+        return (letters.lower(), word[len(letters) :]) if letters.isalpha() and max(letters) < LATIN_END else (word, "")
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        out = {}
+        for low in range(0, len(parts), 20_000):
+            some = parts[low : low + 20_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[part] = array("I", e.ids).tobytes()
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of each text as little-endian 32-bit numbers."""
+        split = [None if t and any(c in t for c in ODD_SPACE) else (t or "").split() for t in texts]
+        here: dict[str, bytes] = {}
+        new = {w: self.split(w) for w in {w for words in split if words for w in words} - self.words.keys()}
+        fresh = self.encode_parts(list({p for pair in new.values() for p in pair if p not in self.parts}))
+        for word, (letters, closing) in new.items():
+            here[word] = (self.parts.get(letters) or fresh.get(letters, b"")) + (self.parts.get(closing) or fresh.get(closing, b""))
+        for kept, more, most in ((self.parts, fresh, PARTS_KEPT), (self.words, here, WORDS_KEPT)):
+            if len(kept) < most:
+                kept.update(more)
+        known = self.words
+        get = lambda w: known[w] if w in known else here[w]
+        return [b"".join(map(get, words)) if words is not None else self.whole(text) for words, text in zip(split, texts, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def pack_documents(
@@ -151,6 +182,7 @@ def pack_documents(
             import public_tokenizers
 
             path = str(public_tokenizers.path(TOKENIZER))
+        encoder = word_encoder(path)
         first = TaskContext.get().partitionId() << 36
         ids: list[pa.Array] = []
         tokens: list[bytes] = []
@@ -158,7 +190,7 @@ def pack_documents(
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                made = [t + end for t in encode(part.column(1).to_pylist(), path)]
+                made = [t + end for t in encoder.encode(part.column(1).to_pylist())]
                 ids.append(part.column(0))
                 tokens += made
                 size += sum(map(len, made)) // 4
