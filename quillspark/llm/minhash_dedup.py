@@ -158,31 +158,33 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, class): the smallest node that links lead to, for every node with a link.
+    """(node, class): the smallest node that links (a, b) lead to, for every node with a link.
 
     Each round hangs every node's larger neighbours under its smallest one
     (large star), then its smaller ones (small star), until nothing changes.
     """
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # cut, so that the join has exchanges of its own and a large star can be split
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        new = cut(small.filter("u <> v").distinct())
-        if new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        edges = new
+        edges = cut(small.filter("u <> v").distinct())
+        now = mark(edges)
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
+        before = now
 
 
 class Linker:
-    """Links and classes among nodes, as they grow."""
+    """Classes among nodes, as links are found."""
 
     def __init__(self, texts: DataFrame, threshold: float):
         self.texts, self.threshold = texts, threshold
-        self.links: DataFrame | None = None
         self.classes: DataFrame | None = None
 
     def with_class(self, df: DataFrame, column: str, name: str) -> DataFrame:
@@ -198,8 +200,8 @@ class Linker:
     def try_pairs(self, pairs: DataFrame) -> None:
         found = cut(verified(pairs, self.texts, self.threshold))
         if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.classes = components(self.links)
+            known = found if self.classes is None else found.union(self.classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
+            self.classes = components(known)
 
 
 def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leaders: int) -> DataFrame | None:
@@ -214,10 +216,9 @@ def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leade
     untried = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     most = 1
     while True:
-        untried = cut(linker.apart(untried))
-        if untried.isEmpty():
+        ranked = cut(linker.apart(untried).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
+        if ranked.isEmpty():
             break
-        ranked = cut(untried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
         linker.try_pairs(ranked.filter(F.col("nth") <= most).drop("nth"))
         untried = ranked.filter(F.col("nth") > most).drop("nth")
         most = leaders
