@@ -42,6 +42,8 @@ LETTERS = 28
 #: Labelled rows at most, candidate terms at most, and the tokens a worker remembers.
 LABELLED_ROWS, TERMS, CACHE_TOKENS = 12_000, 400, 200_000
 LONGEST = 40
+#: Share of the toxic rows that a term must be in, to be a term and to be a strong one; log odds of a strong one alone.
+TERM_SHARE, STRONG_SHARE, STRONG_ODDS = 0.01, 0.03, 3.0
 
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
@@ -208,8 +210,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: int) -> tuple[dict[str, float], float, np.ndarray] | None:
-    """(term weights, constant, character counts); None without labels of both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: int) -> tuple[dict[str, tuple[float, float]], float, np.ndarray] | None:
+    """(weight and own log odds of each term, constant, character counts); None without labels of both kinds."""
     ids = labelled_sample(labels, target, where, rows)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y"))
     counts = character_counts(docs)
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
 
     per_word = sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
-    top = per_word.filter("t >= 3").withColumn("w", weight).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("t")), "word").limit(TERMS).collect()
+    top = per_word.filter(F.col("t") >= max(3, TERM_SHARE * totals[1])).withColumn("w", weight).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("t")), "word").limit(TERMS).collect()
     terms = sorted(r["word"] for r in top)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +244,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
     for i, r in enumerate(seen):
         x[i, r["terms"]], y[i], n[i] = 1, r["y"], r["count"]
     w = logistic(np.repeat(x, n.astype(int), 0), np.repeat(y, n.astype(int)))
-    return {t: float(v) for t, v in zip(terms, w, strict=False)}, float(w[-1]), counts
+    with_term, toxic_with_term = x.T @ n, x.T @ (n * y)
+    alone = np.log(toxic_with_term + 0.5) - np.log(with_term - toxic_with_term + 0.5)
+    strong = (w[:-1] >= 1.0) & (alone >= STRONG_ODDS) & (toxic_with_term >= STRONG_SHARE * totals[1])
+    return {t: (float(v), float(a) if s else -np.inf) for t, v, a, s in zip(terms, w, alone, strong, strict=False)}, float(w[-1]), counts
+
+
+def log_odds(found: set[str], weights: dict[str, tuple[float, float]], constant: float) -> float:
+    """Of the regression; but a strong term counts for no less than its own log odds among the labelled rows,
+    since terms that always come together share their weight."""
+    return max([constant + sum(weights[t][0] for t in sorted(found)), *(weights[t][1] for t in found)])
 
 
 def add_toxicity(
@@ -262,7 +273,7 @@ def add_toxicity(
             else:
                 weights, constant, counts = model.value
                 finder = finder or TermFinder(weights, CharacterModel(counts))
-                total = [constant + sum(weights[t] for t in sorted(finder.find(text))) for text in batch.column(text_at).to_pylist()]
+                total = [log_odds(finder.find(text), weights, constant) for text in batch.column(text_at).to_pylist()]
                 scores = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_column])
 
