@@ -86,3 +86,18 @@ def apply_claim_type(results: DataFrame) -> DataFrame:
     """Background claims of fair confidence count as supported; contrasts need review."""
     lifted = (F.col("claim_type") == "background") & (F.col("confidence") >= 0.5) & F.col("verdict").isin("partially_supported", "cannot_verify")
     return results.withColumns({"verdict": F.when(lifted, "supported").otherwise(F.col("verdict")), "needs_review": F.col("needs_review") | (F.col("claim_type") == "contrast")})
+
+
+def contained_quotes(quotes: DataFrame, sources: DataFrame, n: int = 4) -> DataFrame:
+    """(quote_id, source_id, start, end): quotes of n + 2 words or more that stand in a source as they are.
+
+    Candidates meet by the words after a quote's first, which any source that holds it has between
+    blanks; so the work follows the length of the texts, not the number of pairs.
+    """
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    seeds = quotes.withColumn("w", words(F.col("quote"))).filter(F.size("w") >= n + 2).select("quote_id", "quote", F.array_join(F.slice("w", 2, n), " ").alias("seed"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    wide = sources.withColumn("w", words(F.col("text"))).filter(F.size("w") >= n).select("source_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("seed"))
+    pairs = wide.join(seeds, "seed").select("source_id", "quote_id", "quote")
+    at = F.instr("text", F.col("quote"))
+    return pairs.join(sources, "source_id").filter(at > 0).select("quote_id", "source_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))

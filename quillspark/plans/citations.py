@@ -101,7 +101,7 @@ def d07_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = paragraphs(spark, sf_dir)
-    return C.numbered(C.with_sentence(C.first_wins(C.detect_citations(text, C.detect_style(text)))))
+    return C.numbered(C.with_sentence(C.first_wins(C.detect_citations(text, C.detect_style(text), with_spans=True))))
 
 
 def d24_sentence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
