@@ -6,8 +6,8 @@ throws hashed darts at exponential arrival times; each of ``k`` coordinates
 keeps the earliest dart that hits it. Work is in proportion to shingles plus
 darts, whatever the weights. Texts that agree in a whole band of coordinates
 are compared by exact similarity: every member of a band with the band's
-smallest text, and members that don't match it with all others of the band, a
-few at a time, unless they are in one class by then. Links become classes by
+smallest text, and members that don't match it with all others of the band, in
+a few rounds, unless they are in one class by then. Links become classes by
 repeated smallest-neighbour steps.
 
 Equal texts are one node from the start, so a group of copies costs one
@@ -38,7 +38,7 @@ SHINGLE = 5
 ROWS, BANDS = 6, 32
 THRESHOLD = 0.8
 #: Members of a band that the others are compared with in one round.
-LEADERS = 8
+LEADERS = 16
 
 
 def shingle_weights(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,27 +212,25 @@ def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leade
     nodes = members.select("node").distinct()
     texts = cut(docs.join(cut(nodes), "node").dropDuplicates(["node"]))
     linker = Linker(texts, threshold)
-    # first, members with the smallest text of their bands: one pair a node, then more
+    # first, members with the smallest text of their bands: one pair a node, then what isn't of one class yet
     untried = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    most = 1
-    while True:
-        ranked = cut(linker.apart(untried).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
-        if ranked.isEmpty():
-            break
-        linker.try_pairs(ranked.filter(F.col("nth") <= most).drop("nth"))
-        untried = ranked.filter(F.col("nth") > most).drop("nth")
-        most = leaders
+    ranked = cut(untried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
+    linker.try_pairs(ranked.filter("nth = 1").drop("nth"))
+    rest = cut(linker.apart(ranked.filter("nth > 1").drop("nth")))
+    if not rest.isEmpty():
+        linker.try_pairs(rest)
     # then those that matched no smallest text, with all others of the band, some leaders a round
     pairs = members.select(F.col("node").alias("a"), F.col("lead").alias("b"), "band")
-    open_ones = cut(linker.apart(pairs).select("band", F.col("a").alias("open")))
-    if not open_ones.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("band").orderBy("open"))
-        open_ones = cut(open_ones.withColumn("round", F.floor((nth - 1) / leaders)))
-        last = open_ones.agg(F.max("round")).first()[0]
-        for r in range(last + 1):
-            now = open_ones.filter(F.col("round") == r).join(members.select("band", "node"), "band").filter("open <> node")
-            pairs = now.select(F.greatest("open", "node").alias("a"), F.least("open", "node").alias("b")).distinct()
-            linker.try_pairs(cut(linker.apart(pairs)))
+    open_ones = linker.apart(pairs).select("band", F.col("a").alias("open"))
+    nth = F.row_number().over(Window.partitionBy("band").orderBy("open")) - 1
+    # LEADERS in the first round, eight times as many in each that follows
+    turn = F.when(nth < leaders, 0).otherwise(F.floor(F.log(nth / leaders) / math.log(8)) + 1)
+    open_ones = cut(open_ones.withColumn("turn", turn))
+    for r in sorted(x[0] for x in open_ones.select("turn").distinct().collect()):
+        now = open_ones.filter(F.col("turn") == r).join(members.select("band", "node"), "band").filter("open <> node")
+        pairs = cut(linker.apart(now.select(F.greatest("open", "node").alias("a"), F.least("open", "node").alias("b")).distinct()))
+        if not pairs.isEmpty():
+            linker.try_pairs(pairs)
     return linker.classes
 
 
