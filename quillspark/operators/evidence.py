@@ -18,7 +18,7 @@ QUOTE_PENALTY = 0.2
 def paragraphs_of(sources: DataFrame, separator: str = r"\n\s*\n") -> DataFrame:
     """(source_id, pos, paragraph): trimmed paragraphs of more than fifty characters."""
     parts = sources.select("source_id", F.posexplode(F.split("text", separator)).alias("pos", "paragraph"))
-    return parts.withColumn("paragraph", F.regexp_replace("paragraph", r"^\s+|\s+$", "")).filter(F.length("paragraph") > SHORT_PARAGRAPH)
+    return parts.withColumn("paragraph", T.strip(F.col("paragraph"))).filter(F.length("paragraph") > SHORT_PARAGRAPH)
 
 
 def relevant_sections(claims: DataFrame, sources: DataFrame, most: int = MOST_SECTIONS, separator: str = r"\n\s*\n") -> DataFrame:

@@ -22,7 +22,7 @@ def split_records(sections: DataFrame) -> DataFrame:
 
     Where that gives fewer than two, lines of more than twenty characters are the records, if they are more.
     """
-    lines = sections.select("session_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    lines = sections.select("session_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
     order = Window.partitionBy("session_id").orderBy("pos")
     lines = lines.withColumn("record", F.sum(F.col("line").rlike(T.NUMBERED_LINE).cast("int")).over(order))
     joined = lines.groupBy("session_id", "record").agg(
@@ -44,7 +44,7 @@ def is_author(segment: Column) -> Column:
 
 def authors_and_title(raw: Column) -> Column:
     """struct(authors, title): leading segments that look like authors; else split at the first sentence end; else all is title."""
-    clean = F.trim(F.regexp_replace(raw, T.NUMBERED_LINE, ""))
+    clean = T.strip(F.regexp_replace(raw, T.NUMBERED_LINE, ""))
     segments = F.transform(F.split(clean, r",\s*"), lambda s: F.trim(s))
     state = F.aggregate(
         segments, F.struct(F.lit(True).alias("open"), F.lit(0).alias("n")), lambda a, s: F.struct((a["open"] & is_author(s)).alias("open"), (a["n"] + (a["open"] & is_author(s)).cast("int")).alias("n"))
