@@ -13,7 +13,7 @@ from quillspark.functions.text import normalize_doi
 # Fixed values.
 DOI_CONFIDENCE, TITLE_FACTOR, ACCEPT, CONFIRM = 0.99, 0.95, 0.90, 0.60
 LOOKUP_LEAST, LOOKUP_MOST = 0.55, 0.98
-SEVERITY = {"retracted": 4, "concern": 3, "corrected": 2, "ok": 1, "unknown": 0}
+SEVERITY = {"retracted": 4, "expression_of_concern": 3, "corrected": 2, "ok": 1, "unknown": 0}
 
 
 def match_by_doi(references: DataFrame, sources: DataFrame) -> DataFrame:
@@ -110,5 +110,5 @@ def retraction_status(notices: DataFrame) -> DataFrame:
 
 def crossref_update(updates: Column) -> Column:
     """Status from an array of update types: the first that tells anything, else ok."""
-    kind = lambda u: F.when(F.contains(u, F.lit("retraction")), "retracted").when(F.contains(u, F.lit("correction")) | F.contains(u, F.lit("erratum")), "corrected").when(F.contains(u, F.lit("concern")), "concern")
+    kind = lambda u: F.when(F.contains(u, F.lit("retraction")), "retracted").when(F.contains(u, F.lit("correction")) | F.contains(u, F.lit("erratum")), "corrected").when(F.contains(u, F.lit("concern")), "expression_of_concern")
     return F.coalesce(F.get(F.filter(F.transform(updates, lambda u: kind(F.lower(u))), lambda s: s.isNotNull()), F.lit(0)), F.lit("ok"))

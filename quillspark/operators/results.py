@@ -91,7 +91,7 @@ def gap_dashboard(references: DataFrame, by: list[str] | None = None) -> DataFra
         F.count_if(F.col("source_status") == "not_found").alias("not_found"),
         F.count_if(F.col("pdf_path").isNotNull()).alias("with_pdf"),
         F.count_if(paywalled).alias("paywalled"),
-        F.count_if(F.col("retraction_status").isin("retracted", "concern")).alias("flagged"),
+        F.count_if(F.col("retraction_status").isin("retracted", "expression_of_concern")).alias("flagged"),
     )
 
 

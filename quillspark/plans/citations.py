@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.functions.spans import find_all
 from quillspark.operators import citations as C
 from quillspark.operators import mapping, references, scopes
+from quillspark.operators.lineage import settle
 from quillspark.plans.stand_ins import PARAGRAPHS, RAW_REFERENCES, REFERENCES, for_duckdb, load, stand_in
 
 
@@ -119,7 +120,7 @@ def e11_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.numbered(C.first_wins(C.detect_citations(paragraphs(spark, sf_dir))))
-    keyed = found.withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string")))
+    keyed = settle(found.withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string"))))
     refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", "year", F.array(F.concat(F.lit("A. "), "surname"), F.lit("Green, B.")).alias("authors"))
     return mapping.map_citations(keyed, refs)
 

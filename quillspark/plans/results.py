@@ -153,7 +153,7 @@ ORACLE = {
     "m04_critical": _FINDINGS.format("'not_supported', 'contradicted'"),
     "m05_minor": _FINDINGS.format("'partially_supported'"),
     "m06_gap_dashboard": f"""{_R} SELECT session_id, count(*) AS total, count(*) FILTER (source_status = 'found') AS found, count(*) FILTER (source_status = 'not_found') AS not_found, count(pdf_path) AS with_pdf,
-      count(*) FILTER (journal_url IS NOT NULL AND pdf_path IS NULL) AS paywalled, count(*) FILTER (retraction_status IN ('retracted', 'concern')) AS flagged FROM f GROUP BY session_id""",
+      count(*) FILTER (journal_url IS NOT NULL AND pdf_path IS NULL) AS paywalled, count(*) FILTER (retraction_status IN ('retracted', 'expression_of_concern')) AS flagged FROM f GROUP BY session_id""",
     "m07_override_diff": f"{_R}, {_OVER} SELECT claim_id, verdict AS original_verdict, nv AS new_verdict FROM o WHERE nv IS NOT NULL",
     "m08_tier_stats": f"{_R} SELECT final_tier, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 1)::DOUBLE AS percent FROM r GROUP BY final_tier",
     "m09_reference_page": f"{_R} SELECT session_id, ref_num, title, (SELECT count(*) FROM f WHERE source_status = 'found') AS total FROM f WHERE source_status = 'found' ORDER BY session_id, ref_num LIMIT 20 OFFSET 20",

@@ -180,8 +180,8 @@ ORACLE = {
       w AS (SELECT *, CASE WHEN s1 = 'found' THEN 'first' WHEN s2 = 'found' THEN 'second' WHEN s3 = 'found' THEN 'third' END AS resolved_by FROM j),
       d AS (SELECT *, coalesce(doi, CASE resolved_by WHEN 'first' THEN d1 WHEN 'second' THEN d2 WHEN 'third' THEN d3 END) AS doi2 FROM w)
       SELECT ref_key, CASE WHEN resolved_by IS NOT NULL THEN 'found' ELSE coalesce(s3, s2, s1, old) END AS source_status, resolved_by, doi2 AS doi, 'https://doi.org/' || doi2 AS journal_url FROM d""",
-    "i02_retraction": "SELECT l_partkey AS ref_key, ['unknown', 'ok', 'corrected', 'concern', 'retracted'][max(4 - l_suppkey % 5) + 1] AS status FROM lineitem GROUP BY l_partkey",
-    "i09_crossref_updates": """WITH u AS (SELECT p_partkey, ['ok', 'corrected', 'retracted', 'concern', 'corrected'][p_partkey % 5 + 1] AS a, ['ok', 'corrected', 'retracted', 'concern', 'corrected'][p_size % 5 + 1] AS b FROM part)
+    "i02_retraction": "SELECT l_partkey AS ref_key, ['unknown', 'ok', 'corrected', 'expression_of_concern', 'retracted'][max(4 - l_suppkey % 5) + 1] AS status FROM lineitem GROUP BY l_partkey",
+    "i09_crossref_updates": """WITH u AS (SELECT p_partkey, ['ok', 'corrected', 'retracted', 'expression_of_concern', 'corrected'][p_partkey % 5 + 1] AS a, ['ok', 'corrected', 'retracted', 'expression_of_concern', 'corrected'][p_size % 5 + 1] AS b FROM part)
       SELECT p_partkey, CASE WHEN a <> 'ok' THEN a ELSE b END AS status FROM u""",
     "j01_filter_references": f"""WITH c AS (SELECT DISTINCT 's' || (l_orderkey % 50) AS session_id, l_orderkey AS claim_id, l_partkey % 60 AS ref_num FROM lineitem)
       SELECT session_id, claim_id, string_agg(ref_num::VARCHAR, ',' ORDER BY ref_num) AS reference_ids FROM c JOIN ({_R}) USING (session_id, ref_num) GROUP BY session_id, claim_id""",

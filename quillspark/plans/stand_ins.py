@@ -33,7 +33,7 @@ SELECT concat('s', CAST(p_partkey % 50 AS STRING)) AS session_id, CAST(floor(p_p
   CASE p_partkey % 7 WHEN 0 THEN 'not_found' WHEN 1 THEN 'api_error' WHEN 2 THEN 'unchecked' ELSE 'found' END AS source_status,
   CASE WHEN p_partkey % 3 = 0 THEN concat('/pdf/', CAST(p_partkey AS STRING), '.pdf') END AS pdf_path,
   CASE WHEN p_partkey % 4 = 0 THEN concat('https://doi.org/', CAST(p_partkey AS STRING)) END AS journal_url,
-  CASE p_partkey % 23 WHEN 0 THEN 'retracted' WHEN 1 THEN 'corrected' WHEN 2 THEN 'concern' WHEN 3 THEN 'unknown' ELSE 'ok' END AS retraction_status,
+  CASE p_partkey % 23 WHEN 0 THEN 'retracted' WHEN 1 THEN 'corrected' WHEN 2 THEN 'expression_of_concern' WHEN 3 THEN 'unknown' ELSE 'ok' END AS retraction_status,
   p_partkey
 FROM {part}"""
 
