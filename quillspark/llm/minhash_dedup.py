@@ -5,9 +5,9 @@ how often it occurs, and similarity is weighted Jaccard. Every unit of weight
 throws hashed darts at exponential arrival times; each of ``k`` coordinates
 keeps the earliest dart that hits it. Work is in proportion to shingles plus
 darts, whatever the weights. Texts that agree in a whole band of coordinates
-are compared by exact similarity: every member of a band with the band's
-smallest text, and members that don't match it with all others of the band, in
-a few rounds, unless they are in one class by then. Links become classes by
+are compared by exact similarity: in each of some rounds every member of a band
+with another one or few of the band's largest class, and members that stay
+outside it with all others of the band, unless they are in one class by then. Links become classes by
 repeated smallest-neighbour steps.
 
 Equal texts are one node from the start, so a group of copies costs one
@@ -39,6 +39,8 @@ ROWS, BANDS = 6, 32
 THRESHOLD = 0.8
 #: Members of a band that the others are compared with in one round.
 LEADERS = 16
+#: Members of the largest class that a text is compared with in each of the first rounds.
+PARTNERS = (1, 1, 2, 4, 8)
 
 
 def shingle_weights(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,35 +199,40 @@ class Linker:
         """Pairs (a, b) of different classes."""
         return self.with_class(self.with_class(pairs, "a", "class_a"), "b", "class_b").filter("class_a <> class_b").select(*pairs.columns)
 
-    def try_pairs(self, pairs: DataFrame) -> None:
+    def try_pairs(self, pairs: DataFrame) -> int:
+        """Link the pairs that are similar enough; their number."""
         found = cut(verified(pairs, self.texts, self.threshold))
-        if not found.isEmpty():
+        n = found.count()
+        if n:
             known = found if self.classes is None else found.union(self.classes.select(F.col("node").alias("a"), F.col("class").alias("b")))
             self.classes = components(known)
+        return n
 
 
 def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leaders: int) -> DataFrame | None:
     """(node, class) of the nodes of ``docs`` (node, text) that have links; None without any."""
     banded = cut(band_rows(docs, rows, bands))
-    shared = banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    members = cut(banded.join(cut(shared.select("band", "lead")), "band").distinct())
+    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    members = cut(banded.join(cut(shared.select("band")), "band").distinct())
     nodes = members.select("node").distinct()
     texts = cut(docs.join(cut(nodes), "node").dropDuplicates(["node"]))
     linker = Linker(texts, threshold)
-    # first, members with the smallest text of their bands: one pair a node, then what isn't of one class yet
-    untried = members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    ranked = cut(untried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
-    linker.try_pairs(ranked.filter("nth = 1").drop("nth"))
-    rest = cut(linker.apart(ranked.filter("nth > 1").drop("nth")))
-    if not rest.isEmpty():
-        linker.try_pairs(rest)
-    # then those that matched no smallest text, with all others of the band, some leaders a round
-    pairs = members.select(F.col("node").alias("a"), F.col("lead").alias("b"), "band")
-    open_ones = linker.apart(pairs).select("band", F.col("a").alias("open"))
-    nth = F.row_number().over(Window.partitionBy("band").orderBy("open")) - 1
+    # first, every member with one of the largest class of its bands, another one each round, and few a round
+    for r, most in enumerate(PARTNERS):
+        apart = outsiders(members, linker, r)
+        nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+        pairs = cut(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth"))
+        tried = pairs.count()
+        if tried == 0:
+            return linker.classes
+        if linker.try_pairs(pairs) < tried / 10:
+            break
+    # then those that are still outside, with all others of the band, some leaders a round
+    apart = outsiders(members, linker, len(PARTNERS))
+    nth = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
     # LEADERS in the first round, eight times as many in each that follows
     turn = F.when(nth < leaders, 0).otherwise(F.floor(F.log(nth / leaders) / math.log(8)) + 1)
-    open_ones = cut(open_ones.withColumn("turn", turn))
+    open_ones = cut(apart.select("band", F.col("node").alias("open"), turn.alias("turn")))
     for r in sorted(x[0] for x in open_ones.select("turn").distinct().collect()):
         now = open_ones.filter(F.col("turn") == r).join(members.select("band", "node"), "band").filter("open <> node")
         pairs = cut(linker.apart(now.select(F.greatest("open", "node").alias("a"), F.least("open", "node").alias("b")).distinct()))
@@ -234,6 +241,17 @@ def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leade
     return linker.classes
 
 
+def outsiders(members: DataFrame, linker: Linker, r: int) -> DataFrame:
+    """(band, node, class, top, rep) of the members outside the largest class of their band, with one member of it that
+    differs from round to round."""
+    classed = cut(linker.with_class(members, "node", "class"))
+    sizes = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(r))).alias("rep"))
+    # cut, so that the join has exchanges of its own and a large band can be split
+    tops = cut(sizes.groupBy("band").agg(F.max_by(F.struct("class", "rep"), F.struct("n", F.bitwise_not(F.col("class")))).alias("t"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+    tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.rep").alias("rep"))
+    return classed.join(tops, "band").filter(F.col("class") != F.col("top"))
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, leaders: int = LEADERS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
