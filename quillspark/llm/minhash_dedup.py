@@ -5,9 +5,9 @@ how often it occurs, and similarity is weighted Jaccard. Every unit of weight
 throws hashed darts at exponential arrival times; each of ``k`` coordinates
 keeps the earliest dart that hits it. Work is in proportion to shingles plus
 darts, whatever the weights. Texts that agree in a whole band of coordinates
-are compared by exact similarity: in each of some rounds every member of a band
-with another one or few of the band's largest class, and members that stay
-outside it with all others of the band, unless they are in one class by then. Links become classes by
+are compared by exact similarity: members of a band with the band's smallest text,
+then with some members of its largest class, and those that stay outside it
+with all others of the band, unless they are in one class by then. Links become classes by
 repeated smallest-neighbour steps.
 
 Equal texts are one node from the start, so a group of copies costs one
@@ -39,8 +39,8 @@ ROWS, BANDS = 6, 32
 THRESHOLD = 0.8
 #: Members of a band that the others are compared with in one round.
 LEADERS = 16
-#: Members of the largest class that a text is compared with in each of the first rounds.
-PARTNERS = (1, 1, 2, 4, 8)
+#: Members of a band's largest class, at most, that a text outside it is compared with in each of some rounds.
+PARTNERS = (8, 16)
 
 
 def shingle_weights(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,17 +217,25 @@ def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, leade
     nodes = members.select("node").distinct()
     texts = cut(docs.join(cut(nodes), "node").dropDuplicates(["node"]))
     linker = Linker(texts, threshold)
-    # first, every member with one of the largest class of its bands, another one each round, and few a round
+    # first, members with the smallest text of their bands: one pair a node, then what isn't of one class yet
+    lead = cut(shared.select("band", F.col("low").alias("b")))
+    untried = members.join(lead, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    ranked = cut(untried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b"))))
+    linker.try_pairs(ranked.filter("nth = 1").drop("nth"))
+    rest = cut(linker.apart(ranked.filter("nth > 1").drop("nth")))
+    if not rest.isEmpty():
+        linker.try_pairs(rest)
+    # next, those outside the largest class of a band with some of its members
     for r, most in enumerate(PARTNERS):
-        apart = outsiders(members, linker, r)
         nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-        pairs = cut(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth"))
+        apart = outsiders(members, linker, r).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = cut(apart.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth"))
         tried = pairs.count()
         if tried == 0:
             return linker.classes
         if linker.try_pairs(pairs) < tried / 10:
             break
-    # then those that are still outside, with all others of the band, some leaders a round
+    # last, those that are still outside, with all others of the band, some leaders a round
     apart = outsiders(members, linker, len(PARTNERS))
     nth = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
     # LEADERS in the first round, eight times as many in each that follows
@@ -245,7 +253,7 @@ def outsiders(members: DataFrame, linker: Linker, r: int) -> DataFrame:
     """(band, node, class, top, rep) of the members outside the largest class of their band, with one member of it that
     differs from round to round."""
     classed = cut(linker.with_class(members, "node", "class"))
-    sizes = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(r))).alias("rep"))
+    sizes = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "band", F.lit(r))).alias("rep"))
     # cut, so that the join has exchanges of its own and a large band can be split
     tops = cut(sizes.groupBy("band").agg(F.max_by(F.struct("class", "rep"), F.struct("n", F.bitwise_not(F.col("class")))).alias("t"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
     tops = tops.select("band", F.col("t.class").alias("top"), F.col("t.rep").alias("rep"))
