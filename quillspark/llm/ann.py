@@ -11,7 +11,9 @@ with all vectors, in blocks.
 Every vector is in every table. Equal vectors are one entry with their ``k + 1``
 smallest ids, which is all that a ranking can show; so a group of copies is
 small. Cells are split into blocks by a hash of the id, so a large cell is
-many blocks. Functions and probes grow with the logarithm of the table.
+many blocks. Functions and probes are the same for every size of table: more
+functions would lose neighbours unless probes grew 2.5-fold with each, which
+halves the vectors compared at best. Larger tables only have more blocks.
 
 Rows with a null id, and vectors that are null, empty, zero or hold null or
 non-finite numbers, take no part; neither do vectors of another length than
@@ -34,16 +36,17 @@ from pyspark.sql.window import Window
 from quillspark.llm._tables import cut
 
 TABLES, WIDTH, SEED = 8, 1.5, 5
+#: Functions in a table, and cells that a query visits in it.
+FUNCTIONS, PROBES = 4, 10
 #: Vectors of a block that a task compares at once.
 BLOCK = 8192
 #: Cells of a table are dealt over so many groups.
 GROUPS = 24
 
 
-def plan(rows: int) -> tuple[int, int]:
-    """(functions in a table, cells that a query visits in it) for so many vectors."""
-    functions = 4 + max(0, round(math.log(max(rows, 1) / 60_000, 4)))
-    return functions, math.ceil(10 * 1.55 ** (functions - 4))
+def plan(rows: int) -> tuple[int, int, int]:
+    """(functions in a table, cells that a query visits in it, blocks of a cell) for so many vectors."""
+    return FUNCTIONS, PROBES, max(1, math.ceil(rows / BLOCK / GROUPS))
 
 
 class Cells:
@@ -141,8 +144,7 @@ def nearest(
     entries = valid.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = cut(entries.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding"))
     queries = cut(queries)
-    functions, probes = plan(rows)
-    blocks = max(1, math.ceil(rows / BLOCK / GROUPS))
+    functions, probes, blocks = plan(rows)
     cells = Cells(dimension, functions, tables, width)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

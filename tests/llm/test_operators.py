@@ -103,6 +103,22 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * 100
 
 
+@pytest.mark.parametrize("rows", [2_000, 240_000, 960_000, 4_000_000, 10**9])
+def test_recall_stays_as_tables_grow(rows):
+    """The plan for so many vectors on neighbours as far as those of 20,000 (those of larger tables are nearer)."""
+    functions, probes, *_ = ann.plan(rows)
+    rng = np.random.default_rng(4)
+    x = ann.unit(rng.standard_normal((40, 64))[rng.integers(0, 40, 20_000)] * 0.038 + rng.standard_normal((20_000, 64)) * 0.118)
+    cosines = x[:100] @ x.T
+    cosines[np.arange(100), np.arange(100)] = -1
+    near = np.argpartition(-cosines, 5, axis=1)[:, :5]
+    cells, found = ann.Cells(64, functions), np.zeros((100, 5), bool)
+    for t in range(cells.tables):
+        keys = cells.keys(cells.of(x, t)[0])[near]
+        found |= (cells.visits(x[:100], t, probes)[:, None, :] == keys[:, :, None]).any(2)
+    assert found.mean() >= 0.93
+
+
 def test_neighbours_on_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 9), (1, [2.0, 0.0], 9), (2, [2.0, 0.0], 9), (2, [2.0, 0.0], 9), (3, [0.0, 0.0], 9), (4, None, 9), (5, [nan, 1.0], 9), (6, [inf, 1.0], 9), (7, [None, 1.0], 9), (8, [1.0], 9), (None, [1.0, 1.0], 9), (50, [0.0, 1.0], 9), (9, [], 9)]
