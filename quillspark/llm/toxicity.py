@@ -3,8 +3,9 @@
 Writers hide words by digits and symbols for letters, by letters spread out
 and by letters repeated. Each suspicious token is a lattice of what its
 characters may stand for; a k-best Viterbi search under a trigram language
-model of characters, counted over the whole corpus, restores it. Plain words
-pass unchanged. Terms that tell toxic documents from others are learnt from a
+model of characters, counted over the whole corpus, restores it. In a run of
+single characters words may end anywhere, and a term counts if the best path
+through it comes near the best of all. Plain words pass unchanged. Terms that tell toxic documents from others are learnt from a
 bounded sample of labelled rows by logistic regression on restored words; a
 document's score is the probability from the terms among its restored words.
 
@@ -50,7 +51,10 @@ _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[0xC0:] = 27
 _HEAD = np.ones(256, bool)
 _HEAD[0x80:0xC0] = False
-_SPREAD = re.compile(r"(?:^|(?<=\s))\S(?:[ \t]\S){3,}(?=\s|$)")
+_SPREAD = re.compile(r"(?<!\S)\S\s+\S(?!\S)")
+#: Characters of a spread run at least; a term in it counts if the best path with it as a word is no worse than the best path by this.
+RUN, RUN_MARGIN = 3, 8.0
+_FOUR = re.compile(r"(.)\1{3,}")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -124,6 +128,98 @@ class CharacterModel:
         return sorted(((s, t) for t, s in ends.items()), key=lambda x: (-x[0], x[1]))
 
 
+    def ways(self, char: str, before: str) -> list[tuple[str, float]]:
+        """What one character of a spread run may stand for."""
+        if char.isalpha():
+            return [(char, 0.0)] + [("", DROP_REPEAT)] * (char == before)
+        drop = DROP_SYMBOL if char in STANDS_FOR or char.isdigit() else DROP
+        return [(c, SUBSTITUTE) for c in STANDS_FOR.get(char, "")] + [("", drop)]
+
+    def closings(self, states: dict) -> Iterator[tuple[tuple[int, int], tuple[int, int], float]]:
+        """(state, state after a word end, log cost) of states that are within a word."""
+        return (((a, b), (b, 0), self.log[a][b][0]) for a, b in states if b)
+
+    def forward(self, run: str) -> list[dict[tuple[int, int], tuple[float, tuple]]]:
+        """Of each place in a run, the best score and path to each pair of last codes; words may end at every place."""
+        places: list[dict[tuple[int, int], tuple[float, tuple]]] = [{(0, 0): (0.0, ())}]
+        for at, char in enumerate(run):
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            ways = self.ways(char, run[at - 1] if at else "")
+            for (a, b), (score, path) in places[-1].items():
+                for c, cost in ways:
+                    x, y = (b, self.code(c)) if c else (a, b)
+                    s = score + cost + (self.log[a][b][y] if c else 0.0)
+                    if (x, y) not in after or s > after[x, y][0]:
+                        after[x, y] = s, (path, c) if c else path
+            for state, ended, cost in list(self.closings(after)):
+                s, path = after[state]
+                if ended not in after or s + cost > after[ended][0]:
+                    after[ended] = s + cost, (path, " ")
+            places.append(after)
+        return places
+
+    def backward(self, run: str, places: list[dict]) -> list[dict[tuple[int, int], float]]:
+        """Of each place and state of ``forward``, the best score of what follows, to a word end."""
+        left: list[dict[tuple[int, int], float]] = [{} for _ in places]
+        left[-1] = {(a, b): self.log[a][b][0] if b else 0.0 for a, b in places[-1]}
+        for at in range(len(run) - 1, -1, -1):
+            ways = self.ways(run[at], run[at - 1] if at else "")
+            here, then = left[at], left[at + 1]
+            for a, b in places[at]:
+                here[a, b] = max(cost + (self.log[a][b][self.code(c)] + then[b, self.code(c)] if c else then[a, b]) for c, cost in ways)
+            for state, ended, cost in self.closings(here):
+                here[state] = max(here[state], cost + here[ended])
+        return left
+
+    def segment(self, run: str) -> list[str]:
+        """The words of the best path through a run."""
+        states = self.forward(run)[-1]
+        path = max(((s + (self.log[a][b][0] if b else 0.0), (a, b)) for (a, b), (s, _) in states.items()))[1]
+        path, out = states[path][1], []
+        while path:
+            path, c = path
+            out.append(c)
+        return "".join(reversed(out)).split()
+
+    def terms_in(self, run: str, trie: dict) -> set[str]:
+        """Terms that are words of some path within RUN_MARGIN of the best one."""
+        places = self.forward(run)
+        left = self.backward(run, places)
+        least = left[0][0, 0] - RUN_MARGIN
+        found: set[str] = set()
+        for start, states in enumerate(places):
+            active = [(a, b, s, trie) for (a, b), (s, _) in states.items() if not b]
+            at = start
+            while active and at < len(run):
+                after: dict[tuple, tuple] = {}
+                for a, b, s, node in active:
+                    for c, cost in self.ways(run[at], run[at - 1] if at else ""):
+                        y = self.code(c) if c else b
+                        to = node.get(c) if c else node
+                        if to is not None and (c or node is not trie):
+                            after.setdefault((b if c else a, y, id(to)), (-math.inf, to))
+                            total = s + cost + (self.log[a][b][y] if c else 0.0)
+                            if total > after[b if c else a, y, id(to)][0]:
+                                after[b if c else a, y, id(to)] = total, to
+                at += 1
+                active = [(a, b, s, node) for (a, b, _), (s, node) in after.items() if s + left[at][a, b] >= least]
+                for a, b, s, node in active:
+                    if "" in node and s + self.log[a][b][0] + left[at][b, 0] >= least:
+                        found.add(node[""])
+        return found
+
+
+def trie_of(terms: Iterable[str]) -> dict:
+    """Nested dicts by letter; "" holds the term that ends there."""
+    trie: dict = {}
+    for term in terms:
+        node = trie
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
+    return trie
+
+
 def suspicious(token: str) -> bool:
     """Whether a (lower-cased) token needs restoring beyond taking punctuation off its ends."""
     if len(token) > LONGEST:
@@ -139,16 +235,23 @@ def suspicious(token: str) -> bool:
     return any(x in STANDS_FOR for x in head) or (len(tail) == 1 and tail in STANDS_FOR and tail != "!")
 
 
-def spread_words(text: str) -> list[str]:
-    """Runs of four or more single characters between blanks, joined."""
-    return ["".join(m[0].split()) for m in _SPREAD.finditer(text)]
+def spread_runs(text: str) -> list[str]:
+    """Runs of RUN or more single characters between blanks of any length, punctuation at their sides taken off, joined."""
+    if not _SPREAD.search(text):
+        return []
+    singles = (t if len(t) == 1 else core if len(core := t.strip(EDGES)) == 1 else "" for t in text.split())
+    runs = ("".join(run) for single, run in groupby(singles, bool) if single)
+    # a fourth equal character tells no more than the third
+    return [_FOUR.sub(r"\1\1\1", r) for r in runs if len(r) >= RUN and sum(c.isalnum() or c in STANDS_FOR for c in r) >= RUN and any(c.isalpha() for c in r)]
 
 
 def restored_words(text: str, model: CharacterModel, cache: dict[str, str]) -> set[str]:
     """The distinct words of a text after restoring, by the best path."""
     low = text.lower()
     out = set()
-    for token in {*low.split(), *spread_words(low)}:
+    for run in set(spread_runs(low)):
+        out.update(w for w in model.segment(run) if w.isalpha())
+    for token in set(low.split()):
         word = cache.get(token)
         if word is None:
             word = model.decode(token)[0][1] if suspicious(token) else token.strip(EDGES)
@@ -164,6 +267,7 @@ class TermFinder:
 
     def __init__(self, terms: Iterable[str], model: CharacterModel):
         self.terms, self.model, self.cache = frozenset(terms), model, {}
+        self.trie = trie_of(self.terms)
 
     def of_token(self, token: str) -> str:
         found = self.cache.get(token)
@@ -188,7 +292,8 @@ class TermFinder:
         odd = [t for t in tokens if not t.isalpha()]
         if _TRIPLE.search(low):
             odd += [t for t in tokens if t.isalpha() and _TRIPLE.search(t)]
-        odd += spread_words(low)
+        for run in set(spread_runs(low)):
+            out |= self.model.terms_in(run, self.trie)
         out.update(map(self.of_token, odd))
         out.discard("")
         return out

@@ -372,6 +372,15 @@ def test_toxic_words_are_found_in_disguise(spark):
     assert all(s >= 0.5 for s in scores[200:206]) and all(s < 0.5 for s in scores[206:])
 
 
+def test_spread_terms_are_found_next_to_other_words(spark):
+    texts, labels = toxic_corpus(spark)
+    hidden = ["you are a i d i o t", "a m o r o n", "y o u a r e a m o r o n", "i  d  i  o  t", "i d i o t m o r o n he", "what a m 0 r o n.", "(i \t d 1 0\nt)", "y m o o r o n o", "x " * 3000 + "i d i o t " + "t h a " * 3000]
+    clean = ["a b c d e f g", "i d i o", "m o r e o n", "- - - - - -", "1 2 3 4 5 6 7", "x " * 5000]
+    got = toxicity.add_toxicity(docs_of(spark, texts + hidden + clean), labels).orderBy("doc_id").collect()
+    scores = [r.score for r in got][200:]
+    assert all(s >= 0.5 for s in scores[: len(hidden)]) and all(s < 0.5 for s in scores[len(hidden) :])
+
+
 def test_toxicity_on_awkward_documents(edge, empty, edge_labels, no_labels):
     assert toxicity.add_toxicity(edge, edge_labels).count() == len(ROWS)
     scored = toxicity.add_toxicity(edge, no_labels)
