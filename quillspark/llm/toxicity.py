@@ -5,7 +5,10 @@ and by letters repeated. Each suspicious token is a lattice of what its
 characters may stand for; a k-best Viterbi search under a trigram language
 model of characters, counted over the whole corpus, restores it. In a run of
 single characters words may end anywhere, and a term counts if the best path
-through it comes near the best of all. Plain words pass unchanged. Terms that tell toxic documents from others are learnt from a
+through it comes near the best of all. Long tokens are read so too, with word
+ends at separators only. Words that are terms but for doubled letters are
+restored unless clean labelled rows have them. Other plain words pass
+unchanged. Terms that tell toxic documents from others are learnt from a
 bounded sample of labelled rows by logistic regression on restored words; a
 document's score is the probability from the terms among its restored words.
 
@@ -42,7 +45,10 @@ BEAM, MARGIN = 24, 8.0
 LETTERS = 28
 #: Labelled rows at most, candidate terms at most, and the tokens a worker remembers.
 LABELLED_ROWS, TERMS, CACHE_TOKENS = 12_000, 400, 200_000
-LONGEST = 40
+#: Longer tokens are decoded as runs in which words may end at separators only: one path for each pair of last letters, not BEAM texts.
+LONG = 40
+#: Characters of a run or long token that are decoded at once, and those that two such pieces share.
+PIECE, SHARED = 4096, 512
 #: Share of the toxic rows that a term must be in, to be a term and to be a strong one; log odds of a strong one alone.
 TERM_SHARE, STRONG_SHARE, STRONG_ODDS = 0.01, 0.03, 3.0
 
@@ -55,6 +61,7 @@ _SPREAD = re.compile(r"(?<!\S)\S\s+\S(?!\S)")
 #: Characters of a spread run at least; a term in it counts if the best path with it as a word is no worse than the best path by this.
 RUN, RUN_MARGIN = 3, 8.0
 _FOUR = re.compile(r"(.)\1{3,}")
+_REPEATED = re.compile(r"([^\W\d_])\1+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -135,12 +142,17 @@ class CharacterModel:
         drop = DROP_SYMBOL if char in STANDS_FOR or char.isdigit() else DROP
         return [(c, SUBSTITUTE) for c in STANDS_FOR.get(char, "")] + [("", drop)]
 
-    def closings(self, states: dict) -> Iterator[tuple[tuple[int, int], tuple[int, int], float]]:
+    def closings(self, states: dict, may_end: bool) -> Iterator[tuple[tuple[int, int], tuple[int, int], float]]:
         """(state, state after a word end, log cost) of states that are within a word."""
-        return (((a, b), (b, 0), self.log[a][b][0]) for a, b in states if b)
+        return (((a, b), (b, 0), self.log[a][b][0]) for a, b in states if b and may_end)
 
-    def forward(self, run: str) -> list[dict[tuple[int, int], tuple[float, tuple]]]:
-        """Of each place in a run, the best score and path to each pair of last codes; words may end at every place."""
+    @staticmethod
+    def may_end(run: str, at: int, spread: bool) -> bool:
+        """Whether a word may end before place ``at``: everywhere if spread out, else beside what is no letter or digit."""
+        return spread or at == len(run) or not (run[at].isalnum() and (at == 0 or run[at - 1].isalnum()))
+
+    def forward(self, run: str, spread: bool) -> list[dict[tuple[int, int], tuple[float, tuple]]]:
+        """Of each place in a run, the best score and path to each pair of last codes."""
         places: list[dict[tuple[int, int], tuple[float, tuple]]] = [{(0, 0): (0.0, ())}]
         for at, char in enumerate(run):
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -151,14 +163,14 @@ class CharacterModel:
                     s = score + cost + (self.log[a][b][y] if c else 0.0)
                     if (x, y) not in after or s > after[x, y][0]:
                         after[x, y] = s, (path, c) if c else path
-            for state, ended, cost in list(self.closings(after)):
+            for state, ended, cost in list(self.closings(after, self.may_end(run, at + 1, spread))):
                 s, path = after[state]
                 if ended not in after or s + cost > after[ended][0]:
                     after[ended] = s + cost, (path, " ")
             places.append(after)
         return places
 
-    def backward(self, run: str, places: list[dict]) -> list[dict[tuple[int, int], float]]:
+    def backward(self, run: str, places: list[dict], spread: bool) -> list[dict[tuple[int, int], float]]:
         """Of each place and state of ``forward``, the best score of what follows, to a word end."""
         left: list[dict[tuple[int, int], float]] = [{} for _ in places]
         left[-1] = {(a, b): self.log[a][b][0] if b else 0.0 for a, b in places[-1]}
@@ -167,13 +179,13 @@ class CharacterModel:
             here, then = left[at], left[at + 1]
             for a, b in places[at]:
                 here[a, b] = max(cost + (self.log[a][b][self.code(c)] + then[b, self.code(c)] if c else then[a, b]) for c, cost in ways)
-            for state, ended, cost in self.closings(here):
+            for state, ended, cost in self.closings(here, at > 0 and self.may_end(run, at, spread)):
                 here[state] = max(here[state], cost + here[ended])
         return left
 
-    def segment(self, run: str) -> list[str]:
+    def segment(self, run: str, spread: bool = True) -> list[str]:
         """The words of the best path through a run."""
-        states = self.forward(run)[-1]
+        states = self.forward(run, spread)[-1]
         path = max(((s + (self.log[a][b][0] if b else 0.0), (a, b)) for (a, b), (s, _) in states.items()))[1]
         path, out = states[path][1], []
         while path:
@@ -181,10 +193,10 @@ class CharacterModel:
             out.append(c)
         return "".join(reversed(out)).split()
 
-    def terms_in(self, run: str, trie: dict) -> set[str]:
+    def terms_in(self, run: str, trie: dict, spread: bool = True) -> set[str]:
         """Terms that are words of some path within RUN_MARGIN of the best one."""
-        places = self.forward(run)
-        left = self.backward(run, places)
+        places = self.forward(run, spread)
+        left = self.backward(run, places, spread)
         least = left[0][0, 0] - RUN_MARGIN
         found: set[str] = set()
         for start, states in enumerate(places):
@@ -204,7 +216,7 @@ class CharacterModel:
                 at += 1
                 active = [(a, b, s, node) for (a, b, _), (s, node) in after.items() if s + left[at][a, b] >= least]
                 for a, b, s, node in active:
-                    if "" in node and s + self.log[a][b][0] + left[at][b, 0] >= least:
+                    if "" in node and self.may_end(run, at, spread) and s + self.log[a][b][0] + left[at][b, 0] >= least:
                         found.add(node[""])
         return found
 
@@ -222,8 +234,6 @@ def trie_of(terms: Iterable[str]) -> dict:
 
 def suspicious(token: str) -> bool:
     """Whether a (lower-cased) token needs restoring beyond taking punctuation off its ends."""
-    if len(token) > LONGEST:
-        return False
     core = token.strip(EDGES)
     if not core:
         return False
@@ -235,14 +245,31 @@ def suspicious(token: str) -> bool:
     return any(x in STANDS_FOR for x in head) or (len(tail) == 1 and tail in STANDS_FOR and tail != "!")
 
 
+def squeezed(run: str) -> str:
+    """Without the fourth and later equal characters in a row, which tell no more than the third."""
+    return _FOUR.sub(r"\1\1\1", run)
+
+
+def pieces(run: str, spread: bool) -> Iterator[str]:
+    """Overlapping pieces that bound the memory of a very long run; those of a token begin and end beside a separator."""
+    for start in range(0, max(1, len(run) - SHARED), PIECE - SHARED):
+        low, high = start, min(start + PIECE, len(run))
+        if not spread:
+            while 0 < low < high and run[low - 1].isalnum():
+                low += 1
+            while low < high < len(run) and run[high].isalnum():
+                high -= 1
+        if low < high:
+            yield run[low:high]
+
+
 def spread_runs(text: str) -> list[str]:
     """Runs of RUN or more single characters between blanks of any length, punctuation at their sides taken off, joined."""
     if not _SPREAD.search(text):
         return []
     singles = (t if len(t) == 1 else core if len(core := t.strip(EDGES)) == 1 else "" for t in text.split())
     runs = ("".join(run) for single, run in groupby(singles, bool) if single)
-    # a fourth equal character tells no more than the third
-    return [_FOUR.sub(r"\1\1\1", r) for r in runs if len(r) >= RUN and sum(c.isalnum() or c in STANDS_FOR for c in r) >= RUN and any(c.isalpha() for c in r)]
+    return [squeezed(r) for r in runs if len(r) >= RUN and sum(c.isalnum() or c in STANDS_FOR for c in r) >= RUN and any(c.isalpha() for c in r)]
 
 
 def restored_words(text: str, model: CharacterModel, cache: dict[str, str]) -> set[str]:
@@ -250,8 +277,11 @@ def restored_words(text: str, model: CharacterModel, cache: dict[str, str]) -> s
     low = text.lower()
     out = set()
     for run in set(spread_runs(low)):
-        out.update(w for w in model.segment(run) if w.isalpha())
+        out.update(w for piece in pieces(run, True) for w in model.segment(piece) if w.isalpha())
     for token in set(low.split()):
+        if len(token) > LONG and suspicious(token):
+            out.update(w for w in (x for piece in pieces(squeezed(token), False) for x in model.segment(piece, spread=False)) if w.isalpha())
+            continue
         word = cache.get(token)
         if word is None:
             word = model.decode(token)[0][1] if suspicious(token) else token.strip(EDGES)
@@ -263,16 +293,34 @@ def restored_words(text: str, model: CharacterModel, cache: dict[str, str]) -> s
 
 
 class TermFinder:
-    """Which of a set of terms the restored words of a text hold: a restoration within MARGIN of the best counts."""
+    """Which of a set of terms the restored words of a text hold: a restoration within MARGIN of the best counts.
+
+    A word that is a term but for doubled letters is restored too, unless it is one of the ``known`` words.
+    """
 
-    def __init__(self, terms: Iterable[str], model: CharacterModel):
-        self.terms, self.model, self.cache = frozenset(terms), model, {}
+    def __init__(self, terms: Iterable[str], model: CharacterModel, known: Iterable[str] = ()):
+        self.terms, self.model, self.cache, self.known = frozenset(terms), model, {}, frozenset(known)
+        self.single = frozenset(_REPEATED.sub(r"\1", t) for t in self.terms)
+        self.plain: set[str] = set()
         self.trie = trie_of(self.terms)
 
+    def doubled(self, token: str) -> bool:
+        core = token.strip(EDGES)
+        return core not in self.terms and core not in self.known and _REPEATED.sub(r"\1", core) in self.single
+
+    def fresh(self, tokens: set[str]) -> set[str]:
+        """Words of letters that are terms but for doubled letters; others are remembered and not looked at again."""
+        new = tokens - self.plain
+        out = {t for t in new if t.isalpha() and self.doubled(t)}
+        if len(self.plain) >= CACHE_TOKENS:
+            self.plain.clear()
+        self.plain |= new - out
+        return out
+
     def of_token(self, token: str) -> str:
         found = self.cache.get(token)
         if found is None:
-            if suspicious(token):
+            if suspicious(token) or self.doubled(token):
                 ways = self.model.decode(token)
                 found = next((t for s, t in ways if t in self.terms and s >= ways[0][0] - MARGIN), "")
             else:
@@ -293,8 +341,12 @@ class TermFinder:
         if _TRIPLE.search(low):
             odd += [t for t in tokens if t.isalpha() and _TRIPLE.search(t)]
         for run in set(spread_runs(low)):
-            out |= self.model.terms_in(run, self.trie)
-        out.update(map(self.of_token, odd))
+            out.update(*(self.model.terms_in(piece, self.trie) for piece in pieces(run, True)))
+        long = {squeezed(t) for t in odd if len(t) > LONG and suspicious(t)}
+        for token in long:
+            out.update(*(self.model.terms_in(piece, self.trie, spread=False) for piece in pieces(token, False)))
+        odd += self.fresh(tokens)
+        out.update(self.of_token(t) for t in odd if len(t) <= LONG or not suspicious(t))
         out.discard("")
         return out
 
@@ -315,8 +367,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: int) -> tuple[dict[str, tuple[float, float]], float, np.ndarray] | None:
-    """(weight and own log odds of each term, constant, character counts); None without labels of both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: int) -> tuple[dict[str, tuple[float, float]], float, np.ndarray, list[str]] | None:
+    """(weight and own log odds of each term, constant, character counts, clean rows' words that are terms but for doubled letters); None without labels of both kinds."""
     ids = labelled_sample(labels, target, where, rows)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y"))
     counts = character_counts(docs)
@@ -331,13 +383,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
                 found = sorted(restored_words(text or "", model, cache))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["word", "y"])
 
-    per_word = sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    per_word = cut(sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
     top = per_word.filter(F.col("t") >= max(3, TERM_SHARE * totals[1])).withColumn("w", weight).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("t")), "word").limit(TERMS).collect()
     terms = sorted(r["word"] for r in top)
+    single = sorted({_REPEATED.sub(r"\1", t) for t in terms})
+    known = sorted(r["word"] for r in per_word.filter("c > 0").filter(F.regexp_replace("word", r"(\p{L})\1+", "$1").isin(single)).select("word").collect())
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(terms, CharacterModel(counts))
+        finder = TermFinder(terms, CharacterModel(counts), known)
         place = {t: i for i, t in enumerate(terms)}
         for batch in batches:
             found = [sorted(place[t] for t in finder.find(text)) for text in batch.column(0).to_pylist()]
@@ -352,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
     with_term, toxic_with_term = x.T @ n, x.T @ (n * y)
     alone = np.log(toxic_with_term + 0.5) - np.log(with_term - toxic_with_term + 0.5)
     strong = (w[:-1] >= 1.0) & (alone >= STRONG_ODDS) & (toxic_with_term >= STRONG_SHARE * totals[1])
-    return {t: (float(v), float(a) if s else -np.inf) for t, v, a, s in zip(terms, w, alone, strong, strict=False)}, float(w[-1]), counts
+    return {t: (float(v), float(a) if s else -np.inf) for t, v, a, s in zip(terms, w, alone, strong, strict=False)}, float(w[-1]), counts, known
 
 
 def log_odds(found: set[str], weights: dict[str, tuple[float, float]], constant: float) -> float:
@@ -376,8 +430,8 @@ def add_toxicity(
             if model.value is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                weights, constant, counts = model.value
-                finder = finder or TermFinder(weights, CharacterModel(counts))
+                weights, constant, counts, known = model.value
+                finder = finder or TermFinder(weights, CharacterModel(counts), known)
                 total = [log_odds(finder.find(text), weights, constant) for text in batch.column(text_at).to_pylist()]
                 scores = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_column])

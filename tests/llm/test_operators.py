@@ -381,6 +381,29 @@ def test_spread_terms_are_found_next_to_other_words(spark):
     assert all(s >= 0.5 for s in scores[: len(hidden)]) and all(s < 0.5 for s in scores[len(hidden) :])
 
 
+def test_pieces_share_whole_words():
+    rng = random.Random(1)
+    run = "".join(rng.choice("ab,") for _ in range(30_000))
+    assert list(toxicity.pieces("abc", False)) == list(toxicity.pieces("abc", True)) == ["abc"] and not list(toxicity.pieces("", True))
+    for spread in (True, False):
+        got = list(toxicity.pieces(run, spread))
+        assert all(len(p) <= toxicity.PIECE for p in got) and all(any(run[i : i + 400] in p for p in got) for i in range(0, 29_600, 97))
+    assert {w for p in toxicity.pieces(run, False) for w in p.split(",")} == set(run.split(","))
+
+
+def test_long_and_doubled_tokens_are_restored(spark):
+    texts, labels = toxic_corpus(spark)
+    hidden = ["an idi" + "o" * 60 + "t", "what.a.m0r0n,you.are.such.an.1d10t..he.said", "m.o.r.o.n" + "." * 50, "tha," * 400 + "m0r0n," + "er," * 400, "moron" + "." * 50, "x" * 9000 + ".m0r0n." + "x" * 9000, "an idiiot", "a mooron", "mmoron,", "I d i i o t"]
+    clean = ["ab" * 5000, "tha,on,er,in," * 2000, "https://example.com/tha/on/er?x=0123456789abcdef0123456789abcdef", "thaa onn", "0" * 3000 + "a", "xab" * 1365 + "moron" + "xab" * 9000]
+    # a doubled spelling that clean rows have is a word of its own
+    known = [(i, f"moronn {texts[i]}" if i % 5 else texts[i]) for i in range(200)]
+    got = toxicity.add_toxicity(docs_of(spark, texts + hidden + clean), labels).orderBy("doc_id").collect()
+    scores = [r.score for r in got][200:]
+    assert all(s >= 0.5 for s in scores[: len(hidden)]) and all(s < 0.5 for s in scores[len(hidden) :])
+    got = toxicity.add_toxicity(docs_of(spark, [t for _, t in known] + ["a moronn tha", "a moroon tha"]), labels).orderBy("doc_id").collect()
+    assert got[200].score < 0.5 <= got[201].score
+
+
 def test_toxicity_on_awkward_documents(edge, empty, edge_labels, no_labels):
     assert toxicity.add_toxicity(edge, edge_labels).count() == len(ROWS)
     scored = toxicity.add_toxicity(edge, no_labels)
