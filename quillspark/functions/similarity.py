@@ -7,6 +7,7 @@ the longer. The longest common subsequence is bit-parallel on Python integers.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,13 +50,24 @@ def best_window(query: str, text: str) -> tuple[float, int, int]:
     at = text.find(query)
     if at >= 0:
         return 100.0, at, at + n
-    best = (0.0, 0, 0)
-    for start in range(1 - n, len(text)):
-        low, high = max(start, 0), min(start + n, len(text))
-        if 200.0 * min(high - low, n) / (n + high - low) > best[0]:
+    # the characters that a window shares with the query, order aside, bound the common subsequence: likeliest windows first
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.arange(1 - n, len(text))
+    lows, highs = np.maximum(starts, 0), np.minimum(starts + n, len(text))
+    shared = np.zeros(len(starts), np.int64)
+    for c in set(query):
+        upto = np.concatenate(([0], np.cumsum(codes == ord(c))))
+        shared += np.minimum(upto[highs] - upto[lows], query.count(c))
+    bounds = 200.0 * shared / (n + highs - lows)
+    best, at = (0.0, 0, 0), len(starts)
+    for i in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[i] < best[0] or not bounds[i]:
+            break
+        if bounds[i] > best[0] or i < at:
+            low, high = int(lows[i]), int(highs[i])
             r = ratio(query, text[low:high])
-            if r > best[0]:
-                best = (r, low, high)
+            if r > best[0] or r == best[0] and i < at:
+                best, at = (r, low, high), i
     return best
 
 

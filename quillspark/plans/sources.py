@@ -104,8 +104,12 @@ def k02_quotes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k03_locate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = load(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 5, 40).alias("quote"), F.regexp_replace(F.substring("text", 1, 200), "tion", "tino").alias("text"))
-    return E.locate_quotes(quotes).select("item_id", "start", "end", F.round("similarity", 4).alias("similarity"), "match_type")
+    items = load(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), "item_id", "text")
+    whole = items.unionByName(load(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), "text"))
+    # a quote from anywhere in the text
+    quote = F.expr("substring(text, int(1 + pmod(xxhash64(item_id), greatest(length(text) - 39, 1))), 40)")
+    quotes = whole.select("kind", "item_id", quote.alias("quote"), F.regexp_replace("text", "tion", "tino").alias("text"))
+    return E.locate_quotes(quotes).select("kind", "item_id", "start", "end", F.round("similarity", 4).alias("similarity"), "match_type")
 
 
 def k04_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,26 @@ def test_json_salvage(spark, raw, want):
 def test_vote_of_answer(spark):
     got = one(spark, J.vote_of, 'x {"verdict": "supported", "confidence": 1.7}')
     assert tuple(got) == ("supported", 1.0, "") and one(spark, J.vote_of, "no") is None
+
+
+def test_best_window_equals_all_windows_and_prunes(monkeypatch):
+    rng, plain = random.Random(5), similarity.ratio
+    for _ in range(300):
+        query, text = ("".join(rng.choice("abcé\U0001f600"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, n))) for n in (9, 40))
+        best = (0.0, 0, 0)
+        for start in range(1 - len(query), len(text)):
+            low, high = max(start, 0), min(start + len(query), len(text))
+            best = max(best, (plain(query, text[low:high]), low, high), key=lambda x: x[0])
+        assert similarity.best_window(query, text) == ((100.0, text.find(query), text.find(query) + len(query)) if query in text else best)
+    calls = []
+    monkeypatch.setattr(similarity, "ratio", lambda a, b: calls.append(1) or plain(a, b))
+    words = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(4000))
+    query = words[15_000:15_018] + "#" + words[15_019:15_040]
+    assert similarity.best_window(query, words)[1:] == (15_000, 15_040) and len(calls) < 400
+
+
+def test_quotes_are_located_in_whole_texts(spark):
+    from quillspark.plans.sources import k03_locate_quotes
+
+    found = k03_locate_quotes(spark, SMALL).collect()
+    assert {r.kind for r in found if (r.end or 0) > 200} == {"benchmark", "document"} and all(r.end for r in found if r.similarity == 1)
