@@ -90,16 +90,21 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Consecutive rows of a batch, of about ``most`` text bytes, with their words."""
-    texts = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+def row_slices(batch: pa.RecordBatch, column: int, most_rows: int = 1 << 20, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, of about ``most`` text bytes and ``most_rows`` rows at most."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     group = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(group)) + 1
     for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-        if high > low:
-            part = batch.slice(low, high - low)
-            yield part, Words(part.column(part.schema.get_field_index(column)))
+        for at in range(low, high, most_rows):
+            yield batch.slice(at, min(most_rows, high - at))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, most_rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Consecutive rows of a batch, of about ``most`` text bytes and ``most_rows`` rows at most, with their words."""
+    at = batch.schema.get_field_index(column)
+    for part in row_slices(batch, at, most_rows, most):
+        yield part, Words(part.column(at))
 
 
 def gram_hashes(hashes: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
