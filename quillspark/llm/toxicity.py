@@ -2,13 +2,14 @@
 
 Writers hide words by digits and symbols for letters, by letters spread out
 and by letters repeated. Each suspicious token is a lattice of what its
-characters may stand for; a k-best Viterbi search under a trigram language
-model of characters, counted over the whole corpus, restores it. In a run of
-single characters words may end anywhere, and a term counts if the best path
-through it comes near the best of all. Long tokens are read so too, with word
-ends at separators only. Words that are terms but for doubled letters are
-restored unless clean labelled rows have them. Other plain words pass
-unchanged. Terms that tell toxic documents from others are learnt from a
+characters may stand for; a Viterbi search under a trigram language model of
+characters, counted over the whole corpus, restores it: the state is the pair
+of last letters, so the best path is exact at any length. A term counts if the
+best path with it as a word, found by walking the terms' trie between forward
+and backward scores, comes near the best of all. In a run of single characters
+words may end anywhere, in other tokens at separators only. Words that are
+terms but for doubled letters are restored unless clean labelled rows have
+them. Other plain words pass unchanged. Terms that tell toxic documents from others are learnt from a
 bounded sample of labelled rows by logistic regression on restored words; a
 document's score is the probability from the terms among its restored words.
 
@@ -41,12 +42,9 @@ SEPARATORS = frozenset(".-_*'~,:;/\\\"?)]}[{<>%&=^`")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\=^`"
 #: Log costs in the channel: another letter is meant, a separator is dropped, a symbol that may be a letter is dropped, a repeat is dropped.
 SUBSTITUTE, DROP, DROP_SYMBOL, DROP_REPEAT = -1.0, -0.5, -3.0, -0.7
-BEAM, MARGIN = 24, 8.0
 LETTERS = 28
-#: Labelled rows at most, candidate terms at most, and the tokens a worker remembers.
-LABELLED_ROWS, TERMS, CACHE_TOKENS = 12_000, 400, 200_000
-#: Longer tokens are decoded as runs in which words may end at separators only: one path for each pair of last letters, not BEAM texts.
-LONG = 40
+#: Labelled rows at most, and the tokens a worker remembers.
+LABELLED_ROWS, CACHE_TOKENS = 12_000, 200_000
 #: Characters of a run or long token that are decoded at once, and those that two such pieces share.
 PIECE, SHARED = 4096, 512
 #: Share of the toxic rows that a term must be in, to be a term and to be a strong one; log odds of a strong one alone.
@@ -58,9 +56,10 @@ _CODE[0xC0:] = 27
 _HEAD = np.ones(256, bool)
 _HEAD[0x80:0xC0] = False
 _SPREAD = re.compile(r"(?<!\S)\S\s+\S(?!\S)")
-#: Characters of a spread run at least; a term in it counts if the best path with it as a word is no worse than the best path by this.
-RUN, RUN_MARGIN = 3, 8.0
+#: Characters of a spread run at least; a term counts if the best path with it as a word is no worse than the best path by this.
+RUN, MARGIN = 3, 8.0
 _FOUR = re.compile(r"(.)\1{3,}")
+_RUN = re.compile(r"(.)\1+")
 _REPEATED = re.compile(r"([^\W\d_])\1+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
@@ -97,49 +96,11 @@ class CharacterModel:
     def code(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
-    def decode(self, token: str) -> list[tuple[float, str]]:
-        """Restorations of a token with their log scores, best first, at most BEAM."""
-        core = token.strip(EDGES)
-        low = token.find(core) if core else 0
-        states: dict[tuple[int, int, str], float] = {(0, 0, ""): 0.0}
-        at = 0
-        for char, run in groupby(token):
-            n = len(list(run))
-            inner = low <= at < low + len(core)
-            at += n
-            ways: list[tuple[str, float]] = []
-            if char.isalpha():
-                ways = [(char * k, DROP_REPEAT * (n > k)) for k in ({n} if n == 1 else {1, 2})]
-            else:
-                if char in STANDS_FOR:
-                    ways = [(c * k, SUBSTITUTE * k + DROP_REPEAT * (n > k)) for c in STANDS_FOR[char] for k in ({n} if n == 1 else {1, 2})]
-                if char.isdigit():
-                    ways.append(("", DROP_SYMBOL * n))
-                else:
-                    ways.append(("", DROP_SYMBOL if inner and char in STANDS_FOR else DROP))
-            after: dict[tuple[int, int, str], float] = {}
-            for (a, b, text), score in states.items():
-                for more, cost in ways:
-                    x, y, s = a, b, score + cost
-                    for c in more:
-                        z = self.code(c)
-                        s += self.log[x][y][z]
-                        x, y = y, z
-                    key = (x, y, text + more)
-                    if s > after.get(key, -math.inf):
-                        after[key] = s
-            states = dict(sorted(after.items(), key=lambda kv: (-kv[1], kv[0]))[:BEAM])
-        ends = {}
-        for (a, b, text), score in states.items():
-            ends[text] = max(ends.get(text, -math.inf), score + self.log[a][b][0])
-        return sorted(((s, t) for t, s in ends.items()), key=lambda x: (-x[0], x[1]))
-
-
     def ways(self, char: str, before: str) -> list[tuple[str, float]]:
-        """What one character of a spread run may stand for."""
+        """What one character of a run may stand for."""
         if char.isalpha():
             return [(char, 0.0)] + [("", DROP_REPEAT)] * (char == before)
-        drop = DROP_SYMBOL if char in STANDS_FOR or char.isdigit() else DROP
+        drop = DROP_REPEAT if char == before else DROP_SYMBOL if char in STANDS_FOR or char.isdigit() else DROP
         return [(c, SUBSTITUTE) for c in STANDS_FOR.get(char, "")] + [("", drop)]
 
     def closings(self, states: dict, may_end: bool) -> Iterator[tuple[tuple[int, int], tuple[int, int], float]]:
@@ -194,10 +155,10 @@ class CharacterModel:
         return "".join(reversed(out)).split()
 
     def terms_in(self, run: str, trie: dict, spread: bool = True) -> set[str]:
-        """Terms that are words of some path within RUN_MARGIN of the best one."""
+        """Terms that are words of some path within MARGIN of the best one."""
         places = self.forward(run, spread)
         left = self.backward(run, places, spread)
-        least = left[0][0, 0] - RUN_MARGIN
+        least = left[0][0, 0] - MARGIN
         found: set[str] = set()
         for start, states in enumerate(places):
             active = [(a, b, s, trie) for (a, b), (s, _) in states.items() if not b]
@@ -238,7 +199,8 @@ def suspicious(token: str) -> bool:
     if not core:
         return False
     if not core.isalpha():
-        return any(c.isalpha() for c in core) and sum(c.isdigit() for c in core) <= len(core) // 2 + 1
+        once = _RUN.sub(r"\1", core)
+        return any(c.isalpha() for c in once) and sum(c.isdigit() for c in once) <= len(once) // 2 + 1
     if _TRIPLE.search(core):
         return True
     head, tail = token[: token.find(core)], token[token.find(core) + len(core) :]
@@ -272,28 +234,28 @@ def spread_runs(text: str) -> list[str]:
     return [squeezed(r) for r in runs if len(r) >= RUN and sum(c.isalnum() or c in STANDS_FOR for c in r) >= RUN and any(c.isalpha() for c in r)]
 
 
-def restored_words(text: str, model: CharacterModel, cache: dict[str, str]) -> set[str]:
+def restored_words(text: str, model: CharacterModel, cache: dict[str, tuple[str, ...]]) -> set[str]:
     """The distinct words of a text after restoring, by the best path."""
     low = text.lower()
     out = set()
     for run in set(spread_runs(low)):
         out.update(w for piece in pieces(run, True) for w in model.segment(piece) if w.isalpha())
     for token in set(low.split()):
-        if len(token) > LONG and suspicious(token):
-            out.update(w for w in (x for piece in pieces(squeezed(token), False) for x in model.segment(piece, spread=False)) if w.isalpha())
-            continue
-        word = cache.get(token)
-        if word is None:
-            word = model.decode(token)[0][1] if suspicious(token) else token.strip(EDGES)
+        found = cache.get(token)
+        if found is None:
+            if suspicious(token):
+                found = tuple(w for piece in pieces(squeezed(token), False) for w in model.segment(piece, spread=False) if w.isalpha())
+            else:
+                core = token.strip(EDGES)
+                found = (core,) if core.isalpha() else ()
             if len(cache) < CACHE_TOKENS:
-                cache[token] = word
-        if word and word.isalpha():
-            out.add(word)
+                cache[token] = found
+        out.update(found)
     return out
 
 
 class TermFinder:
-    """Which of a set of terms the restored words of a text hold: a restoration within MARGIN of the best counts.
+    """Which of a set of terms the restored words of a text hold: a path within MARGIN of the best counts.
 
     A word that is a term but for doubled letters is restored too, unless it is one of the ``known`` words.
     """
@@ -317,15 +279,13 @@ class TermFinder:
         self.plain |= new - out
         return out
 
-    def of_token(self, token: str) -> str:
+    def of_token(self, token: str) -> frozenset[str]:
         found = self.cache.get(token)
         if found is None:
             if suspicious(token) or self.doubled(token):
-                ways = self.model.decode(token)
-                found = next((t for s, t in ways if t in self.terms and s >= ways[0][0] - MARGIN), "")
+                found = frozenset().union(*(self.model.terms_in(piece, self.trie, spread=False) for piece in pieces(squeezed(token), False)))
             else:
-                core = token.strip(EDGES)
-                found = core if core in self.terms else ""
+                found = self.terms & {token.strip(EDGES)}
             if len(self.cache) >= CACHE_TOKENS:
                 self.cache.clear()
             self.cache[token] = found
@@ -342,25 +302,37 @@ class TermFinder:
             odd += [t for t in tokens if t.isalpha() and _TRIPLE.search(t)]
         for run in set(spread_runs(low)):
             out.update(*(self.model.terms_in(piece, self.trie) for piece in pieces(run, True)))
-        long = {squeezed(t) for t in odd if len(t) > LONG and suspicious(t)}
-        for token in long:
-            out.update(*(self.model.terms_in(piece, self.trie, spread=False) for piece in pieces(token, False)))
         odd += self.fresh(tokens)
-        out.update(self.of_token(t) for t in odd if len(t) <= LONG or not suspicious(t))
-        out.discard("")
-        return out
+        return out.union(*map(self.of_token, odd))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the constant) by damped Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def logistic(rows: list[list[int]], terms: int, y: np.ndarray, n: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
+    """Weights (the last is the constant) of a regression on which ``terms`` a row holds; rows count ``n`` times.
+
+    Newton steps by conjugate gradients, so that memory is in proportion to
+    the terms that rows hold, not to rows times terms.
+    """
+    row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    term = np.fromiter((t for r in rows for t in (*r, terms)), np.int64, len(row))
+    times = lambda v: np.bincount(row, v[term], len(rows))
+    turned = lambda r: np.bincount(term, r[row], terms + 1)
+    w, penalty = np.zeros(terms + 1), np.full(terms + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        curve = n * (p * (1 - p) + 1e-6)
+        left = turned(n * (y - p)) - penalty * w
+        step, way, size = np.zeros(terms + 1), left.copy(), left @ left
+        least = 1e-20 * max(size, 1e-300)
+        for _ in range(4 * terms + 20):
+            if size <= least:
+                break
+            bent = turned(curve * times(way)) + penalty * way
+            far = size / (way @ bent)
+            step += far * way
+            left -= far * bent
+            size, before = left @ left, size
+            way = left + size / before * way
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -385,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
 
     per_word = cut(sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
-    top = per_word.filter(F.col("t") >= max(3, TERM_SHARE * totals[1])).withColumn("w", weight).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("t")), "word").limit(TERMS).collect()
+    top = per_word.filter(F.col("t") >= max(3, TERM_SHARE * totals[1])).withColumn("w", weight).filter("w > 1.5").select("word").collect()
     terms = sorted(r["word"] for r in top)
     single = sorted({_REPEATED.sub(r"\1", t) for t in terms})
     known = sorted(r["word"] for r in per_word.filter("c > 0").filter(F.regexp_replace("word", r"(\p{L})\1+", "$1").isin(single)).select("word").collect())
@@ -399,11 +371,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
 
     seen = sample.mapInArrow(hits, "y int, terms array<int>").groupBy("y", "terms").count().collect()
     seen.sort(key=lambda r: (r["y"], r["terms"]))
-    x, y, n = np.zeros((len(seen), len(terms))), np.zeros(len(seen)), np.zeros(len(seen))
-    for i, r in enumerate(seen):
-        x[i, r["terms"]], y[i], n[i] = 1, r["y"], r["count"]
-    w = logistic(np.repeat(x, n.astype(int), 0), np.repeat(y, n.astype(int)))
-    with_term, toxic_with_term = x.T @ n, x.T @ (n * y)
+    rows = [r["terms"] for r in seen]
+    y, n = np.array([float(r["y"]) for r in seen]), np.array([float(r["count"]) for r in seen])
+    w = logistic(rows, len(terms), y, n)
+    held, of = np.array([t for r in rows for t in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    with_term, toxic_with_term = np.bincount(held, n[of], len(terms)), np.bincount(held, (n * y)[of], len(terms))
     alone = np.log(toxic_with_term + 0.5) - np.log(with_term - toxic_with_term + 0.5)
     strong = (w[:-1] >= 1.0) & (alone >= STRONG_ODDS) & (toxic_with_term >= STRONG_SHARE * totals[1])
     return {t: (float(v), float(a) if s else -np.inf) for t, v, a, s in zip(terms, w, alone, strong, strict=False)}, float(w[-1]), counts, known
