@@ -6,14 +6,17 @@ order of estimated success: the sum over functions of the squared distance
 from the query to the borders that are crossed. What the tables find is ranked
 by exact cosines in double precision, a block of queries against a block of a
 cell's vectors, and merged. A query that finds fewer than ``k`` is compared
-with all vectors, in blocks.
+with all vectors, in blocks. Cosines are rounded at the twelfth decimal, so that
+rounding errors of products don't decide between equals.
 
 Every vector is in every table. Equal vectors are one entry with their ``k + 1``
 smallest ids, which is all that a ranking can show; so a group of copies is
-small. Cells are split into blocks by a hash of the id, so a large cell is
-many blocks. Functions and probes are the same for every size of table: more
-functions would lose neighbours unless probes grew 2.5-fold with each, which
-halves the vectors compared at best. Larger tables only have more blocks.
+small. Cells are counted first: those of more than a block's vectors are split
+by a hash of the id, the others are dealt to groups of about a block; queries
+go to cells that hold something, and to each of a cell's blocks. Functions and
+probes are the same for every size of table: more functions would lose
+neighbours unless probes grew 2.5-fold with each, which halves the vectors
+compared at best. So comparisons grow with queries times vectors.
 
 Rows with a null id, and vectors that are null, empty, zero or hold null or
 non-finite numbers, take no part; neither do vectors of another length than
@@ -38,15 +41,10 @@ from quillspark.llm._tables import cut
 TABLES, WIDTH, SEED = 8, 1.5, 5
 #: Functions in a table, and cells that a query visits in it.
 FUNCTIONS, PROBES = 4, 10
-#: Vectors of a block that a task compares at once.
-BLOCK = 8192
-#: Cells of a table are dealt over so many groups.
-GROUPS = 24
-
-
-def plan(rows: int) -> tuple[int, int, int]:
-    """(functions in a table, cells that a query visits in it, blocks of a cell) for so many vectors."""
-    return FUNCTIONS, PROBES, max(1, math.ceil(rows / BLOCK / GROUPS))
+#: Vectors of a block, on average; queries compared with it at once.
+BLOCK, QUERIES = 8192, 256
+#: Decimals of a cosine that count.
+DECIMALS = 12
 
 
 class Cells:
@@ -98,27 +96,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def best_of(cosines: np.ndarray, most: int) -> np.ndarray:
+    """Columns of each row's ``most`` largest values; of equal ones at the border those that come first."""
+    border = -np.partition(-cosines, most - 1, axis=1)[:, most - 1 : most]
+    above, equal = cosines > border, cosines == border
+    take = above | (equal & (np.cumsum(equal, axis=1) <= most - above.sum(1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(cosines), most)
+
+
 def nearest_in_block(queries: pa.Table, members: pa.Table, k: int, dimension: int) -> pa.Table:
     """(query_id, vec_id, ids, score): each query's best entries in each of its cells, k + 1 since it may find itself."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
     if not queries.num_rows or not members.num_rows:
         return schema.empty_table()
-    members, queries = (t.sort_by("cell").combine_chunks() for t in (members, queries))
-    m, ids, cell_m = unit(matrix(members["embedding"].chunk(0), dimension)), members["vec_id"].to_numpy(), members["cell"].to_numpy()
+    members, queries = members.sort_by([("cell", "ascending"), ("vec_id", "ascending")]).combine_chunks(), queries.sort_by("cell").combine_chunks()
+    m, cell_m = unit(matrix(members["embedding"].chunk(0), dimension)), members["cell"].to_numpy()
     q, cell_q = unit(matrix(queries["embedding"].chunk(0), dimension)), queries["cell"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for cell in np.unique(cell_q):
         q_low, q_high = np.searchsorted(cell_q, cell), np.searchsorted(cell_q, cell, "right")
         low, high = np.searchsorted(cell_m, cell), np.searchsorted(cell_m, cell, "right")
-        for at in range(q_low, q_high if high > low else q_low, 256):
-            block = q[at : min(at + 256, q_high)]
-            cosines = block @ m[low:high].T
-            most = min(4 * k + 4, high - low)
-            near = low + np.argpartition(-cosines, most - 1, axis=1)[:, :most]
-            exact = np.einsum("qd,qnd->qn", block, m[near])
-            order = np.lexsort((ids[near], -exact), axis=1)[:, : k + 1]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            out.append((np.repeat(np.arange(at, at + len(block)), near.shape[1]), near.ravel(), exact.ravel()))
+        for at in range(q_low, q_high if high > low else q_low, QUERIES):
+            block = q[at : min(at + QUERIES, q_high)]
+            cosines = np.round(block @ m[low:high].T, DECIMALS)
+            near = best_of(cosines, min(k + 1, high - low))
+            out.append((np.repeat(np.arange(at, at + len(block)), near.shape[1]), (low + near).ravel(), np.take_along_axis(cosines, near, 1).ravel()))
     if not out:
         return schema.empty_table()
     row, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -127,7 +129,7 @@ def nearest_in_block(queries: pa.Table, members: pa.Table, k: int, dimension: in
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", tables: int = TABLES, width: float = WIDTH
+    vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", tables: int = TABLES, width: float = WIDTH, block: int = BLOCK
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` (a condition on vec_id) holds for."""
     x = F.col(vector_column)
@@ -144,31 +146,29 @@ def nearest(
     entries = valid.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = cut(entries.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding"))
     queries = cut(queries)
-    functions, probes, blocks = plan(rows)
-    cells = Cells(dimension, functions, tables, width)
+    cells = Cells(dimension, FUNCTIONS, tables, width)
+    whole_blocks = max(1, math.ceil(rows / block))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = unit(matrix(batch.column(2), dimension)) if batch.num_rows else np.zeros((0, dimension))
-            block = batch.column(0).to_numpy() // 7 % blocks
             for t in range(tables):
                 key = cells.keys(cells.of(u, t)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(key), pa.array(block), *batch.columns], names=["t", "cell", "block", "vec_id", "ids", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), t, np.int32)), pa.array(key), *batch.columns], names=["t", "cell", "vec_id", "ids", "embedding"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = unit(matrix(batch.column(1), dimension)) if batch.num_rows else np.zeros((0, dimension))
             for t in range(tables):
-                keys = cells.visits(u, t, probes)
+                keys = cells.visits(u, t, PROBES)
                 row = pa.array(np.repeat(np.arange(len(u)), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(keys.ravel()), batch.column(0).take(row), batch.column(1).take(row)], names=["t", "cell", "query_id", "embedding"])
 
     schema = "query_id long, vec_id long, ids array<long>, score double"
-    by = ["t", "group", "block"]
-    grouped = lambda df: df.withColumn("group", F.pmod("cell", F.lit(GROUPS)))
+    by = ["t", "is_large", "group", "block"]
 
     def rank_blocks(placed: DataFrame, visiting: DataFrame) -> DataFrame:
-        found = grouped(visiting).groupBy(*by).cogroup(grouped(placed).groupBy(*by)).applyInArrow(lambda q, m: nearest_in_block(q, m, k, dimension), schema)
+        found = visiting.groupBy(*by).cogroup(placed.groupBy(*by)).applyInArrow(lambda q, m: nearest_in_block(q, m, k, dimension), schema)
         return merge(found)
 
     def merge(found: DataFrame) -> DataFrame:
@@ -178,17 +178,23 @@ def nearest(
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    in_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    placed = entries.mapInArrow(place, "t int, cell long, block long, vec_id long, ids array<long>, embedding array<double>")
-    visiting = queries.mapInArrow(visit, "t int, cell long, query_id long, embedding array<double>").select("t", "cell", in_blocks.alias("block"), "query_id", "embedding")
-    found = cut(rank_blocks(placed, visiting))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    placed = entries.mapInArrow(place, "t int, cell long, vec_id long, ids array<long>, embedding array<double>")
+    visiting = queries.mapInArrow(visit, "t int, cell long, query_id long, embedding array<double>")
+    # a large cell is a group of its own in several blocks; small ones share groups
+    sizes = placed.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    is_large = F.col("blocks") > 1
+    sizes = cut(sizes.withColumns({"is_large": is_large, "group": F.when(is_large, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(whole_blocks)))}))
+    dealt = placed.join(sizes, ["t", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    asking = visiting.join(sizes, ["t", "cell"]).withColumn("block", every(F.col("blocks")))
+    found = cut(rank_blocks(dealt.select(*by, "cell", "vec_id", "ids", "embedding"), asking.select(*by, "cell", "query_id", "embedding")))
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k)
     short = cut(queries.join(enough, "query_id", "left_anti"))
     if short.isEmpty():
         return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     # queries that found too few see every block
-    every = max(1, math.ceil(rows / BLOCK))
-    whole = entries.select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(every)).alias("cell"), F.lit(0).cast("long").alias("block"), "vec_id", "ids", F.col("embedding").alias("embedding"))
-    rest = short.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(every - 1).cast("long"))).alias("cell"), F.lit(0).cast("long").alias("block"), "query_id", F.col("embedding").alias("embedding"))
+    one = [F.lit(-1).alias("t"), F.lit(True).alias("is_large"), F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("cell")]
+    whole = entries.select(*one, F.pmod(F.xxhash64("vec_id"), F.lit(whole_blocks)).cast("int").alias("block"), "vec_id", "ids", "embedding")
+    rest = short.select(*one, every(F.lit(whole_blocks)).alias("block"), "query_id", "embedding")
     ranked = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rank_blocks(whole, rest))
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
