@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Particles that a name may begin with.
-PARTICLES = "de van von del der den di da la le el al bin ibn dos das".split()
+PARTICLES = ("de", "van", "von", "del", "der", "den", "di", "da", "la", "le", "el", "al", "bin", "ibn", "dos", "das")
 _PARTICLE = re.compile(rf"^({'|'.join(PARTICLES)})\s+")
 
 

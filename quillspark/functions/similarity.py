@@ -2,7 +2,8 @@
 
 ratio = 200 * LCS / (len a + len b); token-sort ratio compares the sorted
 tokens; partial ratio is the best ratio of the shorter string with a window of
-the longer. The longest common subsequence is bit-parallel on Python integers.
+the longer. The longest common subsequence is bit-parallel: a pair on Python
+integers, a batch of pairs on arrays of 64-bit words, a step of all pairs at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +31,67 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - (rows & full).bit_count()
 
 
+#: Cells of the table of character masks that are held at once.
+MASK_CELLS = 1 << 21
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_length`` of each pair."""
+    out = np.zeros(len(a), np.int64)
+    shorter = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    longer = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    words = np.array([(len(x) + 63) // 64 for x in shorter])
+    for w in np.unique(words[words > 0]):
+        own = np.flatnonzero(words == w)
+        alphabet = sorted(set().union(*(shorter[i] for i in own)))
+        step = max(1, MASK_CELLS // (int(w) * (len(alphabet) + 1)))
+        own = own[np.argsort([len(longer[i]) for i in own], kind="stable")]
+        for low in range(0, len(own), step):
+            some = own[low : low + step]
+            out[some] = _lcs_of_batch([shorter[i] for i in some], [longer[i] for i in some], int(w), alphabet)
+    return out
+
+
+def _lcs_of_batch(shorter: list[str], longer: list[str], words: int, alphabet: list[str]) -> np.ndarray:
+    code = {c: i for i, c in enumerate(alphabet)}
+    name: dict[str, int] = {}
+    of = np.array([name.setdefault(x, len(name)) for x in shorter])
+    # the last column stands for characters that no shorter string has
+    masks = np.zeros((words, len(name), len(code) + 1), np.uint64)
+    for x, i in name.items():
+        for at, c in enumerate(x):
+            masks[at // 64, i, code[c]] |= np.uint64(1 << at % 64)
+    other: dict[str, int] = {}
+    of_other = np.array([other.setdefault(x, len(other)) for x in longer])
+    codes = np.full((max(map(len, other)), len(other)), len(code), np.int64)
+    for x, i in other.items():
+        codes[: len(x), i] = [code.get(c, len(code)) for c in x]
+    rows = np.full((words, len(shorter)), np.uint64((1 << 64) - 1))
+    for step in codes:
+        c = step[of_other]
+        carry = np.zeros(len(shorter), np.uint64)
+        for w in range(words):
+            r = rows[w]
+            hit = r & masks[w, of, c]
+            with np.errstate(over="ignore"):
+                total = r + hit
+                over = total < r
+                total += carry
+                over |= total < carry
+            rows[w] = total | (r - hit)
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(~rows).sum(0).astype(np.int64)
+
+
+def ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """``ratio`` of each pair."""
+    known = np.array([x is not None and y is not None for x, y in zip(a, b, strict=True)], bool)
+    x, y = [s or "" for s in a], [s or "" for s in b]
+    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    out = np.where(total > 0, 200.0 * lcs_lengths(x, y) / np.maximum(total, 1), 100.0)
+    return np.where(known, out, 0.0)
+
+
 def ratio(a: str | None, b: str | None) -> float:
     if a is None or b is None:
         return 0.0
@@ -38,8 +100,12 @@ def ratio(a: str | None, b: str | None) -> float:
     return 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
+def sorted_tokens(text: str | None) -> str | None:
+    return None if text is None else " ".join(sorted(text.split()))
+
+
 def token_sort_ratio(a: str | None, b: str | None) -> float:
-    return 0.0 if a is None or b is None else ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
 def best_window(query: str, text: str) -> tuple[float, int, int]:
@@ -84,11 +150,11 @@ def _by_pair(function):
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_by_pair(ratio), "double")(a, b)
+    return F.pandas_udf(lambda x, y: pd.Series(ratios(x.tolist(), y.tolist()), dtype="float64"), "double")(a, b)
 
 
 def token_sort(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_by_pair(token_sort_ratio), "double")(a, b)
+    return F.pandas_udf(lambda x, y: pd.Series(ratios([sorted_tokens(t) for t in x], [sorted_tokens(t) for t in y]), dtype="float64"), "double")(a, b)
 
 
 def partial(a: Column, b: Column) -> Column:

@@ -7,25 +7,38 @@ before it end. Patterns must not match the empty string.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (lambda bodies share nothing else)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of all matches; offsets in code points from 0. Null text gives null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(pieces, found, lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        low = state["at"] + x["gap"]
-        high = low + F.length(x["text"])
-        return F.struct(high.alias("at"), F.concat(state["out"], F.array(F.struct(low.alias("start"), high.alias("end"), x["text"].alias("text")))).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+        return let(
+            state["at"] + x["gap"],
+            lambda low: let(
+                low + F.length(x["text"]),
+                lambda high: F.struct(high.alias("at"), F.concat(state["out"], F.array(F.struct(low.alias("start"), high.alias("end"), x["text"].alias("text")))).alias("out")),
+            ),
+        )
+
+    def place(t: Column, found: Column) -> Column:
+        pieces = F.slice(F.split(t, pattern, -1), 1, F.size(found))
+        pairs = F.zip_with(pieces, found, lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("text")))
+        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(pairs, start, step, lambda state: state["out"]))
+
+    return let(text, lambda t: F.when(t.isNotNull(), let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: place(t, found))))
 
 
 def pieces_between(ends: Column, length: Column) -> Column:

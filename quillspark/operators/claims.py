@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.similarity import window_match
+from quillspark.functions.text import strip
 
 # Fixed values.
 PRIORITY_OF_TYPE = {"factual": "high", "contrast": "high", "methodological": "medium", "background": "low", "attribution": "low", "interpretive": "low"}
@@ -21,9 +22,9 @@ def keep_valid_references(claims: DataFrame, references: DataFrame) -> DataFrame
 
 
 def distinct_claims(claims: DataFrame) -> DataFrame:
-    """The first claim of each session with the same text, ignoring case and outer blanks, renumbered from 1."""
-    key = F.lower(F.trim("claim_text"))
-    nth = F.row_number().over(Window.partitionBy("session_id", key).orderBy("claim_id"))
+    """The first claim of each session with the same text, ignoring case and outer white space, and the same reference ids, renumbered from 1."""
+    key = [F.lower(strip(F.col("claim_text"))), F.array_sort("reference_ids")]
+    nth = F.row_number().over(Window.partitionBy("session_id", *key).orderBy("claim_id"))
     once = claims.withColumn("_n", nth).filter("_n = 1").drop("_n")
     return once.withColumn("claim_number", F.row_number().over(Window.partitionBy("session_id").orderBy("claim_id")))
 

@@ -1,10 +1,26 @@
-"""Cutting lineage."""
+"""Cutting lineage, and spreading small inputs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Input for each core below which Spark doesn't split files any further.
+LEAST_SPLIT = 4 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: what spark.checkpoint.dir names.
+
+    Where that is unset, a temporary folder serves a local master; a cluster must name one.
+    """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quillspark-")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -12,5 +28,12 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its input is so small that files aren't split; a larger input comes in enough parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LEAST_SPLIT else df

@@ -1,14 +1,17 @@
-"""Sources to references, one to one, and lookups that fill gaps."""
+"""Sources to references, one to one, and lookups that fill gaps.
+
+Title scores are written once and read by both passes that need them.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.similarity import length_allows, token_sort
 from quillspark.functions.text import normalize_doi
+from quillspark.operators.lineage import settle
 
 # Fixed values.
 DOI_CONFIDENCE, TITLE_FACTOR, ACCEPT, CONFIRM = 0.99, 0.95, 0.90, 0.60
@@ -31,38 +34,65 @@ def title_scores(references: DataFrame, sources: DataFrame, least: float) -> Dat
     return refs.join(pairs, ["session_id", "title_r"]).join(pdfs, ["session_id", "title_p"]).select("session_id", "ref_num", "pdf_ord", "score")
 
 
-def match_by_title(references: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each source's most alike reference (the first of equals), then each reference's first source; losers get no second choice."""
-    scores = title_scores(references, sources, CONFIRM)
-    best = scores.groupBy("session_id", "pdf_ord").agg(F.min_by("ref_num", F.struct(-F.col("score"), "ref_num")).alias("ref_num"), F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("session_id", "ref_num").orderBy("pdf_ord"))
-    return best.withColumn("n", nth).filter("n = 1").select("session_id", "ref_num", "pdf_ord", F.round(F.col("score") * TITLE_FACTOR, 3).alias("confidence"))
+def best_by_title(scores: DataFrame) -> DataFrame:
+    """From pairs of like titles: each source's most alike reference (the first of equals), then each reference's first source.
 
+    Losers get no second choice. ``alternatives`` are the source's other references that are as alike as CONFIRM, in the
+    order in which a reader of the list gives them up: those that were best so far when a better one comes, others at once.
+    """
+    good = scores.filter(F.col("score") >= CONFIRM)
+    order = Window.partitionBy("session_id", "pdf_ord").orderBy("ref_num")
+    record = F.col("score") > F.coalesce(F.max("score").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    later = F.min(F.when(F.col("record"), F.col("ref_num"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    seen = good.withColumn("record", record).withColumn("given_up", F.when(F.col("record"), later).otherwise(F.col("ref_num")))
+    others = F.transform(F.array_sort(F.collect_list(F.when(F.col("given_up").isNotNull(), F.struct("given_up", "ref_num")))), lambda x: F.concat(F.lit("ref_"), x["ref_num"].cast("string")))
+    best = seen.groupBy("session_id", "pdf_ord").agg(F.max(F.when(F.col("given_up").isNull(), F.col("ref_num"))).alias("ref_num"), F.max("score").alias("score"), others.alias("alternatives"))
+    nth = F.row_number().over(Window.partitionBy("session_id", "ref_num").orderBy("pdf_ord"))
+    return best.withColumn("n", nth).filter("n = 1").select("session_id", "ref_num", "pdf_ord", F.round(F.col("score") * TITLE_FACTOR, 3).alias("confidence"), "alternatives")
 
-def match_in_order(scores: DataFrame) -> DataFrame:
-    """Sources one after the other, each taking the most alike reference that is still free; sequential within a session."""
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        free_taken, out = set(), []
-        for pdf, rows in group.sort_values(["pdf_ord", "score", "ref_num"], ascending=[True, False, True]).groupby("pdf_ord", sort=True):
-            for r in rows.itertuples():
-                if r.ref_num not in free_taken:
-                    free_taken.add(r.ref_num)
-                    out.append((group["session_id"].iloc[0], r.ref_num, pdf, min(round(r.score * TITLE_FACTOR, 3), LOOKUP_MOST)))
-                    break
-        return pd.DataFrame(out, columns=["session_id", "ref_num", "pdf_ord", "confidence"])
+def match_by_title(references: DataFrame, sources: DataFrame) -> DataFrame:
+    return best_by_title(title_scores(references, sources, CONFIRM))
 
-    return scores.filter(F.col("score") >= LOOKUP_LEAST).groupBy("session_id").applyInPandas(assign, "session_id string, ref_num long, pdf_ord long, confidence double")
 
+def match_in_order(scores: DataFrame) -> DataFrame:
+    """Sources one after the other, each taking the most alike reference that is still free (the first of equals).
 
-def match_sources(references: DataFrame, sources: DataFrame) -> DataFrame:
-    """Passes by DOI, by title and in order, each over what the ones before left."""
-    by_doi = match_by_doi(references, sources).withColumn("method", F.lit("doi"))
-    refs, pdfs = references.join(by_doi, ["session_id", "ref_num"], "left_anti"), sources.join(by_doi, ["session_id", "pdf_ord"], "left_anti")
-    by_title = match_by_title(refs, pdfs).withColumn("method", F.lit("title"))
-    refs, pdfs = refs.join(by_title, ["session_id", "ref_num"], "left_anti"), pdfs.join(by_title, ["session_id", "pdf_ord"], "left_anti")
-    rest = match_in_order(title_scores(refs, pdfs, LOOKUP_LEAST)).withColumn("method", F.lit("lookup"))
-    return classify(by_doi.unionByName(by_title).unionByName(rest))
+    Every source bids for its best reference; a reference is held by its first
+    bidder and lost to all later sources, who bid again, until nobody loses.
+    """
+    pairs = settle(scores.filter(F.col("score") >= LOOKUP_LEAST).select("session_id", "pdf_ord", "ref_num", "score"))
+    while True:
+        bids = pairs.groupBy("session_id", "pdf_ord").agg(F.min_by(F.struct("ref_num", "score"), F.struct(-F.col("score"), "ref_num")).alias("b"))
+        held = settle(bids.groupBy("session_id", F.col("b.ref_num").alias("ref_num")).agg(F.min("pdf_ord").alias("holder"), F.min_by("b.score", "pdf_ord").alias("score")))
+        lost = F.col("pdf_ord") > F.col("holder")
+        marked = settle(pairs.join(held.select("session_id", "ref_num", "holder"), ["session_id", "ref_num"], "left").withColumn("lost", F.coalesce(lost, F.lit(False))).drop("holder"))
+        if marked.filter("lost").isEmpty():
+            return held.select("session_id", "ref_num", F.col("holder").alias("pdf_ord"), F.least(F.round(F.col("score") * TITLE_FACTOR, 3), F.lit(LOOKUP_MOST)).alias("confidence"))
+        pairs = marked.filter("NOT lost").drop("lost")
+
+
+def match_sources(references: DataFrame, sources: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Passes by DOI, by title, and by the title that a source's DOI is known by, each over what the ones before left.
+
+    ``titles`` (doi, title) are looked-up titles; a source with a DOI that isn't among them goes by its own
+    title, and a source without a DOI takes no part in the third pass.
+    """
+    by_doi = settle(match_by_doi(references, sources).withColumn("method", F.lit("doi")))
+    refs, pdfs = references.join(by_doi, ["session_id", "ref_num"], "left_anti"), settle(sources.join(by_doi, ["session_id", "pdf_ord"], "left_anti"))
+    scores = settle(title_scores(refs, pdfs, LOOKUP_LEAST))
+    by_title = settle(best_by_title(scores).withColumn("method", F.lit("title")))
+    left = settle(pdfs.join(by_title, ["session_id", "pdf_ord"], "left_anti").withColumn("k", normalize_doi(F.col("doi"))).filter("k <> ''"))
+    if titles is None:
+        own, looked_up = left, left.limit(0)
+    else:
+        known = titles.select(normalize_doi(F.col("doi")).alias("k"), F.col("title").alias("known")).filter("k <> '' AND known <> ''").groupBy("k").agg(F.min("known").alias("known"))
+        both = settle(left.join(known, "k", "left"))
+        own, looked_up = both.filter("known IS NULL"), both.filter("known IS NOT NULL").withColumn("title", F.col("known"))
+    again = scores.join(own.select("session_id", "pdf_ord"), ["session_id", "pdf_ord"], "left_semi").unionByName(title_scores(refs, looked_up, LOOKUP_LEAST))
+    rest = match_in_order(again.join(by_title, ["session_id", "ref_num"], "left_anti")).withColumn("method", F.lit("lookup"))
+    none = F.array().cast("array<string>")
+    return classify(by_doi.withColumn("alternatives", none).unionByName(by_title).unionByName(rest.withColumn("alternatives", none)))
 
 
 def classify(matches: DataFrame) -> DataFrame:
@@ -78,26 +108,26 @@ def apply_matches(references: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def resolve_gaps(references: DataFrame, lookups: list[tuple[str, DataFrame]]) -> DataFrame:
-    """References without a source, looked up in one table after another until one has them.
+    """References without a source, looked up in one table after another until one has them; others stay as they are.
 
-    A lookup has ref_key, status (found, not_found, api_error) and doi. The first ``found`` wins;
-    else the last status that isn't null; a journal url is made where a DOI is known.
+    A lookup has ref_key, status (found, not_found, api_error), doi, pmid and url; the last three are null where the
+    service doesn't give them. The first ``found`` wins, and its identifiers come before the reference's own. Without one
+    the status is api_error if a service failed, else not_found. Where a DOI is known, the journal url is made from it.
     """
     out = references
     for name, table in lookups:
-        out = out.join(table.select("ref_key", F.col("status").alias(f"_s_{name}"), F.col("doi").alias(f"_d_{name}")), "ref_key", "left")
-    status = F.lit(None).cast("string")
-    where = F.lit(None).cast("string")
-    doi = F.col("doi")
-    for name, _ in lookups:
-        asked = F.coalesce(status != "found", F.lit(True))
-        own = F.col(f"_s_{name}")
-        doi = F.when(asked & (own == "found"), F.coalesce(doi, F.col(f"_d_{name}"))).otherwise(doi)
-        where = F.when(asked & (own == "found"), F.lit(name)).otherwise(where)
-        status = F.when(asked, F.coalesce(own, status)).otherwise(status)
-    resolved = out.withColumns({"source_status": F.coalesce(status, "source_status"), "resolved_by": where, "doi": doi})
-    url = F.when(F.col("doi").isNotNull() & F.col("pdf_path").isNull(), F.concat(F.lit("https://doi.org/"), "doi"))
-    return resolved.withColumn("journal_url", url).drop(*(f"_{c}_{name}" for name, _ in lookups for c in "sd"))
+        out = out.join(table.select("ref_key", *(F.col(c).alias(f"_{c}_{name}") for c in ("status", "doi", "pmid", "url"))), "ref_key", "left")
+    hit = lambda name: F.col(f"_status_{name}") == "found"
+    where = F.coalesce(*(F.when(hit(name), F.lit(name)) for name, _ in lookups))
+    failed = F.coalesce(*(F.when(F.col(f"_status_{name}") == "api_error", F.lit(True)) for name, _ in lookups), F.lit(False))
+    found = lambda c: F.coalesce(*(F.when(F.col("resolved_by") == name, F.col(f"_{c}_{name}")) for name, _ in lookups), F.col(c))
+    url = F.coalesce(*(F.when(F.col("resolved_by") == name, F.col(f"_url_{name}")) for name, _ in lookups), F.col("journal_url"))
+    asked = out.withColumn("resolved_by", F.when(F.col("pdf_path").isNull(), where))
+    status = F.when(F.col("resolved_by").isNotNull(), "found").when(failed, "api_error").otherwise("not_found")
+    open_ones = F.col("pdf_path").isNull()
+    looked = asked.withColumns({"source_status": F.when(open_ones, status).otherwise(F.col("source_status")), "doi": found("doi"), "pmid": found("pmid"), "_url": url})
+    made = F.when(open_ones & (F.col("doi") != ""), F.concat(F.lit("https://doi.org/"), "doi")).otherwise(F.col("_url"))
+    return looked.withColumn("journal_url", made).drop("_url", *(f"_{c}_{name}" for name, _ in lookups for c in ("status", "doi", "pmid", "url")))
 
 
 def retraction_status(notices: DataFrame) -> DataFrame:

@@ -106,16 +106,16 @@ def flagged_references(references: DataFrame) -> DataFrame:
 
 
 def override(verifications: DataFrame, changes: DataFrame, row_id: str) -> DataFrame:
-    """Apply ``changes`` (claim_id, new_verdict): the first row of the claim changes, and its original verdict is kept."""
+    """Apply ``changes`` (claim_id, new_verdict): the first row of the claim changes, needs no review any more, and keeps its original verdict and confidence."""
     first = F.row_number().over(Window.partitionBy("claim_id").orderBy(row_id)) == 1
     marked = verifications.withColumn("is_first", first).join(changes, "claim_id", "left")
     hit = F.col("is_first") & F.col("new_verdict").isNotNull()
-    return (
-        marked.withColumn("original_verdict", F.when(hit, F.col("verdict")))
-        .withColumn("verdict", F.when(hit, F.col("new_verdict")).otherwise(F.col("verdict")))
-        .withColumn("overridden", hit)
-        .drop("is_first", "new_verdict")
-    )
+    now = {"original_verdict": F.when(hit, F.col("verdict")), "verdict": F.when(hit, F.col("new_verdict")).otherwise(F.col("verdict")), "overridden": hit}
+    if "confidence" in verifications.columns:
+        now["original_confidence"] = F.when(hit, F.col("confidence"))
+    if "needs_review" in verifications.columns:
+        now["needs_review"] = F.col("needs_review") & ~hit
+    return marked.withColumns(now).drop("is_first", "new_verdict")
 
 
 def report_diff(verifications: DataFrame) -> DataFrame:

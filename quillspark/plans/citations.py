@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.functions.spans import find_all
 from quillspark.operators import citations as C
 from quillspark.operators import mapping, references, scopes
-from quillspark.operators.lineage import settle
+from quillspark.operators.lineage import settle, spread
 from quillspark.plans.stand_ins import PARAGRAPHS, RAW_REFERENCES, REFERENCES, for_duckdb, load, stand_in
 
 
@@ -18,7 +18,7 @@ def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_in(spark, sf_dir, PARAGRAPHS).select("session_id", "para_idx", "section", "text")
+    return spread(stand_in(spark, sf_dir, PARAGRAPHS).select("session_id", "para_idx", "section", "text"))
 
 
 def c01_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def d06_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d07_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = load(spark, sf_dir, "documents").select("doc_id", "text")
+    text = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = text.select("doc_id", F.posexplode(T.sentence_spans(F.col("text"))).alias("nth", "s"))
     return spans.select("doc_id", "nth", "s.start", "s.end")
 

@@ -19,11 +19,19 @@ PDFS = """
 SELECT concat('s', CAST(p_partkey % 50 AS STRING)) AS session_id, CAST(floor(p_partkey / 50) AS BIGINT) AS pdf_ord,
   CASE WHEN p_partkey % 2 = 0 THEN concat('https://doi.org/10.', CAST(1000 + p_partkey % 97 AS STRING), '/', upper(replace(p_brand, '#', '.')), '.', CAST(p_partkey AS STRING), '.') END AS doi,
   concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1), ' ', lower(p_type), ' ', lower(replace(p_brand, '#', ' '))) AS title FROM {part}"""
-#: Looked-up statuses from three services.
+#: Sources of the whole cascade: some with DOIs that no reference has, some of them with titles that say nothing.
+SCANS = """
+SELECT concat('s', CAST(p_partkey % 50 AS STRING)) AS session_id, CAST(floor(p_partkey / 50) AS BIGINT) AS pdf_ord,
+  CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN concat('10.', CAST(1000 + p_partkey % 97 AS STRING), '/', replace(p_brand, '#', '.'), '.', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('10.9999/x', CAST(p_partkey AS STRING))
+    WHEN 2 THEN concat('10.9999/y', CAST(p_partkey AS STRING)) END AS doi,
+  CASE WHEN p_partkey % 6 = 1 THEN concat('scan ', CAST(p_partkey AS STRING)) ELSE concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1), ' ', lower(p_type), ' ', lower(replace(p_brand, '#', ' '))) END AS title FROM {part}"""
+#: Titles by DOI, as a service knows them.
+KNOWN_TITLES = "SELECT concat('https://doi.org/10.9999/X', CAST(p_partkey AS STRING)) AS doi, concat(p_name, ' ', lower(p_type)) AS title FROM {part} WHERE p_partkey % 12 = 1"
+#: Looked-up records from three services: one gives PMIDs, one DOIs and urls, one DOIs.
 LOOKUPS = [
-    ("first", "SELECT p_partkey AS ref_key, CASE p_partkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' WHEN 2 THEN 'api_error' END AS status, concat('10.1/a', CAST(p_partkey AS STRING)) AS doi FROM {part}"),
-    ("second", "SELECT p_partkey AS ref_key, CASE p_partkey % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' END AS status, concat('10.2/b', CAST(p_partkey AS STRING)) AS doi FROM {part} WHERE p_size > 10"),
-    ("third", "SELECT p_partkey AS ref_key, CASE WHEN p_partkey % 5 = 0 THEN 'found' ELSE 'api_error' END AS status, concat('10.3/c', CAST(p_partkey AS STRING)) AS doi FROM {part} WHERE p_size < 40"),
+    ("first", "SELECT p_partkey AS ref_key, CASE p_partkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' WHEN 2 THEN 'api_error' END AS status, CAST(NULL AS STRING) AS doi, CAST(1000000 + p_partkey AS STRING) AS pmid, CAST(NULL AS STRING) AS url FROM {part}"),
+    ("second", "SELECT p_partkey AS ref_key, CASE p_partkey % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' END AS status, CASE WHEN p_partkey % 2 = 0 THEN concat('10.2/b', CAST(p_partkey AS STRING)) END AS doi, CAST(NULL AS STRING) AS pmid, concat('https://x.org/', CAST(p_partkey AS STRING)) AS url FROM {part} WHERE p_size > 10"),
+    ("third", "SELECT p_partkey AS ref_key, CASE WHEN p_partkey % 5 = 0 THEN 'found' WHEN p_partkey % 7 = 0 THEN 'api_error' ELSE 'not_found' END AS status, concat('10.3/c', CAST(p_partkey AS STRING)) AS doi, CAST(NULL AS STRING) AS pmid, CAST(NULL AS STRING) AS url FROM {part} WHERE p_size < 40"),
 ]
 CLAIMS = "SELECT item_id AS claim_id, text AS claim_text, item_id % 60 AS source_id FROM {benchmark}"
 EVENTS = """
@@ -49,7 +57,8 @@ def h02_title_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h03_match_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_sources(references(spark, sf_dir), stand_in(spark, sf_dir, PDFS)).select("session_id", "ref_num", "pdf_ord", "method", "confidence", "status")
+    found = M.match_sources(references(spark, sf_dir), stand_in(spark, sf_dir, SCANS), stand_in(spark, sf_dir, KNOWN_TITLES))
+    return found.select("session_id", "ref_num", "pdf_ord", "method", "confidence", "status", F.array_join("alternatives", ",").alias("alternatives"))
 
 
 def h07_apply_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +68,9 @@ def h07_apply_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i01_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = references(spark, sf_dir).filter("pdf_path is null").withColumn("ref_key", F.col("p_partkey")).withColumn("doi", F.when(F.col("ref_num") % 2 == 0, F.col("doi")))
+    refs = references(spark, sf_dir).withColumns({"ref_key": F.col("p_partkey"), "doi": F.when(F.col("ref_num") % 2 == 0, F.col("doi")), "pmid": F.when(F.col("ref_num") % 5 == 0, F.lit("77"))})
     out = M.resolve_gaps(refs, [(name, stand_in(spark, sf_dir, sql)) for name, sql in LOOKUPS])
-    return out.select("ref_key", "source_status", "resolved_by", "doi", "journal_url")
+    return out.select("ref_key", "source_status", "resolved_by", "doi", "pmid", "journal_url", "pdf_path")
 
 
 def i02_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +90,10 @@ def j01_filter_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j02_distinct_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 50).cast("string")).alias("session_id"), F.col("p_partkey").alias("claim_id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("claim_text"))
+    even = F.col("p_partkey") % 2 == 0
+    text = F.split_part("p_name", F.lit(" "), F.lit(1))
+    ids = F.when(even, F.array(F.col("p_size") % 3, F.lit(7))).otherwise(F.array(F.lit(7), F.col("p_size") % 3))
+    rows = load(spark, sf_dir, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 50).cast("string")).alias("session_id"), F.col("p_partkey").alias("claim_id"), F.when(F.col("p_partkey") % 4 < 2, F.concat(F.upper(text), F.lit(" \n"))).otherwise(text).alias("claim_text"), ids.alias("reference_ids"))
     return CL.distinct_claims(rows).select("session_id", "claim_id", "claim_number")
 
 
@@ -179,17 +191,18 @@ _DOIS = f"""a AS (SELECT session_id, {_NORM} AS k, min(ref_num) AS ref_num FROM
 ORACLE = {
     "h01_doi_assign": f"WITH {_DOIS} SELECT session_id, ref_num, pdf_ord, 0.99::DOUBLE AS confidence FROM a JOIN b USING (session_id, k)",
     "h07_apply_matches": f"WITH {_DOIS}, m AS (SELECT session_id, ref_num, arg_max('/src/' || pdf_ord, pdf_ord) AS p FROM a JOIN b USING (session_id, k) GROUP BY ALL) SELECT session_id, ref_num, coalesce(p, pdf_path) AS pdf_path FROM ({_R}) LEFT JOIN m USING (session_id, ref_num)",
-    "i01_cascade": f"""WITH {_LOOK}, r AS (SELECT p_partkey AS ref_key, source_status AS old, CASE WHEN ref_num % 2 = 0 THEN doi END AS doi FROM ({_R}) WHERE pdf_path IS NULL),
-      j AS (SELECT r.*, a.status AS s1, a.doi AS d1, b.status AS s2, b.doi AS d2, c.status AS s3, c.doi AS d3 FROM r LEFT JOIN first a USING (ref_key) LEFT JOIN second b USING (ref_key) LEFT JOIN third c USING (ref_key)),
-      w AS (SELECT *, CASE WHEN s1 = 'found' THEN 'first' WHEN s2 = 'found' THEN 'second' WHEN s3 = 'found' THEN 'third' END AS resolved_by FROM j),
-      d AS (SELECT *, coalesce(doi, CASE resolved_by WHEN 'first' THEN d1 WHEN 'second' THEN d2 WHEN 'third' THEN d3 END) AS doi2 FROM w)
-      SELECT ref_key, CASE WHEN resolved_by IS NOT NULL THEN 'found' ELSE coalesce(s3, s2, s1, old) END AS source_status, resolved_by, doi2 AS doi, 'https://doi.org/' || doi2 AS journal_url FROM d""",
+    "i01_cascade": f"""WITH {_LOOK}, r AS (SELECT p_partkey AS ref_key, source_status AS old, pdf_path, journal_url AS old_url, CASE WHEN ref_num % 2 = 0 THEN doi END AS doi, CASE WHEN ref_num % 5 = 0 THEN '77' END AS pmid FROM ({_R})),
+      j AS (SELECT r.*, a.status AS s1, a.pmid AS p1, b.status AS s2, b.doi AS d2, b.url AS u2, c.status AS s3, c.doi AS d3 FROM r LEFT JOIN first a USING (ref_key) LEFT JOIN second b USING (ref_key) LEFT JOIN third c USING (ref_key)),
+      w AS (SELECT *, CASE WHEN pdf_path IS NOT NULL THEN NULL WHEN s1 = 'found' THEN 'first' WHEN s2 = 'found' THEN 'second' WHEN s3 = 'found' THEN 'third' END AS resolved_by FROM j),
+      d AS (SELECT *, CASE resolved_by WHEN 'second' THEN coalesce(d2, doi) WHEN 'third' THEN coalesce(d3, doi) ELSE doi END AS new_doi, CASE resolved_by WHEN 'first' THEN p1 ELSE pmid END AS new_pmid FROM w)
+      SELECT ref_key, CASE WHEN pdf_path IS NOT NULL THEN old WHEN resolved_by IS NOT NULL THEN 'found' WHEN s1 = 'api_error' OR s2 = 'api_error' OR s3 = 'api_error' THEN 'api_error' ELSE 'not_found' END AS source_status, resolved_by, new_doi AS doi, new_pmid AS pmid,
+        CASE WHEN pdf_path IS NOT NULL THEN old_url WHEN new_doi IS NOT NULL THEN 'https://doi.org/' || new_doi WHEN resolved_by = 'second' THEN u2 ELSE old_url END AS journal_url, pdf_path FROM d""",
     "i02_retraction": "SELECT l_partkey AS ref_key, ['unknown', 'ok', 'corrected', 'expression_of_concern', 'retracted'][max(4 - l_suppkey % 5) + 1] AS status FROM lineitem GROUP BY l_partkey",
     "i09_crossref_updates": """WITH u AS (SELECT p_partkey, ['ok', 'corrected', 'retracted', 'expression_of_concern', 'corrected'][p_partkey % 5 + 1] AS a, ['ok', 'corrected', 'retracted', 'expression_of_concern', 'corrected'][p_size % 5 + 1] AS b FROM part)
       SELECT p_partkey, CASE WHEN a <> 'ok' THEN a ELSE b END AS status FROM u""",
     "j01_filter_references": f"""WITH c AS (SELECT DISTINCT 's' || (l_orderkey % 50) AS session_id, l_orderkey AS claim_id, l_partkey % 60 AS ref_num FROM lineitem)
       SELECT session_id, claim_id, string_agg(ref_num::VARCHAR, ',' ORDER BY ref_num) AS reference_ids FROM c JOIN ({_R}) USING (session_id, ref_num) GROUP BY session_id, claim_id""",
-    "j02_distinct_claims": """WITH c AS (SELECT 's' || (p_partkey % 50) AS session_id, min(p_partkey) AS claim_id FROM part GROUP BY p_partkey % 50, lower(trim(p_name)))
+    "j02_distinct_claims": """WITH c AS (SELECT 's' || (p_partkey % 50) AS session_id, min(p_partkey) AS claim_id FROM part GROUP BY p_partkey % 50, lower(split_part(p_name, ' ', 1)), p_size % 3)
       SELECT session_id, claim_id, row_number() OVER (PARTITION BY session_id ORDER BY claim_id) AS claim_number FROM c""",
     "k01_top5_sections": rf"""WITH c AS (SELECT claim_id, source_id, list_filter(list_distinct(regexp_extract_all(lower(claim_text), '[a-z]{{3,}}')), lambda w: w NOT IN ({_STOP})) AS ws, list_distinct(regexp_extract_all(claim_text, '\d+\.?\d*%?')) AS ns FROM ({_C})),
       p AS (SELECT doc_id AS source_id, generate_subscripts(ls, 1) AS pos, trim(unnest(ls), E' \t\n\r\f\x0b') AS p FROM (SELECT doc_id, string_split(text, E'\n') AS ls FROM documents WHERE length(text) >= 2000)),

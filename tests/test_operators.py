@@ -1,6 +1,7 @@
 """Voting, matching, stores, sources and streams by example."""
 
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -43,6 +44,70 @@ def test_evidence_of_agreeing_votes(spark):
     assert (got.reasoning, got.quotes) == ("r2", "q0 | q1")
 
 
+def indel(a, b):
+    rows = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, rows[j] = rows[j], before + 1 if x == y else max(rows[j], rows[j - 1])
+    return 2 * rows[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def brute_matches(refs, pdfs, known):
+    """The three passes, source by source."""
+    likeness = lambda a, b: indel(" ".join(sorted(a.lower().split())), " ".join(sorted(b.lower().split())))
+    out, taken, done = {}, set(), set()
+    for pdf, doi, _ in pdfs:
+        r = next((n for n, d, _ in refs if d and doi and d.lower() == doi.lower()), None)
+        if r is not None and r not in taken:
+            out[r], _ = (pdf, "doi", 0.99, ""), (taken.add(r), done.add(pdf))
+    open_refs = [r for r in refs if r[0] not in taken]
+    for pdf, _, title in pdfs:
+        if pdf in done:
+            continue
+        best, best_ref, others = 0.0, None, []
+        for n, _, t in open_refs:
+            s = likeness(title, t)
+            if s > best:
+                others += [best_ref] if best_ref is not None and best >= 0.6 else []
+                best, best_ref = s, n
+            elif s >= 0.6:
+                others.append(n)
+        if best >= 0.6 and best_ref not in taken:
+            out[best_ref], _ = (pdf, "title", round(best * 0.95, 3), ",".join(f"ref_{n}" for n in others)), (taken.add(best_ref), done.add(pdf))
+    open_refs = [r for r in refs if r[0] not in taken]
+    for pdf, doi, title in pdfs:
+        if pdf in done or not doi:
+            continue
+        scores = [(-likeness(known.get(doi.lower(), title), t), n) for n, _, t in open_refs if n not in taken]
+        if scores and -min(scores)[0] >= 0.55:
+            s, r = min(scores)
+            out[r], _ = (pdf, "lookup", min(round(-s * 0.95, 3), 0.98), ""), (taken.add(r), done.add(pdf))
+    return out
+
+
+def test_sources_are_matched_as_one_by_one(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "alps", "beta", "betas", "gamma", "gamut", "delta", "deltoid", "omega"])
+    for _ in range(3):
+        refs = [(n, f"10.1/{rng.randrange(30)}" if rng.random() < 0.5 else None, " ".join(word() for _ in range(4))) for n in range(1, 25)]
+        pdfs = [(n, f"10.1/{rng.randrange(60)}" if rng.random() < 0.7 else None, " ".join(word() for _ in range(4))) for n in range(30)]
+        known = {f"10.1/{i}": " ".join(word() for _ in range(4)) for i in range(0, 60, 3)}
+        got = matching.match_sources(
+            spark.createDataFrame([("s", *r) for r in refs], "session_id string, ref_num long, doi string, title string"),
+            spark.createDataFrame([("s", *p) for p in pdfs], "session_id string, pdf_ord long, doi string, title string"),
+            spark.createDataFrame(list(known.items()), "doi string, title string"),
+        )
+        assert {r.ref_num: (r.pdf_ord, r.method, r.confidence, ",".join(r.alternatives)) for r in got.collect()} == brute_matches(refs, pdfs, known)
+
+
+def test_a_source_without_doi_has_no_third_pass(spark):
+    refs = spark.createDataFrame([("s", 1, None, "abcdefg klmnop")], "session_id string, ref_num long, doi string, title string")
+    pdfs = lambda doi: spark.createDataFrame([("s", 0, doi, "abcdefg qrstuv")], "session_id string, pdf_ord long, doi string, title string")
+    assert 0.55 <= indel("abcdefg klmnop", "abcdefg qrstuv") < 0.6 and matching.match_sources(refs, pdfs(None)).count() == 0
+    assert [r.method for r in matching.match_sources(refs, pdfs("10.5/z")).collect()] == ["lookup"]
+
+
 def test_mapping_cascade(spark):
     refs = spark.createDataFrame([("s", 1, 2018, ["Smith, J.", "Lee K"]), ("s", 2, 2018, ["John Smith"]), ("s", 3, 2019, ["A. Schmidt"]), ("s", 4, 2020, ["Paul Marks", "Ann Zöller"])], "session_id string, ref_num long, year int, authors array<string>")
     rows = [("n", 3, [], None), ("e", None, ["Smith"], "2018b"), ("f", None, ["Schmitd"], "2019"), ("m", None, ["Zoller", "Marks"], "2020"), ("a", None, ["Schmidt"], "1999"), ("u", None, ["Nobody"], "2001"), ("x", 99, [], None)]

@@ -154,10 +154,13 @@ def slow_lcs(a, b):
 
 
 def test_similarity():
-    rng = random.Random(1)
+    rng, pairs = random.Random(1), [("a" * 130, "ba" * 100), ("", "")]
     for _ in range(300):
         a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 90))) for _ in "ab")
         assert similarity.lcs_length(a, b) == slow_lcs(a, b)
+        pairs.append((a, b))
+    assert similarity.lcs_lengths(*map(list, zip(*pairs))).tolist() == [slow_lcs(a, b) for a, b in pairs]
+    assert similarity.ratios([None, "", "ab"], ["x", "", "b"]).tolist() == [0.0, 100.0, 200 / 3]
     assert similarity.token_sort_ratio("b a", "a b") == 100 and similarity.partial_ratio("abc", "xxabcxx") == 100 and similarity.ratio("", "") == 100
     assert similarity.best_window("abcd", "xxabxdxx")[0] == 75
 
