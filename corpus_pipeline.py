@@ -4,17 +4,20 @@ Five stages, each over all that the one before has kept: toxic documents go,
 one document of each group of near-duplicates stays, repeated passages are cut
 out of texts, sources are mixed to target weights, and the mix is packed into
 sequences. Every stage's result is written as Parquet and read again.
+
+All stages take null ids, null, empty and very long texts, repeated rows, empty
+tables and further columns. Columns are carried along as they are, but
+``n_chars``, which follows the text; the last stage returns pieces instead.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import free_name, table
+from quillspark.llm._tables import free_name, shared_folder, table
 from quillspark.llm.minhash_dedup import drop_near_duplicates
 from quillspark.llm.mixing import mix_documents, repeat_rows
 from quillspark.llm.packing import pack_documents
@@ -26,12 +29,14 @@ TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that aren't likely toxic; null and empty texts have no toxic term and stay. Without toxic labels all stay."""
     score = free_name("toxicity", docs.columns)
     scored = add_toxicity(docs, table(spark, sf_dir, "labels"), score_column=score)
     return scored.filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class, that of the smallest id; rows of null text all stay, of empty texts one."""
     return drop_near_duplicates(docs).select(*docs.columns)
 
 
@@ -43,15 +48,18 @@ def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; a text that loses words is its other words, joined by a space, and any other text is unchanged."""
     cut = remove_repeats(docs)
     return with_text(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the border row of a source with its first words; a null source is one of its own."""
     return with_text(repeat_rows(mix_documents(docs)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences; null and empty texts are an end token each."""
     return pack_documents(docs)
 
 
@@ -68,8 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

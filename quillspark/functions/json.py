@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _valid(text: Column) -> Column:
+    """The text if it is one JSON value and nothing else, else null. (The parser alone ignores what follows a value.)"""
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(single & F.try_parse_json(text).isNotNull(), text)
+
+
 def _object(text: Column) -> Column:
     """The text if it is a JSON object, else null."""
-    parsed = F.try_parse_json(text)
-    return F.when(parsed.isNotNull() & text.rlike(r"(?s)^\s*\{"), text)
+    return F.when(text.rlike(r"(?s)^\s*\{"), _valid(text))
 
 
 def extract_object(raw: Column) -> Column:
@@ -23,6 +28,15 @@ def extract_object(raw: Column) -> Column:
     return F.coalesce(_object(text), _object(fenced), _object(braces), _object(first))
 
 
+def extract_text(raw: Column) -> Column:
+    """JSON text of an answer, objects and arrays alike: the whole, else a fenced block, else from the first brace to the last,
+    else from the first bracket to the last; the trimmed answer where none of them parses."""
+    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    cut = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    fenced = F.regexp_replace(cut(r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(_valid(text), _valid(fenced), _valid(cut(r"(?s)(\{.*\})")), _valid(cut(r"(?s)(\[.*\])")), text)
+
+
 def field(json: Column, name: str, kind: str, default=None) -> Column:
     """A field of a JSON object, or its default where it is missing or of another kind."""
     value = F.get_json_object(json, f"$.{name}").try_cast(kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,9 @@ from quillspark.functions.text import strip
 # Fixed values.
 PRIORITY_OF_TYPE = {"factual": "high", "contrast": "high", "methodological": "medium", "background": "low", "attribution": "low", "interpretive": "low"}
 LEAST_PARTIAL = 0.80
+DECOMPOSED, NEAR_FIGURE = ("factual", "contrast"), 50
+MARKER_IDS, FIGURE = r"\[(\d+(?:[,\-–\s]*\d+)*)\]", r"(?i)\b(?:Table|Figure|Fig\.)\s*\d*"
+MOST_LISTED_AUTHORS = 3
 
 
 def keep_valid_references(claims: DataFrame, references: DataFrame) -> DataFrame:
@@ -52,3 +55,55 @@ def place_claims(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def explode_for_verification(claims: DataFrame, references: DataFrame) -> DataFrame:
     """A row per claim and reference id that exists, in order."""
     return claims.select("*", F.posexplode("reference_ids").alias("ref_pos", "ref_num")).join(references, ["session_id", "ref_num"])
+
+
+def units_to_claims(units: DataFrame) -> DataFrame:
+    """Claims of verification units: the scope is the claim, the unit's place its location, and its reference the only one."""
+    location = F.struct("para_idx", F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.array("raw_marker").alias("citation_markers"), F.col("section").alias("section_heading"))
+    return units.select(
+        "session_id", F.col("unit_id").alias("claim_id"), F.col("sentence").alias("manuscript_text"), F.col("scope").alias("claim_text"), "claim_type",
+        F.array(F.coalesce("ref_num", F.lit(0)).cast("long")).alias("reference_ids"), "priority", "section", location.alias("location"),
+    )
+
+
+def marker_ids(text: Column) -> Column:
+    """What stands in the bracketed markers of a text."""
+    return F.regexp_extract_all(text, F.lit(MARKER_IDS), F.lit(1))
+
+
+def near_figure(paragraph: Column, start: Column) -> Column:
+    """Whether a figure or table is named within fifty characters of a place."""
+    low = F.greatest(start - NEAR_FIGURE, F.lit(0))
+    return F.substring(paragraph, low + 1, start + NEAR_FIGURE - low).rlike(FIGURE)
+
+
+def location(para_idx: Column, start: Column, end: Column, claim: Column, paragraph: Column, heading: Column) -> Column:
+    return F.struct(
+        para_idx.alias("para_idx"), start.alias("char_start"), end.alias("char_end"), marker_ids(claim).alias("citation_markers"), heading.alias("section_heading"), near_figure(paragraph, start).alias("in_figure_or_table"),
+    )
+
+
+def located_claims(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Claims with a ``location`` struct; null where no paragraph is like them."""
+    found = place_claims(claims, paragraphs).join(paragraphs.select("session_id", "para_idx", "section", F.col("text").alias("_paragraph")), ["session_id", "para_idx"])
+    joined = claims.join(found, ["session_id", "claim_id"], "left")
+    end = F.least(F.col("start") + F.length("claim_text"), F.length("_paragraph"))
+    placed = F.when(F.col("para_idx").isNotNull(), location(F.col("para_idx"), F.col("start"), end, F.col("claim_text"), F.col("_paragraph"), F.col("section")))
+    return joined.withColumn("location", placed).select(*claims.columns, "location")
+
+
+def to_decompose(claims: DataFrame) -> DataFrame:
+    """Claims that are taken apart into atomic ones: factual or contrast, of high priority."""
+    return claims.filter(F.col("claim_type").isin(*DECOMPOSED) & (F.col("priority") == "high"))
+
+
+def reference_list(references: DataFrame) -> DataFrame:
+    """(session_id, listing): a line per reference with three authors at most, title, journal and year, as a prompt shows it.
+
+    A session's list is one value, as long as its manuscript's reference list.
+    """
+    some = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    names = F.nullif(F.array_join(F.slice("authors", 1, MOST_LISTED_AUTHORS), ", "), F.lit(""))
+    line = F.concat_ws(" ", F.concat(F.lit("["), F.col("ref_num").cast("string"), F.lit("]")), names, some("title"), some("journal"), F.concat(F.lit("("), some("year"), F.lit(")")))
+    lines = F.array_sort(F.collect_list(F.struct("ref_num", line.alias("line"))))
+    return references.groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("listing"))

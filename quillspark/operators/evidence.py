@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.functions.spans import let
 from quillspark.functions.similarity import window_match
 
 # Fixed values.
@@ -41,18 +42,22 @@ def relevant_sections(claims: DataFrame, sources: DataFrame, most: int = MOST_SE
     return whole.unionByName(best).unionByName(fallback)
 
 
-def same_numbers(a: Column, b: Column) -> Column:
-    return F.array_sort(T.numbers(a)) == F.array_sort(T.numbers(b))
+def numbers_differ(claim: Column, matched: Column) -> Column:
+    """Whether both have numbers, and not the same ones."""
+    both = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.array_sort(a) != F.array_sort(b))
+    return let(T.numbers(claim), lambda a: let(T.numbers(matched), lambda b: both(a, b)))
 
 
-def match_class(quote: Column, matched: Column, similarity: Column) -> Column:
-    """Numbers that differ come first, however alike the texts are."""
-    return F.when(~same_numbers(quote, matched), "numeric_mismatch").when(similarity >= DIRECT, "direct").when(similarity >= PARAPHRASED, "paraphrased").otherwise("absent")
+def match_class(claim: Column, matched: Column, similarity: Column) -> Column:
+    """Numbers that differ from the claim's come first, however alike the texts are."""
+    return F.when(numbers_differ(claim, matched), "numeric_mismatch").when(similarity >= DIRECT, "direct").when(similarity >= PARAPHRASED, "paraphrased").otherwise("absent")
 
 
 def locate_quotes(pairs: DataFrame) -> DataFrame:
     """Pairs (quote, text) with start, end, similarity and match_type; null where nothing is similar enough.
 
+    Numbers are compared with those of a column ``claim``, if there is one, else with the quote's.
+
     Exact places are found by Spark; only other pairs go through the window search.
     """
     at = F.instr("text", F.col("quote"))
@@ -63,7 +68,7 @@ def locate_quotes(pairs: DataFrame) -> DataFrame:
     both = hit.unionByName(near)
     good = F.col("similarity") >= LEAST_SIMILAR
     part = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return both.select(*pairs.columns, F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), "similarity", F.when(good, match_class(F.col("quote"), part, F.col("similarity"))).alias("match_type"))
+    return both.select(*pairs.columns, F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), "similarity", F.when(good, match_class(F.col("claim" if "claim" in pairs.columns else "quote"), part, F.col("similarity"))).alias("match_type"))
 
 
 def validate_quotes(pairs: DataFrame) -> DataFrame:
@@ -101,3 +106,37 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame, n: int = 4) -> DataF
     pairs = wide.join(seeds, "seed").select("source_id", "quote_id", "quote")
     at = F.instr("text", F.col("quote"))
     return pairs.join(sources, "source_id").filter(at > 0).select("quote_id", "source_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))
+
+
+def source_texts(claims: DataFrame, sections: DataFrame) -> DataFrame:
+    """(claim_id, text, coverage, headings, sections) of each claim: its sections by rank, joined; ``no_source`` without any.
+
+    ``sections`` as of ``relevant_sections``, five for a claim at most.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("rank", "heading", "section")))
+    own = sections.groupBy("claim_id").agg(parts.alias("parts"))
+    joined = claims.select("claim_id").join(own, "claim_id", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<rank:int,heading:string,section:string>>")))
+    of = lambda name: F.transform("parts", lambda x: x[name])
+    return joined.select("claim_id", F.array_join(of("section"), "\n\n").alias("text"), F.when(F.size("parts") > 0, "relevant_sections").otherwise("no_source").alias("coverage"), of("heading").alias("headings"), of("section").alias("sections"))
+
+
+def evidence_sections(sections: DataFrame, quotes: DataFrame, claims: DataFrame) -> DataFrame:
+    """(claim_id, rank, heading, section, highlights): each section with the quotes that are found in it, in order.
+
+    ``quotes``: claim_id, quote_ord, quote. A highlight is a struct of quote, start, end and match_type; blank quotes
+    and quotes that are like no place of the section are left out.
+    """
+    asked = quotes.filter(T.strip(F.col("quote")) != "").join(claims.select("claim_id", F.col("claim_text").alias("claim")), "claim_id")
+    pairs = sections.select("claim_id", "rank", F.col("section").alias("text")).filter("text <> ''").join(asked, "claim_id")
+    located = locate_quotes(pairs).filter("start IS NOT NULL")
+    mark = F.struct("quote_ord", "quote", "start", "end", "match_type")
+    marks = located.groupBy("claim_id", "rank").agg(F.transform(F.array_sort(F.collect_list(mark)), lambda x: F.struct(x["quote"].alias("quote"), x["start"].alias("start"), x["end"].alias("end"), x["match_type"].alias("match_type"))).alias("highlights"))
+    none = F.array().cast("array<struct<quote:string,start:int,end:int,match_type:string>>")
+    return sections.join(marks, ["claim_id", "rank"], "left").select("claim_id", "rank", "heading", "section", F.coalesce("highlights", none).alias("highlights"))
+
+
+def cannot_verify(pairs: DataFrame, reason: Column, coverage: str = "no_source") -> DataFrame:
+    """Results of claims and references (claim_id, ref_num) that could not be checked."""
+    return pairs.select(
+        "claim_id", "ref_num", F.lit("cannot_verify").alias("verdict"), F.lit(0.0).alias("confidence"), reason.alias("reasoning"), F.lit(1).alias("tier"), F.lit(coverage).alias("source_coverage"),
+    )

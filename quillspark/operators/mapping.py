@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.functions.fold import last_name, plain_name
 from quillspark.functions.similarity import indel_ratio, length_allows
@@ -70,6 +69,8 @@ def map_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
     return citations.select("cit_key").join(mapped, "cit_key", "left").withColumns({"method": F.coalesce("method", F.lit("unresolved")), "confidence": F.coalesce("confidence", F.lit(0.0))})
 
 
-def ranked_first(candidates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first candidate of each key."""
-    return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def with_reference(citations: DataFrame, mapped: DataFrame, references: DataFrame) -> DataFrame:
+    """Citations with their reference's number, title and authors, and the way and confidence of the mapping; 0 and empty where there is none."""
+    chosen = references.select("session_id", "ref_num", F.col("title").alias("ref_title"), F.col("authors").alias("ref_authors"))
+    joined = citations.join(mapped, "cit_key").join(chosen, ["session_id", "ref_num"], "left")
+    return joined.withColumns({"ref_num": F.coalesce("ref_num", F.lit(0)), "ref_title": F.coalesce("ref_title", F.lit("")), "ref_authors": F.coalesce("ref_authors", F.array().cast("array<string>"))})

@@ -142,3 +142,22 @@ def crossref_update(updates: Column) -> Column:
     """Status from an array of update types: the first that tells anything, else ok."""
     kind = lambda u: F.when(F.contains(u, F.lit("retraction")), "retracted").when(F.contains(u, F.lit("correction")) | F.contains(u, F.lit("erratum")), "corrected").when(F.contains(u, F.lit("concern")), "expression_of_concern")
     return F.coalesce(F.get(F.filter(F.transform(updates, lambda u: kind(F.lower(u))), lambda s: s.isNotNull()), F.lit(0)), F.lit("ok"))
+
+
+def lookup_by_title(references: DataFrame, records: DataFrame, least: float = CONFIRM) -> DataFrame:
+    """(ref_key, rec_key, score): the record whose title is most like each reference's, the smallest key of equals, if as alike as ``least``.
+
+    Pairs are made of titles that share one of a title's two rarest words (of three letters or more), so that nothing
+    is compared with the whole table; a record that shares neither is not found.
+    """
+    words = lambda title: F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
+    asked = references.filter(F.coalesce("title", F.lit("")) != "").select("ref_key", F.lower("title").alias("a"))
+    known = records.filter(F.coalesce("title", F.lit("")) != "").select("rec_key", F.lower("title").alias("b"))
+    by_word = known.select("rec_key", "b", F.explode(words(F.col("b"))).alias("word"))
+    counts = by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("ref_key", "a", F.explode(words(F.col("a"))).alias("word")).join(counts, "word")
+    rarest = own.withColumn("nth", F.row_number().over(Window.partitionBy("ref_key").orderBy("n", "word"))).filter("nth <= 2")
+    pairs = rarest.join(by_word, "word").filter(length_allows(F.col("a"), F.col("b"), 100 * least)).select("ref_key", "rec_key", "a", "b").distinct()
+    scored = pairs.withColumn("score", token_sort(F.col("a"), F.col("b")) / 100).filter(F.col("score") >= least)
+    best = scored.groupBy("ref_key").agg(F.min_by(F.struct("rec_key", "score"), F.struct(-F.col("score"), "rec_key")).alias("b"))
+    return best.select("ref_key", "b.rec_key", "b.score")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.similarity import partial
-from quillspark.functions.text import first_tag, strip
+from quillspark.functions.text import clean_doi, first_tag, strip
 
 # Fixed values.
 SUPPLEMENT_WORDS = ("supplementary information", "supplementary material", "supplementary data", "supporting information", "supplemental figures")
 LEAST_TEXT, LEAST_TITLE_RATIO, TITLE_WITHIN, LONG_TITLE, SIZES_TRIED = 2000, 70.0, 500, 15, 3
+DOI_IN_SOURCE = r"""(10\.\d{4,}/[^\s,;"'>\]]+)"""
 WORK = "struct<title:array<string>,DOI:string,URL:string,`container-title`:array<string>,published:struct<`date-parts`:array<array<int>>>>"
 PAPER = "struct<title:string,year:int,externalIds:struct<DOI:string>,openAccessPdf:struct<url:string>,authors:array<struct<name:string>>>"
 ACCESS = "struct<best_oa_location:struct<url_for_pdf:string>,oa_locations:array<struct<url_for_pdf:string>>>"
@@ -126,3 +127,10 @@ def fill_tiers(models: DataFrame) -> DataFrame:
     lists = lists.withColumn("t3", F.when(~some("t3") & some("t2"), first(F.col("t2"), 1)).otherwise(F.col("t3")))
     tiers = [F.struct(F.lit(t).alias("tier"), F.when(F.col("n") == 1, F.array("only")).otherwise(F.col(f"t{t}")).alias("models")) for t in range(4)]
     return lists.select(F.explode(F.array(*tiers)).alias("x")).select("x.tier", F.posexplode("x.models").alias("nth", "model"))
+
+
+def doi_of_source(metadata: Column, first_page: Column, second_page: Column) -> Column:
+    """A source's DOI: of its metadata's doi, subject, keywords or title, else of its first or second page, without closing punctuation."""
+    found = lambda c: F.nullif(F.regexp_extract(c, DOI_IN_SOURCE, 1), F.lit(""))
+    first = F.coalesce(*(found(metadata[k]) for k in ("doi", "subject", "keywords", "title")), found(first_page), found(second_page))
+    return clean_doi(first, ".,;:)")

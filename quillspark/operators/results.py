@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Verdicts from most to least severe, and priorities.
-SEVERITY = ("contradicted", "not_supported", "cannot_verify", "partially_supported", "supported")
+SEVERITY = ("contradicted", "not_supported", "partially_supported", "cannot_verify", "supported")
 PRIORITY = ("high", "medium", "low")
 CRITICAL, MINOR = ("not_supported", "contradicted"), ("partially_supported",)
 
@@ -50,7 +50,7 @@ def sort_keys(sort: str, row_id: str) -> list[Column]:
     keys = {
         "confidence": [F.desc("confidence")],
         "priority": [rank(F.col("priority"), PRIORITY)],
-        "reference": [F.col("reference_id")],
+        "ref_id": [F.col("reference_id")],
     }
     return [*keys.get(sort, [rank(F.col("verdict"), SEVERITY)]), F.col(row_id)]
 
@@ -134,19 +134,94 @@ def tier_stats(verifications: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 1))
 
 
-def reference_page(references: DataFrame, status: str = "", number: int = 1, per_page: int = 50) -> DataFrame:
-    """A page of one session's references by number, with the total before paging."""
-    chosen = references.filter(F.col("source_status") == status) if status else references
+def cost_section(verifications: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Totals of a report's cost section: verifications, model calls, and those that went beyond one tier, with their share in percent."""
+    escalated = F.count_if(F.size(F.split("escalation_path", ">")) > 1)
+    totals = verifications.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.sum("models_consulted").alias("model_calls"), escalated.alias("escalated"))
+    return totals.withColumn("escalated_percent", F.round(100.0 * F.col("escalated") / F.col("total"), 1))
+
+
+def consensus_counts(verifications: DataFrame) -> DataFrame:
+    """(consensus_type, n), the most frequent first."""
+    return verifications.filter(F.col("consensus_type") != "").groupBy("consensus_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "consensus_type")
+
+
+def reference_page(references: DataFrame, status: str = "", number: int = 1, per_page: int = 50, sort: str = "id") -> DataFrame:
+    """A page of one session's references by number, with the total before paging; ``sort="status"`` orders the page's rows only."""
+    chosen = references.filter(F.col("source_status") == status) if status and status != "all" else references
     total = chosen.agg(F.count(F.lit(1)).alias("total"))
-    return page(chosen, [F.col("session_id"), F.col("ref_num")], number, per_page).join(F.broadcast(total))
+    keys = [F.col("session_id"), F.col("ref_num")]
+    rows = page(chosen, keys, number, per_page).withColumn("total", total.scalar())
+    return rows.orderBy("source_status", *keys) if sort == "status" else rows
+
+
+def group_verifications(verifications: DataFrame, row_id: str) -> DataFrame:
+    """(claim_id, verifications): each claim's rows in their first order."""
+    rest = [c for c in verifications.columns if c not in ("claim_id", row_id)]
+    return verifications.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(row_id, *rest))), lambda x: F.struct(*(x[c].alias(c) for c in rest))).alias("verifications"))
 
 
 def manuscript_view(paragraphs: DataFrame, claims: DataFrame, best: DataFrame) -> DataFrame:
-    """Per paragraph: its claims and their verdicts, in claim order, as text."""
-    placed = claims.join(best.select("claim_id", "verdict"), "claim_id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("claim_id", F.concat_ws(":", F.col("claim_id").cast("string"), "verdict").alias("t"))))
-    lists = placed.groupBy("para_idx").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ";").alias("claims"), F.count(F.lit(1)).alias("n_claims"))
-    return paragraphs.join(lists, "para_idx", "left").withColumns({"claims": F.coalesce("claims", F.lit("")), "n_claims": F.coalesce("n_claims", F.lit(0))})
+    """Paragraphs with their claims: structs of claim_id, place, markers, verdict, largest confidence and reference ids, in claim order.
+
+    ``claims``: claim_id, para_idx, char_start, char_end, citation_markers, reference_ids; ``best``: claim_id, verdict, confidence.
+    """
+    placed = claims.filter("para_idx IS NOT NULL").join(best.select("claim_id", "verdict", "confidence"), "claim_id", "left")
+    placed = placed.withColumns({"verdict": F.coalesce("verdict", F.lit("pending")), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    one = F.struct("claim_id", "char_start", "char_end", "citation_markers", "verdict", "confidence", "reference_ids")
+    lists = placed.groupBy("para_idx").agg(F.array_sort(F.collect_list(one)).alias("claims"))
+    joined = paragraphs.join(lists, "para_idx", "left")
+    none = F.array().cast(lists.schema["claims"].dataType)
+    return joined.withColumn("claims", F.coalesce("claims", none)).withColumn("n_claims", F.size("claims"))
+
+
+def manuscript_legend(claims: DataFrame, best: DataFrame) -> DataFrame:
+    """(verdict, n, unmapped): claims by verdict, and how many of them have no place."""
+    known = claims.select("claim_id", "para_idx").join(best.select("claim_id", "verdict"), "claim_id", "left")
+    return known.groupBy(F.coalesce("verdict", F.lit("pending")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("para_idx").isNull()).alias("unmapped"))
+
+
+def unmapped_claims(claims: DataFrame) -> DataFrame:
+    return claims.filter("para_idx IS NULL").select("claim_id")
+
+
+def verification_evidence(verifications: DataFrame, references: DataFrame) -> DataFrame:
+    """Verifications with their reference's title and authors, empty where the reference is missing."""
+    chosen = references.select("ref_num", F.col("title").alias("reference_title"), F.col("authors").alias("reference_authors"))
+    joined = verifications.join(chosen, "ref_num", "left")
+    return joined.withColumns({"reference_title": F.coalesce("reference_title", F.lit("")), "reference_authors": F.coalesce("reference_authors", F.array().cast("array<string>"))})
+
+
+def claim_evidence(claims: DataFrame, verifications: DataFrame, references: DataFrame, row_id: str) -> DataFrame:
+    """Claims with an array of their verifications' evidence, in first order; empty without a verification."""
+    grouped = group_verifications(verification_evidence(verifications, references), row_id)
+    return claims.join(grouped, "claim_id", "left").withColumn("verifications", F.coalesce("verifications", F.array().cast(grouped.schema["verifications"].dataType)))
+
+
+def report_preview(verifications: DataFrame, claims: DataFrame, references: DataFrame, row_id: str) -> DataFrame:
+    """A row per session: verdict counts, critical findings, minor issues, troubled references and the number of overrides.
+
+    Findings are structs of claim_id, claim_text, verdict and percent; a session's are as many as its manuscript has.
+    """
+
+    def listed(verdicts: tuple[str, ...], name: str) -> DataFrame:
+        one = F.struct(row_id, "claim_id", "claim_text", "verdict", "percent")
+        rows = findings(verifications, claims, verdicts).groupBy("session_id").agg(F.array_sort(F.collect_list(one)).alias("_l"))
+        return rows.select("session_id", F.transform("_l", lambda x: F.struct(*(x[c].alias(c) for c in ("claim_id", "claim_text", "verdict", "percent")))).alias(name))
+
+    totals = verifications.groupBy("session_id").agg(F.count_if("overridden").alias("overrides"))
+    flagged = flagged_references(references).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ref_num", "title", "retraction_status"))).alias("retracted"))
+    out = verdict_summary(verifications, ["session_id"]).join(totals, "session_id")
+    for part in (listed(CRITICAL, "critical"), listed(MINOR, "minor"), flagged):
+        name = part.columns[1]
+        out = out.join(part, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out
+
+
+def not_found_references(references: DataFrame) -> DataFrame:
+    """References that no service knows, by title or else raw text, with the identifiers that were searched."""
+    shown = F.coalesce(F.nullif("title", F.lit("")), "raw_text")
+    return references.filter(F.col("source_status") == "not_found").select("session_id", "ref_num", shown.alias("display"), F.nullif("doi", F.lit("")).alias("searched_doi"), F.nullif("pmid", F.lit("")).alias("searched_pmid"))
 
 
 def report_table(references: DataFrame) -> DataFrame:

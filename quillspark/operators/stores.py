@@ -34,10 +34,11 @@ def cascade_delete(tables: dict[str, DataFrame], sessions: DataFrame, key: str =
     return {name: delete_keys(t, sessions, [key]) for name, t in tables.items()}
 
 
-def latest(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    return table.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+def update_sessions(table: DataFrame, changes: DataFrame, order: str, now: Column) -> DataFrame:
+    """Session rows with the last change of each, stamped with ``now`` as updated_at; others keep theirs. Changes to unknown sessions are ignored."""
+    known = changes.join(table.select("session_id"), "session_id", "left_semi")
+    stamped = known.drop("updated_at").withColumn("updated_at", now)
+    return upsert(table, stamped, ["session_id"], order)
 
 
 def cache_key(prefix: str, data: Column) -> Column:
@@ -51,6 +52,12 @@ def cache_get(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return requests.join(live.select("key", "value"), "key", "left").withColumn("hit", F.col("value").isNotNull())
 
 
+def cache_put(cache: DataFrame, entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The cache with ``entries`` (cache, key, value) that live for so long; an entry of the same key is replaced."""
+    new = entries.groupBy("cache", "key").agg(F.max("value").alias("value")).withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return cache.join(new.select("cache", "key"), ["cache", "key"], "left_anti").unionByName(new)
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy("cache").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("value")).alias("bytes"))
 

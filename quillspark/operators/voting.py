@@ -173,3 +173,25 @@ def votes_by_tier(votes: DataFrame) -> DataFrame:
     """Per unit and tier, verdicts in order, joined by commas."""
     ordered = F.array_sort(F.collect_list(F.struct("vote_ord", "verdict")))
     return votes.groupBy("unit_id", "tier").agg(F.array_join(F.transform(ordered, lambda x: x["verdict"]), ",").alias("verdicts"))
+
+
+VERDICTS = ("supported", "partially_supported", "not_supported", "contradicted", "cannot_verify")
+
+
+def results_of_consensus(consensus: DataFrame) -> DataFrame:
+    """Results of consensus rows: ``escalate`` and unknown verdicts become cannot_verify, confidence is kept within 0 and 1,
+    and contradicted ones need review."""
+    verdict = F.when(F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise("cannot_verify")
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))))
+    return consensus.withColumns({"verdict": verdict, "confidence": clamped}).withColumn("needs_review", F.col("verdict") == "contradicted")
+
+
+def finalize_single(results: DataFrame, pairs: DataFrame, tier: int = 2) -> DataFrame:
+    """A lone strategy's results (unit_id, ...) under the claim and reference that were asked about, as of ``tier``."""
+    kept = [c for c in results.columns if c not in ("unit_id", "claim_id", "ref_num", "tier")]
+    return results.select("unit_id", *kept).join(pairs.select("unit_id", "claim_id", "ref_num"), "unit_id").select("claim_id", "ref_num", *kept, F.lit(tier).alias("tier"))
+
+
+def available_models(models: DataFrame, providers: DataFrame) -> DataFrame:
+    """Models (model, provider, tier) of providers that have a key, the most capable tiers first."""
+    return models.join(providers.filter("has_key").select("provider").distinct(), "provider", "left_semi").orderBy(F.desc("tier"), "ord")

@@ -61,7 +61,8 @@ def k23_distinct_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l31_fill_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = load(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(F.col("s_name").alias("model"), F.when(F.col("s_suppkey") < 3, 0).otherwise(3).alias("tier"), F.col("s_suppkey").alias("ord"))
+    last = load(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).scalar()
+    models = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), F.when(F.col("s_suppkey") < last, 0).otherwise(3).alias("tier"), F.col("s_suppkey").alias("ord"))
     return records.fill_tiers(models)
 
 
@@ -75,6 +76,6 @@ ORACLE = {
     "a19_work_records": f"SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN title ELSE '' END AS title, year, doi, 'J Test' AS journal, p_partkey % 9 > 0 AS found FROM ({_REF})",
     "i12_pubmed_retractions": "SELECT p_partkey, ['retracted', 'corrected', 'expression_of_concern', 'ok'][p_partkey % 4 + 1] AS status FROM part",
     "k23_distinct_quotes": "SELECT p_partkey, upper(p_type) || '|' || p_brand || '|' || p_name AS quotes FROM part",
-    "l31_fill_tiers": """WITH m AS (SELECT s_name AS model, s_suppkey AS o FROM supplier)
-      SELECT 0 AS tier, o AS nth, model FROM m WHERE o < 3 UNION ALL SELECT 1, o, model FROM m WHERE o < 2 UNION ALL SELECT 2, 0, model FROM m WHERE o = 0 UNION ALL SELECT 3, 0, model FROM m WHERE o = 3""",
+    "l31_fill_tiers": """WITH m AS (SELECT s_name AS model, row_number() OVER (ORDER BY s_suppkey) - 1 AS o, s_suppkey = (SELECT max(s_suppkey) FROM supplier) AS is_last FROM supplier)
+      SELECT 0 AS tier, o AS nth, model FROM m WHERE NOT is_last UNION ALL SELECT 1, o, model FROM m WHERE o < 2 UNION ALL SELECT 2, 0, model FROM m WHERE o = 0 UNION ALL SELECT 3, 0, model FROM m WHERE is_last""",
 }

@@ -33,7 +33,8 @@ LOOKUPS = [
     ("second", "SELECT p_partkey AS ref_key, CASE p_partkey % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' END AS status, CASE WHEN p_partkey % 2 = 0 THEN concat('10.2/b', CAST(p_partkey AS STRING)) END AS doi, CAST(NULL AS STRING) AS pmid, concat('https://x.org/', CAST(p_partkey AS STRING)) AS url FROM {part} WHERE p_size > 10"),
     ("third", "SELECT p_partkey AS ref_key, CASE WHEN p_partkey % 5 = 0 THEN 'found' WHEN p_partkey % 7 = 0 THEN 'api_error' ELSE 'not_found' END AS status, concat('10.3/c', CAST(p_partkey AS STRING)) AS doi, CAST(NULL AS STRING) AS pmid, CAST(NULL AS STRING) AS url FROM {part} WHERE p_size < 40"),
 ]
-CLAIMS = "SELECT item_id AS claim_id, text AS claim_text, item_id % 60 AS source_id FROM {benchmark}"
+#: Every document is the source of a claim: a benchmark text, dealt out in turn.
+CLAIMS = "SELECT d.doc_id AS claim_id, b.text AS claim_text, d.doc_id AS source_id FROM {documents} d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS nth, count(*) OVER () AS n FROM {benchmark}) b ON b.nth = d.doc_id % b.n"
 EVENTS = """
 SELECT concat('u', CAST(user_id AS STRING)) AS session_id, event_id, ts, CAST(event_id % 8 AS INT) AS stage,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'needs_input' WHEN 'purchase' THEN 'complete' ELSE 'running' END AS status,
@@ -107,7 +108,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k01_top5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.relevant_sections(claims(spark, sf_dir), sources(spark, sf_dir), separator="\n")
-    return found.filter("score is not null").select("claim_id", "rank", F.round("score", 6).alias("score"), F.length("section").alias("n_chars"))
+    return found.select("claim_id", "rank", F.round("score", 6).alias("score"), F.length("section").alias("n_chars"))
 
 
 def k02_quotes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,18 +139,18 @@ def k07_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = stand_in(spark, sf_dir, VOTES).filter("vote_ord = 1")
+    votes = stand_in(spark, sf_dir, VOTES)
     kind = F.get(F.array(*map(F.lit, ("background", "contrast", "factual"))), (F.col("unit_id") % 3).cast("int"))
-    return votes.select(F.col("unit_id").alias("claim_id"), "verdict", "confidence", kind.alias("claim_type"), F.lit(False).alias("needs_review"))
+    return votes.select(F.col("unit_id").alias("claim_id"), "vote_ord", "verdict", "confidence", kind.alias("claim_type"), F.lit(False).alias("needs_review"))
 
 
 def k21_apply_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_quantity") < 45).alias("found"))
-    return E.apply_validation(results(spark, sf_dir), checks).select("claim_id", "confidence", "needs_review")
+    return E.apply_validation(results(spark, sf_dir), checks).select("claim_id", "vote_ord", "confidence", "needs_review")
 
 
 def k24_claim_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.apply_claim_type(results(spark, sf_dir)).select("claim_id", "verdict", "needs_review")
+    return E.apply_claim_type(results(spark, sf_dir)).select("claim_id", "vote_ord", "verdict", "needs_review")
 
 
 def l43_json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +178,7 @@ def n04_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R, _P, _C, _E = (for_duckdb(x) for x in (REFERENCES, PDFS, CLAIMS, EVENTS))
 _LOOK = ", ".join(f"{name} AS ({for_duckdb(sql)})" for name, sql in LOOKUPS)
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_RESULTS = f"r AS (SELECT unit_id AS claim_id, verdict, confidence, ['background', 'contrast', 'factual'][unit_id % 3 + 1] AS claim_type FROM ({for_duckdb(VOTES)}) WHERE vote_ord = 1)"
+_RESULTS = f"r AS (SELECT unit_id AS claim_id, verdict, confidence, ['background', 'contrast', 'factual'][unit_id % 3 + 1] AS claim_type, vote_ord FROM ({for_duckdb(VOTES)}))"
 
 QUERIES = {
     f.__name__: f
@@ -207,8 +208,11 @@ ORACLE = {
     "k01_top5_sections": rf"""WITH c AS (SELECT claim_id, source_id, list_filter(list_distinct(regexp_extract_all(lower(claim_text), '[a-z]{{3,}}')), lambda w: w NOT IN ({_STOP})) AS ws, list_distinct(regexp_extract_all(claim_text, '\d+\.?\d*%?')) AS ns FROM ({_C})),
       p AS (SELECT doc_id AS source_id, generate_subscripts(ls, 1) AS pos, trim(unnest(ls), E' \t\n\r\f\x0b') AS p FROM (SELECT doc_id, string_split(text, E'\n') AS ls FROM documents WHERE length(text) >= 2000)),
       s AS (SELECT claim_id, pos, p, len(list_filter(ws, lambda w: contains(lower(p), w))) / len(ws) + least(len(list_filter(ns, lambda n: contains(p, n))) * 0.15, 0.3) AS score FROM c JOIN p USING (source_id) WHERE length(p) > 50 AND len(ws) > 0),
-      t AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0.1)
-      SELECT claim_id, rank, round(score, 6)::DOUBLE AS score, length(trim(regexp_replace(p, '[ \t]+', ' ', 'g'))) AS n_chars FROM t WHERE rank <= 5""",
+      t AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0.1),
+      d AS (SELECT claim_id, text FROM c JOIN documents ON doc_id = source_id WHERE text <> '')
+      SELECT claim_id, rank, round(score, 6)::DOUBLE AS score, length(trim(regexp_replace(p, '[ \t]+', ' ', 'g'))) AS n_chars FROM t WHERE rank <= 5
+      UNION ALL SELECT claim_id, 1, NULL, length(text) FROM d WHERE length(text) < 2000
+      UNION ALL SELECT claim_id, 1, NULL, length(trim(regexp_replace(regexp_replace(left(text, 500), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), E' \t\n\r\f\x0b')) FROM d WHERE length(text) >= 2000 AND claim_id NOT IN (SELECT claim_id FROM t)""",
     "k02_quotes_exact": """SELECT item_id, doc_id AS source_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
     "k04_match_class": """WITH x AS (SELECT *, (l_partkey % 8) / 8 AS similarity, list_sort(list_distinct([(l_partkey % 5) || '%', '3'])) = list_sort(list_distinct([(l_suppkey % 5) || '%', '3'])) AS same FROM lineitem)
       SELECT l_orderkey, l_linenumber, l_partkey, similarity::DOUBLE AS similarity, CASE WHEN NOT same THEN 'numeric_mismatch' WHEN similarity >= 0.95 THEN 'direct' WHEN similarity >= 0.75 THEN 'paraphrased' ELSE 'absent' END AS match_type FROM x""",
@@ -216,8 +220,8 @@ ORACLE = {
       w AS (SELECT *, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS ws FROM a)
       SELECT doc_id AS source_id, nfc_normalize(trim(CASE WHEN len(ws) > 2000 THEN array_to_string(ws[1:2000], ' ') || E'\n[truncated]' ELSE t END, E' \t\n\r\f\x0b')) AS text FROM w""",
     "k21_apply_validation": f"""WITH {_RESULTS}, b AS (SELECT DISTINCT l_orderkey AS claim_id FROM lineitem WHERE l_quantity >= 45)
-      SELECT r.claim_id, CASE WHEN b.claim_id IS NOT NULL THEN round(greatest(0.0, confidence - 0.2), 3) ELSE confidence END AS confidence, b.claim_id IS NOT NULL AS needs_review FROM r LEFT JOIN b ON b.claim_id = r.claim_id""",
-    "k24_claim_type_rules": f"""WITH {_RESULTS} SELECT claim_id, CASE WHEN claim_type = 'background' AND confidence >= 0.5 AND verdict IN ('partially_supported', 'cannot_verify') THEN 'supported' ELSE verdict END AS verdict, claim_type = 'contrast' AS needs_review FROM r""",
+      SELECT r.claim_id, vote_ord, CASE WHEN b.claim_id IS NOT NULL THEN round(greatest(0.0, confidence - 0.2), 3) ELSE confidence END AS confidence, b.claim_id IS NOT NULL AS needs_review FROM r LEFT JOIN b ON b.claim_id = r.claim_id""",
+    "k24_claim_type_rules": f"""WITH {_RESULTS} SELECT claim_id, vote_ord, CASE WHEN claim_type = 'background' AND confidence >= 0.5 AND verdict IN ('partially_supported', 'cannot_verify') THEN 'supported' ELSE verdict END AS verdict, claim_type = 'contrast' AS needs_review FROM r""",
     "l43_json_salvage": "SELECT event_id, CASE WHEN event_id % 5 <> 3 THEN (props->>'$.k')::INT END AS k FROM events",
     "n01_stage_status": f"""WITH e AS ({_E}) SELECT session_id, stage, arg_max(status, struct_pack(a := ts, b := event_id)) AS status, arg_max(elapsed, struct_pack(a := ts, b := event_id)) FILTER (elapsed IS NOT NULL) AS elapsed,
       arg_max(message, struct_pack(a := ts, b := event_id)) FILTER (message IS NOT NULL) AS message, count(*) FILTER (status = 'needs_input') AS interventions FROM e WHERE stage > 0 GROUP BY session_id, stage""",
