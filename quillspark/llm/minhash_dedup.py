@@ -308,7 +308,8 @@ def node_classes(docs: DataFrame, threshold: float, rows: int, bands: int, block
             F.collect_list(F.struct("band", "low", "size")).alias("bands"),
         )
     )
-    texts = cut(docs.join(members.select("node"), "node").dropDuplicates(["node"]))
+    # copies first, which takes most of them out before they are shuffled
+    texts = cut(docs.dropDuplicates(["node"]).join(members.select("node"), "node"))
     first = components(link_cells(first_cells(members, block), texts, threshold))
     merged = components(link_cells(open_cells(members, first, block), texts, threshold))
     renamed = merged.select(F.col("node").alias("class"), F.col("class").alias("name"))
