@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,58 +32,62 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - (rows & full).bit_count()
 
 
-#: Cells of the table of character masks that are held at once.
-MASK_CELLS = 1 << 21
-
-
-def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """``lcs_length`` of each pair."""
-    out = np.zeros(len(a), np.int64)
-    shorter = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
-    longer = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
-    words = np.array([(len(x) + 63) // 64 for x in shorter])
-    for w in np.unique(words[words > 0]):
-        own = np.flatnonzero(words == w)
-        alphabet = sorted(set().union(*(shorter[i] for i in own)))
-        step = max(1, MASK_CELLS // (int(w) * (len(alphabet) + 1)))
-        own = own[np.argsort([len(longer[i]) for i in own], kind="stable")]
-        for low in range(0, len(own), step):
-            some = own[low : low + step]
-            out[some] = _lcs_of_batch([shorter[i] for i in some], [longer[i] for i in some], int(w), alphabet)
+#: Cells of the table of character masks that are held at once, and pairs that are compared at once.
+MASK_CELLS, PAIRS = 1 << 21, 1 << 15
+
+
+def lcs_of_pairs(a: list[str], b: list[str], ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """``lcs_length`` of a[i] and b[j] for each pair (i, j) of ``ia`` and ``ib``."""
+    out = np.zeros(len(ia), np.int64)
+    if not len(ia):
+        return out
+    alphabet = {c: i for i, c in enumerate(sorted(set().union(*a)))}
+    words = max(1, -(-max(map(len, a)) // 64))
+    size = np.array([len(x) for x in b])
+    # the last code stands for characters that no string of ``a`` has
+    codes = np.full((max(1, size.max()), len(b)), len(alphabet), np.int64)
+    for j, x in enumerate(b):
+        codes[: len(x), j] = [alphabet.get(c, len(alphabet)) for c in x]
+    step = max(1, MASK_CELLS // (words * (len(alphabet) + 1)))
+    for first in range(0, len(a), step):
+        masks = np.zeros((words, min(step, len(a) - first), len(alphabet) + 1), np.uint64)
+        for i, x in enumerate(a[first : first + step]):
+            for at, c in enumerate(x):
+                masks[at // 64, i, alphabet[c]] |= np.uint64(1 << at % 64)
+        own = np.flatnonzero((ia >= first) & (ia < first + step))
+        own = own[np.argsort(size[ib[own]], kind="stable")]
+        for low in range(0, len(own), PAIRS):
+            some = own[low : low + PAIRS]
+            out[some] = _lcs(masks, ia[some] - first, codes[: size[ib[some]].max(initial=0)], ib[some])
     return out
 
 
-def _lcs_of_batch(shorter: list[str], longer: list[str], words: int, alphabet: list[str]) -> np.ndarray:
-    code = {c: i for i, c in enumerate(alphabet)}
-    name: dict[str, int] = {}
-    of = np.array([name.setdefault(x, len(name)) for x in shorter])
-    # the last column stands for characters that no shorter string has
-    masks = np.zeros((words, len(name), len(code) + 1), np.uint64)
-    for x, i in name.items():
-        for at, c in enumerate(x):
-            masks[at // 64, i, code[c]] |= np.uint64(1 << at % 64)
-    other: dict[str, int] = {}
-    of_other = np.array([other.setdefault(x, len(other)) for x in longer])
-    codes = np.full((max(map(len, other)), len(other)), len(code), np.int64)
-    for x, i in other.items():
-        codes[: len(x), i] = [code.get(c, len(code)) for c in x]
-    rows = np.full((words, len(shorter)), np.uint64((1 << 64) - 1))
+def _lcs(masks: np.ndarray, ia: np.ndarray, codes: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    words = len(masks)
+    rows = np.full((words, len(ia)), np.uint64((1 << 64) - 1))
     for step in codes:
-        c = step[of_other]
-        carry = np.zeros(len(shorter), np.uint64)
+        c = step[ib]
+        carry = None
         for w in range(words):
             r = rows[w]
-            hit = r & masks[w, of, c]
+            hit = r & masks[w, ia, c]
             with np.errstate(over="ignore"):
                 total = r + hit
-                over = total < r
-                total += carry
-                over |= total < carry
-            rows[w] = total | (r - hit)
-            carry = over.astype(np.uint64)
+                over = total < r if w + 1 < words else None
+                if carry is not None:
+                    total += carry
+                    over = over | (total < carry) if w + 1 < words else None
+            rows[w] = total | (r ^ hit)
+            carry = over.astype(np.uint64) if over is not None else None
     return np.bitwise_count(~rows).sum(0).astype(np.int64)
 
 
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_length`` of each pair."""
+    (ia, one), (ib, other) = pd.factorize(pd.Series(a, dtype=object)), pd.factorize(pd.Series(b, dtype=object))
+    return lcs_of_pairs(one.tolist(), other.tolist(), ia, ib)
+
+
 def ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
     """``ratio`` of each pair."""
     known = np.array([x is not None and y is not None for x, y in zip(a, b, strict=True)], bool)
@@ -92,6 +97,19 @@ def ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
     return np.where(known, out, 0.0)
 
 
+def like_pairs(a: list[str], b: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, token-sort ratio) of the pairs a[i], b[j] that are as alike as ``least``."""
+    x, y = [sorted_tokens(t) for t in a], [sorted_tokens(t) for t in b]
+    n, m = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+    total = n[:, None] + m[None, :]
+    # the common subsequence is no longer than the shorter string
+    i, j = np.nonzero(200.0 * np.minimum(n[:, None], m[None, :]) >= least * total)
+    total = total[i, j]
+    score = np.where(total > 0, 200.0 * lcs_of_pairs(x, y, i, j) / np.maximum(total, 1), 100.0)
+    good = score >= least
+    return i[good], j[good], score[good]
+
+
 def ratio(a: str | None, b: str | None) -> float:
     if a is None or b is None:
         return 0.0
@@ -154,7 +172,38 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 
 def token_sort(a: Column, b: Column) -> Column:
-    return F.pandas_udf(lambda x, y: pd.Series(ratios([sorted_tokens(t) for t in x], [sorted_tokens(t) for t in y]), dtype="float64"), "double")(a, b)
+    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
+        sort = {t: sorted_tokens(t) for t in {*x, *y}}
+        return pd.Series(ratios([sort[t] for t in x], [sort[t] for t in y]), dtype="float64")
+
+    return F.pandas_udf(scores, "double")(a, b)
+
+
+#: Strings of a block of ``like_in_groups``.
+BLOCK = 256
+
+
+def like_in_groups(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, a, b, score): pairs of strings ``a`` of ``left`` and ``b`` of ``right`` of one key whose token-sort ratio is ``least`` or more.
+
+    The strings of a key are dealt to blocks, and a block of one side meets each block of the other: pairs are made and
+    judged within a task, and only like ones leave it.
+    """
+    blocks = lambda df, c: df.select(key, c).distinct().groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"n_{c}"))
+    sizes = blocks(left, "a").join(blocks(right, "b"), key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda df, c: df.select(key, c).distinct().join(sizes, key)
+    x = own(left, "a").select(key, F.pmod(F.xxhash64("a"), "n_a").cast("int").alias("i"), every("n_b").alias("j"), "a")
+    y = own(right, "b").select(F.col(key).alias("_key"), every("n_a").alias("i"), F.pmod(F.xxhash64("b"), "n_b").cast("int").alias("j"), "b")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({key: x[key].slice(0, 0), "a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        i, j, score = like_pairs(x["a"].to_pylist(), y["b"].to_pylist(), least)
+        return pa.table({key: x[key].take(pa.array(i)), "a": x["a"].take(pa.array(i)), "b": y["b"].take(pa.array(j)), "score": pa.array(score)})
+
+    kind = left.schema[key].dataType.simpleString()
+    return x.groupBy(key, "i", "j").cogroup(y.groupBy("_key", "i", "j")).applyInArrow(compare, f"`{key}` {kind}, a string, b string, score double")
 
 
 def partial(a: Column, b: Column) -> Column:

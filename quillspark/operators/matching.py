@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.similarity import length_allows, token_sort
+from quillspark.functions.similarity import length_allows, like_in_groups, token_sort
 from quillspark.functions.text import normalize_doi
 from quillspark.operators.lineage import settle
 
@@ -28,10 +28,10 @@ def match_by_doi(references: DataFrame, sources: DataFrame) -> DataFrame:
 
 def title_scores(references: DataFrame, sources: DataFrame, least: float) -> DataFrame:
     """(session_id, ref_num, pdf_ord, score): pairs of a session whose titles are as alike as ``least``; each pair of different titles is compared once."""
-    refs, pdfs = references.select("session_id", "ref_num", F.lower("title").alias("title_r")), sources.select("session_id", "pdf_ord", F.lower("title").alias("title_p"))
-    pairs = refs.select("session_id", "title_r").distinct().join(pdfs.select("session_id", "title_p").distinct(), "session_id")
-    pairs = pairs.filter(length_allows(F.col("title_r"), F.col("title_p"), 100 * least)).withColumn("score", token_sort(F.col("title_r"), F.col("title_p")) / 100).filter(F.col("score") >= least)
-    return refs.join(pairs, ["session_id", "title_r"]).join(pdfs, ["session_id", "title_p"]).select("session_id", "ref_num", "pdf_ord", "score")
+    some = F.coalesce("title", F.lit("")) != ""
+    refs, pdfs = references.filter(some).select("session_id", "ref_num", F.lower("title").alias("a")), sources.filter(some).select("session_id", "pdf_ord", F.lower("title").alias("b"))
+    pairs = like_in_groups(refs, pdfs, "session_id", 100 * least)
+    return refs.join(pairs, ["session_id", "a"]).join(pdfs, ["session_id", "b"]).select("session_id", "ref_num", "pdf_ord", (F.col("score") / 100).alias("score"))
 
 
 def best_by_title(scores: DataFrame) -> DataFrame:

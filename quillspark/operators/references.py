@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
-from quillspark.functions.similarity import length_allows, token_sort
+from quillspark.functions.similarity import like_in_groups
 
 # Fixed values.
 LONG_LINE = 20
@@ -82,21 +82,19 @@ def exact_duplicates(references: DataFrame) -> DataFrame:
 def duplicate_pairs(references: DataFrame) -> DataFrame:
     """(session_id, a, b), a < b: same DOI, or like titles, or less alike with the same first author and year.
 
-    Equal titles meet by key; titles that only resemble one another are compared once per pair of
-    different titles, and only where their lengths allow the ratio.
+    Equal titles meet by key; titles that only resemble one another are compared as different titles, in blocks of a
+    session, and only where their lengths allow the ratio.
     """
     refs = references.select("session_id", "ref_num", F.lower(F.trim("doi")).alias("doi"), F.lower(F.trim("title")).alias("title"), F.lower("surname").alias("author"), "year")
     a, b = refs.select("session_id", *(F.col(c).alias(f"{c}_a") for c in refs.columns[1:])), refs.select("session_id", *(F.col(c).alias(f"{c}_b") for c in refs.columns[1:]))
     later = F.col("ref_num_a") < F.col("ref_num_b")
     pair = ["session_id", F.col("ref_num_a").alias("a"), F.col("ref_num_b").alias("b")]
     same_doi = a.withColumnRenamed("doi_a", "k").filter("k <> ''").join(b.withColumnRenamed("doi_b", "k"), ["session_id", "k"]).filter(later).select(*pair)
-    titles = refs.filter("title <> ''").select("session_id", "title", "author", "year").distinct()
-    ta, tb = titles.select("session_id", *(F.col(c).alias(f"{c}_a") for c in titles.columns[1:])), titles.select("session_id", *(F.col(c).alias(f"{c}_b") for c in titles.columns[1:]))
-    like = ta.join(tb, "session_id").filter((F.col("title_a") < F.col("title_b")) & length_allows(F.col("title_a"), F.col("title_b"), SAME_TITLE_AND_AUTHOR))
-    like = like.select("session_id", "title_a", "title_b", F.when((F.col("author_a") == F.col("author_b")) & (F.col("year_a") == F.col("year_b")), SAME_TITLE_AND_AUTHOR).otherwise(SAME_TITLE).alias("least")).groupBy("session_id", "title_a", "title_b").agg(F.min("least").alias("least"))
-    like = like.withColumn("score", token_sort(F.col("title_a"), F.col("title_b"))).filter("score >= least").select("session_id", "title_a", "title_b", "score")
+    titles = refs.filter("title <> ''")
+    like = like_in_groups(titles.select("session_id", F.col("title").alias("a")), titles.select("session_id", F.col("title").alias("b")), "session_id", SAME_TITLE_AND_AUTHOR)
+    both_ways = like.filter("a <> b").select("session_id", F.col("a").alias("title_a"), F.col("b").alias("title_b"), "score")
     equal = refs.filter("title <> ''").select("session_id", "title").distinct().select("session_id", F.col("title").alias("title_a"), F.col("title").alias("title_b"), F.lit(100.0).alias("score"))
-    both_ways = like.union(like.select("session_id", F.col("title_b").alias("title_a"), F.col("title_a").alias("title_b"), "score")).union(equal)
+    both_ways = both_ways.union(equal)
     same = (F.col("author_a") == F.col("author_b")) & (F.col("year_a") == F.col("year_b"))
     by_title = a.join(both_ways, ["session_id", "title_a"]).join(b, ["session_id", "title_b"]).filter(later & ((F.col("score") >= SAME_TITLE) | F.coalesce(same, F.lit(False)))).select(*pair)
     return same_doi.union(by_title).distinct()
