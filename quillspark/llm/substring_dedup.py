@@ -1,26 +1,34 @@
-"""Substring dedup: prefix-partitioned suffix trees over words.
+"""Substring dedup: partitioned suffix trees over words, cut at the window's depth.
 
 A window of ``window`` words is a repeat if its word sequence also starts at
-another place of any text. The suffixes (word positions) of all texts are
-split by prefixes, and each part's tree, cut at the window's depth, is
-built in memory: a node at that depth with two leaves or more is a repeat, and
-a leaf that hangs higher is none.
-
-1. Suffixes are first thinned to those that can matter. Every window has one
-   anchor, its smallest k-word prefix by hash (k + span - 1 = window), the same
-   in equal windows. Anchors are counted; a window whose anchor is unique is
-   unique itself and drops out.
-2. Prefixes are of variable length. An anchor that occurs up to ``most`` times
-   is the prefix of one part: its windows are dealt to one task with others
-   of the same size. A more frequent anchor's windows take their own whole
-   length as prefix, which makes the part a single node: it is only counted,
-   with sums made before the shuffle. No part outgrows memory, and a
-   passage that a third of all texts share is never gathered.
+another place of any text. It is the first ``window`` words of a suffix, so
+repeats are the inner nodes of the suffix tree at that depth: a node there with
+two leaves or more is a repeat, and a leaf that hangs higher is none.
+
+The tree is partitioned by a key of each suffix's first ``window`` words, so that
+suffixes with the same window are in the same part. The key is not the leading
+words, as in a plain prefix partition, but the window's smallest k-word gram
+by hash, its anchor (k + span - 1 = window): neighbouring suffixes mostly have
+the same one and travel as one row, where leading words would deal them to as many
+parts as there are suffixes, each with its own window (see the README for figures).
+
+1. Suffixes are thinned to those that can matter. Anchors are counted; a window
+   whose anchor is unique is unique itself and drops out.
+2. Keys are of variable length. An anchor that occurs up to ``most`` times is
+   the key of one part: its windows are dealt to one task with others of the
+   same size. A more frequent anchor's windows take their whole length as key,
+   which makes the part a single node: it is only counted, with sums made
+   before the shuffle. No part outgrows memory, and a passage that a third of
+   all texts share is never gathered.
 3. A part's tree is built by sorting its windows by their blocks of words;
    neighbours' common blocks are the depths of the inner nodes. What hangs above
    the last level is sent back as unique; it is little.
 4. Words in the windows that are left are removed from each text.
 
+Texts are known by 64-bit hashes, and blocks of words by hashes of 64 and 32
+bits, so equality is that of 128 bits for a window; of 3 * 10**10 different
+texts about 25 pairs are taken for one another.
+
 Null and empty texts have no words; texts shorter than the window lose nothing.
 Equal texts and repeated rows are repeats of one another, and rows with the
 same text are cut alike. Ids may be null or repeated. Very long texts are
@@ -45,13 +53,15 @@ WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 12
 #: Occurrences of an anchor up to which its windows make one part.
-MOST = 20_000
+MOST = 1_000
 #: Anchors dealt to a task on average when trees are built.
 ANCHORS_A_TASK = 40_000
 #: Words of the blocks that a window is compared by.
 BLOCKS = (12, 12, 11)
 
-_POSITION = np.uint64((1 << 24) - 1)
+#: Bits of a position, and positions that anchors are found for at once.
+_BITS = 24
+_POSITION = np.uint64((1 << _BITS) - 1)
 _LAST = np.uint64((1 << 64) - 1)
 
 
@@ -72,10 +82,15 @@ def window_anchors(hashes: np.ndarray, left: np.ndarray, window: int, anchor: in
     grams[places] = values
     if not len(at):
         return at, at, grams
-    # smallest by the upper bits, the leftmost of equal ones
-    packed = (grams & ~_POSITION) | (np.arange(len(grams), dtype=np.uint64) & _POSITION)
-    low = sliding_min(packed, window - anchor + 1)[at]
-    return at, (low & _POSITION).astype(np.int64), grams
+    # smallest by the upper bits, the leftmost of equal ones; positions count from the beginning of a stretch
+    span, stretch = window - anchor + 1, 1 << (_BITS - 1)
+    low = np.zeros(len(grams), np.int64)
+    for begin in range(0, len(grams) - span + 1, stretch):
+        own = grams[begin : begin + stretch + span - 1]
+        packed = (own & ~_POSITION) | np.arange(len(own), dtype=np.uint64)
+        found = (sliding_min(packed, span) & _POSITION).astype(np.int64)
+        low[begin : begin + len(found)] = begin + found
+    return at, low[at], grams
 
 
 def anchors_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -228,8 +243,8 @@ def remove_repeats(
     if sum(blocks) != window or not 0 < anchor < window:
         raise ValueError("blocks must add up to the window, and the anchor be shorter")
     docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")))
-    node, size = free_name("node", docs.columns), free_name("node_size", docs.columns)
-    keyed = docs.withColumns({node: F.xxhash64(text_column), size: F.octet_length(text_column)})
+    node = free_name("node", docs.columns)
+    keyed = docs.withColumn(node, F.xxhash64(text_column))
     texts = keyed.select(F.col(node).alias("node"), F.col(text_column).alias("text"))
     anchors = anchors_of(texts, window, anchor)
     repeated = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -248,7 +263,7 @@ def remove_repeats(
         unique = unique.union(alone.select("node", "size", "place"))
     strikes = unique.groupBy("node").agg(F.collect_set("place").alias("strikes"))
     plan = cut(lists.select("node", "places").join(strikes, "node", "left")).select(F.col("node").alias("_plan_node"), F.col("places").alias("_places"), F.col("strikes").alias("_strikes"))
-    joined = keyed.join(plan, F.col(node) == F.col("_plan_node"), "left").drop("_plan_node", node, size)
+    joined = keyed.join(plan, F.col(node) == F.col("_plan_node"), "left").drop("_plan_node", node)
     return cut_words(joined, docs, window, anchor, text_column)
 
 
