@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are the three-character shapes it is made of (hashed) and the
-share of its words that repeat, weighted by log frequency and rarity. A
+A text's terms are its words, lower-cased and hashed, the three-character
+shapes it is made of (hashed) and the share of its words that repeat, weighted
+by log frequency and rarity. A
 truncated singular value decomposition of a bounded sample of labelled rows
 gives the latent space. The labelled vectors are broadcast (their number is a
 parameter, so their size has a fixed bound), and every document is multiplied
@@ -11,7 +12,8 @@ score is the share of good labels among the nearest, weighted by similarity.
 Null and empty texts have no shape; their vector is that of the repeat term
 alone, and where a cosine is undefined the score is the labelled share of good
 rows. Equal texts get equal scores. Ties between neighbours go to the earlier
-labelled row. Without any labelled row every score is 0.5. Very long texts are
+labelled row (by id). Of rows with the same labelled id the one whose text
+hashes lowest is learnt from. Without any labelled row every score is 0.5. Very long texts are
 read whole. Columns other than id and text are not read.
 """
 
@@ -25,15 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import labelled_sample
-from quillspark.llm._words import Words, mix64, slices
+from quillspark.llm.ann import DECIMALS, best_of
+from quillspark.llm._words import Words, mix64, slices, span_hashes
 from quillspark.llm.quality_rules import repeated_words
 
-SHAPES = 1024
+WORDS, SHAPES = 1024, 1024
 REPEATS = 6
 DIMENSIONS = 24
 #: Labelled rows at most, of which the space and the voters are made.
 LABELLED_ROWS = 4000
 NEIGHBOURS = 25
+#: Texts whose terms are counted at once.
+ROWS_AT_ONCE = 2048
 
 _SHAPE = np.zeros(256, np.uint64)
 _SHAPE[:] = 1
@@ -44,10 +49,16 @@ for _i, _c in enumerate(" \n.,!?#*$%&|<>@:/-\"'"):
     _SHAPE[ord(_c)] = 5 + _i
 
 
+#: Values of bytes for hashing words, capitals as small letters.
+_LOWER_VALUE = mix64(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64))
+
+
 def term_counts(words: Words) -> np.ndarray:
-    """Log frequencies of the hashed shapes, and the repeat term, a row for each text."""
+    """Log frequencies of the hashed shapes and words, and the repeat term, a row for each text."""
     rows = len(words.counts)
-    out = np.zeros((rows, SHAPES + REPEATS), np.float32)
+    out = np.zeros((rows, SHAPES + REPEATS + WORDS))
+    word = (span_hashes(_LOWER_VALUE[words.buf], words.starts, words.ends) % np.uint64(WORDS)).astype(np.int64)
+    out[:, SHAPES + REPEATS :] = np.bincount(words.doc * WORDS + word, minlength=rows * WORDS).reshape(rows, WORDS)
     doc = np.repeat(np.arange(rows), np.diff(words.offsets))
     if len(doc) >= 3:
         s = _SHAPE[words.buf]
@@ -72,16 +83,16 @@ def latent_space(counts: np.ndarray, dimensions: int) -> np.ndarray:
     rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
     x = counts * rarity
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    return (rarity[:, None] * vectors[:, np.argsort(-values)[:dimensions]]).astype(np.float32)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    return rarity[:, None] * vectors[:, np.argsort(-values)[:dimensions]]
 
 
 def vote(vectors: np.ndarray, voters: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
     """Share of label 1 among each row's nearest voters, weighted by the fourth power of the cosine."""
     cosines = vectors @ voters.T
     k = min(neighbours, len(voters))
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** 4
+    near = best_of(np.round(cosines, DECIMALS), k)
+    weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** 4
     total = weight.sum(1)
     return np.where(total > 0, (weight * labels[near]).sum(1) / np.maximum(total, 1e-12), labels.mean())
 
@@ -89,20 +100,21 @@ def vote(vectors: np.ndarray, voters: np.ndarray, labels: np.ndarray, neighbours
 def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: int, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(space, voters, labels) from at most ``rows`` labelled documents; None without any."""
     ids = labelled_sample(labels, target, where, rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch, "text"):
-                rows = [r.tobytes() for r in term_counts(words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "terms"])
+            for part, words in slices(batch, "text", most_rows=ROWS_AT_ONCE):
+                rows = [r.tobytes() for r in term_counts(words).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(rows, pa.binary())], names=["doc_id", "y", "h", "terms"])
 
     # one row per id, should the documents repeat one
-    found = sample.select("doc_id", "text", "y").mapInArrow(terms, "doc_id long, y int, terms binary").dropDuplicates(["doc_id"]).collect()
+    found = sample.mapInArrow(terms, f"doc_id {kind}, y int, h long, terms binary").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("terms", "h").alias("terms")).collect()
     if not found:
         return None
     found.sort(key=lambda r: r["doc_id"])
-    counts = np.stack([np.frombuffer(r["terms"], np.float32) for r in found])
+    counts = np.stack([np.frombuffer(r["terms"], np.float32) for r in found]).astype(float)
     space = latent_space(counts, dimensions)
     return space, unit_rows(counts @ space), np.array([r["y"] for r in found], float)
 
@@ -123,7 +135,7 @@ def classify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch, "text"):
+            for part, words in slices(batch, "text", most_rows=ROWS_AT_ONCE):
                 if model.value is None:
                     scores = np.full(part.num_rows, 0.5)
                 else:
