@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -75,6 +76,22 @@ def test_repeats_on_awkward_documents(edge, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_anchors_of_texts_longer_than_a_position(monkeypatch):
+    """Anchors lie within their windows and are the same in equal windows, whatever the place."""
+    monkeypatch.setattr(substring_dedup, "_BITS", 7)
+    monkeypatch.setattr(substring_dedup, "_POSITION", np.uint64(127))
+    rng = random.Random(2)
+    passage = [rng.choice("abc") for _ in range(60)]
+    words = [rng.choice("abcdefgh") for _ in range(1000)]
+    for at in (3, 97, 430, 900):
+        words[at : at + 60] = passage
+    w = Words(pa.array([" ".join(words)]))
+    at, low, _ = substring_dedup.window_anchors(w.hashes(), w.left(), 20, 5)
+    assert at.tolist() == list(range(981)) and ((low >= at) & (low <= at + 15)).all()
+    offsets = {tuple((low - at)[s : s + 41].tolist()) for s in (3, 97, 430, 900)}
+    assert len(offsets) == 1
+
+
 def test_sliding_min():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for n in range(1, 8):
@@ -233,6 +250,33 @@ def test_votes_are_exact_cosines():
         assert abs(got - sum(a * y[i] for a, i in zip(w, near)) / sum(w)) < 1e-9
 
 
+def test_classifier_against_brute_force(spark):
+    """Terms counted by dictionaries, the space by the full decomposition, votes by sorting."""
+    Q = quality_classifier
+    rng = random.Random(5)
+    good, bad = ["alpha", "beta", "Gamma", "delta"], ["#buy", "now!!", "777", "WIN"]
+    texts = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(3, 40))) for i in range(60)] + ["alpha 777", "", "beta beta"]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(7, 0, 0)], "doc_id long, quality int, toxic int")
+    got = [r.score for r in Q.classify(docs_of(spark, texts), labels, dimensions=6, neighbours=7).orderBy("doc_id").collect()]
+
+    counts = Q.term_counts(Words(pa.array(texts)))
+    for text, row in zip(texts, counts):
+        by_word = collections.Counter(text.lower().encode().split())
+        assert abs(np.expm1(row[Q.SHAPES + Q.REPEATS :]).sum() - sum(by_word.values())) < 1e-6 and abs(np.expm1(row[: Q.SHAPES]).sum() - max(len(text) - 2, 0)) < 1e-6
+    counts = counts.astype(np.float32).astype(float)
+    labelled = counts[:50]
+    rarity = np.log(51 / (1 + (labelled > 0).sum(0))) + 0.1
+    x = labelled * rarity
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    basis = np.linalg.svd(x, full_matrices=False)[2][:6]
+    place = Q.unit_rows((counts * rarity) @ basis.T)
+    for p, score in zip(place, got):
+        near = sorted(range(50), key=lambda i: (-round(float(place[i] @ p), 10), i))[:7]
+        weight = [max(float(place[i] @ p), 0) ** 4 for i in near]
+        want = sum(w * (i % 2) for w, i in zip(weight, near)) / sum(weight) if sum(weight) > 0 else 0.5
+        assert abs(score - want) < 1e-6
+
+
 def test_classifier_on_awkward_documents(edge, empty, edge_labels, no_labels):
     rows = quality_classifier.classify(edge, edge_labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
@@ -536,6 +580,22 @@ def test_url_verdicts(spark):
     assert got[8] == got[9] == ("", "", None, "allow") and got[10][2:] == ("net/de/", "block") and got[11][2:] == ("example.net/de/8", "block") and got[12][:2] == ("b:", "//c/d")
 
 
+def test_url_vocabulary_of_thousands_of_terms(spark):
+    rng = random.Random(9)
+    terms = {"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))): rng.random() < 0.2 for _ in range(5000)}
+    table = spark.createDataFrame([(t.upper() if i % 2 else t, s) for i, (t, s) in enumerate(terms.items())] + [("", True)], "term string, is_strict boolean")
+    some = sorted(terms)
+    urls = [f"https://{rng.choice(some)}.{rng.choice(['net', 'x' + rng.choice(some)])}/{rng.choice(some)}{rng.choice(['', 'q', '-' + rng.choice(some)])}" for _ in range(300)]
+    urls += [None, "", "https://" + "x" * 100_000 + "." + some[0], urls[0], urls[0]]
+    pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = url_filters.filter_urls(pages, rules=(), vocabulary=table).orderBy("page_id").collect()
+    for u, r in zip(urls, got):
+        found = set(re.findall(r"[a-z0-9]+", (u or "").lower())) & set(terms)
+        strict = sum(terms[t] for t in found)
+        assert (r.n_strict, r.n_soft) == (strict, len(found) - strict) and r.verdict == ("block" if strict or len(found) >= 2 else "allow"), u
+    assert url_filters.filter_urls(pages.limit(0), vocabulary=table).count() == 0
+
+
 # 10: packing
 
 
@@ -570,10 +630,15 @@ def test_packed_pieces_round_trip(edge, empty):
         sequences[r.sequence_id].append((r.offset, r.length))
     for doc_id, text, _, _ in ROWS:
         if doc_id in (None, 1):
-            continue
+            continue  # several rows: below
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         own = sorted(pieces[doc_id])
         assert b"".join(p[2] for p in own) == ids.tobytes() and {p[3] for p in own} == {len(ids)} and [p[0] for p in own] == list(np.cumsum([0] + [p[1] for p in own])[:-1])
+    # rows that share an id: as many pieces of each as there are rows
+    for doc_id in (None, 1):
+        encoded = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for d, t, _, _ in ROWS if d == doc_id]
+        want = collections.Counter((s, np.array(x[s : s + 256], "<u4").tobytes(), len(x)) for x in encoded for s in range(0, len(x), 256))
+        assert collections.Counter((s, ids, n) for s, _, ids, n in pieces[doc_id]) == want
     for parts in sequences.values():
         assert [o for o, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)])[:-1]) and sum(n for _, n in parts) <= 256
     assert packing.pack_documents(empty).count() == 0
