@@ -3,7 +3,8 @@
 Pass one scatters the records evenly over buckets small enough for memory, by
 a seeded hash of id and text. Pass two puts each bucket, taken as an array in
 hash order, into a random order with ``shuffle`` (a seeded Fisher-Yates
-shuffle). The buckets in turn make one long random order, which is cut into
+shuffle; its numbers come from seed and partition, so another number of
+partitions gives another order). The buckets in turn make one long random order, which is cut into
 shards of equal length: numbers of rows differ by one at most (law ``rows``).
 
 Null texts and empty texts have size 1, and null ids are hashed like any
@@ -70,5 +71,5 @@ def shard_documents(
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Parquet, a folder for each shard, rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Parquet, a folder for each shard, files in slot order; ranges of slots, so that a shard is written by many tasks."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
