@@ -31,6 +31,8 @@ from quillspark.llm._tables import WORD, cut, free_name
 
 #: A table of at most this many sources is broadcast; one with more is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: The least quality weight.
+LEAST_WEIGHT = 0.05
 ADDED = ("size", "quality_weight", "mix_key", "source_size", "target", "epochs", "cut_key", "copies", "border_words", "taken")
 
 
@@ -38,7 +40,7 @@ def quality_weight(text: Column) -> Column:
     """1 for plain text, falling to 0.05 as symbols make up a twentieth of it or more."""
     text = F.coalesce(text, F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>!", ""))
-    return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(20.0) * symbols / F.greatest(F.length(text), F.lit(1)))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.lit(20.0) * symbols / F.greatest(F.length(text), F.lit(1)))
 
 
 def mix_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
@@ -74,14 +76,22 @@ def mix_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    quality_column: str | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies (times the mix takes the whole row), border_words (words of
-    one more copy that is cut) and taken (words it takes in all)."""
+    one more copy that is cut) and taken (words it takes in all).
+
+    ``quality_column`` holds quality weights, such as the classifier's score: a
+    document of twice the weight is twice as likely to come next. Null weights
+    and those below LEAST_WEIGHT count as that. Without it plain text counts more
+    than text full of symbols.
+    """
     docs = docs.select(*(c for c in docs.columns if c.lower() not in ADDED))
     keyed = docs.withColumns(
-        {"size": F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long"), "quality_weight": quality_weight(F.col(text_column))}
+        {"size": F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long"), "quality_weight": quality_weight(F.col(text_column)) if quality_column is None else F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.col(quality_column).cast("double"), F.lit(0.0)))}
     ).withColumn("mix_key", mix_key(F.col(id_column), F.col(text_column), F.col("quality_weight"), seed))
-    light = keyed.select(F.col(source_column).alias("source"), "size", "mix_key")
+    # written once: ranges are found by a first pass over the keys
+    light = cut(keyed.select(F.col(source_column).alias("source"), "size", "mix_key"))
     # ordered by key within source, in ranges of like size however large one source is
     ranged = cut(light.repartitionByRange("source", "mix_key").withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))

@@ -322,6 +322,14 @@ def test_mix_meets_targets_and_repeats_rows(spark):
     assert dict(words) == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_mix_prefers_quality(spark):
+    rows = [(i, " ".join(["w"] * 10), "a" if i < 400 else "b", [0.1, 1.0, None][i % 3]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    taken = [r for r in mixing.mix_documents(docs, weights=(1, 1), quality_column="q").collect() if r.source == "a"]
+    share = [sum(r.taken for r in taken if r.doc_id % 3 == k) for k in range(3)]
+    assert abs(sum(share) - taken[0].target) < 1 and share[1] > 1.4 * share[0] and share[1] > 1.4 * share[2]
+
+
 def test_mix_of_awkward_documents(edge, empty):
     rows = mixing.mix_documents(edge).collect()
     assert len(rows) == len(ROWS)
