@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import citations, mapping, records, results, scopes
+from quillspark.operators.claims import units_to_claims
 from quillspark.operators.lineage import settle
+from quillspark.operators.references import parse_references
+from quillspark.operators.sections import flatten_paragraphs
 from quillspark.plans.citations import paragraphs
 from quillspark.plans.stand_ins import REFERENCES, for_duckdb, load, stand_in
+from quillspark.sources import docx
 
 
 def verification_units(text: DataFrame, references: DataFrame) -> DataFrame:
@@ -18,7 +22,16 @@ def verification_units(text: DataFrame, references: DataFrame) -> DataFrame:
     # the cascade reads the citations many times
     keyed = settle(scopes.resolve_scopes(cited).withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string"))))
     mapped = mapping.map_citations(keyed, references)
-    return keyed.join(mapped, "cit_key").withColumn("ref_num", F.coalesce("ref_num", F.lit(0)))
+    return mapping.with_reference(keyed, mapped, references)
+
+
+def claims_of_files(files: DataFrame) -> DataFrame:
+    """Claims of DOCX files (path, content): sections, paragraphs, citations, scopes, and references by number or name."""
+    found = settle(docx.paragraphs(files))
+    parts = settle(docx.sections(found))
+    raw = docx.raw_references(found, parts)
+    refs = parse_references(raw).select("session_id", F.col("ref_id").cast("long").alias("ref_num"), "authors", "title", "year")
+    return units_to_claims(verification_units(flatten_paragraphs(parts), settle(refs)))
 
 
 def coverage(units: DataFrame) -> DataFrame:
@@ -29,7 +42,7 @@ def coverage(units: DataFrame) -> DataFrame:
 
 
 def p01_manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", "year", F.array(F.concat(F.lit("A. "), "surname"), F.lit("Green, B.")).alias("authors"))
+    refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", "year", "title", F.array(F.concat(F.lit("A. "), "surname"), F.lit("Green, B.")).alias("authors"))
     return coverage(verification_units(paragraphs(spark, sf_dir), refs))
 
 

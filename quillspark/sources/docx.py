@@ -92,6 +92,14 @@ def raw_references(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     return first.unionByName(split_records(headed.join(first.select("session_id").distinct(), "session_id", "left_anti")))
 
 
+def warnings(files: DataFrame, paragraphs: DataFrame, references: DataFrame) -> DataFrame:
+    """(session_id, warning) of files that can't be read or have no text, and of those without a reference section."""
+    ids = files.select(F.col("path").alias("session_id"))
+    texts, listed = (x.select(F.col(c).alias("session_id")).distinct() for x, c in ((paragraphs, "path"), (references, "session_id")))
+    empty = ids.join(texts, "session_id", "left_anti").withColumn("warning", F.lit("no text"))
+    return empty.unionByName(texts.join(listed, "session_id", "left_anti").withColumn("warning", F.lit("no references found")))
+
+
 def field_marks(files: DataFrame) -> DataFrame:
     """(path, has_field_codes)."""
     return files.select("path", F.pandas_udf(lambda s: s.map(has_field_marks), "boolean")(F.col("content")).alias("has_field_codes"))

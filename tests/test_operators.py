@@ -6,7 +6,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import claims, evidence, mapping, matching, results, scopes, stores, voting
+from quillspark.operators import citations, claims, evidence, mapping, matching, results, scopes, sections, stores, voting
+from quillspark.plans import manuscripts
 from quillspark.sources import docx
 from quillspark.streaming import events as E
 from tests.conftest import SMALL
@@ -215,3 +216,45 @@ def test_event_stream_equals_batch(spark, tmp_path):
 def test_event_rows_round_trip(spark):
     df = spark.createDataFrame([(1, {"a": 1})], "event_id long, progress map<string,int>")
     assert E.from_rows(E.to_rows(df, ["progress"]), {"progress": "map<string,int>"}).first()["progress"] == {"a": 1}
+
+
+def test_docx_to_claims(spark, tmp_path):
+    body = [
+        ("Heading1", "Intro"), ("Normal", "Copper is known to bind zinc strongly in all cases [2]."), ("Normal", "However, iron does not bind it at all (Smith, 2010)."),
+        ("Heading1", "References"), ("Normal", "[1] J. Smith, On iron and other metals. J Test 2010; 1:2."), ("Normal", "[2] K. Jones, Copper and zinc in depth. J Test 2012; 3:4."),
+    ]
+    (tmp_path / "a.docx").write_bytes(make_docx(body))
+    (tmp_path / "b.docx").write_bytes(make_docx([("Normal", "No lists here.")]))
+    (tmp_path / "c.docx").write_bytes(b"broken")
+    files = docx.read_files(spark, str(tmp_path))
+    claims = manuscripts.claims_of_files(files).orderBy("claim_id").collect()
+    assert [(r.reference_ids, r.claim_type, r.location.para_idx, r.section, r.location.citation_markers) for r in claims] == [([2], "background", 0, "Intro", ["[2]"]), ([1], "contrast", 0, "Intro", ["(Smith, 2010)"])]
+    found = docx.paragraphs(files)
+    got = docx.warnings(files, found, docx.raw_references(found, docx.sections(found))).collect()
+    assert sorted((r.session_id.rsplit("/", 1)[1], r.warning) for r in got) == [("b.docx", "no references found"), ("c.docx", "no text")]
+
+
+def test_single_paragraphs_choose_their_detectors(spark):
+    rows = [(0, "As (Smith, 2001) and Lee (2002) say."), (1, "As shown [3, 5-6]."), (2, "Both [1] and (Kim, 2003).")]
+    text = spark.createDataFrame([("s", i, t) for i, t in rows], "session_id string, para_idx int, text string")
+    found = citations.detect_in_paragraphs(text, sections.style_of_text(F.col("text"))).collect()
+    got = {i: sorted(str((r.year, r.number)) for r in found if r.para_idx == i) for i in range(3)}
+    assert got == {0: ["('2001', None)", "('2002', None)"], 1: ["(None, 3)", "(None, 5)", "(None, 6)"], 2: ["('2003', None)", "(None, 1)"]}
+
+
+def test_groups_as_the_detector_reads_them(spark):
+    """'as reviewed by' is a lead-in of a single citation only, and 'see' needs no blank after it."""
+    texts = ["(as reviewed by Smith, 2001)", "(as reviewed by Smith, 2001; Lee, 2002)", "(Seeger, 2003)", "(see Kim and Lee, 2004, 2005a)", "(Ring, n.d.)"]
+    table = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, para_idx int, text string")
+    got = {}
+    for r in citations.detect_citations(table).orderBy("para_idx", "nth").collect():
+        got.setdefault(r.para_idx, []).append((r.raw_marker, r.authors, r.year))
+    assert got[0] == [(texts[0], ["Smith"], "2001")] and got[1] == [("(as reviewed by Smith, 2001)", [], "2001"), ("(Lee, 2002)", ["Lee"], "2002")]
+    assert got[2] == [(texts[2], [], "2003")] and got[3] == [("(Kim, Lee, 2004)", ["Kim", "Lee"], "2004"), ("(Kim, Lee, 2005a)", ["Kim", "Lee"], "2005a")] and got[4][0][2] is None
+
+
+def test_lookup_by_title(spark):
+    refs = spark.createDataFrame([(1, "Copper binds zinc strongly"), (2, "Iron alone"), (3, None), (4, "zinc strongly binds copper")], "ref_key long, title string")
+    known = spark.createDataFrame([(10, "copper binds zinc strongly"), (11, "Copper binds zinc weakly"), (12, ""), (13, "nothing alike")], "rec_key long, title string")
+    got = {r.ref_key: (r.rec_key, round(r.score, 3)) for r in matching.lookup_by_title(refs, known).collect()}
+    assert got == {1: (10, 1.0), 4: (10, 1.0)}
