@@ -226,6 +226,37 @@ def test_quality_keeps_what_is_like_the_trusted(spark):
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 75))
 
 
+def test_scores_and_verdicts_against_brute_force(spark):
+    """Tokens by regular expressions, multinomials in dictionaries, one text at a time."""
+    rng = random.Random(3)
+    words = "alpha beta gamma4 delta, (epsilon) don't 3.14 $$$ é日".split()
+    texts = [" ".join(rng.choice(words if i % 4 else words[6:]) for _ in range(rng.randrange(0, 50))) for i in range(80)] + [None, "", "one\ntwo  three"]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs_of(spark, texts), labels, slack=1.0).collect()}
+
+    def grams(text):
+        # neighbours may stand on both sides of white space
+        tokens = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff \t\n\x0b\x0c\r]+", text or "")
+        return tokens + list(zip(tokens, tokens[1:]))
+
+    names = {}
+    for t in texts:
+        doc, bucket = quality_rules.ngram_buckets(Words(pa.array([t], pa.string())))
+        assert len(bucket) == len(grams(t))
+        for g, b in zip(grams(t), bucket):
+            assert names.setdefault(g, b) == b
+    raw = collections.Counter(names[g] for t in texts for g in grams(t))
+    target = collections.Counter(names[g] for i in range(40) if i % 4 for g in grams(texts[i]))
+    size = quality_rules.BUCKETS
+    log_p = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + size))
+    score = [sum(log_p(target, names[g]) - log_p(raw, names[g]) for g in grams(t)) / max(len(grams(t)), 1) for t in texts]
+    trusted = [score[i] for i in range(40) if i % 4 and len((texts[i] or "").split()) >= 10]
+    least = np.mean(trusted) - np.std(trusted)
+    for i in range(len(texts)):
+        assert abs(got[i].score - score[i]) < 1e-9 and got[i].kept == (not got[i].base_failed and score[i] >= least)
+    assert 0 < sum(r.kept for r in got.values()) < sum(not r.base_failed for r in got.values())
+
+
 def test_quality_without_trusted_or_rows(edge, empty, edge_labels, no_labels):
     assert quality_rules.judge_quality(edge, no_labels).count() == len(ROWS)
     assert quality_rules.judge_quality(empty, edge_labels).count() == 0
@@ -704,6 +735,26 @@ def test_contract_columns(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows["op5"]) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows["op8"])
 
 
+def test_pipeline_on_awkward_and_empty_tables(spark, edge, empty):
+    import corpus_pipeline as P
+
+    for docs in (edge, empty):
+        for name, stage in P.STAGES:
+            found = stage(spark, docs, SMALL)
+            rows = found.collect()
+            if name == "packing":
+                assert len(rows) >= docs.count()
+            else:
+                assert found.columns == docs.columns, name
+                kept = collections.Counter(r.doc_id for r in rows)
+                if name == "toxicity":
+                    assert sum(kept.values()) == docs.count()
+                elif name == "substring_dedup":
+                    assert sum(kept.values()) == docs.count()
+                elif name == "near_dedup" and docs is edge:
+                    assert kept[1] == 1 and kept[None] == 2 and kept[7] + kept[1] <= 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
