@@ -178,6 +178,18 @@ _D03 = rf"""WITH s AS ({_spans(C.PARENTHETICAL, _PAR)}), ok AS (SELECT * FROM s
   c AS (SELECT para_idx, regexp_replace(trim(g), '(?i)^{_re2(C.LEAD_IN)}', '') AS g FROM g),
   y AS (SELECT para_idx, {_AUTHORS.format('g')} AS a, unnest(CASE WHEN len(regexp_extract_all(g, '\d{{4}}[a-z]?')) = 0 THEN [NULL] ELSE regexp_extract_all(g, '\d{{4}}[a-z]?') END) AS y FROM c)
   SELECT para_idx, count(*) AS n, array_to_string(list_sort(list(concat_ws('/', a, y))), ';') AS found FROM y GROUP BY para_idx"""
+_NAMES_OF = r"list_filter(list_transform(regexp_split_to_array(trim(regexp_replace({0}, '\s+et\s+al\.?', '', 'g')), '\s+(?:and|&)\s+|,\s*'), lambda n: trim(n)), lambda n: regexp_matches(n, '^[A-Z]'))"
+_NOT_AUTHORS = ", ".join(f"'{w}'" for w in C.NOT_AUTHORS)
+_NARR = rf"""SELECT *, {_NAMES_OF.format("regexp_split_to_array(marker, '\s+\(')[1]")} AS a, regexp_extract_all(marker, '\d{{4}}[a-z]?') AS ys
+  FROM ({_spans(C.NARRATIVE, _PAR)}) WHERE lower(rtrim(regexp_split_to_array(marker, '\s+')[1], ',')) NOT IN ({_NOT_AUTHORS})"""
+_D04 = f"""WITH n AS ({_NARR}), y AS (SELECT *, unnest(ys) AS y FROM n)
+  SELECT para_idx, CASE WHEN len(ys) > 1 THEN array_to_string(a, ', ') || ' (' || y || ')' ELSE marker END AS raw_marker, array_to_string(a, '+') AS authors, y AS year, start, "end" FROM y"""
+_D06 = rf"""WITH p AS (SELECT para_idx, start, "end", unnest(regexp_extract_all(marker, '\d{{4}}[a-z]?')) AS y FROM ({_spans(C.PARENTHETICAL, _PAR)}) WHERE {_FALSE}),
+  n AS (SELECT para_idx, start, "end", unnest(ys) AS y FROM ({_NARR})),
+  b AS (SELECT para_idx, start, "end", unnest(string_split(translate(marker, '[] ', ''), ',')) AS part FROM ({_spans(C.BRACKET, _PAR)})),
+  k AS (SELECT para_idx, start, "end", unnest(CASE WHEN contains(part, '-') THEN range(split_part(part, '-', 1)::INT, split_part(part, '-', 2)::INT + 1) ELSE [part::BIGINT] END) AS n FROM b),
+  u AS (SELECT DISTINCT 'author_year_parenthetical' AS style, para_idx, start, "end", y, NULL::BIGINT AS number FROM p UNION ALL SELECT DISTINCT 'author_year_narrative', para_idx, start, "end", y, NULL FROM n UNION ALL SELECT DISTINCT 'numbered_bracket', para_idx, start, "end", NULL, n FROM k)
+  SELECT style, count(*) AS n, count(DISTINCT para_idx) AS paragraphs, sum(number)::BIGINT AS numbers FROM u GROUP BY style"""
 _SCOPE = r"rtrim(trim(regexp_replace(regexp_replace(text, '\s*\([^)]*\d{4}[a-z]?[^)]*\)', '', 'g'), '\s*\[\d+[^\]]*\]', '', 'g')), '.')"
 _ANY = lambda words: "(" + " OR ".join(f"contains(lower(scope), '{w}')" for w in words) + ")"
 _D08 = rf"""WITH s AS (SELECT para_idx, {_SCOPE} AS scope FROM ({_PAR})),
@@ -212,6 +224,8 @@ ORACLE = {
     "d02_expand_ranges": """SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', l_linenumber::VARCHAR,
       CASE WHEN l_suppkey % 9 >= l_partkey % 9 THEN array_to_string(range(l_partkey % 9, l_suppkey % 9 + 1), ',') END) AS numbers FROM lineitem""",
     "d03_author_year": _D03,
+    "d04_narrative": _D04,
+    "d06_first_wins": _D06,
     "d05_style": rf"""WITH p AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY para_idx) AS n FROM ({_PAR})),
       c AS (SELECT session_id, sum(len(regexp_extract_all(text, '\([A-Z][a-z]+.*?\d{{4}}'))) AS a, sum(len(regexp_extract_all(text, '\[\d+'))) AS b FROM p WHERE n <= 20 GROUP BY session_id)
       SELECT session_id, CASE WHEN a + b = 0 OR a > 0.8 * (a + b) THEN 'author_year' WHEN b > 0.8 * (a + b) THEN 'numbered' ELSE 'mixed' END AS style FROM c""",
