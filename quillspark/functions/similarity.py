@@ -126,8 +126,8 @@ def token_sort_ratio(a: str | None, b: str | None) -> float:
     return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
-def best_window(query: str, text: str) -> tuple[float, int, int]:
-    """(ratio, start, end) of the window of the query's length in the text that is most like it, cut windows at the ends included."""
+def best_window(query: str, text: str, cut: bool = False) -> tuple[float, int, int]:
+    """(ratio, start, end) of the window of the query's length in the text that is most like it, the first of equals; with ``cut``, windows that hang over the ends count too."""
     n = len(query)
     if not n or not text:
         return 0.0, 0, 0
@@ -136,7 +136,7 @@ def best_window(query: str, text: str) -> tuple[float, int, int]:
         return 100.0, at, at + n
     # the characters that a window shares with the query, order aside, bound the common subsequence: likeliest windows first
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.arange(1 - n, len(text))
+    starts = np.arange(1 - n, len(text)) if cut else np.arange(max(1, len(text) - n + 1))
     lows, highs = np.maximum(starts, 0), np.minimum(starts + n, len(text))
     shared = np.zeros(len(starts), np.int64)
     for c in set(query):
@@ -160,7 +160,7 @@ def partial_ratio(a: str | None, b: str | None) -> float:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
-    return (100.0 if not a and not b else 0.0) if not a else best_window(a, b)[0]
+    return (100.0 if not a and not b else 0.0) if not a else best_window(a, b, cut=True)[0]
 
 
 def _by_pair(function):
@@ -223,3 +223,38 @@ def window_match(query: Column, text: Column) -> Column:
 def length_allows(a: Column, b: Column, least: float) -> Column:
     """Whether lengths allow a ratio of ``least`` (0 to 100): the common subsequence is no longer than the shorter string."""
     return F.lit(200.0) * F.least(F.length(a), F.length(b)) >= F.lit(least) * (F.length(a) + F.length(b))
+
+
+#: Steps of the coarse window search, and how much longer than the quote its windows are.
+STEP, LONGER = 50, 20
+
+
+def validate_quote(quote: str, source: str, least: float) -> tuple[bool, float, str | None]:
+    """(found, similarity, best match) of a quote in a text, white space squeezed in both.
+
+    A quote is found by its partial ratio; the match is then the likest window of its length at every STEP-th place.
+    Else windows LONGER than the quote decide, at the same places.
+    """
+    q, s = " ".join(quote.split()), " ".join(source.split())
+    part = partial_ratio(q.lower(), s.lower()) / 100
+    found, more = part >= least, 0 if part >= least else LONGER
+    if len(q) >= len(s):
+        windows = [s]
+    else:
+        windows = [s[i : i + len(q) + more] for i in range(0, len(s) - len(q) + 1, STEP)]
+    scores = ratios([q.lower()] * len(windows), [w.lower() for w in windows])
+    best = int(scores.argmax())
+    if found:
+        return True, part, windows[best] if scores[best] > 0 else windows[0]
+    likeness = float(scores[best]) / 100
+    return likeness >= least, likeness, windows[best] if likeness >= least else None
+
+
+def quote_validation(quote: Column, text: Column, least: float) -> Column:
+    """struct<found, similarity, best_match>; blank quotes and empty texts find nothing."""
+
+    def check(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = [validate_quote(q, t, least) if q and q.strip() and t else (False, 0.0, None) for q, t in zip(quotes, texts, strict=True)]
+        return pd.DataFrame(rows, columns=["found", "similarity", "best_match"])
+
+    return F.pandas_udf(check, "found boolean, similarity double, best_match string")(quote, text)

@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.functions.spans import let
-from quillspark.functions.similarity import window_match
+from quillspark.functions.similarity import quote_validation, window_match
 
 # Fixed values.
 LEAST_SCORE, MOST_SECTIONS, SHORT_TEXT, FALLBACK_CHARS, SHORT_PARAGRAPH = 0.1, 5, 2000, 500, 50
 DIRECT, PARAPHRASED, LEAST_SIMILAR, VALID = 0.95, 0.75, 0.60, 0.85
 QUOTE_PENALTY = 0.2
+#: Quotes at most that are sent to all tasks.
+MOST_BROADCAST = 20_000
 
 
 def paragraphs_of(sources: DataFrame, separator: str = r"\n\s*\n") -> DataFrame:
@@ -71,10 +73,9 @@ def locate_quotes(pairs: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), "similarity", F.when(good, match_class(F.col("claim" if "claim" in pairs.columns else "quote"), part, F.col("similarity"))).alias("match_type"))
 
 
-def validate_quotes(pairs: DataFrame) -> DataFrame:
-    """Pairs (quote, text) with found and similarity, white space squeezed first."""
-    squeezed = pairs.withColumns({"quote": T.squeeze(F.col("quote")), "text": T.squeeze(F.col("text"))})
-    return locate_quotes(squeezed).withColumn("found", F.col("similarity") >= VALID)
+def validate_quotes(pairs: DataFrame, least: float = VALID) -> DataFrame:
+    """Pairs (quote, text) with found, similarity and best_match."""
+    return pairs.withColumn("_v", quote_validation(F.col("quote"), F.col("text"), least)).select(*pairs.columns, "_v.found", "_v.similarity", "_v.best_match")
 
 
 def apply_validation(results: DataFrame, validations: DataFrame, penalty: float = QUOTE_PENALTY) -> DataFrame:
@@ -103,7 +104,8 @@ def contained_quotes(quotes: DataFrame, sources: DataFrame, n: int = 4) -> DataF
     seeds = quotes.withColumn("w", words(F.col("quote"))).filter(F.size("w") >= n + 2).select("quote_id", "quote", F.array_join(F.slice("w", 2, n), " ").alias("seed"))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
     wide = sources.withColumn("w", words(F.col("text"))).filter(F.size("w") >= n).select("source_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("seed"))
-    pairs = wide.join(seeds, "seed").select("source_id", "quote_id", "quote")
+    # few quotes go to the texts, so that no gram is shuffled; many meet them by hash
+    pairs = wide.join(F.broadcast(seeds) if quotes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else seeds, "seed").select("source_id", "quote_id", "quote")
     at = F.instr("text", F.col("quote"))
     return pairs.join(sources, "source_id").filter(at > 0).select("quote_id", "source_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.functions.similarity import like_in_groups
+from quillspark.operators.lineage import settle
 
 # Fixed values.
 LONG_LINE = 20
@@ -101,16 +101,21 @@ def duplicate_pairs(references: DataFrame) -> DataFrame:
 
 
 def greedy_leaders(pairs: DataFrame) -> DataFrame:
-    """(session_id, ref_num, duplicate_of): in order, each reference joins the first leader it is paired with; one that joins is no leader."""
+    """(session_id, ref_num, duplicate_of): in order, each reference joins the first leader it is paired with; one that joins is no leader.
 
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[int, int] = {}
-        for a, b in sorted(zip(group["a"], group["b"], strict=True)):
-            if a not in taken and b not in taken:
-                taken[b] = a
-        return pd.DataFrame({"session_id": [group["session_id"].iloc[0]] * len(taken), "ref_num": list(taken), "duplicate_of": list(taken.values())})
-
-    return pairs.groupBy("session_id").applyInPandas(lead, "session_id string, ref_num long, duplicate_of long")
+    Pairs (a, b) have a < b. In each round, references that no open pair has as its later one are leaders, what is
+    paired with them is taken, and the pairs of those are closed. A taken reference's leader is the first of all.
+    """
+    every = settle(pairs.select("session_id", "a", "b").distinct())
+    left, taken = every, every.select("session_id", F.col("b").alias("ref_num")).limit(0)
+    while not left.isEmpty():
+        later = left.select("session_id", F.col("b").alias("a")).distinct()
+        now = settle(left.join(later, ["session_id", "a"], "left_anti").select("session_id", F.col("b").alias("ref_num")).distinct())
+        taken = taken.unionByName(now)
+        first, second = (now.select("session_id", F.col("ref_num").alias(c)) for c in "ab")
+        left = settle(left.join(first, ["session_id", "a"], "left_anti").join(second, ["session_id", "b"], "left_anti").select("session_id", "a", "b"))
+    led = every.join(taken.select("session_id", F.col("ref_num").alias("a")), ["session_id", "a"], "left_anti")
+    return led.groupBy("session_id", F.col("b").alias("ref_num")).agg(F.min("a").alias("duplicate_of"))
 
 
 def detect_duplicates(references: DataFrame) -> DataFrame:

@@ -143,6 +143,17 @@ def test_greedy_leaders(spark):
     assert {(r.ref_num, r.duplicate_of) for r in R.greedy_leaders(pairs).collect()} == {(2, 1), (5, 1), (4, 3)}
 
 
+def test_leaders_as_one_by_one(spark):
+    rng = random.Random(8)
+    pairs = sorted({(s, *sorted(rng.sample(range(25), 2))) for s in "xyz" for _ in range(45)})
+    want = {}
+    for s, a, b in pairs:
+        if (s, a) not in want and (s, b) not in want:
+            want[s, b] = a
+    got = R.greedy_leaders(spark.createDataFrame(pairs, "session_id string, a long, b long")).collect()
+    assert {(r.session_id, r.ref_num): r.duplicate_of for r in got} == want
+
+
 def slow_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -194,11 +205,12 @@ def test_best_window_equals_all_windows_and_prunes(monkeypatch):
     rng, plain = random.Random(5), similarity.ratio
     for _ in range(300):
         query, text = ("".join(rng.choice("abcé\U0001f600"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, n))) for n in (9, 40))
-        best = (0.0, 0, 0)
-        for start in range(1 - len(query), len(text)):
-            low, high = max(start, 0), min(start + len(query), len(text))
-            best = max(best, (plain(query, text[low:high]), low, high), key=lambda x: x[0])
-        assert similarity.best_window(query, text) == ((100.0, text.find(query), text.find(query) + len(query)) if query in text else best)
+        for cut, starts in ((True, range(1 - len(query), len(text))), (False, range(max(1, len(text) - len(query) + 1)))):
+            best = (0.0, 0, 0)
+            for start in starts:
+                low, high = max(start, 0), min(start + len(query), len(text))
+                best = max(best, (plain(query, text[low:high]), low, high), key=lambda x: x[0])
+            assert similarity.best_window(query, text, cut) == ((100.0, text.find(query), text.find(query) + len(query)) if query in text else best)
     calls = []
     monkeypatch.setattr(similarity, "ratio", lambda a, b: calls.append(1) or plain(a, b))
     words = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(4000))
@@ -206,6 +218,19 @@ def test_best_window_equals_all_windows_and_prunes(monkeypatch):
     assert similarity.best_window(query, words)[1:] == (15_000, 15_040) and len(calls) < 400
 
 
+def test_quotes_are_validated(spark):
+    from quillspark.operators import evidence
+
+    source = "The first trial of  the new compound\nshowed a clear gain of 5 % in all groups, and " + "more text follows here. " * 20
+    quotes = ["trial of the NEW compound showed", "trail of the new compond showed", "nothing of the kind was ever said", "  ", None, source]
+    table = spark.createDataFrame([(i, q, source) for i, q in enumerate(quotes)] + [(9, "x", ""), (10, "y", None)], "id int, quote string, text string")
+    got = {r.id: (r.found, round(r.similarity, 2), r.best_match) for r in evidence.validate_quotes(table).collect()}
+    flat = " ".join(source.split())
+    assert got[0][:2] == (True, 1.0) and got[1][0] and 0.85 <= got[1][1] < 1 and got[0][2] == flat[:32]
+    assert not got[2][0] and 0 < got[2][1] < 0.85 and got[2][2] is None and got[5] == (True, 1.0, flat)
+    assert all(got[i] == (False, 0.0, None) for i in (3, 4, 9, 10))
+
+
 def test_quotes_are_located_in_whole_texts(spark):
     from quillspark.plans.sources import k03_locate_quotes
 
