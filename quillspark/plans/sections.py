@@ -13,7 +13,8 @@ from quillspark.operators import matching as M
 from quillspark.operators import records, scopes, voting
 from quillspark.operators import sections as S
 from quillspark.plans.citations import paragraphs
-from quillspark.plans.stand_ins import PARAGRAPHS, REFERENCES, for_duckdb, load, stand_in
+from quillspark.plans.stand_ins import PARAGRAPHS, REFERENCES, VOTES, for_duckdb, load, stand_in
+from quillspark.streaming import events as EV
 
 #: Sections of fifty manuscripts, one per order: some of references, some without a heading, two paragraphs or one.
 SECTIONS = """
@@ -154,6 +155,51 @@ def a18_lookup_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lookup_by_title(refs, known)
 
 
+def stored_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", F.when(F.col("ref_num") % 4 > 0, F.array("surname", F.lit('O"Neil'))).alias("authors"))
+    return EV.to_rows(refs, ["authors"])
+
+
+def o01_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_references(spark, sf_dir)
+
+
+def o02_references_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = EV.from_rows(stored_references(spark, sf_dir), {"authors": "array<string>"})
+    return back.select("session_id", "ref_num", F.size("authors").alias("n"), F.array_join("authors", "; ").alias("authors"))
+
+
+def stored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.when(F.col("o_orderkey") % 3 > 0, F.struct(F.col("o_custkey").alias("para_idx"), F.array(F.lit("[1]")).alias("citation_markers")))
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.array("o_custkey", F.lit(7)).alias("reference_ids"), place.alias("location"))
+    return EV.to_rows(rows, ["reference_ids", "location"])
+
+
+def o03_claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_claims(spark, sf_dir)
+
+
+def o04_claims_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = EV.from_rows(stored_claims(spark, sf_dir), {"reference_ids": "array<long>", "location": "struct<para_idx:long,citation_markers:array<string>>"})
+    return back.select("claim_id", F.get("reference_ids", F.lit(0)).alias("first_id"), "location.para_idx", F.array_join("location.citation_markers", ",").alias("markers"))
+
+
+def stored_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = stand_in(spark, sf_dir, VOTES)
+    one = F.struct("vote_ord", "verdict", "confidence")
+    rows = votes.groupBy(F.col("unit_id").alias("claim_id")).agg(F.array_sort(F.collect_list(one)).alias("votes"))
+    return EV.to_rows(rows, ["votes"])
+
+
+def o05_verification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_verifications(spark, sf_dir)
+
+
+def o06_verifications_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = EV.from_rows(stored_verifications(spark, sf_dir), {"votes": "array<struct<vote_ord:int,verdict:string,confidence:double>>"})
+    return back.select("claim_id", F.size("votes").alias("n"), F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["confidence"]).alias("confidence"))
+
+
 _S, _A, _R = (for_duckdb(x) for x in (SECTIONS, ANSWERS, REFERENCES))
 _WHITE = r"E' \t\n\r\f\x0b'"
 _PARTS = rf"""SELECT session_id, section_ord, coalesce(heading, '') AS section, generate_subscripts(ps, 1) AS pos, trim(unnest(ps), {_WHITE}) AS text
@@ -165,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         d06_flatten_paragraphs, j14_all_paragraphs, j11_sections_for_claims, c17_manuscript_style, c19_markers, d02_single_paragraphs, e18_units_to_claims, j05_to_decompose, j02_reference_list, j19_locations, j16_located_claims,
-        k09_source_texts, k10_evidence_sections, k25_cannot_verify, l04_results_of_consensus, l23_finalize_single, l30_available_models, l44_json_text, a08_source_doi, a18_lookup_by_title,
+        k09_source_texts, k10_evidence_sections, k25_cannot_verify, o01_reference_rows, o02_references_read, o03_claim_rows, o04_claims_read, o05_verification_rows, o06_verifications_read, l04_results_of_consensus, l23_finalize_single, l30_available_models, l44_json_text, a08_source_doi, a18_lookup_by_title,
     )
 }
 ORACLE = {
@@ -197,4 +243,10 @@ ORACLE = {
     "l30_available_models": "SELECT s_name AS model, s_suppkey % 6 AS provider, s_suppkey % 4 AS tier, s_suppkey AS ord FROM supplier WHERE s_suppkey % 2 = 0",
     "l44_json_text": f"""WITH a AS (SELECT event_id, props, answer FROM ({_A}) JOIN events USING (event_id)) SELECT event_id, CASE event_id % 7 WHEN 3 THEN '[' || props || ', ' || props || ']' WHEN 4 THEN 'no json at all' WHEN 5 THEN answer WHEN 6 THEN '[1, 2]' ELSE props END AS json FROM a""",
     "a08_source_doi": f"""WITH d AS (SELECT p_partkey, doi FROM ({_R})) SELECT p_partkey, CASE WHEN p_partkey % 6 < 4 THEN doi WHEN p_partkey % 6 = 4 THEN '10.5555/' || p_partkey END AS doi FROM d""",
+    "o01_reference_rows": f"SELECT session_id, ref_num, CASE WHEN ref_num % 4 > 0 THEN to_json([surname, 'O\"Neil'])::VARCHAR END AS authors FROM ({_R})",
+    "o02_references_read": f"SELECT session_id, ref_num, CASE WHEN ref_num % 4 > 0 THEN 2 END AS n, CASE WHEN ref_num % 4 > 0 THEN surname || '; O\"Neil' END AS authors FROM ({_R})",
+    "o03_claim_rows": "SELECT o_orderkey AS claim_id, '[' || o_custkey || ',7]' AS reference_ids, CASE WHEN o_orderkey % 3 > 0 THEN to_json({'para_idx': o_custkey, 'citation_markers': ['[1]']})::VARCHAR END AS location FROM orders",
+    "o04_claims_read": "SELECT o_orderkey AS claim_id, o_custkey AS first_id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS para_idx, CASE WHEN o_orderkey % 3 > 0 THEN '[1]' END AS markers FROM orders",
+    "o05_verification_rows": f"""SELECT unit_id AS claim_id, '[' || string_agg(to_json({{'vote_ord': vote_ord, 'verdict': verdict, 'confidence': confidence}})::VARCHAR, ',' ORDER BY vote_ord) || ']' AS votes FROM ({for_duckdb(VOTES)}) GROUP BY unit_id""",
+    "o06_verifications_read": f"SELECT unit_id AS claim_id, count(*) AS n, sum(confidence) AS confidence FROM ({for_duckdb(VOTES)}) GROUP BY unit_id",
 }

@@ -7,7 +7,7 @@ same from a table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STAGES = 7
@@ -40,13 +40,8 @@ def activity(events: DataFrame, gap: str = "30 minutes", watermark: str | None =
     return events.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def counts_by_window(events: DataFrame, width: str = "10 minutes", watermark: str | None = None) -> DataFrame:
-    events = events.withWatermark("ts", watermark) if watermark else events
-    return events.groupBy("status", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("status", F.col("w.start").alias("started"), "n")
-
-
 def to_rows(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Events with their nested columns as JSON text, for storage."""
+    """Rows with their nested columns as JSON text, for storage: events, references, claims, verifications."""
     return events.withColumns({c: F.to_json(c) for c in columns})
 
 
@@ -58,7 +53,3 @@ def from_rows(rows: DataFrame, schemas: dict[str, str]) -> DataFrame:
 def append_stream(events: DataFrame, path: str, checkpoint: str):
     """Write a stream of events to a table, each once, until the input is used up."""
     return events.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-
-
-def progress(done: Column, total: Column) -> Column:
-    return F.when(total > 0, F.round(100.0 * done / total, 1)).otherwise(0.0)

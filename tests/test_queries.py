@@ -35,10 +35,14 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
+#: No title of the smallest table is like another.
+EMPTY = ("g02_duplicates",)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_other_queries_run(spark, name):
     found = catalogue.QUERIES[name](spark, SMALL)
-    assert found.count() > 0 and found.columns
+    assert found.columns and (found.count() > 0) == (name not in EMPTY)
 
 
 def test_entry(spark):
