@@ -47,9 +47,9 @@ SHINGLE = 5
 ROWS, BANDS = 6, 32
 THRESHOLD = 0.8
 #: Texts and words of a block, at most on average; a single text is never split.
-BLOCK_TEXTS, BLOCK_WORDS = 1024, 1_000_000
+BLOCK_TEXTS, BLOCK_WORDS = 1024, 300_000
 #: Texts that throw their darts at once.
-TEXTS_AT_ONCE = 1024
+TEXTS_AT_ONCE = 512
 #: Elements that are in more texts of a cell than this are counted by a matrix product, so many at a time.
 FREQUENT, COLUMNS = 32, 2048
 
@@ -160,8 +160,8 @@ def overlaps(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, rows: int, l
     n = np.diff(np.append(begin, len(gram)))
     element = np.repeat(np.arange(len(n)), n)
     rare = np.flatnonzero((place[doc] >= 0) & (n[element] > 1) & (n[element] <= FREQUENT))
-    for low in range(0, len(rare), 1 << 16):
-        some = rare[low : low + (1 << 16)]
+    for low in range(0, len(rare), 1 << 14):
+        some = rare[low : low + (1 << 14)]
         many = n[element[some]]
         other = np.repeat(begin[element[some]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         out += np.bincount(np.repeat(place[doc[some]], many) * rows + doc[other], minlength=out.size).reshape(out.shape).astype(np.float32)

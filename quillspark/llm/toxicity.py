@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import cut, labelled_sample
-from quillspark.llm._words import slices
+from quillspark.llm._words import row_slices, slices
 
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -44,7 +44,7 @@ EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\=^`"
 SUBSTITUTE, DROP, DROP_SYMBOL, DROP_REPEAT = -1.0, -0.5, -3.0, -0.7
 LETTERS = 28
 #: Labelled rows at most, and the tokens a worker remembers.
-LABELLED_ROWS, CACHE_TOKENS = 12_000, 200_000
+LABELLED_ROWS, CACHE_TOKENS = 12_000, 100_000
 #: Characters of a run or long token that are decoded at once, and those that two such pieces share.
 PIECE, SHARED = 4096, 512
 #: Share of the toxic rows that a term must be in, to be a term and to be a strong one; log odds of a strong one alone.
@@ -351,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = CharacterModel(counts), {}
         for batch in batches:
-            for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, y in ((t.as_py(), n.as_py()) for t, n in zip(*batch.columns, strict=True)):
                 found = sorted(restored_words(text or "", model, cache))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["word", "y"])
 
@@ -366,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
         finder = TermFinder(terms, CharacterModel(counts), known)
         place = {t: i for i, t in enumerate(terms)}
         for batch in batches:
-            found = [sorted(place[t] for t in finder.find(text)) for text in batch.column(0).to_pylist()]
+            found = [sorted(place[t] for t in finder.find(text)) for text in (t.as_py() for t in batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
 
     seen = sample.mapInArrow(hits, "y int, terms array<int>").groupBy("y", "terms").count().collect()
@@ -399,14 +399,15 @@ def add_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None
         for batch in batches:
-            if model.value is None:
-                scores = np.zeros(batch.num_rows)
-            else:
-                weights, constant, counts, known = model.value
-                finder = finder or TermFinder(weights, CharacterModel(counts), known)
-                total = [log_odds(finder.find(text), weights, constant) for text in batch.column(text_at).to_pylist()]
-                scores = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_column])
+            for part in row_slices(batch, text_at):
+                if model.value is None:
+                    scores = np.zeros(part.num_rows)
+                else:
+                    weights, constant, counts, known = model.value
+                    finder = finder or TermFinder(weights, CharacterModel(counts), known)
+                    total = [log_odds(finder.find(text), weights, constant) for text in part.column(text_at).to_pylist()]
+                    scores = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, score_column])
 
     schema = docs.limit(0).withColumn(score_column, F.lit(0.0)).schema
     return docs.mapInArrow(score, schema)
