@@ -62,16 +62,19 @@ class Words:
     ``buf`` the bytes, ``offsets`` where each text begins (one more than
     texts), ``starts``/``ends`` byte spans of words, ``doc`` the text of each
     word, ``first`` the index of each text's first word (one more than texts).
+    ``space`` flags the bytes that are in no word; ``fold`` maps bytes beforehand.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, space: np.ndarray = _SPACE, fold: np.ndarray | None = None):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         buffers = texts.buffers()
         self.offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].copy()
         low, high = (int(self.offsets[0]), int(self.offsets[-1])) if len(texts) else (0, 0)
         self.buf = np.frombuffer(buffers[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
         self.offsets -= low
-        space = _SPACE[self.buf]
+        if fold is not None:
+            self.buf = fold[self.buf]
+        space = space[self.buf]
         edge = np.zeros(len(self.buf) + 1, bool)
         edge[self.offsets] = True
         before = np.concatenate(([True], space[:-1])) if len(space) else space

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._tables import fold, table
 from quillspark.llm.ann import nearest
+from quillspark.llm.collocations import collocations
+from quillspark.llm.decontamination import find_contamination
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.packing import pack_documents
@@ -16,6 +18,7 @@ from quillspark.llm.sharding import shard_documents
 from quillspark.llm.substring_dedup import remove_repeats
 from quillspark.llm.toxicity import add_toxicity
 from quillspark.llm.url_filters import RULES, SOFT, STRICT, filter_urls
+from quillspark.llm.whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), top=2000)
+
+
 def _url_sql() -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
@@ -139,6 +162,39 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM wor
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)"""
 
+LEAKS_SQL = r"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0),
+pattern AS (SELECT DISTINCT item, least(len(ws), 10) AS m, array_to_string(ws[i:i + 9], ' ') AS t FROM p),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+s AS (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM pattern) WHERE len(ws) >= m),
+hit AS (SELECT r, i, m, item FROM (SELECT r, i, m, array_to_string(ws[i:i + m - 1], ' ') AS t FROM s) JOIN pattern USING (m, t)),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + m)) AS j FROM hit) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, g, count(*) AS c FROM (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM s) GROUP BY ALL HAVING count(*) >= 30),
+k AS (SELECT lang, m, g, c AS a, string_split(g, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+cuts AS (
+  SELECT k.lang, k.g, k.m, a, k, l.c AS l, r.c AS r, (2000000 * a::HUGEINT) // (l.c + r.c) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.g = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.g = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, c, m, string_split(g, ' ') AS ws, unnest(range(2, m)) AS j FROM f WHERE m > 2),
+part AS (SELECT lang, c, ws, j, unnest(range(1, m - j + 2)) AS i FROM inner_),
+within_ AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS g, max(c) AS c FROM part GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN within_ USING (lang, g) WHERE within_.c IS NULL OR 100 * within_.c < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ann": op2_ann,
@@ -150,6 +206,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE = {"op1_substring_dedup": REPEATS_SQL, "op6_mixing": MIX_SQL, "op9_url_filters": _url_sql()}
+ORACLE = {"op1_substring_dedup": REPEATS_SQL, "op6_mixing": MIX_SQL, "op9_url_filters": _url_sql(), "op12_decontamination": LEAKS_SQL, "op13_collocations": PHRASES_SQL}
