@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import free_name, shared_folder, table
+from quillspark.llm._tables import free_name, quoted, shared_folder, table
 from quillspark.llm.minhash_dedup import drop_near_duplicates
 from quillspark.llm.mixing import mix_documents, repeat_rows
 from quillspark.llm.packing import pack_documents
@@ -32,19 +32,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that aren't likely toxic; null and empty texts have no toxic term and stay. Without toxic labels all stay."""
     score = free_name("toxicity", docs.columns)
     scored = add_toxicity(docs, table(spark, sf_dir, "labels"), score_column=score)
-    return scored.filter(F.col(score) < TOXIC).select(*docs.columns)
+    return scored.filter(F.col(score) < TOXIC).select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, that of the smallest id; rows of null text all stay, of empty texts one."""
-    return drop_near_duplicates(docs).select(*docs.columns)
+    return drop_near_duplicates(docs).select(*quoted(docs.columns))
 
 
 def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with the length column brought up to date, should there be one."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+    return docs.select(*quoted(columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names as column references; dots and back-ticks in them stay part of the names."""
+    return [f"`{x.replace('`', '``')}`" for x in names]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with columns named c0, c1 ...: Arrow functions can't be given columns with dots in their names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def fold(doc_id, n: int):
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

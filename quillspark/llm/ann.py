@@ -6,8 +6,8 @@ order of estimated success: the sum over functions of the squared distance
 from the query to the borders that are crossed. What the tables find is ranked
 by exact cosines in double precision, a block of queries against a block of a
 cell's vectors, and merged. A query that finds fewer than ``k`` is compared
-with all vectors, in blocks. Cosines are rounded at the twelfth decimal, so that
-rounding errors of products don't decide between equals.
+with all vectors, in blocks. Ranks go by cosines rounded at the twelfth decimal,
+so that rounding errors of products don't decide between equals; scores are not rounded.
 
 Every vector is in every table. Equal vectors are one entry with their ``k + 1``
 smallest ids, which is all that a ranking can show; so a group of copies is
@@ -118,8 +118,8 @@ def nearest_in_block(queries: pa.Table, members: pa.Table, k: int, dimension: in
         low, high = np.searchsorted(cell_m, cell), np.searchsorted(cell_m, cell, "right")
         for at in range(q_low, q_high if high > low else q_low, QUERIES):
             block = q[at : min(at + QUERIES, q_high)]
-            cosines = np.round(block @ m[low:high].T, DECIMALS)
-            near = best_of(cosines, min(k + 1, high - low))
+            cosines = block @ m[low:high].T
+            near = best_of(np.round(cosines, DECIMALS), min(k + 1, high - low))
             out.append((np.repeat(np.arange(at, at + len(block)), near.shape[1]), (low + near).ravel(), np.take_along_axis(cosines, near, 1).ravel()))
     if not out:
         return schema.empty_table()
@@ -175,7 +175,7 @@ def nearest(
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
         ranked = one.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
         ranked = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = Window.partitionBy("query_id").orderBy(F.round("score", DECIMALS).desc(), "vec_id")
         return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm._tables import WORD, cut, free_name
+from quillspark.llm._tables import WORD, cut, free_name, quoted
 
 #: A table of at most this many sources is broadcast; one with more is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 #: The least quality weight.
 LEAST_WEIGHT = 0.05
-ADDED = ("size", "quality_weight", "mix_key", "source_size", "target", "epochs", "cut_key", "copies", "border_words", "taken")
+ADDED = ("size", "source_size", "target", "copies", "border_words", "taken")
 
 
 def quality_weight(text: Column) -> Column:
@@ -86,12 +86,13 @@ def mix_documents(
     and those below LEAST_WEIGHT count as that. Without it plain text counts more
     than text full of symbols.
     """
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in ADDED))
+    docs = docs.select(*quoted([c for c in docs.columns if c.lower() not in ADDED]))
+    weight, key, at, epochs, cut_key, rest = (free_name(x, docs.columns) for x in ("quality_weight", "mix_key", "mix_source", "epochs", "cut_key", "rest"))
     keyed = docs.withColumns(
-        {"size": F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long"), "quality_weight": quality_weight(F.col(text_column)) if quality_column is None else F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.col(quality_column).cast("double"), F.lit(0.0)))}
-    ).withColumn("mix_key", mix_key(F.col(id_column), F.col(text_column), F.col("quality_weight"), seed))
+        {"size": F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long"), weight: quality_weight(F.col(text_column)) if quality_column is None else F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.col(quality_column).cast("double"), F.lit(0.0)))}
+    ).withColumn(key, mix_key(F.col(id_column), F.col(text_column), F.col(weight), seed))
     # written once: ranges are found by a first pass over the keys
-    light = cut(keyed.select(F.col(source_column).alias("source"), "size", "mix_key"))
+    light = cut(keyed.select(F.col(source_column).alias("source"), "size", F.col(key).alias("mix_key")))
     # ordered by key within source, in ranges of like size however large one source is
     ranged = cut(light.repartitionByRange("source", "mix_key").withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -114,16 +115,16 @@ def mix_documents(
         .select("s", F.col("mix_key").alias("cut_key"), F.floor((F.col("budget") - F.col("offset")) / F.col("n")).alias("rest"))
     )
     plan = targets.join(keys, targets["source"].eqNullSafe(keys["s"]), "left").select(
-        F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut_key", "rest"
+        F.col("source").alias(at), "source_size", "target", F.col("epochs").alias(epochs), F.col("cut_key").alias(cut_key), F.col("rest").alias(rest)
     )
     plan = small(cut(plan))
-    border_words = F.when(F.col("mix_key") == F.col("cut_key"), F.least("rest", "size")).otherwise(0)
-    copies = F.col("epochs") + F.when(F.col("mix_key") < F.col("cut_key"), 1).otherwise(0)
+    border_words = F.when(F.col(key) == F.col(cut_key), F.least(rest, "size")).otherwise(0)
+    copies = F.col(epochs) + F.when(F.col(key) < F.col(cut_key), 1).otherwise(0)
     return (
-        keyed.join(plan, keyed[source_column].eqNullSafe(plan["mix_source"]))
+        keyed.join(plan, keyed[source_column].eqNullSafe(plan[at]))
         .withColumns({"copies": copies.cast("int"), "border_words": border_words})
         .withColumn("taken", F.col("copies") * F.col("size") + F.col("border_words"))
-        .drop("mix_source", "quality_weight", "mix_key", "epochs", "cut_key", "rest")
+        .drop(at, weight, key, epochs, cut_key, rest)
     )
 
 

@@ -46,7 +46,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import cut, free_name
+from quillspark.llm._tables import by_place, cut, free_name, quoted
 from quillspark.llm._words import Words, gram_hashes, slices, span_hashes
 
 WINDOW = 35
@@ -242,8 +242,8 @@ def remove_repeats(
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by a space) in place of columns of these names."""
     if sum(blocks) != window or not 0 < anchor < window:
         raise ValueError("blocks must add up to the window, and the anchor be shorter")
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")))
-    node = free_name("node", docs.columns)
+    docs = docs.select(*quoted([c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]))
+    node, plan_node, plan_places, plan_strikes = (free_name(x, docs.columns) for x in ("node", "plan_node", "plan_places", "plan_strikes"))
     keyed = docs.withColumn(node, F.xxhash64(text_column))
     texts = keyed.select(F.col(node).alias("node"), F.col(text_column).alias("text"))
     anchors = anchors_of(texts, window, anchor)
@@ -262,8 +262,8 @@ def remove_repeats(
         alone = spread.groupBy("a", "bc").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("node", "size", "place"))).filter("n = 1")
         unique = unique.union(alone.select("node", "size", "place"))
     strikes = unique.groupBy("node").agg(F.collect_set("place").alias("strikes"))
-    plan = cut(lists.select("node", "places").join(strikes, "node", "left")).select(F.col("node").alias("_plan_node"), F.col("places").alias("_places"), F.col("strikes").alias("_strikes"))
-    joined = keyed.join(plan, F.col(node) == F.col("_plan_node"), "left").drop("_plan_node", node)
+    plan = cut(lists.select("node", "places").join(strikes, "node", "left")).select(F.col("node").alias(plan_node), F.col("places").alias(plan_places), F.col("strikes").alias(plan_strikes))
+    joined = keyed.join(plan, F.col(node) == F.col(plan_node), "left").drop(plan_node, node)
     return cut_words(joined, docs, window, anchor, text_column)
 
 
@@ -274,7 +274,7 @@ def cut_words(joined: DataFrame, docs: DataFrame, window: int, anchor: int, text
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch, text_column):
+            for part, words in slices(batch, f"c{text_at}"):
                 places = [np.asarray(p, np.int64) if p else None for p in part.column(width).to_pylist()]
                 removed = np.zeros(len(words.starts), bool)
                 if any(p is not None for p in places):
@@ -300,4 +300,4 @@ def cut_words(joined: DataFrame, docs: DataFrame, window: int, anchor: int, text
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed", "kept_text"])
 
     schema = docs.limit(0).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
-    return joined.mapInArrow(make, schema)
+    return by_place(joined).mapInArrow(make, schema)

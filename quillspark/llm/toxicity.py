@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import cut, labelled_sample
+from quillspark.llm._tables import by_place, cut, labelled_sample, quoted
 from quillspark.llm._words import row_slices, slices
 
 #: What a character may stand for besides itself.
@@ -393,8 +393,8 @@ def add_toxicity(
     """``docs`` with the probability of label 1 of every row; ``where`` says which labels may be learnt from."""
     fitted = fit(docs, labels, target, F.lit(True) if where is None else where, labelled_rows)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
-    docs = docs.select(*(c for c in docs.columns if c.lower() != score_column.lower()))
-    text_at = docs.columns.index("text")
+    docs = docs.select(*quoted([c for c in docs.columns if c.lower() != score_column.lower()]))
+    text_at, names = docs.columns.index("text"), [*docs.columns, score_column]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None
@@ -407,7 +407,7 @@ def add_toxicity(
                     finder = finder or TermFinder(weights, CharacterModel(counts), known)
                     total = [log_odds(finder.find(text), weights, constant) for text in part.column(text_at).to_pylist()]
                     scores = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, score_column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=names)
 
     schema = docs.limit(0).withColumn(score_column, F.lit(0.0)).schema
-    return docs.mapInArrow(score, schema)
+    return by_place(docs).mapInArrow(score, schema)

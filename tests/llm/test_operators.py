@@ -128,8 +128,8 @@ def test_ties_go_to_smaller_ids(spark, block):
     rows = [(0, direction.tolist())] + [(i, (direction * rng.uniform(0.01, 90)).tolist()) for i in range(1, 60)] + [(i, rng.standard_normal(12).tolist()) for i in range(60, 99)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(table, F.col("vec_id") % 50 == 0, block=block).collect()}
-    assert [got[0, r] for r in range(1, 6)] == [(i, 1.0) for i in range(1, 6)]
-    assert [got[50, r] for r in range(1, 6)] == [(i, 1.0) for i in range(5)]
+    assert [got[0, r] for r in range(1, 6)] == [(i, pytest.approx(1.0)) for i in range(1, 6)]
+    assert [got[50, r] for r in range(1, 6)] == [(i, pytest.approx(1.0)) for i in range(5)]
 
 
 def test_best_of_is_a_stable_sort():
@@ -180,6 +180,71 @@ def test_shards_are_even_and_gapless(edge, bucket_bytes):
     assert sorted((r.shard, r.slot, r.doc_id or 0) for r in rows) == sorted((r.shard, r.slot, r.doc_id or 0) for r in got.collect())
 
 
+def test_positions_follow_from_scatter_and_counts(spark):
+    """Buckets, offsets and cuts reckoned a second time in Python; within a bucket rows are in another order than that of the hash."""
+    docs = docs_of(spark, [f"text {i} " * (i % 9) for i in range(900)])
+    size, seed, shards = 4000, 20, 7
+    h = F.xxhash64(F.lit(seed), "doc_id", "text")
+    hashed = {r.doc_id: (r.h, r.o) for r in docs.select("doc_id", h.alias("h"), F.xxhash64(F.lit(seed + 1), h).alias("o")).collect()}
+    buckets = -(-sum(len(r.text) + 1 for r in docs.collect()) // size)
+    count = collections.Counter(x % buckets for x, _ in hashed.values())
+    base = {b: sum(count[c] for c in range(b)) for b in range(buckets)}
+    low, extra = divmod(900, shards)
+    starts = [s * low + min(s, extra) for s in range(shards)]
+    places = collections.defaultdict(list)
+    for r in sharding.shard_documents(docs, shards=shards, bucket_bytes=size).collect():
+        places[hashed[r.doc_id][0] % buckets].append((starts[r.shard] + r.slot, hashed[r.doc_id][1]))
+    assert buckets > 8
+    for b, found in places.items():
+        assert sorted(at for at, _ in found) == list(range(base[b], base[b] + count[b]))
+    assert any([o for _, o in sorted(found)] != sorted(o for _, o in found) for found in places.values())
+
+
+def test_equal_rows_leave_their_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_BUCKETS", 2)
+    rows = [(7, "the same", "x")] * 300 + [(7, "the same", "y")] * 2 + [(None, None, "z")] * 150 + [(i, f"t{i}", "w") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    out = sharding.shard_documents(docs, shards=5, bucket_bytes=64)
+    got = out.collect()
+    assert sorted(((r.doc_id or -1, r.text or "", r["a.b"]) for r in got)) == sorted((i or -1, t or "", x) for i, t, x in rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s, n in enumerate([111, 111, 110, 110, 110]) for k in range(n)]
+    assert len({r.shard for r in got if r["a.b"] == "x"}) > 1
+
+
+CLASHES = ["rest", "mix_source", "cut_key", "epochs", "mix_key", "quality_weight", "_plan_node", "plan_node", "_places", "_strikes", "a.b", "copy", "node", "times", "kept_id", "kept_node", "rank", "query_id"]
+
+
+@pytest.mark.parametrize("operator", ["sharding", "mixing", "substring", "toxicity", "stages"])
+def test_columns_of_any_name_are_carried_along(spark, edge_labels, operator):
+    names = [*CLASHES, *(["shard", "slot"] if operator != "sharding" else [])]
+    rows = [(i, t, s, *(f"{n}{i}" for n in names)) for i, t, s, _ in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    if operator == "stages":
+        import corpus_pipeline
+
+        corpus_pipeline.table = lambda *_: edge_labels
+        try:
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                out = stage(spark, docs, "")
+                assert out.columns == docs.columns and out.count() <= docs.count()
+        finally:
+            from quillspark.llm._tables import table
+
+            corpus_pipeline.table = table
+        return
+    calls = {
+        "sharding": lambda: sharding.shard_documents(docs),
+        "mixing": lambda: mixing.mix_documents(docs),
+        "substring": lambda: substring_dedup.remove_repeats(docs),
+        "toxicity": lambda: toxicity.add_toxicity(docs, edge_labels),
+    }
+    out = calls[operator]()
+    assert set(docs.columns) <= set(out.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    picked = ["doc_id", *names]
+    assert sorted((tuple(r[n] for n in picked) for r in out.collect()), key=key) == sorted((tuple(r[n] for n in picked) for r in docs.collect()), key=key)
+
+
 def test_shards_of_few_and_no_rows(spark, empty):
     assert sharding.shard_documents(empty).count() == 0
     assert [(r.shard, r.slot) for r in sharding.shard_documents(docs_of(spark, ["a", None])).orderBy("shard").collect()] == [(0, 0), (1, 0)]
