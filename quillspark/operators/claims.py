@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.similarity import window_match
 from quillspark.functions.text import strip
+from quillspark.operators.approximate_search import find_likest
 
 # Fixed values.
 PRIORITY_OF_TYPE = {"factual": "high", "contrast": "high", "methodological": "medium", "background": "low", "attribution": "low", "interpretive": "low"}
@@ -40,16 +41,18 @@ def default_priority(claims: DataFrame) -> DataFrame:
 
 
 def place_claims(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Each claim's first paragraph that holds its text, else the most similar one of its session (at least 0.8).
+    """(session_id, claim_id, para_idx, start, similarity): each claim's first paragraph that holds its text, else the one of the largest partial ratio (at least 0.8).
 
-    Exact places are found first; only claims without one are compared with the session's paragraphs.
+    The place within it is that of the likest window of the claim's length. Equal claims of a session are looked for once.
     """
-    pairs = claims.select("session_id", "claim_id", "claim_text").join(paragraphs.select("session_id", "para_idx", "text"), "session_id")
-    exact = pairs.withColumn("at", F.instr("text", F.col("claim_text"))).filter("at > 0").groupBy("session_id", "claim_id").agg(F.min(F.struct("para_idx", F.col("at") - 1)).alias("p"))
-    exact = exact.select("session_id", "claim_id", F.col("p.para_idx").alias("para_idx"), F.col("p.col2").alias("start"), F.lit(1.0).alias("similarity"))
-    rest = pairs.join(exact, ["session_id", "claim_id"], "left_anti").withColumn("w", window_match(F.col("claim_text"), F.col("text"))).filter(F.col("w.similarity") >= LEAST_PARTIAL)
-    near = rest.groupBy("session_id", "claim_id").agg(F.max_by(F.struct("para_idx", F.col("w.start").alias("start"), F.col("w.similarity").alias("similarity")), F.struct(F.col("w.similarity"), -F.col("para_idx"))).alias("p"))
-    return exact.unionByName(near.select("session_id", "claim_id", "p.para_idx", "p.start", "p.similarity"))
+    asked = claims.select("session_id", "claim_id", "claim_text")
+    found = find_likest(asked.select(F.col("session_id").alias("k"), F.col("claim_text").alias("query")), paragraphs.select(F.col("session_id").alias("k"), F.col("para_idx").alias("place"), "text"), 100 * LEAST_PARTIAL)
+    held = found.join(paragraphs.select(F.col("session_id").alias("k"), F.col("para_idx").alias("place"), "text"), ["k", "place"])
+    at = F.instr("text", F.col("query"))
+    exact = held.filter(at > 0).withColumn("start", at - 1)
+    near = held.filter(at == 0).withColumn("start", window_match(F.col("query"), F.col("text"))["start"])
+    placed = exact.unionByName(near).select(F.col("k").alias("session_id"), F.col("query").alias("claim_text"), F.col("place").alias("para_idx"), "start", (F.col("score") / 100).alias("similarity"))
+    return asked.join(placed, ["session_id", "claim_text"]).drop("claim_text")
 
 
 def explode_for_verification(claims: DataFrame, references: DataFrame) -> DataFrame:

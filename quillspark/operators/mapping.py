@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.fold import last_name, plain_name
-from quillspark.functions.similarity import indel_ratio, length_allows
+from quillspark.operators.similarity_join import similarity_join
 
 # Confidence of each way of mapping, and the least ratio of names.
 CONFIDENCE = {"number": 1.0, "exact_author_year": 0.95, "fuzzy_author_year": 0.85, "multi_author_year": 0.90, "author_only": 0.70}
@@ -45,8 +45,8 @@ def map_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
     left = left.join(exact.select("cit_key"), "cit_key", "left_anti")
 
     wanted = left.filter("y is not null").select("session_id", "y", "name").distinct()
-    pairs = wanted.join(earliest.withColumnRenamed("name", "other"), ["session_id", "y"]).filter(length_allows(F.col("name"), F.col("other"), LEAST_RATIO))
-    pairs = pairs.withColumn("score", indel_ratio(F.col("name"), F.col("other"))).filter(F.col("score") >= LEAST_RATIO)
+    like = similarity_join(wanted.withColumnRenamed("name", "a"), earliest.withColumnRenamed("name", "b"), ["session_id", "y"], LEAST_RATIO, sort_tokens=False)
+    pairs = like.withColumnsRenamed({"a": "name", "b": "other"}).join(earliest.withColumnRenamed("name", "other"), ["session_id", "y", "other"])
     best = pairs.groupBy("session_id", "y", "name").agg(F.min_by("ref_num", F.struct(-F.col("score"), "ref_num")).alias("ref_num"))
     fuzzy = matched(left.join(best, ["session_id", "y", "name"]), "fuzzy_author_year")
     left = left.join(fuzzy.select("cit_key"), "cit_key", "left_anti")
@@ -61,8 +61,8 @@ def map_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
 
     names = left.filter("name is not null").select("session_id", "name").distinct()
     others = first.filter("name is not null").groupBy("session_id", "name").agg(F.min("ref_num").alias("ref_num")).withColumnRenamed("name", "other")
-    near = names.join(others, "session_id").filter((F.col("name") == F.col("other")) | length_allows(F.col("name"), F.col("other"), LEAST_RATIO))
-    near = near.filter((F.col("name") == F.col("other")) | (indel_ratio(F.col("name"), F.col("other")) >= LEAST_RATIO)).groupBy("session_id", "name").agg(F.min("ref_num").alias("ref_num"))
+    near = similarity_join(names.withColumnRenamed("name", "a"), others.withColumnRenamed("other", "b"), ["session_id"], LEAST_RATIO, sort_tokens=False).withColumnsRenamed({"a": "name", "b": "other"})
+    near = near.join(others, ["session_id", "other"]).groupBy("session_id", "name").agg(F.min("ref_num").alias("ref_num"))
     only = matched(left.join(near, ["session_id", "name"]), "author_only")
 
     mapped = by_number.unionByName(exact).unionByName(fuzzy).unionByName(multi).unionByName(only)

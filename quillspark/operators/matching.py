@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.similarity import length_allows, like_in_groups, token_sort
+from quillspark.operators.similarity_join import best_like, similarity_join
 from quillspark.functions.text import normalize_doi
 from quillspark.operators.lineage import settle
 
@@ -30,7 +30,7 @@ def title_scores(references: DataFrame, sources: DataFrame, least: float) -> Dat
     """(session_id, ref_num, pdf_ord, score): pairs of a session whose titles are as alike as ``least``; each pair of different titles is compared once."""
     some = F.coalesce("title", F.lit("")) != ""
     refs, pdfs = references.filter(some).select("session_id", "ref_num", F.lower("title").alias("a")), sources.filter(some).select("session_id", "pdf_ord", F.lower("title").alias("b"))
-    pairs = like_in_groups(refs, pdfs, "session_id", 100 * least)
+    pairs = similarity_join(refs, pdfs, ["session_id"], 100 * least)
     return refs.join(pairs, ["session_id", "a"]).join(pdfs, ["session_id", "b"]).select("session_id", "ref_num", "pdf_ord", (F.col("score") / 100).alias("score"))
 
 
@@ -147,17 +147,11 @@ def crossref_update(updates: Column) -> Column:
 def lookup_by_title(references: DataFrame, records: DataFrame, least: float = CONFIRM) -> DataFrame:
     """(ref_key, rec_key, score): the record whose title is most like each reference's, the smallest key of equals, if as alike as ``least``.
 
-    Pairs are made of titles that share one of a title's two rarest words (of three letters or more), so that nothing
-    is compared with the whole table; a record that shares neither is not found.
+    Different titles are compared once, through ``best_like``: by rare grams down to near matches, and only what has
+    none with all titles, in blocks.
     """
-    words = lambda title: F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    asked = references.filter(F.coalesce("title", F.lit("")) != "").select("ref_key", F.lower("title").alias("a"))
-    known = records.filter(F.coalesce("title", F.lit("")) != "").select("rec_key", F.lower("title").alias("b"))
-    by_word = known.select("rec_key", "b", F.explode(words(F.col("b"))).alias("word"))
-    counts = by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    own = asked.select("ref_key", "a", F.explode(words(F.col("a"))).alias("word")).join(counts, "word")
-    rarest = own.withColumn("nth", F.row_number().over(Window.partitionBy("ref_key").orderBy("n", "word"))).filter("nth <= 2")
-    pairs = rarest.join(by_word, "word").filter(length_allows(F.col("a"), F.col("b"), 100 * least)).select("ref_key", "rec_key", "a", "b").distinct()
-    scored = pairs.withColumn("score", token_sort(F.col("a"), F.col("b")) / 100).filter(F.col("score") >= least)
-    best = scored.groupBy("ref_key").agg(F.min_by(F.struct("rec_key", "score"), F.struct(-F.col("score"), "rec_key")).alias("b"))
-    return best.select("ref_key", "b.rec_key", "b.score")
+    some = F.coalesce("title", F.lit("")) != ""
+    asked = references.filter(some).select("ref_key", F.lower("title").alias("a"))
+    known = records.filter(some).groupBy(F.lower("title").alias("b")).agg(F.min("rec_key").alias("rec_key"))
+    likest = best_like(asked, known, 100 * least).join(known, "b").groupBy("a").agg(F.min("rec_key").alias("rec_key"), F.max("score").alias("score"))
+    return asked.join(likest, "a").select("ref_key", "rec_key", (F.col("score") / 100).alias("score"))

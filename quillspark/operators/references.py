@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
-from quillspark.functions.similarity import like_in_groups
+from quillspark.operators.similarity_join import similarity_join
 from quillspark.operators.lineage import settle
 
 # Fixed values.
@@ -91,7 +91,7 @@ def duplicate_pairs(references: DataFrame) -> DataFrame:
     pair = ["session_id", F.col("ref_num_a").alias("a"), F.col("ref_num_b").alias("b")]
     same_doi = a.withColumnRenamed("doi_a", "k").filter("k <> ''").join(b.withColumnRenamed("doi_b", "k"), ["session_id", "k"]).filter(later).select(*pair)
     titles = refs.filter("title <> ''")
-    like = like_in_groups(titles.select("session_id", F.col("title").alias("a")), titles.select("session_id", F.col("title").alias("b")), "session_id", SAME_TITLE_AND_AUTHOR)
+    like = similarity_join(titles.select("session_id", F.col("title").alias("a")), titles.select("session_id", F.col("title").alias("b")), ["session_id"], SAME_TITLE_AND_AUTHOR)
     both_ways = like.filter("a <> b").select("session_id", F.col("a").alias("title_a"), F.col("b").alias("title_b"), "score")
     equal = refs.filter("title <> ''").select("session_id", "title").distinct().select("session_id", F.col("title").alias("title_a"), F.col("title").alias("title_b"), F.lit(100.0).alias("score"))
     both_ways = both_ways.union(equal)
