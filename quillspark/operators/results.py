@@ -106,18 +106,49 @@ def flagged_references(references: DataFrame) -> DataFrame:
 
 
 def override(verifications: DataFrame, changes: DataFrame, row_id: str) -> DataFrame:
-    """Apply ``changes`` (claim_id, new_verdict): the first row of the claim changes, needs no review any more, and keeps its original verdict and confidence."""
+    """Apply ``changes`` (claim_id, new_verdict): the first row of the claim changes and needs no review any more.
+
+    Rows keep their very first verdict and confidence as the original ones, however often they are overridden, and what
+    earlier changes did to other rows stays. ``override_history`` keeps all versions.
+    """
     first = F.row_number().over(Window.partitionBy("claim_id").orderBy(row_id)) == 1
     marked = verifications.withColumn("is_first", first).join(changes, "claim_id", "left")
     hit = F.col("is_first") & F.col("new_verdict").isNotNull()
-    now = {"original_verdict": F.when(hit, F.col("verdict")), "verdict": F.when(hit, F.col("new_verdict")).otherwise(F.col("verdict")), "overridden": hit}
+    had = lambda c, default: F.col(c) if c in verifications.columns else default
+    before = had("overridden", F.lit(False))
+    kept = lambda c: F.when(before, had(f"original_{c}", F.lit(None))).when(hit, F.col(c))
+    now = {"original_verdict": kept("verdict"), "verdict": F.when(hit, F.col("new_verdict")).otherwise(F.col("verdict")), "overridden": before | hit}
     if "confidence" in verifications.columns:
-        now["original_confidence"] = F.when(hit, F.col("confidence"))
+        now["original_confidence"] = kept("confidence")
     if "needs_review" in verifications.columns:
         now["needs_review"] = F.col("needs_review") & ~hit
     return marked.withColumns(now).drop("is_first", "new_verdict")
 
 
+def override_history(verifications: DataFrame, changes: DataFrame, row_id: str) -> DataFrame:
+    """(claim_id, row_id, version, verdict, reason, valid_from, valid_to): what each row said, and from when to when.
+
+    ``changes``: claim_id, new_verdict, reason, changed_at, in any number of batches together; changes of unknown claims
+    are ignored, and of several at one time the last verdict by name counts last. Version 0 is a row as it was verified;
+    the first row of a claim has a version more for each change. The open version's ``valid_to`` is null.
+    """
+    first = F.row_number().over(Window.partitionBy("claim_id").orderBy(row_id)) == 1
+    rows = verifications.withColumn("is_first", first)
+    none = lambda kind: F.lit(None).cast(kind)
+    when = changes.schema["changed_at"].dataType
+    made = rows.select("claim_id", row_id, "verdict", none("string").alias("reason"), none(when).alias("valid_from"))
+    changed = rows.filter("is_first").select("claim_id", row_id).join(changes, "claim_id").select("claim_id", row_id, F.col("new_verdict").alias("verdict"), "reason", F.col("changed_at").alias("valid_from"))
+    order = Window.partitionBy("claim_id", row_id).orderBy(F.col("valid_from").asc_nulls_first(), "verdict", "reason")
+    return made.unionByName(changed).select("claim_id", row_id, (F.row_number().over(order) - 1).alias("version"), "verdict", "reason", "valid_from", F.lead("valid_from").over(order).alias("valid_to"))
+
+
+def verdicts_at(history: DataFrame, moment: Column | None = None) -> DataFrame:
+    """The versions of ``override_history`` that were valid at a moment (from ``valid_from`` on, before ``valid_to``), or are now."""
+    if moment is None:
+        return history.filter("valid_to IS NULL")
+    return history.filter((F.col("valid_from").isNull() | (F.col("valid_from") <= moment)) & (F.col("valid_to").isNull() | (moment < F.col("valid_to"))))
+
+
 def report_diff(verifications: DataFrame) -> DataFrame:
     """Overridden rows: original and new verdict."""
     return verifications.filter("overridden").select("claim_id", "original_verdict", F.col("verdict").alias("new_verdict"))

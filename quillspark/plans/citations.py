@@ -180,7 +180,8 @@ _D03 = rf"""WITH s AS ({_spans(C.PARENTHETICAL, _PAR)}), ok AS (SELECT * FROM s
   SELECT para_idx, count(*) AS n, array_to_string(list_sort(list(concat_ws('/', a, y))), ';') AS found FROM y GROUP BY para_idx"""
 _NAMES_OF = r"list_filter(list_transform(regexp_split_to_array(trim(regexp_replace({0}, '\s+et\s+al\.?', '', 'g')), '\s+(?:and|&)\s+|,\s*'), lambda n: trim(n)), lambda n: regexp_matches(n, '^[A-Z]'))"
 _NOT_AUTHORS = ", ".join(f"'{w}'" for w in C.NOT_AUTHORS)
-_NARR = rf"""SELECT *, {_NAMES_OF.format("regexp_split_to_array(marker, '\s+\(')[1]")} AS a, regexp_extract_all(marker, '\d{{4}}[a-z]?') AS ys
+_LEAD = r"regexp_split_to_array(marker, '\s+\(')[1]"
+_NARR = rf"""SELECT *, {_NAMES_OF.format(_LEAD)} AS a, regexp_extract_all(marker, '\d{{4}}[a-z]?') AS ys
   FROM ({_spans(C.NARRATIVE, _PAR)}) WHERE lower(rtrim(regexp_split_to_array(marker, '\s+')[1], ',')) NOT IN ({_NOT_AUTHORS})"""
 _D04 = f"""WITH n AS ({_NARR}), y AS (SELECT *, unnest(ys) AS y FROM n)
   SELECT para_idx, CASE WHEN len(ys) > 1 THEN array_to_string(a, ', ') || ' (' || y || ')' ELSE marker END AS raw_marker, array_to_string(a, '+') AS authors, y AS year, start, "end" FROM y"""

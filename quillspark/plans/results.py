@@ -17,7 +17,9 @@ CLAIMS = """
 SELECT o_orderkey AS claim_id, concat('claim ', CAST(o_orderkey AS STRING)) AS claim_text,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority,
   o_custkey AS para_idx FROM {orders} WHERE o_orderkey % 10 <> 0"""
+#: Two batches of overrides; some claims are in both.
 CHANGES = "SELECT o_orderkey AS claim_id, 'supported' AS new_verdict FROM {orders} WHERE o_orderkey % 17 = 0"
+CHANGES_AGAIN = "SELECT o_orderkey AS claim_id, 'contradicted' AS new_verdict FROM {orders} WHERE o_orderkey % 34 = 0 OR o_orderkey % 19 = 0"
 
 
 def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,8 @@ def m06_gap_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.override(verifications(spark, sf_dir), stand_in(spark, sf_dir, CHANGES), "row_id")
+    once = R.override(verifications(spark, sf_dir), stand_in(spark, sf_dir, CHANGES), "row_id")
+    return R.override(once, stand_in(spark, sf_dir, CHANGES_AGAIN), "row_id")
 
 
 def m07_override_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ def b25_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cache_stats(cache)
 
 
-_R = f"WITH r AS ({for_duckdb(VERIFICATIONS)}), c AS ({for_duckdb(CLAIMS)}), ch AS ({for_duckdb(CHANGES)}), f AS ({for_duckdb(REFERENCES)})"
+_R = f"WITH r AS ({for_duckdb(VERIFICATIONS)}), c AS ({for_duckdb(CLAIMS)}), ch AS (SELECT claim_id, coalesce(b.new_verdict, a.new_verdict) AS new_verdict FROM ({for_duckdb(CHANGES)}) a FULL JOIN ({for_duckdb(CHANGES_AGAIN)}) b USING (claim_id)), f AS ({for_duckdb(REFERENCES)})"
 _SEV = "CASE verdict WHEN 'contradicted' THEN 0 WHEN 'not_supported' THEN 1 WHEN 'partially_supported' THEN 2 WHEN 'cannot_verify' THEN 3 WHEN 'supported' THEN 4 ELSE 5 END"
 _FINDINGS = _R + " SELECT row_id, verdict, coalesce(claim_text, '') AS claim_text, coalesce(priority, '') AS priority, printf('%.0f%%', confidence * 100) AS percent FROM r LEFT JOIN c USING (claim_id) WHERE verdict IN ({})"
 _PLACED = "p AS (SELECT claim_id, CASE WHEN claim_id % 7 > 0 THEN para_idx END AS para_idx, claim_id % 90 AS s, para_idx AS ref FROM c)"

@@ -97,6 +97,14 @@ def j16_located_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.located_claims(claims, text).select("session_id", "claim_id", "location.para_idx", "location.char_start", "location.char_end")
 
 
+def j17_misspelt_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence of each paragraph with letters missing, doubled or exchanged, found by its likeness."""
+    text = paragraphs(spark, sf_dir).select("session_id", "para_idx", "section", "text")
+    wrong = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring("text", 3, 44), "(?<=[a-z])e", ""), "in", "ni"), "([sp])(?=[a-z])", "$1$1")
+    found = CL.place_claims(text.select("session_id", F.col("para_idx").alias("claim_id"), wrong.alias("claim_text")), text)
+    return found.select("session_id", "claim_id", "para_idx", "start", F.round("similarity", 6).alias("similarity"))
+
+
 def k09_source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"))
     lines = load(spark, sf_dir, "lineitem").filter("l_quantity > 40").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_linestatus").alias("mode"), F.max("l_returnflag").alias("flag"))
@@ -210,7 +218,7 @@ _NUM, _AY = S.NUMBERED_MARKER, S.AUTHOR_YEAR_MARKER
 QUERIES = {
     f.__name__: f
     for f in (
-        d06_flatten_paragraphs, j14_all_paragraphs, j11_sections_for_claims, c17_manuscript_style, c19_markers, d02_single_paragraphs, e18_units_to_claims, j05_to_decompose, j02_reference_list, j19_locations, j16_located_claims,
+        d06_flatten_paragraphs, j14_all_paragraphs, j11_sections_for_claims, c17_manuscript_style, c19_markers, d02_single_paragraphs, e18_units_to_claims, j05_to_decompose, j02_reference_list, j19_locations, j16_located_claims, j17_misspelt_claims,
         k09_source_texts, k10_evidence_sections, k25_cannot_verify, o01_reference_rows, o02_references_read, o03_claim_rows, o04_claims_read, o05_verification_rows, o06_verifications_read, l04_results_of_consensus, l23_finalize_single, l30_available_models, l44_json_text, a08_source_doi, a18_lookup_by_title,
     )
 }
@@ -231,6 +239,9 @@ ORACLE = {
     "j02_reference_list": f"""SELECT session_id, string_agg('[' || ref_num || ']' || CASE WHEN ref_num % 5 > 0 THEN ' ' || surname || ', Brown, Gear' ELSE '' END || ' ' || title || CASE WHEN ref_num % 3 = 0 THEN ' J Test' ELSE '' END || CASE WHEN ref_num % 4 > 0 THEN ' (' || year || ')' ELSE '' END, chr(10) ORDER BY ref_num) AS listing FROM ({_R}) GROUP BY session_id""",
     "j19_locations": rf"""WITH s AS (SELECT *, (length(text) // 2)::INT AS a, substr(text, (length(text) // 2)::INT + 1) AS claim FROM ({_S}))
       SELECT section_ord AS para_idx, a AS char_start, length(text) AS char_end, array_to_string(regexp_extract_all(claim, '{CL.MARKER_IDS}', 1), ';') AS markers, regexp_matches(substr(text, greatest(a - 50, 0) + 1, a + 50 - greatest(a - 50, 0)), '{CL.FIGURE}') AS in_figure_or_table FROM s""",
+    "j16_located_claims": f"""WITH p AS (SELECT session_id, para_idx, text FROM ({for_duckdb(PARAGRAPHS)})), q AS (SELECT DISTINCT session_id, substr(text, 5, 30) AS claim FROM p), t AS (SELECT session_id, text, min(para_idx) AS para_idx FROM p GROUP BY ALL),
+      f AS (SELECT q.session_id, claim, min(para_idx) AS at, arg_min(instr(text, claim) - 1, para_idx) AS char_start FROM q JOIN t ON t.session_id = q.session_id AND contains(text, claim) GROUP BY ALL)
+      SELECT p.session_id, p.para_idx AS claim_id, f.at AS para_idx, char_start, char_start + 30 AS char_end FROM p JOIN f ON f.session_id = p.session_id AND f.claim = substr(text, 5, 30)""",
     "k09_source_texts": """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_linestatus) AS m, max(l_returnflag) AS f FROM lineitem WHERE l_quantity > 40 GROUP BY ALL)
       SELECT o_orderkey AS claim_id, coalesce(string_agg(f, chr(10) || chr(10) ORDER BY l_linenumber), '') AS text, CASE WHEN count(f) > 0 THEN 'relevant_sections' ELSE 'no_source' END AS coverage, coalesce(string_agg(m, ',' ORDER BY l_linenumber), '') AS headings
       FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
