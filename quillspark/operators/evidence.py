@@ -13,7 +13,7 @@ from quillspark.functions.similarity import quote_validation, window_match
 # Fixed values.
 LEAST_SCORE, MOST_SECTIONS, SHORT_TEXT, FALLBACK_CHARS, SHORT_PARAGRAPH = 0.1, 5, 2000, 500, 50
 DIRECT, PARAPHRASED, LEAST_SIMILAR, VALID = 0.95, 0.75, 0.60, 0.85
-QUOTE_PENALTY = 0.2
+QUOTE_PENALTY, TIER_PENALTY, SECOND_MODEL_PENALTY = 0.2, 0.15, 0.1
 #: Quotes at most that are sent to all tasks.
 MOST_BROADCAST = 20_000
 
@@ -88,6 +88,15 @@ def apply_validation(results: DataFrame, validations: DataFrame, penalty: float
     ).drop("bad")
 
 
+def validate_tier(results: DataFrame, texts: DataFrame, penalty: float = TIER_PENALTY) -> DataFrame:
+    """Results (claim_id, quotes, confidence, needs_review, ...) of a tier, checked against their source (claim_id, text).
+
+    One quote that the text doesn't have costs the penalty, and review; results without quotes or text stay as they are.
+    """
+    pairs = results.select("claim_id", F.explode(F.array_distinct("quotes")).alias("quote")).join(texts.filter("text <> ''"), "claim_id")
+    return apply_validation(results, validate_quotes(pairs), penalty)
+
+
 def apply_claim_type(results: DataFrame) -> DataFrame:
     """Background claims of fair confidence count as supported; contrasts need review."""
     lifted = (F.col("claim_type") == "background") & (F.col("confidence") >= 0.5) & F.col("verdict").isin("partially_supported", "cannot_verify")

@@ -138,6 +138,21 @@ def retraction_status(notices: DataFrame) -> DataFrame:
     return notices.groupBy("ref_key").agg(F.max_by("status", grade).alias("status"))
 
 
+def retraction_report(references: DataFrame, notices: DataFrame) -> DataFrame:
+    """(ref_key, status, detail) of every reference (ref_key, doi, pmid): unknown without identifiers, ok where no service had
+    a notice, else the gravest notice (ref_key, service_ord, status, detail), of equally grave ones the first service's."""
+    grade = F.lit(0)
+    for name, n in SEVERITY.items():
+        grade = F.when(F.col("status") == name, n).otherwise(grade)
+    worst = notices.groupBy("ref_key").agg(F.max_by(F.struct("status", "detail"), F.struct(grade, -F.col("service_ord"))).alias("w"))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    joined = references.join(worst, "ref_key", "left")
+    none = ~some("doi") & ~some("pmid")
+    status = F.when(none, "unknown").when(F.col("w").isNull(), "ok").otherwise(F.col("w.status"))
+    detail = F.when(none, "No DOI or PMID available").when(F.col("w").isNull(), "No retraction info found").otherwise(F.col("w.detail"))
+    return joined.select("ref_key", status.alias("status"), detail.alias("detail"))
+
+
 def crossref_update(updates: Column) -> Column:
     """Status from an array of update types: the first that tells anything, else ok."""
     kind = lambda u: F.when(F.contains(u, F.lit("retraction")), "retracted").when(F.contains(u, F.lit("correction")) | F.contains(u, F.lit("erratum")), "corrected").when(F.contains(u, F.lit("concern")), "expression_of_concern")

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.records import distinct_quotes
+
 ABSTAIN, ESCALATE = "cannot_verify", "contradicted"
 ACTIVE = ("supported", "partially_supported", "not_supported", "contradicted")
 UNANIMOUS_BONUS, MAJORITY_PENALTY, FALLBACK_PENALTY = 0.05, 0.03, 0.1
+#: Claim types that follow the strict opinion.
+CONSERVATIVE = ("factual", "contrast", "methodological")
 
 
 def vote_sums(prefix: str, where: Column) -> list[Column]:
@@ -121,25 +125,55 @@ def merge_evidence(votes: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def merge_strategies(pairs: DataFrame) -> DataFrame:
-    """Two opinions of a unit (a_verdict, a_confidence, b_verdict, b_confidence) into one.
+def _opinion(name: str, field: str) -> Column:
+    return F.col(f"{name}_{field}")
 
-    Agreement gives the mean and a bonus; else an opinion that could verify wins over one that
-    couldn't, and the first otherwise, for review.
-    """
+
+def _merged(pairs: DataFrame, verdict: Column, review: Column, reasoning: Column, coverage: Column, tier: int) -> DataFrame:
+    """Two opinions a and b as one: agreement raises the mean confidence, and a disagreement keeps the mean."""
     same = F.col("a_verdict") == F.col("b_verdict")
-    a_lacks = F.col("a_verdict") == ABSTAIN
+    mean = (F.col("a_confidence") + F.col("b_confidence")) / 2
     return pairs.select(
         "unit_id",
-        F.when(~same & a_lacks, F.col("b_verdict")).otherwise(F.col("a_verdict")).alias("verdict"),
-        F.when(same, F.round(F.least(F.lit(1.0), (F.col("a_confidence") + F.col("b_confidence")) / 2 + UNANIMOUS_BONUS), 3))
-        .when(a_lacks, F.col("b_confidence"))
-        .otherwise(F.col("a_confidence"))
-        .alias("confidence"),
-        (~same).alias("needs_review"),
+        F.when(same, F.col("a_verdict")).otherwise(verdict).alias("verdict"),
+        F.when(same, F.bround(F.least(F.lit(1.0), mean + UNANIMOUS_BONUS), 3)).otherwise(F.bround(mean, 3)).alias("confidence"),
+        reasoning.alias("reasoning"),
+        distinct_quotes(F.col("a_quotes"), F.col("b_quotes")).alias("quotes"),
+        F.when(same, F.col("a_coverage")).otherwise(coverage).alias("source_coverage"),
+        (~same & review).alias("needs_review"),
+        F.lit(tier).alias("tier"),
     )
 
 
+def merge_strategies(pairs: DataFrame) -> DataFrame:
+    """A strict opinion a and a generous one b of a unit into one of tier 2.
+
+    ``pairs``: unit_id, claim_type, and verdict, confidence, reasoning, quotes and coverage of each. An opinion that could
+    not verify gives way to one that could, without review. Else claims of facts, contrasts and methods follow the strict
+    opinion and others the generous one, for review.
+    """
+    a, b = F.col("a_verdict"), F.col("b_verdict")
+    one_failed = (a == ABSTAIN) != (b == ABSTAIN)
+    strict = F.when(one_failed, b == ABSTAIN).otherwise(F.col("claim_type").isin(*CONSERVATIVE))
+    apart = F.concat(F.lit("[Strict \u2192 "), a, F.lit("] "), "a_reasoning", F.lit("\n[Generous \u2192 "), b, F.lit("] "), "b_reasoning")
+    together = F.concat(F.lit("[Strict] "), "a_reasoning", F.lit("\n[Generous] "), "b_reasoning")
+    covered = F.coalesce(F.nullif("a_coverage", F.lit("")), F.col("b_coverage"))
+    return _merged(pairs, F.when(strict, a).otherwise(b), ~one_failed, F.when(a == b, together).otherwise(apart), covered, 2)
+
+
+def merge_models(pairs: DataFrame) -> DataFrame:
+    """An opinion a of tier 2 and that of a second model b into one of tier 3, columns as in ``merge_strategies``.
+
+    A first opinion that could not verify gives way to the second, without review; else it stands, for review.
+    """
+    a, b = F.col("a_verdict"), F.col("b_verdict")
+    failed = a == ABSTAIN
+    apart = F.concat(F.lit("[Primary \u2192 "), a, F.lit("] "), "a_reasoning", F.lit("\n[Secondary \u2192 "), b, F.lit("] "), "b_reasoning")
+    together = F.concat("a_reasoning", F.lit("\n[Secondary model] "), "b_reasoning")
+    covered = F.coalesce(F.nullif("b_coverage", F.lit("")), F.col("a_coverage"))
+    return _merged(pairs, F.when(failed, b).otherwise(a), ~failed, F.when(a == b, together).otherwise(apart), covered, 3)
+
+
 def cost_summary(calls: DataFrame) -> DataFrame:
     """Calls and cost by model, by task, by tier and in all, by grouping sets over one scan; cost rounded to 4 digits."""
     return (

@@ -144,7 +144,7 @@ def f02_missing_in_manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = paragraphs(spark, sf_dir)
     sections = text.select("session_id", F.col("para_idx").alias("section_ord"), F.col("section").alias("heading"), "text")
     spans = cited(spark, sf_dir).select("session_id", "para_idx", "sent_start", "sent_end")
-    return scopes.missing_citations(sections, spans).select("session_id", "para_idx", "sentence", "category", "reason")
+    return scopes.missing_citations(sections, spans).select("session_id", "missing_id", "para_idx", "sentence", "category", "reason")
 
 
 def g01_duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

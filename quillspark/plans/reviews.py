@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import coverage as V
 from quillspark.operators import results as R
 from quillspark.operators.intervals import interval_join
-from quillspark.plans.results import CHANGES, CHANGES_AGAIN, VERIFICATIONS
-from quillspark.plans.stand_ins import PARAGRAPHS, REFERENCES, for_duckdb, stand_in
+from quillspark.operators.matching import SEVERITY, retraction_report
+from quillspark.plans.results import CHANGES, CHANGES_AGAIN, CLAIMS, VERIFICATIONS
+from quillspark.plans.stand_ins import PARAGRAPHS, REFERENCES, for_duckdb, load, stand_in
 
 #: Both batches of changes, with reasons and times.
 DATED = f"""
@@ -77,6 +80,20 @@ def u03_overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(*spans(spark, sf_dir), ["para_idx"], width=8)
 
 
+def m05_sorted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of 20 in every order."""
+    rows, claimed = verifications(spark, sf_dir), stand_in(spark, sf_dir, CLAIMS)
+    pages = [R.result_page(rows, claimed, "row_id", sort=s, number=2, per_page=20, min_confidence=0.6).select(F.lit(s).alias("sort"), "row_id", "verdict", "confidence", "priority", "reference_id") for s in ("verdict", "confidence", "priority", "ref_id")]
+    return reduce(DataFrame.unionByName, pages)
+
+
+def i07_retraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = stand_in(spark, sf_dir, REFERENCES).select(F.col("p_partkey").alias("ref_key"), F.when(F.col("p_partkey") % 3 > 0, F.col("doi")).alias("doi"), F.when(F.col("p_partkey") % 5 == 0, "77").alias("pmid"))
+    grades = F.array(*map(F.lit, SEVERITY))
+    notices = load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_partkey").alias("ref_key"), F.col("l_linenumber").alias("service_ord")).agg(F.max(F.col("l_suppkey") % 5).cast("int").alias("g"))
+    return retraction_report(refs, notices.select("ref_key", "service_ord", F.get(grades, F.col("g")).alias("status"), F.concat(F.lit("by "), F.col("service_ord").cast("string")).alias("detail")))
+
+
 _SPANS = f"""t AS (SELECT para_idx, text, regexp_extract(text, '\\[[^\\]]*\\]') AS m FROM ({for_duckdb(PARAGRAPHS)})),
   w AS (SELECT para_idx, unnest(range(0, length(text) // 40 + 1)) * 40 AS s, length(text) AS n FROM t),
   l AS (SELECT para_idx, s AS l_start, greatest(least(s + 40, n), s + 1) AS l_end FROM w UNION ALL SELECT para_idx, 0, length(text) FROM t),
@@ -90,7 +107,7 @@ _BOTH = f"""c AS (SELECT session_id, section, nullif(ref_num, 0) AS ref_num FROM
   n AS (SELECT session_id, ref_num, count(*) AS n FROM c GROUP BY ALL)"""
 _STATE = "s AS (SELECT session_id, f.ref_num, CASE WHEN n IS NULL THEN 'never_cited' ELSE 'cited' END AS state, coalesce(n, 0) AS n FROM f LEFT JOIN n USING (session_id, ref_num) UNION ALL SELECT session_id, ref_num, 'unresolved', n FROM n WHERE (session_id, coalesce(ref_num, -1)) NOT IN (SELECT session_id, ref_num FROM f))"
 
-QUERIES = {f.__name__: f for f in (m82_override_history, m83_verdicts_at, c60_reconciliation, c61_citation_coverage, c62_reference_coverage, e30_suffix_candidates, d25_markers_in_windows, u03_overlapping_spans)}
+QUERIES = {f.__name__: f for f in (m82_override_history, m83_verdicts_at, c60_reconciliation, c61_citation_coverage, c62_reference_coverage, e30_suffix_candidates, m05_sorted_pages, i07_retraction_report, d25_markers_in_windows, u03_overlapping_spans)}
 ORACLE = {
     "m82_override_history": f"WITH {_HISTORY} SELECT * FROM h",
     "m83_verdicts_at": f"WITH {_HISTORY} SELECT claim_id, row_id, version, verdict FROM h WHERE coalesce(valid_from, 0) <= 103 AND coalesce(valid_to, 104) > 103",
@@ -104,6 +121,13 @@ ORACLE = {
       c AS (SELECT cit_key, session_id, surname, left(year, 4)::INT AS year, nullif(substr(year, 5), '') AS suffix FROM ({for_duckdb(NAMED)})),
       m AS (SELECT *, coalesce(ascii(suffix) - 96 <= n, false) AS by_letter FROM c JOIN f USING (session_id, surname, year))
       SELECT cit_key, ref_num, suffix, CASE WHEN by_letter THEN 1 ELSE n END AS n_candidates, NOT by_letter AND n > 1 AS is_ambiguous FROM m WHERE NOT by_letter OR place = ascii(suffix) - 96""",
+    "m05_sorted_pages": f"""WITH v AS ({for_duckdb(VERIFICATIONS)}), j AS (SELECT row_id, verdict, confidence, coalesce(priority, '') AS priority, reference_id FROM v LEFT JOIN ({for_duckdb(CLAIMS)}) USING (claim_id) WHERE confidence >= 0.6),
+      r AS (SELECT *, list_position({list(R.SEVERITY)}, verdict) AS sv, coalesce(list_position({list(R.PRIORITY)}, priority), 9) AS sp FROM j),
+      k AS (SELECT *, row_number() OVER (ORDER BY sv, row_id) AS a, row_number() OVER (ORDER BY confidence DESC, row_id) AS b, row_number() OVER (ORDER BY sp, row_id) AS c, row_number() OVER (ORDER BY reference_id, row_id) AS d FROM r)
+      SELECT sort, row_id, verdict, confidence, priority, reference_id FROM (SELECT *, unnest(['verdict', 'confidence', 'priority', 'ref_id']) AS sort, unnest([a, b, c, d]) AS nth FROM k) WHERE nth BETWEEN 21 AND 40""",
+    "i07_retraction_report": f"""WITH f AS (SELECT p_partkey AS ref_key, p_partkey % 3 > 0 OR p_partkey % 5 = 0 AS has FROM ({for_duckdb(REFERENCES)})), n AS (SELECT l_partkey AS ref_key, l_linenumber AS o, max(l_suppkey % 5) AS g FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+      w AS (SELECT ref_key, {list(SEVERITY)} AS names, min(g) AS g, arg_min(o, g * 10 + o) AS o FROM n GROUP BY ref_key)
+      SELECT ref_key, CASE WHEN NOT has THEN 'unknown' WHEN g IS NULL THEN 'ok' ELSE names[g + 1] END AS status, CASE WHEN NOT has THEN 'No DOI or PMID available' WHEN g IS NULL THEN 'No retraction info found' ELSE 'by ' || o END AS detail FROM f LEFT JOIN w USING (ref_key)""",
     "d25_markers_in_windows": f"WITH {_SPANS} SELECT * FROM l JOIN r USING (para_idx) WHERE r_start >= l_start AND r_start < l_end",
     "u03_overlapping_spans": f"WITH {_SPANS} SELECT * FROM l JOIN r USING (para_idx) WHERE r_start < l_end AND l_start < r_end",
 }

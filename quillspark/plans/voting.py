@@ -54,13 +54,25 @@ def l08_votes_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.votes_by_tier(votes(spark, sf_dir))
 
 
+def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two votes of a unit as opinions, with a claim type."""
+    one = votes(spark, sf_dir).select("unit_id", "vote_ord", "verdict", "confidence", "reasoning", F.array("quote").alias("quotes"), F.when(F.col("vote_ord") == 1, F.when(F.col("unit_id") % 4 > 0, "full_text").otherwise("")).otherwise("abstract").alias("coverage"))
+    side = lambda n, c: one.filter(F.col("vote_ord") == n).select("unit_id", *(F.col(x).alias(f"{c}_{x}") for x in ("verdict", "confidence", "reasoning", "quotes", "coverage")))
+    kinds = F.array(*map(F.lit, ("factual", "contrast", "methodological", "background", "attribution", "interpretive")))
+    return side(1, "a").join(side(2, "b"), "unit_id").withColumn("claim_type", F.get(kinds, (F.col("unit_id") % 6).cast("int")))
+
+
 def l19_merge_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = votes(spark, sf_dir).groupBy("unit_id").agg(*(F.max_by(F.struct("verdict", "confidence"), F.when(F.col("vote_ord") == n, 1)).alias(c) for n, c in ((1, "a"), (2, "b"))))
-    pairs = firsts.filter("b is not null").select("unit_id", F.col("a.verdict").alias("a_verdict"), F.col("a.confidence").alias("a_confidence"), F.col("b.verdict").alias("b_verdict"), F.col("b.confidence").alias("b_confidence"))
-    return V.merge_strategies(pairs)
+    return V.merge_strategies(opinions(spark, sf_dir)).withColumn("quotes", F.array_join("quotes", "|"))
+
+
+def l27_merge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.merge_models(opinions(spark, sf_dir)).withColumn("quotes", F.array_join("quotes", "|"))
 
 
 _V = f"WITH v AS ({for_duckdb(VOTES)})"
+_TWO = """p AS (SELECT a.unit_id, a.verdict AS av, b.verdict AS bv, a.reasoning AS ar, b.reasoning AS br, CASE WHEN lower(trim(a.quote)) = lower(trim(b.quote)) THEN a.quote ELSE a.quote || '|' || b.quote END AS quotes,
+  CASE WHEN a.verdict = b.verdict THEN round_even(least(1.0, (a.confidence + b.confidence) / 2 + 0.05), 3) ELSE round_even((a.confidence + b.confidence) / 2, 3) END AS confidence FROM v a JOIN v b USING (unit_id) WHERE a.vote_ord = 1 AND b.vote_ord = 2)"""
 _COUNT = """
   SELECT unit_id, verdict, count(*) AS n, avg(confidence) AS c, min(vote_ord) AS o FROM v WHERE verdict <> 'cannot_verify' {more} GROUP BY unit_id, verdict"""
 
@@ -102,7 +114,7 @@ FROM named JOIN agree USING (unit_id)"""
 _CALLS = """WITH c AS (SELECT 'model' || (l_suppkey % 7) AS model, 'verification_tier' || (l_linenumber % 4) AS task, l_linenumber % 4 AS tier,
   round(l_quantity * 1000 / 1e6 * 0.5 + l_quantity * 250 / 1e6 * 2.0, 6) AS cost_usd FROM lineitem)"""
 
-QUERIES = {f.__name__: f for f in (l01_consensus, l02_escalation, l04_merge_evidence, l05_cost_grouping_sets, l06_running_cost, l07_jury, l08_votes_by_tier, l19_merge_strategies)}
+QUERIES = {f.__name__: f for f in (l01_consensus, l02_escalation, l04_merge_evidence, l05_cost_grouping_sets, l06_running_cost, l07_jury, l08_votes_by_tier, l19_merge_strategies, l27_merge_models)}
 ORACLE = {
     "l01_consensus": f"{_V}, {_consensus('true', 'x')} SELECT unit_id, verdict, confidence, consensus_type, agreement_ratio, n_votes FROM x",
     "l02_escalation": _L02,
@@ -118,7 +130,10 @@ ORACLE = {
     "l07_jury": f"""{_V}, c AS ({_COUNT.format(more='')}), u AS (SELECT DISTINCT unit_id FROM v)
       SELECT unit_id, arg_max(verdict, n * 1000 - o) AS majority, coalesce(sum(n) - max(n), 0)::BIGINT AS dissenters FROM u LEFT JOIN c USING (unit_id) GROUP BY unit_id""",
     "l08_votes_by_tier": f"{_V} SELECT unit_id, tier, string_agg(verdict, ',' ORDER BY vote_ord) AS verdicts FROM v GROUP BY unit_id, tier",
-    "l19_merge_strategies": f"""{_V}, p AS (SELECT a.unit_id, a.verdict AS av, a.confidence AS ac, b.verdict AS bv, b.confidence AS bc FROM v a JOIN v b USING (unit_id) WHERE a.vote_ord = 1 AND b.vote_ord = 2)
-      SELECT unit_id, CASE WHEN av <> bv AND av = 'cannot_verify' THEN bv ELSE av END AS verdict,
-        CASE WHEN av = bv THEN round(least(1.0, (ac + bc) / 2 + 0.05), 3) WHEN av = 'cannot_verify' THEN bc ELSE ac END AS confidence, av <> bv AS needs_review FROM p""",
+    "l19_merge_strategies": f"""{_V}, {_TWO} SELECT unit_id, CASE WHEN av = bv THEN av WHEN (av = 'cannot_verify') <> (bv = 'cannot_verify') THEN CASE WHEN bv = 'cannot_verify' THEN av ELSE bv END WHEN unit_id % 6 < 3 THEN av ELSE bv END AS verdict, confidence,
+      CASE WHEN av = bv THEN '[Strict] ' || ar || chr(10) || '[Generous] ' || br ELSE '[Strict → ' || av || '] ' || ar || chr(10) || '[Generous → ' || bv || '] ' || br END AS reasoning, quotes,
+      CASE WHEN unit_id % 4 > 0 THEN 'full_text' WHEN av = bv THEN '' ELSE 'abstract' END AS source_coverage, av <> bv AND (av = 'cannot_verify') = (bv = 'cannot_verify') AS needs_review, 2 AS tier FROM p""",
+    "l27_merge_models": f"""{_V}, {_TWO} SELECT unit_id, CASE WHEN av = 'cannot_verify' THEN bv ELSE av END AS verdict, confidence,
+      CASE WHEN av = bv THEN ar || chr(10) || '[Secondary model] ' || br ELSE '[Primary → ' || av || '] ' || ar || chr(10) || '[Secondary → ' || bv || '] ' || br END AS reasoning, quotes,
+      CASE WHEN av <> bv THEN 'abstract' WHEN unit_id % 4 > 0 THEN 'full_text' ELSE '' END AS source_coverage, av <> bv AND av <> 'cannot_verify' AS needs_review, 3 AS tier FROM p""",
 }
