@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Width of the narrowest bins, and how much wider each level is.
-WIDTH, STEP, LEVELS = 64, 8, 20
+WIDTH, STEP = 64, 8
 
 
 def _own_level(start: Column, last: Column, width: int) -> Column:
-    out = F.lit(LEVELS)
-    for k in reversed(range(LEVELS)):
+    levels = [k for k in range(21) if width * STEP**k < 1 << 62]
+    out = F.lit(levels[-1])
+    for k in reversed(levels):
         out = F.when(last - start < width * STEP**k, k).otherwise(out)
     return out
 

@@ -258,3 +258,77 @@ def test_lookup_by_title(spark):
     known = spark.createDataFrame([(10, "copper binds zinc strongly"), (11, "Copper binds zinc weakly"), (12, ""), (13, "nothing alike")], "rec_key long, title string")
     got = {r.ref_key: (r.rec_key, round(r.score, 3)) for r in matching.lookup_by_title(refs, known).collect()}
     assert got == {1: (10, 1.0), 4: (10, 1.0)}
+
+
+def test_library_and_migration(spark):
+    library = spark.createDataFrame([("doi_1", "/a.pdf", 1048576), ("title_2", "/b.pdf", 524288)], "lib_key string, path string, bytes long")
+    refs = spark.createDataFrame([("doi_1", None), ("title_2", "/own.pdf"), ("none", None)], "lib_key string, pdf_path string")
+    assert {r.lib_key: r.pdf_path for r in stores.enrich_from_library(refs, library).collect()} == {"doi_1": "/a.pdf", "title_2": "/own.pdf", "none": None}
+    assert tuple(stores.library_stats(library).first()) == (2, 1.5)
+    assert tuple(stores.library_stats(library.limit(0)).first()) == (0, None)
+    wider = stores.add_columns(library, {"added_at": "timestamp", "path": "int"})
+    assert wider.dtypes[-1] == ("added_at", "timestamp") and wider.schema["path"].dataType.simpleString() == "string" and wider.filter("added_at IS NULL").count() == 2
+
+
+def test_files_dates_and_priorities(spark):
+    from quillspark.operators import claims, records
+    from quillspark.sources.docx import is_pdf
+
+    files = spark.createDataFrame([(bytearray(b"%PDF-1.7 x"),), (bytearray(b"PK.."),), (bytearray(b""),), (None,)], "content binary")
+    assert [r[0] for r in files.select(is_pdf(F.col("content"))).collect()] == [True, False, False, None]
+    dates = spark.createDataFrame([([[2020, 5, 1]],), ([[2019]],), ([],), (None,)], "p array<array<int>>")
+    assert [r[0] for r in dates.select(records.update_date(F.col("p"))).collect()] == ["2020-5-1", "2019", "", ""]
+    kinds = spark.createDataFrame([(k,) for k in ("factual", "contrast", "methodological", "background", "attribution", "interpretive", "other", None)], "claim_type string")
+    assert [r.priority for r in claims.default_priority(kinds).collect()] == ["high", "high", "medium", "low", "low", "low", "medium", "medium"]
+    given = spark.createDataFrame([("s", 1, [3, 1, 9]), ("s", 2, []), ("t", 1, [1])], "session_id string, claim_id int, reference_ids array<int>")
+    refs = spark.createDataFrame([("s", 1, "one"), ("s", 3, "three")], "session_id string, ref_num int, title string")
+    got = [(r.claim_id, r.ref_pos, r.title) for r in claims.explode_for_verification(given, refs).orderBy("ref_pos").collect()]
+    assert got == [(1, 0, "three"), (1, 1, "one")]
+
+
+def test_overrides_in_batches(spark):
+    from quillspark.operators import results
+
+    rows = spark.createDataFrame([(1, 10, "supported", 0.9, True), (1, 11, "supported", 0.8, True), (2, 20, "contradicted", 0.7, True)], "claim_id int, row_id int, verdict string, confidence double, needs_review boolean")
+    batch = lambda *r: spark.createDataFrame(list(r), "claim_id int, new_verdict string")
+    out = results.override(results.override(results.override(rows, batch((1, "contradicted")), "row_id"), batch((2, "supported"), (7, "supported")), "row_id"), batch((1, "cannot_verify")), "row_id")
+    got = {r.row_id: (r.verdict, r.original_verdict, r.original_confidence, r.overridden, r.needs_review) for r in out.collect()}
+    assert got == {10: ("cannot_verify", "supported", 0.9, True, False), 11: ("supported", None, None, False, True), 20: ("supported", "contradicted", 0.7, True, False)}
+    assert {(r.claim_id, r.original_verdict, r.new_verdict) for r in results.report_diff(out).collect()} == {(1, "supported", "cannot_verify"), (2, "contradicted", "supported")}
+
+
+def test_quotes_of_a_tier(spark):
+    given = spark.createDataFrame([(1, ["copper binds zinc", "no such words here at all"], 0.1, False), (2, ["copper binds zinc"], 0.9, False), (3, [], 0.5, False), (4, ["anything"], 0.5, False)], "claim_id int, quotes array<string>, confidence double, needs_review boolean")
+    texts = spark.createDataFrame([(i, "we saw that copper binds zinc in mice") for i in (1, 2, 3)] + [(4, "")], "claim_id int, text string")
+    got = {r.claim_id: (r.confidence, r.needs_review) for r in evidence.validate_tier(given, texts).collect()}
+    assert got == {1: (0.0, True), 2: (0.9, False), 3: (0.5, False), 4: (0.5, False)}
+
+
+def test_suffixes_and_candidates(spark):
+    from quillspark.operators import coverage
+
+    refs = spark.createDataFrame([("s", 1, ["Smith, J."], 2001), ("s", 4, ["Smith, A."], 2001), ("s", 9, ["Smith, B."], 2002), ("s", 5, [], 2001), ("s", 6, ["Lee"], None)], "session_id string, ref_num int, authors array<string>, year int")
+    cits = spark.createDataFrame([(1, "s", ["Smith"], "2001a"), (2, "s", ["Smith"], "2001b"), (3, "s", ["Smith"], "2001"), (4, "s", ["Smith"], "2001c"), (5, "s", ["Smith"], "2002"), (6, "s", ["Lee"], "2001"), (7, "s", None, "2001"), (8, "s", ["Smith"], None)], "cit_key int, session_id string, authors array<string>, year string")
+    got = {}
+    for r in coverage.candidates(cits, refs).orderBy("ref_num").collect():
+        got.setdefault(r.cit_key, []).append((r.ref_num, r.n_candidates, r.is_ambiguous))
+    both = [(1, 2, True), (4, 2, True)]
+    assert got == {1: [(1, 1, False)], 2: [(4, 1, False)], 3: both, 4: both, 5: [(9, 1, False)]}
+
+
+def test_intervals_meet_as_in_all_pairs(spark):
+    import random
+
+    from quillspark.operators.intervals import interval_join
+
+    rng = random.Random(4)
+    span = lambda: (s := rng.randrange(0, 3000), s + rng.choice([0, 1, 5, 60, 700, 2500]))
+    left, right = [(rng.choice("ab"), i, *span()) for i in range(120)], [(rng.choice("ab"), i, *span()) for i in range(120)]
+    x, y = spark.createDataFrame([*left, ("a", -1, None, 5)], "k string, i int, start int, end int"), spark.createDataFrame(right, "k string, j int, start int, end int")
+    end = lambda r: max(r[3], r[2] + 1)
+    for how, meets in (("overlaps", lambda a, b: a[2] < end(b) and b[2] < end(a)), ("starts_in", lambda a, b: a[2] <= b[2] < end(a))):
+        got = sorted((r.i, r.j) for r in interval_join(x, y, ["k"], how, width=4).collect())
+        assert got == sorted((a[1], b[1]) for a in left for b in right if a[0] == b[0] and meets(a, b)) and got
+    assert interval_join(x.limit(0), y, ["k"]).count() == 0
+    plan = interval_join(x, y, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
