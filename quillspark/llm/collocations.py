@@ -7,10 +7,11 @@ serialised in order, in ranges of the phrases' first two words; the ranges are
 shuffled, and the sorted tries of a range are merged. A phrase that is frequent
 by itself has its range cut further by the whole phrase.
 
-A phrase of ``least`` occurrences has only pairs of neighbouring words of as
-many. So a first pass counts pairs in hashed cells, whose sums are never below
-a pair's own count, and a bit map of fixed size tells the second pass which
-pairs may be frequent; others end a trie's path. This leaves out no candidate.
+A phrase of ``least`` occurrences has only pairs of neighbouring words of as many.
+So a first pass counts words, the tries' first level, by a 64-bit key, and pairs
+in hashed cells whose sums are never below a pair's own count. A bit map of fixed
+size tells the second pass which pairs may be frequent; others end a trie's path.
+This leaves out no candidate.
 
 In the merged trie, a phrase's path less its last words gives the left parts of
 its cuts, and the path less its first words (its suffix link) the right parts.
@@ -68,6 +69,16 @@ def cells_of(lang: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return mix64(mix64(one + lang) * np.uint64(3) + two) >> np.uint64(64 - CELL_BITS)
 
 
+def word_keys(lang: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(word) + lang)
+
+
+def flagged(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    low = cells & np.uint64(8 * len(bits) - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -101,49 +112,60 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[d
         yield part, mine()
 
 
-def frequent_pairs(docs: DataFrame, least: int, parts: int) -> DataFrame:
-    """cell, n: cells of pairs of neighbouring words that ``least`` or more pairs fall into."""
-    shift = np.uint64(CELL_BITS)
+def frequent_cells(docs: DataFrame, least: int, parts: int, gather: int) -> DataFrame:
+    """is_word, cell, n: words (by key) that occur ``least`` times, and cells that as many pairs of neighbouring words fall into."""
+    bits = {True: np.uint64(64), False: np.uint64(CELL_BITS)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[bool, list] = {True: [], False: []}
+        size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            cells, counts = summed(*map(np.concatenate, zip(*held, strict=True)))
-            part = ((cells * np.uint64(parts)) >> shift).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            rows = [(int(p[0]), planes(np.diff(c, prepend=np.uint64(0))), planes(n)) for p, c, n in zip(np.split(part, cuts), np.split(cells, cuts), np.split(counts, cuts), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "cells", "counts"])
+            for is_word, some in held.items():
+                if some:
+                    cells, counts = summed(*map(np.concatenate, zip(*some, strict=True)))
+                    part = ((cells >> (bits[is_word] - np.uint64(32))) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(part)) + 1
+                    rows = [(int(p[0]), is_word, planes(np.diff(c, prepend=np.uint64(0))), planes(n)) for p, c, n in zip(np.split(part, cuts), np.split(cells, cuts), np.split(counts, cuts), strict=True)]
+                    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "is_word", "cells", "counts"])
+                    some.clear()
 
         for batch in batches:
             for _, words, h, lang in pieces(batch):
                 at = np.flatnonzero(words.near)
-                if len(at):
-                    cells = cells_of(lang[at], h[at], h[at + 1])
-                    held.append(summed(cells, np.ones(len(cells), np.int64)))
-                    size += len(held[-1][0])
-                if size > GATHER:
-                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > GATHER // 2:
+                for is_word, cells in ((True, word_keys(lang, h)), (False, cells_of(lang[at], h[at], h[at + 1]))):
+                    if len(cells):
+                        held[is_word].append(summed(cells, np.ones(len(cells), np.int64)))
+                        size += len(held[is_word][-1][0])
+                if size > gather:
+                    for some in held.values():
+                        some[:] = [summed(*map(np.concatenate, zip(*some, strict=True)))] if some else []
+                    size = sum(len(x[0][0]) for x in held.values() if x)
+                    if size > gather // 2:
                         yield from sent()
-                        held, size = [], 0
-        if held:
-            yield from sent()
+                        size = 0
+        yield from sent()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_part(batches):
-            held, size = [], 0
+            held: dict[bool, list] = {True: [], False: []}
+            size = {True: 0, False: 0}
             for r in rows:
-                held.append((np.cumsum(from_planes(r["cells"])), from_planes(r["counts"]).astype(np.int64)))
-                size += len(held[-1][0])
-                if size > 2 * GATHER:
-                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
-                    size = len(held[0][0]) // 2  # the next fold comes once as much again is there
-            cells, n = summed(*map(np.concatenate, zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(cells[n >= least].astype(np.int64)), pa.array(n[n >= least])], names=["cell", "n"])
-
-    return docs.mapInArrow(count, "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(merge, "cell long, n long")
+                some = held[r["is_word"]]
+                some.append((np.cumsum(from_planes(r["cells"])), from_planes(r["counts"]).astype(np.int64)))
+                size[r["is_word"]] += len(some[-1][0])
+                if size[r["is_word"]] > 2 * gather:
+                    some[:] = [summed(*map(np.concatenate, zip(*some, strict=True)))]
+                    size[r["is_word"]] = len(some[0][0]) // 2  # the next fold comes once as much again is there
+            for is_word, some in held.items():
+                if some:
+                    cells, n = summed(*map(np.concatenate, zip(*some, strict=True)))
+                    cells, n = cells[n >= least], n[n >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array([is_word] * len(n), pa.bool_()), pa.array(cells.view(np.int64)), pa.array(n)], names=["is_word", "cell", "n"])
+
+    shards = docs.mapInArrow(count, "part int, is_word boolean, cells binary, counts binary")
+    return shards.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "is_word boolean, cell long, n long")
 
 
 def bit_map(cells: DataFrame) -> np.ndarray:
@@ -216,21 +238,26 @@ def deserialised(raw: bytes, depth: int) -> Levels:
     return levels
 
 
-def phrase_tries(docs: DataFrame, flags, hot, parts: int, depth: int, least: int) -> DataFrame:
-    """path, depth, n, lang, word: the frequent nodes of the merged tries.
+def phrase_tries(docs: DataFrame, flags, hot, parts: int, depth: int, least: int, gather: int) -> DataFrame:
+    """path, depth, n, lang, word, key: the frequent nodes of the merged tries from depth 2 on.
 
-    A path is the language's hash and the words' hashes, 8 bytes each. Words (depth 1) come with their strings, and at
-    depth 0 stand sums over all words of a language, frequent or not, one row or more.
+    A path is the language's hash and the words' hashes, 8 bytes each. At depth 1 stand the words that such phrases may
+    have, with their strings and keys and without counts, and at depth 0 sums over all words of a language, one row or more.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, often = flags.value, hot.value
-        words_of: dict[tuple[int, int], list] = {}
+        words_of: dict[tuple[int, int], tuple[str, str]] = {}
+        totals: dict[tuple[str, int], int] = {}
         held: list[Levels] = []
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            rows = [(hash_ % parts, lang, at, word, n, None) for (at, hash_), (lang, word, n) in words_of.items()]
+            rows = [(at % parts, lang, at, None, n, None) for (lang, at), n in totals.items()]
+            listed: dict[tuple[int, str, int], list[str]] = {}
+            for (at, hash_), (lang, word) in words_of.items():
+                listed.setdefault((hash_ % parts, lang, at), []).append(word)
+            rows += [(*key, words, None, None) for key, words in listed.items()]
             levels = merged(held) if held else []
             homes = []
             for paths, _ in levels:
@@ -244,26 +271,25 @@ def phrase_tries(docs: DataFrame, flags, hot, parts: int, depth: int, least: int
                 mine = [(paths[home == part], n[home == part]) for (paths, n), home in zip(levels, homes, strict=True)]
                 rows.append((int(part), None, None, None, None, serialised(mine)))
             columns = zip(*rows, strict=True) if rows else [()] * 6
-            types = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["part", "lang", "lang_hash", "word", "n", "trie"])
+            types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["part", "lang", "lang_hash", "words", "n", "trie"])
 
         for batch in batches:
             for rows, words, h, lang in pieces(batch):
                 if not len(h):
                     continue
-                with np.errstate(over="ignore"):
-                    _, first, inverse, n = np.unique(mix64(h + mix64(lang)), return_index=True, return_inverse=True, return_counts=True)
                 names = rows.column(0)
-                for i, m in zip(first.tolist(), n.tolist(), strict=True):
-                    key = int(lang[i].astype(np.int64)), int(h[i])
-                    if key in words_of:
-                        words_of[key][2] += m
-                    else:
-                        words_of[key] = [names[int(words.doc[i])].as_py(), bytes(words.buf[words.starts[i] : words.ends[i]]).decode(), m]
+                for d, m in enumerate(words.counts.tolist()):
+                    key = names[d].as_py(), rows.column(1)[d].as_py()
+                    totals[key] = totals.get(key, 0) + m
                 at = np.flatnonzero(words.near)
-                cells = cells_of(lang[at], h[at], h[at + 1]) & np.uint64((1 << MAP_BITS) - 1)
                 ok = np.zeros(len(h), bool)
-                ok[at] = bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8) & 1
+                ok[at] = flagged(bits, cells_of(lang[at], h[at], h[at + 1]))
+                part = np.flatnonzero(ok | np.append(False, ok[:-1]))
+                for i in part[np.unique(word_keys(lang[part], h[part]), return_index=True)[1]].tolist():
+                    key = int(lang[i].astype(np.int64)), int(h[i])
+                    if key not in words_of:
+                        words_of[key] = names[int(words.doc[i])].as_py(), bytes(words.buf[words.starts[i] : words.ends[i]]).decode()
                 levels, run = [], ok
                 for k in range(2, depth + 1):
                     run = goes_on(run, ok, k - 2)
@@ -272,42 +298,47 @@ def phrase_tries(docs: DataFrame, flags, hot, parts: int, depth: int, least: int
                     levels.append(distinct_paths(paths, np.ones(len(begin), np.int64)))
                 held.append(levels)
                 size += sum(len(n) for _, n in levels)
-                if size > GATHER // 4:
+                full = len(words_of) > gather // 4
+                if size > gather // 4:
                     held = [merged(held)]
                     size = sum(len(n) for _, n in held[0])
-                if size > GATHER // 8 or len(words_of) > GATHER // 4:
+                    full |= size > gather // 8
+                if full:
                     yield from sent()
                     held, size = [], 0
                     words_of.clear()
+                    totals.clear()
         yield from sent()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_part(batches):
             held: list[Levels] = []
-            size, totals, words = 0, {}, {}
+            size, totals, words = 0, {}, set()
             for r in rows:
-                if r["trie"] is None:
-                    key = r["lang"], r["lang_hash"]
+                key = r["lang"], r["lang_hash"]
+                if r["words"] is not None:
+                    words.update((*key, w) for w in r["words"])
+                elif r["trie"] is None:
                     totals[key] = totals.get(key, 0) + r["n"]
-                    words[*key, r["word"]] = words.get((*key, r["word"]), 0) + r["n"]
                 else:
                     held.append(deserialised(r["trie"], depth))
                     size += sum(len(n) for _, n in held[-1])
-                    if size > GATHER:
+                    if size > gather:
                         held = [merged(held)]
                         size = sum(len(n) for _, n in held[0]) // 2
-            found = [(_path(at), 0, n, lang, None) for (lang, at), n in totals.items()]
-            often = [(*k, n) for k, n in words.items() if n >= least]
-            hashes = Pieces(pa.array([w for _, _, w, _ in often], pa.string())).hashes() if often else []
-            found += [(_path(at) + h.byteswap().tobytes(), 1, n, lang, word) for (lang, at, word, n), h in zip(often, hashes, strict=True)]
+            found = [(_path(at), 0, n, lang, None, None) for (lang, at), n in totals.items()]
+            listed = sorted(words)
+            hashes = Pieces(pa.array([w for _, _, w in listed], pa.string())).hashes()
+            keys = word_keys(np.array([at for _, at, _ in listed], np.int64).view(np.uint64), hashes).view(np.int64).tolist()
+            found += [(_path(at) + h.byteswap().tobytes(), 1, None, lang, word, key) for (lang, at, word), h, key in zip(listed, hashes, keys, strict=True)]
             for k, (paths, n) in enumerate(merged(held) if held else [], 2):
                 raw = paths[n >= least].byteswap()
-                found += [(x.tobytes(), k, m, None, None) for x, m in zip(raw, n[n >= least].tolist(), strict=True)]
-            types = (pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 5, types, strict=True)], names=["path", "depth", "n", "lang", "word"])
+                found += [(x.tobytes(), k, m, None, None, None) for x, m in zip(raw, n[n >= least].tolist(), strict=True)]
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 6, types, strict=True)], names=["path", "depth", "n", "lang", "word", "key"])
 
-    shards = docs.mapInArrow(count, "part int, lang string, lang_hash long, word string, n long, trie binary")
-    return shards.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "path binary, depth int, n long, lang string, word string")
+    shards = docs.mapInArrow(count, "part int, lang string, lang_hash long, words array<string>, n long, trie binary")
+    return shards.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "path binary, depth int, n long, lang string, word string, key long")
 
 
 def _path(lang_hash: int) -> bytes:
@@ -341,23 +372,26 @@ def longest_within(nodes: DataFrame, depth: int) -> DataFrame:
     return longer.select("n", F.explode(spans).alias("path")).groupBy("path").agg(F.max("n").alias("within"))
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, depth: int = DEPTH, contained: int = CONTAINED, parts: int | None = None, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, depth: int = DEPTH, contained: int = CONTAINED, parts: int | None = None, gather: int = GATHER, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language.
 
-    ``parts``: prefix ranges, four times the shuffle partitions unless given.
+    ``parts``: prefix ranges, four times the shuffle partitions unless given. ``gather``: entries that a task holds before
+    it sends them on.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_hash"), F.col(text_column).alias("text"))
-    cells = cut(frequent_pairs(rows, least, parts))
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    hot = [r.cell for r in cells.filter(F.col("n") > total // parts).select("cell").collect()]  # at most ``parts``
+    cells = cut(frequent_cells(rows, least, parts, gather))
+    pairs = cells.filter("NOT is_word")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    hot = [r.cell for r in pairs.filter(F.col("n") > total // parts).select("cell").collect()]  # at most ``parts``
     send = spark.sparkContext.broadcast
-    nodes = cut(phrase_tries(rows, send(bit_map(cells)), send(np.array(hot, np.uint64)), parts, depth, least))
+    nodes = cut(phrase_tries(rows, send(bit_map(pairs)), send(np.array(hot, np.uint64)), parts, depth, least, gather))
     sizes = nodes.filter("depth = 0").groupBy("lang", F.col("path").alias("root")).agg(F.sum("n").alias("n"))
     words = nodes.filter("depth = 1").select(F.col("path").alias("at"), "word")
-    kept = best_cuts(nodes).join(longest_within(nodes, depth), "path", "left")
+    counted = nodes.filter("depth = 1").drop("n").join(cells.filter("is_word").select(F.col("cell").alias("key"), "n"), "key")
+    kept = best_cuts(nodes.filter("depth > 1").unionByName(counted)).join(longest_within(nodes, depth), "path", "left")
     kept = kept.filter(F.expr(f"within is null or cast(within as decimal(19, 0)) * 100 < cast(a as decimal(19, 0)) * {contained}"))
     kept = kept.withColumn("root", F.expr("substring(path, 1, 8)"))
     # ties at the border stay until the phrases' words are there to break them

@@ -163,7 +163,6 @@ def brute_phrases(rows, top, least, depth=4):
 
 @pytest.mark.parametrize(("gather", "parts", "bits"), [(1 << 21, None, 26), (200, 3, 26), (64, 50, 8)])
 def test_collocations_as_by_brute_force(spark, monkeypatch, gather, parts, bits):
-    monkeypatch.setattr(collocations, "GATHER", gather)
     monkeypatch.setattr(collocations, "MAP_BITS", bits)
     rng = random.Random(gather)
     vocabulary = ["of", "The", "the", "new", "york", "city", "É", "日本", "a-b", "x"] + [f"w{i}" for i in range(30)]
@@ -171,7 +170,7 @@ def test_collocations_as_by_brute_force(spark, monkeypatch, gather, parts, bits)
     text = lambda: "".join(w + rng.choice([" "] * 8 + ["\t ", ". ", ",", "\n"]) for _ in range(rng.randrange(0, 60)) for w in (rng.choice(phrases) if rng.random() < 0.25 else [rng.choice(vocabulary)]))
     rows = [(rng.choice(["en", "en", "en", None, "de", "und"]), text()) for _ in range(250)] + [("en", None), ("en", ""), ("fr", "one two"), ("en", "x " * 500)] + [("de", "Same words here")] * 40
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
-    got = collocations.collocations(docs, top=25, least=6, parts=parts).collect()
+    got = collocations.collocations(docs, top=25, least=6, parts=parts, gather=gather).collect()
     assert sorted(tuple(r) for r in got) == brute_phrases(rows, 25, 6)
 
 
