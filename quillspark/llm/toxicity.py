@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import by_place, cut, labelled_sample, quoted
+from quillspark.llm._tables import by_place, cut, labelled_sample, quoted, small_batches
 from quillspark.llm._words import row_slices, slices
 
 #: What a character may stand for besides itself.
@@ -45,8 +45,8 @@ SUBSTITUTE, DROP, DROP_SYMBOL, DROP_REPEAT = -1.0, -0.5, -3.0, -0.7
 LETTERS = 28
 #: Labelled rows at most, and the tokens a worker remembers.
 LABELLED_ROWS, CACHE_TOKENS = 12_000, 100_000
-#: Characters of a run or long token that are decoded at once, and those that two such pieces share.
-PIECE, SHARED = 4096, 512
+#: Characters of a run or long token whose scores are held at once.
+BLOCK = 4096
 #: Share of the toxic rows that a term must be in, to be a term and to be a strong one; log odds of a strong one alone.
 TERM_SHARE, STRONG_SHARE, STRONG_ODDS = 0.01, 0.03, 3.0
 
@@ -112,41 +112,49 @@ class CharacterModel:
         """Whether a word may end before place ``at``: everywhere if spread out, else beside what is no letter or digit."""
         return spread or at == len(run) or not (run[at].isalnum() and (at == 0 or run[at - 1].isalnum()))
 
-    def forward(self, run: str, spread: bool) -> list[dict[tuple[int, int], tuple[float, tuple]]]:
-        """Of each place in a run, the best score and path to each pair of last codes."""
-        places: list[dict[tuple[int, int], tuple[float, tuple]]] = [{(0, 0): (0.0, ())}]
-        for at, char in enumerate(run):
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            ways = self.ways(char, run[at - 1] if at else "")
-            for (a, b), (score, path) in places[-1].items():
-                for c, cost in ways:
-                    x, y = (b, self.code(c)) if c else (a, b)
-                    s = score + cost + (self.log[a][b][y] if c else 0.0)
-                    if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = s, (path, c) if c else path
-            for state, ended, cost in list(self.closings(after, self.may_end(run, at + 1, spread))):
-                s, path = after[state]
-                if ended not in after or s + cost > after[ended][0]:
-                    after[ended] = s + cost, (path, " ")
-            places.append(after)
+    def after(self, run: str, at: int, states: dict, spread: bool) -> dict[tuple[int, int], tuple[float, tuple]]:
+        """The best score and path to each pair of last codes after the character at a place, from those before it."""
+        out: dict[tuple[int, int], tuple[float, tuple]] = {}
+        ways = self.ways(run[at], run[at - 1] if at else "")
+        for (a, b), (score, path) in states.items():
+            for c, cost in ways:
+                x, y = (b, self.code(c)) if c else (a, b)
+                s = score + cost + (self.log[a][b][y] if c else 0.0)
+                if (x, y) not in out or s > out[x, y][0]:
+                    out[x, y] = s, (path, c) if c else path
+        for state, ended, cost in list(self.closings(out, self.may_end(run, at + 1, spread))):
+            s, path = out[state]
+            if ended not in out or s + cost > out[ended][0]:
+                out[ended] = s + cost, (path, " ")
+        return out
+
+    def forward(self, run: str, spread: bool, low: int, high: int, states: dict[tuple[int, int], float]) -> list[dict[tuple[int, int], float]]:
+        """Of each place from ``low`` to ``high``, the best score to each pair of last codes, from those at ``low``."""
+        places = [states]
+        for at in range(low, high):
+            before = {k: (s, ()) for k, s in places[-1].items()}
+            places.append({k: s for k, (s, _) in self.after(run, at, before, spread).items()})
         return places
 
-    def backward(self, run: str, places: list[dict], spread: bool) -> list[dict[tuple[int, int], float]]:
-        """Of each place and state of ``forward``, the best score of what follows, to a word end."""
+    def backward(self, run: str, spread: bool, low: int, places: list[dict], end: dict[tuple[int, int], float]) -> list[dict[tuple[int, int], float]]:
+        """Of each place and state of ``places`` (those from ``low``), the best score of what follows, from those at the last place."""
         left: list[dict[tuple[int, int], float]] = [{} for _ in places]
-        left[-1] = {(a, b): self.log[a][b][0] if b else 0.0 for a, b in places[-1]}
-        for at in range(len(run) - 1, -1, -1):
+        left[-1] = end
+        for i in range(len(places) - 2, -1, -1):
+            at = low + i
             ways = self.ways(run[at], run[at - 1] if at else "")
-            here, then = left[at], left[at + 1]
-            for a, b in places[at]:
+            here, then = left[i], left[i + 1]
+            for a, b in places[i]:
                 here[a, b] = max(cost + (self.log[a][b][self.code(c)] + then[b, self.code(c)] if c else then[a, b]) for c, cost in ways)
             for state, ended, cost in self.closings(here, at > 0 and self.may_end(run, at, spread)):
                 here[state] = max(here[state], cost + here[ended])
         return left
 
     def segment(self, run: str, spread: bool = True) -> list[str]:
-        """The words of the best path through a run."""
-        states = self.forward(run, spread)[-1]
+        """The words of the best path through a run; only the last states are held, and the letters of their paths."""
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for at in range(len(run)):
+            states = self.after(run, at, states, spread)
         path = max(((s + (self.log[a][b][0] if b else 0.0), (a, b)) for (a, b), (s, _) in states.items()))[1]
         path, out = states[path][1], []
         while path:
@@ -154,31 +162,57 @@ class CharacterModel:
             out.append(c)
         return "".join(reversed(out)).split()
 
-    def terms_in(self, run: str, trie: dict, spread: bool = True) -> set[str]:
-        """Terms that are words of some path within MARGIN of the best one."""
-        places = self.forward(run, spread)
-        left = self.backward(run, places, spread)
-        least = left[0][0, 0] - MARGIN
+    def scored_blocks(self, run: str, spread: bool, block: int) -> Iterator[tuple[int, list[dict], list[dict]]]:
+        """(first place, forward scores, backward scores) of a run's blocks in turn.
+
+        A run of several blocks is gone through three times, with the scores at the blocks' borders kept, so that one
+        block's scores are held at a time.
+        """
+        lows = list(range(0, max(len(run), 1), block))
+        begins: list[dict[tuple[int, int], float]] = [{(0, 0): 0.0}]
+        places: list[dict] = []
+        for low in lows:
+            places = self.forward(run, spread, low, min(low + block, len(run)), begins[-1])
+            begins.append(places[-1])
+        ends = [{(a, b): self.log[a][b][0] if b else 0.0 for a, b in begins[-1]}]
+        if len(lows) == 1:
+            yield 0, places, self.backward(run, spread, 0, places, ends[0])
+            return
+        for low, begin in zip(reversed(lows), reversed(begins[:-1]), strict=True):
+            ends.append(self.backward(run, spread, low, self.forward(run, spread, low, min(low + block, len(run)), begin), ends[-1])[0])
+        for low, begin, end in zip(lows, begins[:-1], reversed(ends[:-1]), strict=True):
+            places = self.forward(run, spread, low, min(low + block, len(run)), begin)
+            yield low, places, self.backward(run, spread, low, places, end)
+
+    def terms_in(self, run: str, trie: dict, spread: bool = True, block: int = BLOCK) -> set[str]:
+        """Terms that are words of some path within MARGIN of the best one, at any length of the run."""
         found: set[str] = set()
-        for start, states in enumerate(places):
-            active = [(a, b, s, trie) for (a, b), (s, _) in states.items() if not b]
-            at = start
-            while active and at < len(run):
-                after: dict[tuple, tuple] = {}
-                for a, b, s, node in active:
+        least = None
+        active: dict[tuple[int, int, int], tuple[float, dict]] = {}
+        for low, places, left in self.scored_blocks(run, spread, block):
+            if least is None:
+                least = left[0][0, 0] - MARGIN
+            for at in range(low, low + len(places) - 1):
+                for (a, b), s in places[at - low].items():
+                    if not b:  # a word may begin here
+                        key = a, b, id(trie)
+                        if key not in active or s > active[key][0]:
+                            active[key] = s, trie
+                after: dict[tuple[int, int, int], tuple[float, dict]] = {}
+                for (a, b, _), (s, node) in active.items():
                     for c, cost in self.ways(run[at], run[at - 1] if at else ""):
-                        y = self.code(c) if c else b
                         to = node.get(c) if c else node
                         if to is not None and (c or node is not trie):
-                            after.setdefault((b if c else a, y, id(to)), (-math.inf, to))
+                            x, y = (b, self.code(c)) if c else (a, b)
                             total = s + cost + (self.log[a][b][y] if c else 0.0)
-                            if total > after[b if c else a, y, id(to)][0]:
-                                after[b if c else a, y, id(to)] = total, to
-                at += 1
-                active = [(a, b, s, node) for (a, b, _), (s, node) in after.items() if s + left[at][a, b] >= least]
-                for a, b, s, node in active:
-                    if "" in node and self.may_end(run, at, spread) and s + self.log[a][b][0] + left[at][b, 0] >= least:
-                        found.add(node[""])
+                            if (x, y, id(to)) not in after or total > after[x, y, id(to)][0]:
+                                after[x, y, id(to)] = total, to
+                then = left[at + 1 - low]
+                active = {k: v for k, v in after.items() if v[0] + then[k[0], k[1]] >= least}
+                if self.may_end(run, at + 1, spread):
+                    for (a, b, _), (s, node) in active.items():
+                        if "" in node and s + self.log[a][b][0] + then[b, 0] >= least:
+                            found.add(node[""])
         return found
 
 
@@ -212,19 +246,6 @@ def squeezed(run: str) -> str:
     return _FOUR.sub(r"\1\1\1", run)
 
 
-def pieces(run: str, spread: bool) -> Iterator[str]:
-    """Overlapping pieces that bound the memory of a very long run; those of a token begin and end beside a separator."""
-    for start in range(0, max(1, len(run) - SHARED), PIECE - SHARED):
-        low, high = start, min(start + PIECE, len(run))
-        if not spread:
-            while 0 < low < high and run[low - 1].isalnum():
-                low += 1
-            while low < high < len(run) and run[high].isalnum():
-                high -= 1
-        if low < high:
-            yield run[low:high]
-
-
 def spread_runs(text: str) -> list[str]:
     """Runs of RUN or more single characters between blanks of any length, punctuation at their sides taken off, joined."""
     if not _SPREAD.search(text):
@@ -239,12 +260,12 @@ def restored_words(text: str, model: CharacterModel, cache: dict[str, tuple[str,
     low = text.lower()
     out = set()
     for run in set(spread_runs(low)):
-        out.update(w for piece in pieces(run, True) for w in model.segment(piece) if w.isalpha())
+        out.update(w for w in model.segment(run) if w.isalpha())
     for token in set(low.split()):
         found = cache.get(token)
         if found is None:
             if suspicious(token):
-                found = tuple(w for piece in pieces(squeezed(token), False) for w in model.segment(piece, spread=False) if w.isalpha())
+                found = tuple(w for w in model.segment(squeezed(token), spread=False) if w.isalpha())
             else:
                 core = token.strip(EDGES)
                 found = (core,) if core.isalpha() else ()
@@ -283,7 +304,7 @@ class TermFinder:
         found = self.cache.get(token)
         if found is None:
             if suspicious(token) or self.doubled(token):
-                found = frozenset().union(*(self.model.terms_in(piece, self.trie, spread=False) for piece in pieces(squeezed(token), False)))
+                found = frozenset(self.model.terms_in(squeezed(token), self.trie, spread=False))
             else:
                 found = self.terms & {token.strip(EDGES)}
             if len(self.cache) >= CACHE_TOKENS:
@@ -301,7 +322,7 @@ class TermFinder:
         if _TRIPLE.search(low):
             odd += [t for t in tokens if t.isalpha() and _TRIPLE.search(t)]
         for run in set(spread_runs(low)):
-            out.update(*(self.model.terms_in(piece, self.trie) for piece in pieces(run, True)))
+            out.update(self.model.terms_in(run, self.trie))
         odd += self.fresh(tokens)
         return out.union(*map(self.of_token, odd))
 
@@ -391,6 +412,7 @@ def add_toxicity(
     docs: DataFrame, labels: DataFrame, target: str = "toxic", where: Column | None = None, labelled_rows: int = LABELLED_ROWS, score_column: str = "score"
 ) -> DataFrame:
     """``docs`` with the probability of label 1 of every row; ``where`` says which labels may be learnt from."""
+    small_batches(docs.sparkSession)
     fitted = fit(docs, labels, target, F.lit(True) if where is None else where, labelled_rows)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     docs = docs.select(*quoted([c for c in docs.columns if c.lower() != score_column.lower()]))

@@ -578,14 +578,23 @@ def test_spread_terms_are_found_next_to_other_words(spark):
     assert all(s >= 0.5 for s in scores[: len(hidden)]) and all(s < 0.5 for s in scores[len(hidden) :])
 
 
-def test_pieces_share_whole_words():
-    rng = random.Random(1)
-    run = "".join(rng.choice("ab,") for _ in range(30_000))
-    assert list(toxicity.pieces("abc", False)) == list(toxicity.pieces("abc", True)) == ["abc"] and not list(toxicity.pieces("", True))
+def test_runs_of_any_length_are_decoded_as_one():
+    """Blocks of any size give the same terms, and long stretches without a separator are decoded too."""
+    rng = random.Random(5)
+    counts = np.zeros((28, 28, 28))
+    for word in ["idiot", "moron", "hello", "there", "house", "you", "are", "lid", "idle"] * 20:
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for x in zip(codes, codes[1:], codes[2:]):
+            counts[x] += 1
+    model, trie = toxicity.CharacterModel(counts), toxicity.trie_of(["idiot", "moron", "lid", "are"])
     for spread in (True, False):
-        got = list(toxicity.pieces(run, spread))
-        assert all(len(p) <= toxicity.PIECE for p in got) and all(any(run[i : i + 400] in p for p in got) for i in range(0, 29_600, 97))
-    assert {w for p in toxicity.pieces(run, False) for w in p.split(",")} == set(run.split(","))
+        for _ in range(12):
+            run = "".join(rng.choice(["1d10t", "m0r0n", "hello", "y0u", "4re", "l1d", "-", "..", "iiddl"]) for _ in range(rng.randrange(1, 9)))
+            want = model.terms_in(run, trie, spread)
+            assert all(model.terms_in(run, trie, spread, block) == want for block in (1, 3, 7, 20))
+    long = "h0use-" * 900 + "1d10t" + "-h0use" * 900
+    assert "idiot" in model.terms_in(long, trie, False) and "idiot" in model.segment(long, False)
+    assert model.segment("1d" * 3000, False) and model.segment("m0r0n" * 1200, True)
 
 
 def test_long_and_doubled_tokens_are_restored(spark):
@@ -835,3 +844,23 @@ def test_pipeline_stages(spark):
         assert cut[r.doc_id].text == (kept if gone else r.text)
     assert P.mixing(spark, docs, SMALL).columns == docs.columns
     assert P.run(spark, SMALL).count() > 0
+
+
+def test_urls_long_and_repeated(spark):
+    long = "https://example.com/" + "a/" * 20_000 + "porn"
+    rows = [(1, long), (1, long), (2, None), (2, None), (None, "x"), (3, "https://example.com/" + "b" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    strict = url_filters.STRICT[0]
+    more = spark.createDataFrame([(9, f"https://h.org/{'c/' * 9000}{strict}?q")] * 2, "page_id long, url string")
+    got = url_filters.filter_urls(pages.union(more)).collect()
+    assert collections.Counter(r.page_id for r in got) == {1: 2, 2: 2, None: 1, 3: 1, 9: 2}
+    assert {r.verdict for r in got if r.page_id == 9} == {"block"} and {r.verdict for r in got if r.page_id == 3} == {"allow"}
+    assert all(r.host == "" and r.path == "" for r in got if r.page_id in (2, None))
+
+
+def test_vectors_with_clashing_columns(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(6).tolist(), 7, "x", 0.5) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, query_id string, `a.score` double")
+    plain = ann.nearest(table.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, ann.nearest(table, F.col("vec_id") % 50 == 0).collect())) == sorted(map(tuple, plain)) and len(plain) == 10
