@@ -50,6 +50,13 @@ def quoted(names: list[str]) -> list[str]:
     return [f"`{x.replace('`', '``')}`" for x in names]
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """From now on Arrow batches have so many rows at most: a batch of whole texts is held several times, in the JVM and in Python."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """``df`` with columns named c0, c1 ...: Arrow functions can't be given columns with dots in their names."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -38,7 +38,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
         with np.errstate(over="ignore"):
             for i, b in enumerate((_BASE, _INVERSE)):
                 steps = np.full(size, b, np.uint64)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import cut
+from quillspark.llm._tables import cut, small_batches
 from quillspark.llm._words import Words, gram_hashes, mix64, slices
 
 SHINGLE = 5
@@ -320,6 +320,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, node, class, class_id, is_kept): the class of each row, named by its smallest id; is_kept marks the row (or
     the rows equal to it) that stands for the class."""
+    small_batches(docs.sparkSession)
     light = docs.select(F.col(id_column).alias(id_column), F.xxhash64(text_column).alias("node"), F.col(text_column).isNull().alias("is_null"))
     texts = docs.filter(F.col(text_column).isNotNull()).select(F.xxhash64(text_column).alias("node"), F.col(text_column).alias("text"))
     classes = node_classes(texts, threshold, rows, bands, block)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspark.llm._tables import small_batches
 from quillspark.llm._words import Words, row_slices
 
 WINDOW = 4096
@@ -32,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: How the tokenizer cuts texts, after lower-casing: a fixed value of its file. Other tokenizers get whole texts.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces that a worker remembers, before it begins anew; slots of its table, a power of two.
-PIECES_KEPT, SLOT_BITS = 1_500_000, 22
+PIECES_KEPT, SLOT_BITS = 1_500_000, 18
 
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -261,11 +262,6 @@ class PieceEncoder:
         return self.ids[at], np.diff(upto[first])
 
 
-@lru_cache(maxsize=1)
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
-
-
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str | None = None,
@@ -280,6 +276,7 @@ def pack_documents(
 
     ``tokenizer_path`` defaults to the public word BPE of the tokenizers folder.
     """
+    small_batches(docs.sparkSession)
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def group_out(ids: list[pa.Array], tokens: list[np.ndarray], totals: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
@@ -311,7 +308,7 @@ def pack_documents(
             import public_tokenizers
 
             path = str(public_tokenizers.path(TOKENIZER))
-        encoder = piece_encoder(path)
+        encoder = PieceEncoder(path)  # a task's own: an idle worker holds no table
         first = TaskContext.get().partitionId() << 36
         ids, tokens, totals, held, size = [], [], [], 0, 0
         for batch in batches:

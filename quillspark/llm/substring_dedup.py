@@ -46,7 +46,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import by_place, cut, free_name, quoted
+from quillspark.llm._tables import by_place, cut, free_name, quoted, small_batches
 from quillspark.llm._words import Words, gram_hashes, slices, span_hashes
 
 WINDOW = 35
@@ -240,6 +240,7 @@ def remove_repeats(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, blocks: tuple[int, ...] = BLOCKS, most: int = MOST, text_column: str = "text"
 ) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (the words that stay, joined by a space) in place of columns of these names."""
+    small_batches(docs.sparkSession)
     if sum(blocks) != window or not 0 < anchor < window:
         raise ValueError("blocks must add up to the window, and the anchor be shorter")
     docs = docs.select(*quoted([c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]))
