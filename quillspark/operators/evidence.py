@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as T
 from quillspark.functions.spans import let
 from quillspark.functions.similarity import quote_validation, window_match
+from quillspark.operators.lineage import spread
 
 # Fixed values.
 LEAST_SCORE, MOST_SECTIONS, SHORT_TEXT, FALLBACK_CHARS, SHORT_PARAGRAPH = 0.1, 5, 2000, 500, 50
@@ -28,20 +29,26 @@ def relevant_sections(claims: DataFrame, sources: DataFrame, most: int = MOST_SE
     """(claim_id, rank, heading, section, score): what a model is shown of a claim's source.
 
     ``claims``: claim_id, source_id, claim_text. Short sources come whole; else the best paragraphs above
-    the least score, in order of score and place; else the source's first characters.
+    the least score, in order of score and place; else the source's first characters. Claims meet their texts once, and
+    a text's paragraphs are ranked within its row.
     """
     words = claims.select("claim_id", "source_id", T.keywords(F.col("claim_text")).alias("words"), T.numbers(F.col("claim_text")).alias("figures"))
-    # nothing of a short source is scored
-    short = sources.filter(F.length("text") < SHORT_TEXT)
-    whole = words.join(short, "source_id").filter("text <> ''").select("claim_id", F.lit(1).alias("rank"), F.lit("Full Text").alias("heading"), F.col("text").alias("section"), F.lit(None).cast("double").alias("score"))
-    long = sources.filter(F.length("text") >= SHORT_TEXT)
-    scored = words.join(paragraphs_of(long, separator), "source_id").withColumn("score", T.section_score(F.col("paragraph"), F.col("words"), F.col("figures"))).filter(F.col("score") > LEAST_SCORE)
-    nth = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "pos"))
-    top = scored.withColumn("rank", nth).filter(F.col("rank") <= most)
-    best = top.select("claim_id", "rank", T.guess_heading(F.col("paragraph")).alias("heading"), T.sanitize(F.col("paragraph")).alias("section"), "score")
-    none = words.join(long, "source_id").join(top.select("claim_id").distinct(), "claim_id", "left_anti")
-    fallback = none.select("claim_id", F.lit(1).alias("rank"), F.lit("Abstract").alias("heading"), T.sanitize(F.substring("text", 1, FALLBACK_CHARS)).alias("section"), F.lit(None).cast("double").alias("score"))
-    return whole.unionByName(best).unionByName(fallback)
+    met = words.join(spread(sources.filter("text <> ''").select("source_id", "text")), "source_id")
+    is_long = F.length("text") >= SHORT_TEXT
+    parts = F.transform(F.split("text", separator), lambda p, i: F.struct(i.alias("pos"), T.strip(p).alias("paragraph")))
+    scored = F.transform(F.filter(parts, lambda x: F.length(x["paragraph"]) > SHORT_PARAGRAPH), lambda x: F.struct((-T.section_score(x["paragraph"], F.col("words"), F.col("figures"))).alias("below"), x["pos"].alias("pos"), x["paragraph"].alias("paragraph")))
+    top = F.slice(F.array_sort(F.filter(scored, lambda x: x["below"] < -LEAST_SCORE)), 1, most)
+    begin = F.when(is_long, F.substring("text", 1, FALLBACK_CHARS)).otherwise(F.col("text"))
+    rows = met.select("claim_id", is_long.alias("is_long"), begin.alias("begin"), F.posexplode_outer(F.when(is_long, top)).alias("nth", "x"))
+    found = F.col("x").isNotNull()
+    paragraph = F.col("x.paragraph")
+    return rows.select(
+        "claim_id",
+        (F.coalesce("nth", F.lit(0)) + 1).alias("rank"),
+        F.when(found, T.guess_heading(paragraph)).when(F.col("is_long"), "Abstract").otherwise("Full Text").alias("heading"),
+        F.when(found, T.sanitize(paragraph)).when(F.col("is_long"), T.sanitize(F.col("begin"))).otherwise(F.col("begin")).alias("section"),
+        (-F.col("x.below")).alias("score"),
+    )
 
 
 def numbers_differ(claim: Column, matched: Column) -> Column:

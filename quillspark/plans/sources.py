@@ -210,7 +210,7 @@ ORACLE = {
       s AS (SELECT claim_id, pos, p, len(list_filter(ws, lambda w: contains(lower(p), w))) / len(ws) + least(len(list_filter(ns, lambda n: contains(p, n))) * 0.15, 0.3) AS score FROM c JOIN p USING (source_id) WHERE length(p) > 50 AND len(ws) > 0),
       t AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0.1),
       d AS (SELECT claim_id, text FROM c JOIN documents ON doc_id = source_id WHERE text <> '')
-      SELECT claim_id, rank, round(score, 6)::DOUBLE AS score, length(trim(regexp_replace(p, '[ \t]+', ' ', 'g'))) AS n_chars FROM t WHERE rank <= 5
+      SELECT claim_id, rank, round(score, 6)::DOUBLE AS score, length(CASE WHEN len(string_split(trim(regexp_replace(p, '\s+', ' ', 'g')), ' ')) > 2000 THEN array_to_string(string_split(trim(regexp_replace(p, '\s+', ' ', 'g')), ' ')[1:2000], ' ') || E'\n[truncated]' ELSE trim(regexp_replace(p, '[ \t]+', ' ', 'g')) END) AS n_chars FROM t WHERE rank <= 5
       UNION ALL SELECT claim_id, 1, NULL, length(text) FROM d WHERE length(text) < 2000
       UNION ALL SELECT claim_id, 1, NULL, length(trim(regexp_replace(regexp_replace(left(text, 500), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), E' \t\n\r\f\x0b')) FROM d WHERE length(text) >= 2000 AND claim_id NOT IN (SELECT claim_id FROM t)""",
     "k02_quotes_exact": """SELECT item_id, doc_id AS source_id, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
