@@ -7,7 +7,9 @@ a boundary between two texts always ends a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,25 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def released(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``make``, after which the worker gives free memory back: workers wait idle beside those of the next stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of ``values[s:e]`` for each span; equal spans hash alike."""
     up, down = _power_tables(len(values) + 1)

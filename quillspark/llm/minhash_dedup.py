@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import cut, small_batches
-from quillspark.llm._words import Words, gram_hashes, mix64, slices
+from quillspark.llm._words import Words, gram_hashes, mix64, released, slices
 
 SHINGLE = 5
 ROWS, BANDS = 6, 32
@@ -219,7 +219,7 @@ def band_rows(docs: DataFrame, rows: int, bands: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(words.counts[use].astype(np.int64)), lists], names=["node", "words", "bands"])
 
-    return docs.select("node", "text").mapInArrow(make, "node long, words long, bands array<long>")
+    return docs.select("node", "text").mapInArrow(released(make), "node long, words long, bands array<long>")
 
 
 def is_star_forest(edges: DataFrame) -> bool:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm._tables import small_batches
-from quillspark.llm._words import Words, row_slices
+from quillspark.llm._words import Words, released, row_slices
 
 WINDOW = 4096
 END_ID = 2
@@ -325,4 +325,4 @@ def pack_documents(
         if held:
             yield group_out(ids, tokens, totals, first)[0]
 
-    return docs.select(id_column, text_column).mapInArrow(pack, schema)
+    return docs.select(id_column, text_column).mapInArrow(released(pack), schema)

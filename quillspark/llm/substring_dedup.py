@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import by_place, cut, free_name, quoted, small_batches
-from quillspark.llm._words import Words, gram_hashes, slices, span_hashes
+from quillspark.llm._words import Words, gram_hashes, released, slices, span_hashes
 
 WINDOW = 35
 #: Words of an anchor.
@@ -110,7 +110,7 @@ def anchors_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     names=["anchor", "node", "size", "place"],
                 )
 
-    return docs.select("node", "text").mapInArrow(make, "anchor long, node long, size int, place int")
+    return docs.select("node", "text").mapInArrow(released(make), "anchor long, node long, size int, place int")
 
 
 def twice_at_most(node: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def suffixes(marked: DataFrame, window: int, anchor: int, blocks: tuple[int, ...
                     names=["anchor", "node", "size", "place", "hot", "windows"],
                 )
 
-    return marked.mapInArrow(make, "anchor long, node long, size int, place int, hot boolean, windows binary")
+    return marked.mapInArrow(released(make), "anchor long, node long, size int, place int, hot boolean, windows binary")
 
 
 #: First block in full, the others by half a hash each.
@@ -215,7 +215,7 @@ def build_trees(parts: DataFrame) -> DataFrame:
         row, place = row[alone], place[alone]
         yield pa.RecordBatch.from_arrays([pa.array(whole["node"].to_numpy()[row]), pa.array(whole["size"].to_numpy()[row]), pa.array(place.astype(np.int32))], names=["node", "size", "place"])
 
-    return parts.mapInArrow(build, "node long, size int, place int")
+    return parts.mapInArrow(released(build), "node long, size int, place int")
 
 
 def spread_windows(parts: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def spread_windows(parts: DataFrame) -> DataFrame:
                 names=["a", "bc", "node", "size", "place"],
             )
 
-    return parts.select("anchor", "node", "size", "place", "windows").mapInArrow(make, "a long, bc long, node long, size int, place int")
+    return parts.select("anchor", "node", "size", "place", "windows").mapInArrow(released(make), "a long, bc long, node long, size int, place int")
 
 
 def remove_repeats(
@@ -301,4 +301,4 @@ def cut_words(joined: DataFrame, docs: DataFrame, window: int, anchor: int, text
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed", "kept_text"])
 
     schema = docs.limit(0).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
-    return by_place(joined).mapInArrow(make, schema)
+    return by_place(joined).mapInArrow(released(make), schema)

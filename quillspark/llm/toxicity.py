@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._tables import by_place, cut, labelled_sample, quoted, small_batches
-from quillspark.llm._words import row_slices, slices
+from quillspark.llm._words import released, row_slices, slices
 
 #: What a character may stand for besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -79,7 +79,7 @@ def character_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["gram", "n"])
 
     out = np.zeros(LETTERS**3)
-    for gram, n in docs.select(text_column).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
+    for gram, n in docs.select(text_column).mapInArrow(released(count), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
         out[gram] = n
     return out.reshape(LETTERS, LETTERS, LETTERS)
 
@@ -376,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
                 found = sorted(restored_words(text or "", model, cache))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["word", "y"])
 
-    per_word = cut(sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
+    per_word = cut(sample.mapInArrow(released(words), "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
     top = per_word.filter(F.col("t") >= max(3, TERM_SHARE * totals[1])).withColumn("w", weight).filter("w > 1.5").select("word").collect()
     terms = sorted(r["word"] for r in top)
@@ -390,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, where: Column, rows: in
             found = [sorted(place[t] for t in finder.find(text)) for text in (t.as_py() for t in batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
 
-    seen = sample.mapInArrow(hits, "y int, terms array<int>").groupBy("y", "terms").count().collect()
+    seen = sample.mapInArrow(released(hits), "y int, terms array<int>").groupBy("y", "terms").count().collect()
     seen.sort(key=lambda r: (r["y"], r["terms"]))
     rows = [r["terms"] for r in seen]
     y, n = np.array([float(r["y"]) for r in seen]), np.array([float(r["count"]) for r in seen])
@@ -432,4 +432,4 @@ def add_toxicity(
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=names)
 
     schema = docs.limit(0).withColumn(score_column, F.lit(0.0)).schema
-    return by_place(docs).mapInArrow(score, schema)
+    return by_place(docs).mapInArrow(released(score), schema)
