@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Input for each core below which Spark doesn't split files any further.
 LEAST_SPLIT = 4 << 20
@@ -32,6 +33,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a session up to which it is settled in one task.
+SMALL_SESSION = 200_000
+
+
+def by_size(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of sessions of up to ``small`` rows, and those of larger ones (None without any)."""
+    large = settle(rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small).select("session_id"))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "session_id", "left_anti"), rows.join(large, "session_id", "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if its input is so small that files aren't split; a larger input comes in enough parts."""
     cores = df.sparkSession.sparkContext.defaultParallelism

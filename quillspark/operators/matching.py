@@ -5,13 +5,14 @@ Title scores are written once and read by both passes that need them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.operators.similarity_join import best_like, similarity_join
 from quillspark.functions.text import normalize_doi
-from quillspark.operators.lineage import settle
+from quillspark.operators.lineage import SMALL_SESSION, by_size, settle
 
 # Fixed values.
 DOI_CONFIDENCE, TITLE_FACTOR, ACCEPT, CONFIRM = 0.99, 0.95, 0.90, 0.60
@@ -55,20 +56,39 @@ def match_by_title(references: DataFrame, sources: DataFrame) -> DataFrame:
     return best_by_title(title_scores(references, sources, CONFIRM))
 
 
-def match_in_order(scores: DataFrame) -> DataFrame:
+def match_in_order(scores: DataFrame, small: int = SMALL_SESSION) -> DataFrame:
     """Sources one after the other, each taking the most alike reference that is still free (the first of equals).
 
-    Every source bids for its best reference; a reference is held by its first
-    bidder and lost to all later sources, who bid again, until nobody loses.
+    A session of up to ``small`` pairs is settled in a task. In a larger one every source bids for its best reference; a
+    reference is held by its first bidder and lost to all later sources, who bid again, until nobody loses.
     """
     pairs = settle(scores.filter(F.col("score") >= LOOKUP_LEAST).select("session_id", "pdf_ord", "ref_num", "score"))
+    few, many = by_size(pairs, small)
+    found = few.groupBy("session_id").applyInPandas(_taken_in_order, few.select("session_id", "ref_num", "pdf_ord", "score").schema)
+    if many is not None:
+        found = found.unionByName(_taken_in_rounds(many))
+    return found.select("session_id", "ref_num", "pdf_ord", F.least(F.round(F.col("score") * TITLE_FACTOR, 3), F.lit(LOOKUP_MOST)).alias("confidence"))
+
+
+def _taken_in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    pairs = pairs.assign(less=-pairs.score).sort_values(["pdf_ord", "less", "ref_num"])
+    taken, served, rows = set(), set(), []
+    for at, (pdf, ref) in enumerate(zip(pairs.pdf_ord.tolist(), pairs.ref_num.tolist(), strict=True)):
+        if pdf not in served and ref not in taken:
+            served.add(pdf)
+            taken.add(ref)
+            rows.append(at)
+    return pairs.iloc[rows][["session_id", "ref_num", "pdf_ord", "score"]]
+
+
+def _taken_in_rounds(pairs: DataFrame) -> DataFrame:
     while True:
         bids = pairs.groupBy("session_id", "pdf_ord").agg(F.min_by(F.struct("ref_num", "score"), F.struct(-F.col("score"), "ref_num")).alias("b"))
         held = settle(bids.groupBy("session_id", F.col("b.ref_num").alias("ref_num")).agg(F.min("pdf_ord").alias("holder"), F.min_by("b.score", "pdf_ord").alias("score")))
         lost = F.col("pdf_ord") > F.col("holder")
         marked = settle(pairs.join(held.select("session_id", "ref_num", "holder"), ["session_id", "ref_num"], "left").withColumn("lost", F.coalesce(lost, F.lit(False))).drop("holder"))
         if marked.filter("lost").isEmpty():
-            return held.select("session_id", "ref_num", F.col("holder").alias("pdf_ord"), F.least(F.round(F.col("score") * TITLE_FACTOR, 3), F.lit(LOOKUP_MOST)).alias("confidence"))
+            return held.select("session_id", "ref_num", F.col("holder").alias("pdf_ord"), "score")
         pairs = marked.filter("NOT lost").drop("lost")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.operators.lineage import SMALL_SESSION, by_size, settle
 from quillspark.operators.similarity_join import similarity_join
-from quillspark.operators.lineage import settle
 
 # Fixed values.
 LONG_LINE = 20
@@ -100,13 +101,27 @@ def duplicate_pairs(references: DataFrame) -> DataFrame:
     return same_doi.union(by_title).distinct()
 
 
-def greedy_leaders(pairs: DataFrame) -> DataFrame:
+def greedy_leaders(pairs: DataFrame, small: int = SMALL_SESSION) -> DataFrame:
     """(session_id, ref_num, duplicate_of): in order, each reference joins the first leader it is paired with; one that joins is no leader.
 
-    Pairs (a, b) have a < b. In each round, references that no open pair has as its later one are leaders, what is
-    paired with them is taken, and the pairs of those are closed. A taken reference's leader is the first of all.
+    Pairs (a, b) have a < b. A session of up to ``small`` pairs is settled in a task. In larger ones, in each round,
+    references that no open pair has as its later one are leaders, what is paired with them is taken, and the pairs of
+    those are closed. A taken reference's leader is the first of all.
     """
-    every = settle(pairs.select("session_id", "a", "b").distinct())
+    few, many = by_size(settle(pairs.select("session_id", "a", "b").distinct()), small)
+    found = few.groupBy("session_id").applyInPandas(_leaders_in_order, few.select("session_id", F.col("b").alias("ref_num"), F.col("a").alias("duplicate_of")).schema)
+    return found if many is None else found.unionByName(_leaders_in_rounds(many))
+
+
+def _leaders_in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    leader: dict[int, int] = {}
+    for a, b in sorted(zip(pairs.a.tolist(), pairs.b.tolist(), strict=True), key=lambda p: (p[1], p[0])):
+        if a not in leader and b not in leader:  # all pairs that could take a have gone before
+            leader[b] = a
+    return pd.DataFrame({"session_id": pairs.session_id.iloc[0], "ref_num": list(leader), "duplicate_of": list(leader.values())})
+
+
+def _leaders_in_rounds(every: DataFrame) -> DataFrame:
     left, taken = every, every.select("session_id", F.col("b").alias("ref_num")).limit(0)
     while not left.isEmpty():
         later = left.select("session_id", F.col("b").alias("a")).distinct()

@@ -13,7 +13,7 @@ that occurs again in a string is another gram. Strings so short that pairs of
 characters bound nothing are keyed by single characters.
 
 Within a key, candidates are dropped by length, by the places of the shared gram
-in both orders, and by their characters regardless of order (a matrix product);
+in both orders, and by their characters regardless of order;
 only then is the subsequence computed. Hot keys are dealt to blocks on both sides.
 
 At two thirds or less no q-gram bound exists (3c <= 1). There the strings of a
@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from quillspark.operators.lineage import settle
 
 #: Strings of a block on each side, and grams whose frequency orders them; rarer ones count as equally rare.
 BLOCK, COMMON = 1024, 4096
+#: Rows of a bucket on average, and pairs that are looked at together.
+BUCKET_ROWS, PAIRS = 20_000, 1 << 20
 #: Ratios up to which grams bound nothing that is worth a key.
 BLOCKS_ONLY = 70.0
 #: Ratios at which ``best_like`` looks by keys before it looks everywhere.
@@ -74,33 +77,40 @@ def keyed(text: str, least: float, often: dict[str, int]) -> list[tuple[str, int
     return out
 
 
-def bag_bounds(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """Characters that each a and b have in common, order aside: no common subsequence is longer."""
+def bags(a: Sequence[str], b: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each string as bits, a character's k-th occurrence apart; bits in common bound the common subsequence."""
     place: dict[str, int] = {}
     for x in a:
         for g in grams(x, 1):
             place.setdefault(g, len(place))
-    flags = [np.zeros((len(s), len(place)), np.float32) for s in (a, b)]
-    for side, strings in zip(flags, (a, b), strict=True):
+    out = []
+    for strings in (a, b):
+        flags = np.zeros((len(strings), -(-max(len(place), 1) // 64) * 64), bool)
         for i, x in enumerate(strings):
-            side[i, [place[g] for g in grams(x, 1) if g in place]] = 1
-    return flags[0] @ flags[1].T
+            flags[i, [place[g] for g in grams(x, 1) if g in place]] = True
+        out.append(np.packbits(flags, axis=1).view(np.uint64))
+    return out[0], out[1]
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(x[..., w] & y[..., w]).astype(np.int32) for w in range(x.shape[-1]))
 
 
-def judged(a: list[str], b: list[str], ok: np.ndarray, least: float, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, ratio) of the pairs that ``ok`` allows and that are as alike as ``least``; with ``best``, each a's likest alone."""
-    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
-    bound = np.where(ok, 200.0 * bag_bounds(a, b) / np.maximum(total, 1), -1.0)
-    bound[ok & (total == 0)] = 100.0
+def _ratio_of(shared: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, 200.0 * shared / np.maximum(total, 1), 100.0)
 
-    def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        both = total[i, j]
-        return np.where(both > 0, 200.0 * lcs_of_pairs(a, b, i, j) / np.maximum(both, 1), 100.0)
 
+def judged(a: list[str], b: list[str], least: float, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, ratio) of the pairs that are as alike as ``least``; with ``best``, each a's likest alone."""
+    n, m = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    total = n + m
+    x, y = bags(a, b)
+    bound = np.where(200.0 * np.minimum(n, m) >= least * total - _EPS, _ratio_of(_in_common(x[:, None, :], y[None, :, :]), total), -1.0)
+    scores = lambda i, j: _ratio_of(lcs_of_pairs(a, b, i, j), total[i, j])
     floor = np.full(len(a), least)
     if best:  # what the likeliest of each reaches, the others must be able to
-        floor = np.maximum(floor, scores(np.arange(len(a)), bound.argmax(1)))
-        floor[bound.max(1) < least - _EPS] = least
+        some = np.flatnonzero(bound.max(1) >= least - _EPS)
+        floor[some] = np.maximum(least, scores(some, bound[some].argmax(1)))
     i, j = np.nonzero(bound >= floor[:, None] - _EPS)
     score = scores(i, j)
     if best:
@@ -109,35 +119,95 @@ def judged(a: list[str], b: list[str], ok: np.ndarray, least: float, best: bool)
     return i[good], j[good], score[good]
 
 
-def _comparison(names: list[str], least: float, sort_tokens: bool, best: bool):
-    """A function that judges a block of strings against a block of strings, of a key's gram if they have one."""
+def _met(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of equal values in both, all pairs of them, so many at a time."""
+    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    (ux, at_x, n), (uy, at_y, m) = np.unique(x[by_x], return_index=True, return_counts=True), np.unique(y[by_y], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, return_indices=True)
+    at_x, n, at_y, m = at_x[i], n[i], at_y[j], m[j]
+    part = np.cumsum(n * m) // PAIRS
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        of = np.repeat(own, (n * m)[own])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum((n * m)[own]) - (n * m)[own], (n * m)[own])
+        yield by_x[at_x[of] + nth // m[of]], by_y[at_y[of] + nth % m[of]]
+
+
+def _by_shared_grams(x: pa.Table, y: pa.Table, names: list[str], least: float, sort_tokens: bool, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, ratio) of the pairs of a bucket that share a gram of a key and are as alike as ``least``."""
     c = least / 200
+    strings, place = [], []
+    for side in (x, y):
+        code, names_of = pd.factorize(side["text"].to_pandas())
+        strings.append([sorted_tokens(t) if sort_tokens else t for t in names_of])
+        place.append(code)
+    length = [np.array([len(t) for t in side], np.int64)[code] for side, code in zip(strings, place, strict=True)]
+    after = [side["size"].to_numpy().astype(np.int64) - side["place"].to_numpy() for side in (x, y)]
+    is_pair = np.array([g[:1] == "2" for g in x["gram"].to_pylist()])
+    keys = [pd.factorize(pd.concat([x[k].to_pandas(), y[k].to_pandas()], ignore_index=True))[0] for k in [*names, "gram"]]
+    bits = bags(*strings)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, j in _met(x["g"].to_numpy(), y["g"].to_numpy()):
+        total = length[0][i] + length[1][j]
+        # if this is the first gram that two strings share, they share no more than what comes after it
+        need = np.where(is_pair[i], (3 * c - 1) * total - 1, c * total)
+        ok = (np.minimum(length[0][i], length[1][j]) >= c * total - _EPS) & (np.minimum(after[0][i], after[1][j]) >= need - _EPS)
+        for k in keys:  # equal hashes are no proof
+            ok &= k[i] == k[x.num_rows + j]
+        i, j = i[ok], j[ok]
+        ok = _ratio_of(_in_common(bits[0][place[0][i]], bits[1][place[1][j]]), length[0][i] + length[1][j]) >= least - _EPS
+        i, j = i[ok], j[ok]
+        score = _ratio_of(lcs_of_pairs(*strings, place[0][i], place[1][j]), length[0][i] + length[1][j])
+        out.append((i[score >= least], j[score >= least], score[score >= least]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, score = (np.concatenate(v) for v in zip(*out, strict=True))
+    if best:
+        group = np.zeros(x.num_rows, np.int64)
+        for k in [place[0], *(k[: x.num_rows] for k in keys[:-1])]:
+            group = pd.factorize(group * (k.max(initial=0) + 1) + k)[0]
+        top = np.zeros(group.max(initial=-1) + 1)
+        np.maximum.at(top, group[i], score)
+        i, j, score = (v[score >= top[group[i]]] for v in (i, j, score))
+    return i, j, score
+
+
+def _comparison(names: list[str], least: float, sort_tokens: bool, best: bool):
+    """A function that judges the strings of a bucket: those that share a gram of a key, or a block of a key."""
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        i = j = np.zeros(0, np.int64)
-        score = np.zeros(0)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if x.num_rows and y.num_rows:
-            a, b = ([sorted_tokens(t) if sort_tokens else t for t in side["text"].to_pylist()] for side in (x, y))
-            n, m = np.array([len(t) for t in a])[:, None], np.array([len(t) for t in b])[None, :]
-            ok = np.minimum(n, m) >= c * (n + m) - _EPS
             if "gram" in x.column_names:
-                # if this is the first gram that two strings share, they share no more than what comes after it
-                after = [side["size"].to_numpy() - side["place"].to_numpy() for side in (x, y)]
-                need = (3 * c - 1) * (n + m) - 1 if x["gram"][0].as_py()[:1] == "2" else c * (n + m)
-                ok &= np.minimum(after[0][:, None], after[1][None, :]) >= need - _EPS
-            i, j, score = judged(a, b, ok, least, best)
+                found.append(_by_shared_grams(x, y, names, least, sort_tokens, best))
+            else:
+                a, b = (np.array([sorted_tokens(t) if sort_tokens else t for t in side["text"].to_pylist()], object) for side in (x, y))
+                hashes = [side["g"].to_numpy() for side in (x, y)]
+                for g in np.intersect1d(*hashes):
+                    own, other = np.flatnonzero(hashes[0] == g), np.flatnonzero(hashes[1] == g)
+                    i, j, score = judged(a[own].tolist(), b[other].tolist(), least, best)
+                    found.append((own[i], other[j], score))
+        i, j, score = (np.concatenate(v) for v in zip(*found, strict=True))
+        for k in names:  # equal hashes are no proof of equal keys
+            code = pd.factorize(pd.concat([x[k].to_pandas(), y[k].to_pandas()], ignore_index=True))[0]
+            same = code[i] == code[x.num_rows + j]
+            i, j, score = i[same], j[same], score[same]
         return pa.table({**{k: x[k].take(pa.array(i)) for k in names}, "a": x["text"].take(pa.array(i)), "b": y["text"].take(pa.array(j)), "score": pa.array(score, pa.float64())})
 
     return compare
 
 
 def _blocks(left: DataFrame, right: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with block numbers i and j; each block of one side meets each of the other."""
-    count = lambda df, n: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    sizes = settle(count(left, "n_i").join(count(right, "n_j"), by))
+    """Both sides dealt to blocks, each block of one side with each of the other; ``g`` names a pair of blocks, and ``bucket`` a task's share of them."""
+    count = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
+    sizes = count(left, "left_rows").join(count(right, "right_rows"), by)
+    sizes = settle(sizes.withColumns({"n_i": F.ceil(F.col("left_rows") / block).cast("int"), "n_j": F.ceil(F.col("right_rows") / block).cast("int")}))
+    rows = sizes.agg(F.sum(F.col("left_rows") * F.col("n_j") + F.col("right_rows") * F.col("n_i"))).first()[0] or 0
+    buckets = max(1, -(-rows // BUCKET_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda df, n, name: df.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("text"), n).cast("int"))
-    return own(left, "n_i", "i").withColumn("j", every("n_j")).drop("n_i", "n_j"), own(right, "n_j", "j").withColumn("i", every("n_i")).drop("n_i", "n_j")
+    named = lambda df: df.drop("n_i", "n_j", "left_rows", "right_rows").withColumn("g", F.xxhash64(*by, "i", "j")).withColumn("bucket", F.pmod("g", F.lit(buckets)))
+    return named(own(left, "n_i", "i").withColumn("j", every("n_j"))), named(own(right, "n_j", "j").withColumn("i", every("n_i")))
 
 
 def _distinct(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -164,7 +234,7 @@ def similarity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], leas
         by = ["one"]
     x, y = _blocks(x, y, by, block)
     schema = ", ".join([*(f"{k} {left.schema[c].dataType.simpleString()}" for k, c in zip(names, keys, strict=True)), "a string", "b string", "score double"])
-    found = x.groupBy(*by, "i", "j").cogroup(y.groupBy(*by, "i", "j")).applyInArrow(_comparison(names, least, sort_tokens, best), schema)
+    found = x.groupBy("bucket").cogroup(y.groupBy("bucket")).applyInArrow(_comparison(names, least, sort_tokens, best), schema)
     found = found.distinct() if least > BLOCKS_ONLY else found
     return found.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "a", "b", "score")
 

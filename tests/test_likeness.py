@@ -156,3 +156,26 @@ def test_duplicates_as_one_by_one(spark):
             if (a[2] and a[2] == b[2]) or s >= 95 or (s >= 85 and a[4:] == b[4:]):
                 want.add((a[1], b[1]))
     assert {(r.a, r.b) for r in references.duplicate_pairs(refs).collect()} == want and want
+
+
+def test_sessions_of_any_size_are_settled_alike(spark):
+    """In a task, in rounds, and some sessions each way."""
+    rng = random.Random(12)
+    scores = [(f"s{rng.randrange(3)}", p, r, rng.choice([0.5, 0.6, 0.7, 0.8, 0.9])) for p in range(14) for r in range(14) if rng.random() < 0.5]
+    want = set()
+    for s in {x[0] for x in scores}:
+        free = {x[2] for x in scores}
+        for p in range(14):
+            mine = sorted((-c, r) for t, q, r, c in scores if t == s and q == p and r in free and c >= 0.55)
+            if mine:
+                free.discard(mine[0][1])
+                want.add((s, mine[0][1], p))
+    pairs = sorted({(f"s{rng.randrange(3)}", *sorted(rng.sample(range(20), 2))) for _ in range(90)})
+    taken = {}
+    for s, a, b in sorted(pairs, key=lambda x: (x[0], x[2], x[1])):
+        if (s, a) not in taken and (s, b) not in taken:
+            taken[s, b] = a
+    table, edges = spark.createDataFrame(scores, "session_id string, pdf_ord int, ref_num int, score double"), spark.createDataFrame(pairs, "session_id string, a int, b int")
+    for small in (0, 30, 10**6):
+        assert {(r.session_id, r.ref_num, r.pdf_ord) for r in matching.match_in_order(table, small).collect()} == want
+        assert {(r.session_id, r.ref_num): r.duplicate_of for r in references.greedy_leaders(edges, small).collect()} == taken
