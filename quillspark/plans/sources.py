@@ -219,6 +219,8 @@ ORACLE = {
     "k05_sanitize": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g') AS t FROM documents),
       w AS (SELECT *, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS ws FROM a)
       SELECT doc_id AS source_id, nfc_normalize(trim(CASE WHEN len(ws) > 2000 THEN array_to_string(ws[1:2000], ' ') || E'\n[truncated]' ELSE t END, E' \t\n\r\f\x0b')) AS text FROM w""",
+    "k07_headings": rf"""WITH l AS (SELECT doc_id AS source_id, trim(split_part(text, chr(10), 1)) AS line FROM documents WHERE text IS NOT NULL), h AS (SELECT *, regexp_extract(line, '{T.HEADINGS}', 1) AS h FROM l)
+      SELECT source_id, CASE WHEN h <> '' THEN upper(left(h, 1)) || lower(substr(h, 2)) WHEN length(line) < 60 AND regexp_matches(line, '^\p{{Lu}}') THEN line ELSE 'Source Section' END AS heading FROM h""",
     "k21_apply_validation": f"""WITH {_RESULTS}, b AS (SELECT DISTINCT l_orderkey AS claim_id FROM lineitem WHERE l_quantity >= 45)
       SELECT r.claim_id, vote_ord, CASE WHEN b.claim_id IS NOT NULL THEN round(greatest(0.0, confidence - 0.2), 3) ELSE confidence END AS confidence, b.claim_id IS NOT NULL AS needs_review FROM r LEFT JOIN b ON b.claim_id = r.claim_id""",
     "k24_claim_type_rules": f"""WITH {_RESULTS} SELECT claim_id, vote_ord, CASE WHEN claim_type = 'background' AND confidence >= 0.5 AND verdict IN ('partially_supported', 'cannot_verify') THEN 'supported' ELSE verdict END AS verdict, claim_type = 'contrast' AS needs_review FROM r""",
