@@ -11,8 +11,8 @@ components, divided by the roots of their eigenvalues, are the result.
 
 Vectors that are null, empty or hold null or non-finite entries are left out,
 and so are those of another length than the commonest one (of the longest, if
-several are). Entries beyond 2^53 / 256 in size are counted as that bound, so
-that sums stay exact. Repeated rows count once in the fit and come out as often
+several are). Whole numbers beyond 2^62 are counted as about that bound, so that
+sums stay exact. Repeated rows count once in the fit and come out as often
 as they are there; null ids are kept. Components without variance (one distinct
 vector, or fewer dimensions than components) give no rows; an empty table gives
 none. A deviation beyond a long is null. Other columns are not read.
@@ -33,7 +33,7 @@ from quillspark.llm._tables import cut
 
 #: Dimensions of a column block, and rows of a row block.
 TILE, BLOCK_ROWS = 16, 4096
-_MOST = float(1 << 53)
+_MOST = float((1 << 62) - (1 << 10))
 
 
 def scaled(batch: pa.RecordBatch, column: int, d: int) -> np.ndarray:

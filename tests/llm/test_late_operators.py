@@ -66,6 +66,17 @@ def test_deviations_are_exact_beyond_doubles():
     assert whitening.deviations(small, n, sums) == [sum((n * int(v) - s) ** 2 for v, s in zip(row, sums)) for row in small.tolist()]
 
 
+def test_entries_far_apart(spark):
+    """Whole numbers beyond 53 bits are exact, and entries of any size don't crash."""
+    big = [2.0**52, -(2.0**50), 1.5, 2.0**53 - 1]
+    rows = [(i, [b, float(i)]) for i, b in enumerate(big)]
+    n, deviation, _, _ = brute_whiten([v for _, v in rows], 2)
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n, r.deviation) for r in got} == {(i, n, d if d < 1 << 63 else None) for i, d in enumerate(deviation)}
+    far = spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 0.5])], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.n, r.deviation) for r in whitening.whiten(far).collect()} == {(i, 3, None) for i in (1, 2, 3)}
+
+
 # 12: decontamination
 
 
