@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import citations, mapping, records, results, scopes
 from quillspark.operators.claims import units_to_claims
-from quillspark.operators.lineage import settle
+from quillspark.operators.lineage import settle, shared_folder
 from quillspark.operators.references import parse_references
 from quillspark.operators.sections import flatten_paragraphs
 from quillspark.plans.citations import paragraphs
+from quillspark.plans.stages import Stage, run_stages, stage_metrics
 from quillspark.plans.stand_ins import REFERENCES, for_duckdb, load, stand_in
 from quillspark.sources import docx
 
@@ -25,6 +28,27 @@ def verification_units(text: DataFrame, references: DataFrame) -> DataFrame:
     return mapping.with_reference(keyed, mapped, references)
 
 
+def found_citations(text: DataFrame) -> DataFrame:
+    """Citations with their sentences, numbered within each session."""
+    found = citations.detect_citations(text, citations.detect_style(text), with_spans=True)
+    return citations.numbered(citations.with_sentence(citations.first_wins(found)))
+
+
+def scoped_units(cited: DataFrame) -> DataFrame:
+    return scopes.resolve_scopes(cited).withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string")))
+
+
+#: The chain from paragraphs and references to claims and their coverage, for ``stages.run_stages``.
+STAGES = [
+    Stage("citations", ("paragraphs",), found_citations, counts={"by_number": F.col("number").isNotNull()}),
+    Stage("units", ("citations",), scoped_units, counts={p: F.col("priority") == p for p in results.PRIORITY}),
+    Stage("mapped", ("units", "references"), mapping.map_citations, counts={"unresolved": F.col("method") == "unresolved"}),
+    Stage("verification", ("units", "mapped", "references"), mapping.with_reference, counts={"without_reference": F.col("ref_num") == 0}),
+    Stage("claims", ("verification",), units_to_claims),
+    Stage("coverage", ("verification",), lambda units: coverage(units)),
+]
+
+
 def claims_of_files(files: DataFrame) -> DataFrame:
     """Claims of DOCX files (path, content): sections, paragraphs, citations, scopes, and references by number or name."""
     found = settle(docx.paragraphs(files))
@@ -46,6 +70,23 @@ def p01_manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(verification_units(paragraphs(spark, sf_dir), refs))
 
 
+def staged(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, DataFrame]:
+    refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", "year", "title", F.array(F.concat(F.lit("A. "), "surname"), F.lit("Green, B.")).alias("authors"))
+    return run_stages(spark, folder, {"paragraphs": paragraphs(spark, sf_dir), "references": refs}, STAGES)
+
+
+def p02_staged_manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as p01, each stage written and read again."""
+    return staged(spark, sf_dir, f"{shared_folder(spark)}/manuscripts-{uuid.uuid4().hex}")["coverage"]
+
+
+def p03_stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run in stages has counted."""
+    folder = f"{shared_folder(spark)}/manuscripts-{uuid.uuid4().hex}"
+    staged(spark, sf_dir, folder)
+    return stage_metrics(spark, folder)
+
+
 def a12_clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Abstract: ").otherwise(""), F.when(F.col("p_partkey") % 3 == 0, "12 34").otherwise(F.concat_ws(" ", "p_name", "p_type")), F.when(F.col("p_partkey") % 5 == 0, " https://x.org/y").otherwise(""))
     return load(spark, sf_dir, "part").select("p_partkey", records.clean_title(text).alias("title"))
@@ -79,7 +120,7 @@ def l31_fill_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.fill_tiers(models)
 
 
-QUERIES = {f.__name__: f for f in (p01_manuscripts, a12_clean_titles, a13_file_titles, a19_work_records, i12_pubmed_retractions, k23_distinct_quotes, l31_fill_tiers)}
+QUERIES = {f.__name__: f for f in (p01_manuscripts, p02_staged_manuscripts, p03_stage_metrics, a12_clean_titles, a13_file_titles, a19_work_records, i12_pubmed_retractions, k23_distinct_quotes, l31_fill_tiers)}
 _REF = for_duckdb(REFERENCES)
 ORACLE = {
     "a12_clean_titles": """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '12 34' ELSE p_name || ' ' || p_type END AS t FROM part)

@@ -252,3 +252,17 @@ def test_bibliography_files(spark, tmp_path):
         assert rows["b.RIS", 2].title == "third" and len(rows) == 7
         refs = b.to_references(table, "s").orderBy("ref_num").collect()
         assert [(r.ref_num, r.title) for r in refs] == [(1, one.title), (2, two.title), (3, three.title), (4, "third")]
+
+
+def test_manuscripts_in_stages_are_those_of_one_chain(spark, tmp_path):
+    from quillspark.plans import manuscripts
+    from tests.conftest import SMALL
+
+    whole = sorted(map(tuple, manuscripts.p01_manuscripts(spark, SMALL).collect()))
+    out = manuscripts.staged(spark, SMALL, str(tmp_path / "run"))
+    assert sorted(map(tuple, out["coverage"].collect())) == whole and out["claims"].count() == out["units"].count()
+    before = files(str(tmp_path / "run"))
+    again = manuscripts.staged(spark, SMALL, str(tmp_path / "run"))
+    assert files(str(tmp_path / "run")) == before and again["claims"].count() == out["claims"].count()
+    seen = {(r.stage, r.name): (r.rows, r.n) for r in stage_metrics(spark, str(tmp_path / "run")).collect()}
+    assert seen["mapped", "unresolved"] == (out["mapped"].count(), out["mapped"].filter("method = 'unresolved'").count())
