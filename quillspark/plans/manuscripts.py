@@ -40,10 +40,10 @@ def scoped_units(cited: DataFrame) -> DataFrame:
 
 #: The chain from paragraphs and references to claims and their coverage, for ``stages.run_stages``.
 STAGES = [
-    Stage("citations", ("paragraphs",), found_citations, counts={"by_number": F.col("number").isNotNull()}),
-    Stage("units", ("citations",), scoped_units, counts={p: F.col("priority") == p for p in results.PRIORITY}),
-    Stage("mapped", ("units", "references"), mapping.map_citations, counts={"unresolved": F.col("method") == "unresolved"}),
-    Stage("verification", ("units", "mapped", "references"), mapping.with_reference, counts={"without_reference": F.col("ref_num") == 0}),
+    Stage("citations", ("paragraphs",), found_citations, counts={"by_number": "number IS NOT NULL"}),
+    Stage("units", ("citations",), scoped_units, counts={p: f"priority = '{p}'" for p in results.PRIORITY}),
+    Stage("mapped", ("units", "references"), mapping.map_citations, counts={"unresolved": "method = 'unresolved'"}),
+    Stage("verification", ("units", "mapped", "references"), mapping.with_reference, counts={"without_reference": "ref_num = 0"}),
     Stage("claims", ("verification",), units_to_claims),
     Stage("coverage", ("verification",), lambda units: coverage(units)),
 ]

@@ -30,14 +30,15 @@ MANIFEST = "stage string, fingerprint string, path string, schema string, rows l
 class Stage:
     """A step of a run: ``make`` gets the tables named in ``reads`` and gives a DataFrame.
 
-    ``version`` is to be changed with what the step does. ``counts`` are conditions whose rows are counted.
+    ``version`` is to be changed with what the step does. ``counts`` are conditions, as SQL or
+    columns, whose rows are counted.
     """
 
     name: str
     reads: tuple[str, ...]
     make: Callable[..., DataFrame]
     version: str = "1"
-    counts: dict[str, Column] = field(default_factory=dict)
+    counts: dict[str, str | Column] = field(default_factory=dict)
 
 
 def rows_fingerprint(df: DataFrame) -> tuple[str, int]:
@@ -96,7 +97,7 @@ def _write(spark: SparkSession, folder: str, stage: Stage, fingerprint: str, tab
     path = f"{folder}/{stage.name}/{uuid.uuid4().hex}"
     written = Observation()
     made = stage.make(*tables)
-    counts = [F.count_if(condition).alias(name) for name, condition in stage.counts.items()]
+    counts = [F.count_if(F.expr(condition) if isinstance(condition, str) else condition).alias(name) for name, condition in stage.counts.items()]
     made.observe(written, F.count(F.lit(1)).alias("_rows"), *counts).write.parquet(path)
     table, seen = spark.read.parquet(path), written.get
     values = {k: int(v) for k, v in seen.items() if k != "_rows"}
