@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from quillspark.functions.fold import nfc
 from quillspark.operators import claims as CL
 from quillspark.operators import evidence as E
 from quillspark.operators import matching as M
+from quillspark.operators.lineage import shared_folder
 from quillspark.plans.stand_ins import REFERENCES, VOTES, for_duckdb, load, stand_in
 from quillspark.streaming import events as S
+from quillspark.streaming import sessions as SS
 
 #: Sources to match: parts again, some with a reference's DOI, all with a title that is nearly one.
 PDFS = """
@@ -175,6 +179,17 @@ def n04_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.activity(events(spark, sf_dir)).select("session_id", F.unix_micros("started").alias("started"), "n")
 
 
+def n05_streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of stages from a stream of the events, its state kept by session."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # a pattern, since a stream is of a folder or of what a pattern finds, and the table may be a file
+    raw = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    stream = spark.sql(EVENTS, events=raw).withColumn("ts", F.col("ts").cast("timestamp"))
+    SS.write_states(SS.stage_states(stream, "365 days"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    states = SS.present(spark.read.parquet(f"{folder}/out").drop("batch"))
+    return states.filter("stage IS NOT NULL").select("session_id", "stage", "status", "elapsed", "message", "interventions")
+
+
 _R, _P, _C, _E = (for_duckdb(x) for x in (REFERENCES, PDFS, CLAIMS, EVENTS))
 _LOOK = ", ".join(f"{name} AS ({for_duckdb(sql)})" for name, sql in LOOKUPS)
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -184,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         h01_doi_assign, h02_title_assign, h03_match_sources, h07_apply_matches, i01_cascade, i02_retraction, i09_crossref_updates, j01_filter_references, j02_distinct_claims, k01_top5_sections, k02_quotes_exact,
-        k03_locate_quotes, k04_match_class, k05_sanitize, k07_headings, k21_apply_validation, k24_claim_type_rules, l43_json_salvage, n01_stage_status, n02_event_dedupe, n03_session_state, n04_session_activity,
+        k03_locate_quotes, k04_match_class, k05_sanitize, k07_headings, k21_apply_validation, k24_claim_type_rules, l43_json_salvage, n01_stage_status, n02_event_dedupe, n03_session_state, n04_session_activity, n05_streamed_status,
     )
 }
 _NORM = r"lower(rtrim(regexp_replace(trim(doi), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', ''), '.,;: '))"
@@ -233,3 +248,4 @@ ORACLE = {
       s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
       SELECT session_id, epoch_us(min(ts)) AS started, count(*) AS n FROM s GROUP BY session_id, s""",
 }
+ORACLE["n05_streamed_status"] = ORACLE["n01_stage_status"]
