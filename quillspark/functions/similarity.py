@@ -154,18 +154,6 @@ def _by_pair(function):
     return lambda a, b: pd.Series([function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    return F.pandas_udf(lambda x, y: pd.Series(ratios(x.tolist(), y.tolist()), dtype="float64"), "double")(a, b)
-
-
-def token_sort(a: Column, b: Column) -> Column:
-    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
-        sort = {t: sorted_tokens(t) for t in {*x, *y}}
-        return pd.Series(ratios([sort[t] for t in x], [sort[t] for t in y]), dtype="float64")
-
-    return F.pandas_udf(scores, "double")(a, b)
-
-
 def partial(a: Column, b: Column) -> Column:
     return F.pandas_udf(_by_pair(partial_ratio), "double")(a, b)
 
@@ -180,11 +168,6 @@ def window_match(query: Column, text: Column) -> Column:
     return F.pandas_udf(match, "similarity double, start int, end int")(query, text)
 
 
-def length_allows(a: Column, b: Column, least: float) -> Column:
-    """Whether lengths allow a ratio of ``least`` (0 to 100): the common subsequence is no longer than the shorter string."""
-    return F.lit(200.0) * F.least(F.length(a), F.length(b)) >= F.lit(least) * (F.length(a) + F.length(b))
-
-
 #: Steps of the coarse window search, and how much longer than the quote its windows are.
 STEP, LONGER = 50, 20
 
