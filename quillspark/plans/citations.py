@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.functions.spans import find_all
 from quillspark.operators import citations as C
 from quillspark.operators import mapping, references, scopes
-from quillspark.operators.lineage import settle, spread
+from quillspark.operators.lineage import spread, stored
 from quillspark.plans.stand_ins import PARAGRAPHS, RAW_REFERENCES, REFERENCES, for_duckdb, load, stand_in
 
 
@@ -18,7 +18,9 @@ def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(stand_in(spark, sf_dir, PARAGRAPHS).select("session_id", "para_idx", "section", "text"))
+    # the orders are dealt, not the texts made of them
+    orders = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), "o_orderkey")
+    return spark.sql(PARAGRAPHS, orders=orders).select("session_id", "para_idx", "section", "text")
 
 
 def c01_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ def e11_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.numbered(C.first_wins(C.detect_citations(paragraphs(spark, sf_dir))))
-    keyed = settle(found.withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string"))))
+    keyed = stored(found.select(F.concat_ws(":", "session_id", F.col("cit_id").cast("string")).alias("cit_key"), "session_id", "number", "authors", "year"))
     refs = stand_in(spark, sf_dir, REFERENCES).select("session_id", "ref_num", "year", F.array(F.concat(F.lit("A. "), "surname"), F.lit("Green, B.")).alias("authors"))
     return mapping.map_citations(keyed, refs)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import citations, mapping, records, results, scopes
 from quillspark.operators.claims import units_to_claims
-from quillspark.operators.lineage import settle, shared_folder
+from quillspark.operators.lineage import settle, shared_folder, stored
 from quillspark.operators.references import parse_references
 from quillspark.operators.sections import flatten_paragraphs
 from quillspark.plans.citations import paragraphs
@@ -23,7 +23,7 @@ def verification_units(text: DataFrame, references: DataFrame) -> DataFrame:
     found = citations.detect_citations(text, citations.detect_style(text), with_spans=True)
     cited = citations.numbered(citations.with_sentence(citations.first_wins(found)))
     # the cascade reads the citations many times
-    keyed = settle(scopes.resolve_scopes(cited).withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string"))))
+    keyed = stored(scopes.resolve_scopes(cited).withColumn("cit_key", F.concat_ws(":", "session_id", F.col("cit_id").cast("string"))))
     mapped = mapping.map_citations(keyed, references)
     return mapping.with_reference(keyed, mapped, references)
 

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity
-from quillspark.operators import matching, references
+from quillspark.operators import citations, lineage, matching, references
 
 
 def test_numbers_of_five_digits_open_records(spark):
@@ -48,3 +49,28 @@ def test_copies_of_titles_are_matched_as_row_by_row(spark):
     assert pairs.count() <= 2 * 5 * 5  # of titles, not of rows
     for small in (1000, 1):
         assert {(x.session_id, x.ref_num, x.pdf_ord) for x in matching.match_titles_in_order(r, p, pairs, small).collect()} == in_order
+
+
+def test_numbers_go_on_through_blocks(spark):
+    rng = random.Random(5)
+    places = [None, 0, lineage.BLOCK - 1, lineage.BLOCK, lineage.BLOCK + 1, 7 * lineage.BLOCK]
+    rows = [(rng.choice(["s", "t", None]), rng.choice(places), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "session_id string, para_idx long, n int")
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("session_id").orderBy("para_idx", "n")))
+    got = lineage.with_number(want, "got", "para_idx", "n").collect()
+    assert len(got) == 200 and all(r.got == r.want for r in got)
+
+
+def test_costly_detectors_get_more_tasks_with_more_input(spark, tmp_path):
+    spark.range(600_000).select(F.col("id"), F.rand(1).alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for dealt in (lineage.spread(table), lineage.spread(table, "id")):
+        sizes = [len(p) for p in dealt.select("id").rdd.glom().collect()]
+        assert sum(sizes) == 600_000 and len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 600_000 / 4
+
+
+def test_texts_without_a_year_in_parentheses_skip_no_citation(spark):
+    texts = ["(Smith, 2001)", "Smith (2001)", "(see Smith, n.d.)", "Smith (n.d.)", "(n = 2001", "(a (Smith, 2001a)", "Ring (2001, 2003b) and (Gear, 1999; Bolt et al., 2000)"]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, para_idx long, text string")
+    found = {(r.para_idx, r.style[12:]) for r in citations.detect_citations(df).collect()}
+    assert found == {(0, "parenthetical"), (1, "narrative"), (2, "parenthetical"), (3, "narrative"), (5, "parenthetical"), (6, "narrative"), (6, "parenthetical")}
