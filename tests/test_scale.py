@@ -74,3 +74,11 @@ def test_texts_without_a_year_in_parentheses_skip_no_citation(spark):
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, para_idx long, text string")
     found = {(r.para_idx, r.style[12:]) for r in citations.detect_citations(df).collect()}
     assert found == {(0, "parenthetical"), (1, "narrative"), (2, "parenthetical"), (3, "narrative"), (5, "parenthetical"), (6, "narrative"), (6, "parenthetical")}
+
+
+def test_parts_of_votes_and_changes_grow_with_input(spark, tmp_path, monkeypatch):
+    from quillspark.plans import results
+    from tests.conftest import SMALL
+
+    monkeypatch.setattr(lineage, "PART", 1 << 14)
+    assert results.verifications(spark, SMALL).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
