@@ -134,4 +134,19 @@ def _leaders_in_rounds(every: DataFrame) -> DataFrame:
 
 
 def detect_duplicates(references: DataFrame) -> DataFrame:
-    return greedy_leaders(duplicate_pairs(references))
+    """``greedy_leaders`` of ``duplicate_pairs``, without the pairs of copies.
+
+    References of a session that agree in title, author, year, and in a DOI that others have too, are paired with one
+    another and with the same others. So the first of them stands for all: where it leads, the rest join it, and where it
+    joins a leader, they join the same.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    keyed = references.withColumns({"_doi": F.lower(F.trim("doi")), "_title": F.lower(F.trim("title")), "_author": F.lower("surname")})
+    shared = keyed.filter(some("_doi")).groupBy("session_id", "_doi").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("session_id", "_doi", F.lit(True).alias("_shared"))
+    kinds = keyed.join(shared, ["session_id", "_doi"], "left").withColumn("_doi", F.when(F.col("_shared"), F.col("_doi"))).filter(some("_title") | F.col("_doi").isNotNull())
+    first = F.min("ref_num").over(Window.partitionBy("session_id", "_title", "_author", "year", "_doi"))
+    kinds = settle(kinds.select("session_id", "ref_num", first.alias("_first"), "doi", "title", "surname", "year"))
+    led = settle(greedy_leaders(duplicate_pairs(kinds.filter("ref_num = _first").drop("_first"))))
+    members = kinds.filter("ref_num > _first").select("session_id", "ref_num", "_first")
+    joined = members.join(led.select("session_id", F.col("ref_num").alias("_first"), "duplicate_of"), ["session_id", "_first"], "left")
+    return led.unionByName(joined.select("session_id", "ref_num", F.coalesce("duplicate_of", "_first").alias("duplicate_of")))

@@ -80,5 +80,17 @@ def test_parts_of_votes_and_changes_grow_with_input(spark, tmp_path, monkeypatch
     from quillspark.plans import results
     from tests.conftest import SMALL
 
-    monkeypatch.setattr(lineage, "PART", 1 << 14)
+    monkeypatch.setattr(lineage, "PART", 1 << 12)
     assert results.verifications(spark, SMALL).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_duplicates_of_many_copies_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    titles = ["growth of zinc in mouse cells", "growth of zinc in mouse cell", "growth of zinc in mice cells", "iron", "", None]
+    rows = [(rng.choice("st"), i, rng.choice([None, "10.1/a", " 10.1/A", f"10.2/{i}"]) if rng.random() < 0.3 else f"10.3/{i}", rng.choice(titles), rng.choice(["Ring", "ring", None]), rng.choice([1999, 2000, None])) for i in range(150)]
+    refs = spark.createDataFrame(rows, "session_id string, ref_num long, doi string, title string, surname string, year int")
+    want = {tuple(r) for r in references.greedy_leaders(references.duplicate_pairs(refs)).select("session_id", "ref_num", "duplicate_of").collect()}
+    seen, pairs = [], references.duplicate_pairs
+    monkeypatch.setattr(references, "duplicate_pairs", lambda df: seen.append(df.count()) or pairs(df))
+    assert {tuple(r) for r in references.detect_duplicates(refs).select("session_id", "ref_num", "duplicate_of").collect()} == want and len(want) > 50
+    assert seen[0] < 110
