@@ -1,8 +1,9 @@
 """Spans of regular-expression matches as array columns, without Python.
 
-Spark has no function for match positions. ``split`` and ``regexp_extract_all``
-scan alike from left to right, so a match begins where the pieces and matches
-before it end. Patterns must not match the empty string.
+Spark has no function for match positions. ``regexp_extract_all`` gives the
+matches and, with what comes before a match in a group, the gaps between them; so
+a match begins where the gaps and matches before it end. ``split`` would do, but
+compiles its pattern for every row. Patterns must not match the empty string.
 """
 
 from __future__ import annotations
@@ -34,16 +35,14 @@ def find_all(text: Column, pattern: str) -> Column:
         )
 
     def place(t: Column, found: Column) -> Column:
-        pieces = F.slice(F.split(t, pattern, -1), 1, F.size(found))
-        pairs = F.zip_with(pieces, found, lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("text")))
+        # each match goes on where the last one ended, so the rest after the last match is scanned once
+        gaps = F.regexp_extract_all(t, F.lit(rf"\G((?s:.*?))(?:{pattern})"), F.lit(1))
+        pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("text")))
         return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(pairs, start, step, lambda state: state["out"]))
 
     return let(text, lambda t: F.when(t.isNotNull(), let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: place(t, found))))
 
 
-def pieces_between(ends: Column, length: Column) -> Column:
-    """Consecutive (start, end) pieces of a text cut at ``ends``; what is left over is the last piece."""
-    lows = F.concat(F.array(F.lit(0)), ends)
-    highs = F.concat(ends, F.array(length))
-    both = F.zip_with(lows, highs, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    return F.filter(both, lambda x: x["start"] < x["end"])
+def before(text: Column, pattern: str) -> Column:
+    """What comes before the first match; the whole text without one."""
+    return F.regexp_extract(text, rf"^((?s:.*?))(?:{pattern}|\z)", 1)

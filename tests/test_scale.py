@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import similarity
+from quillspark.functions import similarity, spans
+from quillspark.functions import text as text_functions
 from quillspark.operators import citations, lineage, matching, references
 
 
@@ -106,3 +107,35 @@ def test_lists_of_alternatives_are_written_with_the_result_only(spark, monkeypat
     got = [r for r in matching.match_sources(refs, pdfs).collect() if r.method == "title"]
     assert any(len(r.alternatives) > 3 for r in got)
     assert written and not any("alternatives" in columns for columns in written)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_abbreviations_are_masked_as_by_one_scan(spark):
+    """Dots looked at from behind: the same as trying all abbreviations at every character."""
+    rng = random.Random(17)
+    parts = [*text_functions.ABBREVIATIONS, ".", ".", " ", "i", "e", "g", "sc", "x", "A", "1", "\n"]
+    texts = ["Sci.e.g. x", "i.e.g. x", "sci.e. x", "NEUROSCI.e.g.", "e.g.", "i.e. J. Biol. A. B. 1.2.3 No.", *("".join(rng.choice(parts) for _ in range(12)) for _ in range(3000))]
+    names = "|".join(a.replace(".", r"\.") for a in text_functions.ABBREVIATIONS)
+    t = F.col("t")
+    want = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"(?i)({names})\.", "$1†"), r"(\d)\.(\d)", "$1†$2"), r"\b([A-Z])\.(?=\s*[A-Z]\.)", "$1†")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", want.alias("want"), text_functions.mask_abbreviations(t).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == [] and sum(r.t != r.got for r in rows) > 500
+
+
+def test_detectors_compile_no_pattern_for_each_row_and_sentences_are_not_cut_from_the_whole_text(spark):
+    df = spark.createDataFrame([("s", 1, "Ring (2001) saw it. So did others! And (Gear, 1999).")], "session_id string, para_idx long, text string")
+    assert "split(" not in plan_of(df.select(spans.find_all(F.col("text"), citations.NARRATIVE)))
+    found = df.select(text_functions.sentence_spans(F.col("text")).alias("s"))
+    assert "substring(" not in plan_of(found)
+    assert [tuple(x) for x in found.first().s] == [(0, 20), (20, 35), (35, 52)]
+
+
+def test_citations_are_told_apart_where_paragraphs_lie_and_blocks_grow_in_number(spark, monkeypatch):
+    rows = spark.range(3000).select(F.lit("s").alias("session_id"), F.col("id").alias("para_idx"), F.lit("Ring (2001) saw it. Gear saw it [1, 2].").alias("text")).repartition(7, "para_idx")
+    found = citations.first_wins(citations.detect_citations(rows, citations.detect_style(rows)))
+    assert "hashpartitioning(session_id" not in plan_of(found)
+    monkeypatch.setattr(lineage, "PART_ROWS", 100)
+    assert lineage.in_blocks(found, "para_idx")[0].rdd.getNumPartitions() == found.count() // 100
