@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._tables import labelled_sample
 from quillspark.llm._words import _BYTE_VALUE_NO_SPACE, Words, gram_hashes, mix64, slices, span_hashes
 
 BUCKETS = 1 << 14
-#: Trusted documents, at most, from which the target multinomial is counted.
-TRUSTED_ROWS = 16_000
+#: Ids of trusted documents, at most, that are broadcast; more are left to a join of Spark's.
+MOST_BROADCAST = 1_000_000
+#: Scores are counted in steps of a ten-thousandth for their quantiles, so that what is gathered doesn't grow with the rows.
+DECIMALS = 4
 #: The low quantile of trusted scores.
 QUANTILE = 0.0005
 
@@ -151,19 +152,30 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id
     )
 
 
+def quantiles(scores: DataFrame, *shares: float) -> list[float] | None:
+    """Quantiles of the column ``score`` of all rows, from the numbers of rows of each step; None without rows."""
+    steps = scores.groupBy(F.round("score", DECIMALS).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return steps.agg(F.percentile("score", F.array(*map(F.lit, shares)), F.col("n"))).first()[0]
+
+
 def judge_quality(
-    docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_column: str = "doc_id", text_column: str = "text", broadcast: int = MOST_BROADCAST
 ) -> DataFrame:
     """id, n_words, the base counts, score, base_failed and kept, a row per document.
 
-    ``labels`` (doc_id, quality): at most ``trusted_rows`` rows with quality 1 make the target.
+    ``labels`` (doc_id, quality): all rows with quality 1 make the target and the threshold; up to ``broadcast`` ids are broadcast.
     """
-    ids = labelled_sample(labels, "quality", F.col("quality") == 1, trusted_rows).select(F.col("doc_id").alias(id_column))
-    trusted = docs.select(id_column, text_column).join(F.broadcast(ids), id_column, "left_semi")
+    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_column)).distinct()
+    few = ids.limit(broadcast + 1).count() <= broadcast
+    trusted = docs.select(id_column, text_column).join(F.broadcast(ids) if few else ids, id_column, "left_semi")
     target, raw = ngram_counts(trusted, text_column), ngram_counts(docs, text_column)
     if target.any():
         ratio = log_ratio(target, raw)
-        low = score_documents(trusted, ratio, id_column, text_column).filter("n_words >= 10").agg(F.percentile("score", F.array(F.lit(quantile), F.lit(0.5)))).first()[0]
+        if few:
+            scored = score_documents(trusted, ratio, id_column, text_column)
+        else:  # scores meet the ids, not texts once more
+            scored = score_documents(docs, ratio, id_column, text_column).join(ids, id_column, "left_semi")
+        low = quantiles(scored.filter("n_words >= 10"), quantile, 0.5)
         threshold = 2 * low[0] - low[1] if low is not None else 0.0
     else:
         ratio, threshold = np.zeros(BUCKETS), 0.0

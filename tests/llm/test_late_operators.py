@@ -215,3 +215,19 @@ def test_scores_beyond_64_bits(spark):
 
 def test_items_come_sorted_as_strings(spark):
     assert leaks(spark, ["one two three"], [(10, "two"), (9, "one")])[0][2] == ["10", "9"]
+
+
+def test_all_trusted_documents_make_target_and_threshold(spark, monkeypatch):
+    """Twenty thousand rows of one kind and one of another: none is left out, by broadcast or by a shuffle."""
+    from quillspark.llm import quality_rules
+
+    texts = {0: "the cat sat on a mat and saw ten of its old friends", 1: "iron rods bend when heat of many fires melts them very slowly indeed"}
+    docs = spark.range(20_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, texts[0]).otherwise(texts[1]).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    counted, count = [], quality_rules.ngram_counts
+    monkeypatch.setattr(quality_rules, "ngram_counts", lambda df, column: counted.append(count(df, column)) or counted[-1])
+    for broadcast in (1 << 20, 5):
+        assert quality_rules.judge_quality(docs, labels, broadcast=broadcast).filter("kept").count() == 20_001
+        assert (counted[-2] == counted[-1]).all() and counted[-1].sum() > 20_001 * 20
+    scores = spark.range(1001).select((F.col("id") / 1000).alias("score"))
+    assert quality_rules.quantiles(scores, 0.25, 0.5) == [0.25, 0.5] and quality_rules.quantiles(scores.limit(0), 0.5) is None
