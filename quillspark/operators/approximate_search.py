@@ -31,6 +31,8 @@ from quillspark.operators.lineage import settle
 #: (least ratio, characters of seeds) of each step before the last, and the characters of the last one's seeds; a string
 #: takes the first size that bounds anything, and single characters always do.
 STEPS, LAST = ((100.0, (8, 4, 2, 1)), (95.0, (6, 2, 1)), (88.0, (3, 2, 1))), (2, 1)
+#: Strings whose grams are taken, and pairs that are compared, in a task: so few bytes that Spark alone would make one task of them all.
+DEALT = 1 << 12
 #: Frequent grams that are known by their frequency, and seeds that a pair shares at least, where it must have as many.
 COMMON, SHARED = 4096, 3
 _EPS = 1e-9
@@ -56,6 +58,11 @@ def seeds(text: str, least: float, sizes: tuple[int, ...], often: dict[str, int]
     return 0, {}
 
 
+def dealt(rows: DataFrame, count: int, *by: str) -> DataFrame:
+    """``rows``, which are ``count`` at most, dealt over all cores, in parts of about DEALT."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // DEALT)), *by)
+
+
 def _sizes_used(strings: DataFrame, least: float, sizes: tuple[int, ...]) -> tuple[int, ...]:
     """Of ``sizes``, those that some string's seeds have."""
     column, use = F.length("s"), F.lit(0)
@@ -94,35 +101,43 @@ def _seeded(strings: DataFrame, least: float, sizes: tuple[int, ...], often: dic
     return strings.mapInArrow(spread, schema)
 
 
-def _candidates(looked_for: DataFrame, held: DataFrame, least: float, sizes: tuple[int, ...]) -> DataFrame:
-    """(k, query, place) of the pairs that share as many seeds as they must; the last column of both sides is the string ``s``."""
+def _candidates(looked_for: DataFrame, held: DataFrame, least: float, sizes: tuple[int, ...], count: int) -> DataFrame:
+    """(k, query, place) of the pairs that share as many seeds as they must; the last column of both sides is the string ``s``.
+
+    ``count`` is how many strings there are at most.
+    """
     sizes = _sizes_used(looked_for, least, sizes)
-    index = settle(_grams(held.join(looked_for.select("k").distinct(), "k", "left_semi"), sizes))
+    index = settle(_grams(dealt(held.join(looked_for.select("k").distinct(), "k", "left_semi"), count, *held.columns), sizes))
     often = {r.gram: r["count"] for r in index.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(COMMON).collect()}
-    met = _seeded(looked_for, least, sizes, often).join(index, ["k", "gram"])
+    met = _seeded(dealt(looked_for, count, *looked_for.columns), least, sizes, often).join(index, ["k", "gram"])
     return met.groupBy("k", "query", "place").agg(F.sum("n").alias("n"), F.first("share").alias("share")).filter("n >= share").select("k", "query", "place")
 
 
 def find_likest(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(k, query, place, score): for each string ``query`` of a group ``k`` the likest text of the group, and its partial ratio.
+    """(k, query, place, score, text): for each string ``query`` of a group ``k`` the likest text of the group, and its partial ratio.
 
     ``queries``: k, query. ``texts``: k, place, text. A text that holds the string comes before others; of texts as alike,
     that of the smallest place. Texts below ``least``, empty strings and null groups are never found.
     """
     open_ones = settle(queries.select("k", "query").filter("query <> ''").distinct())
     held = settle(texts.filter("text <> ''").groupBy("k", "text").agg(F.min("place").alias("place")).select("k", "place", "text"))
-    found = None
+    found, count = None, open_ones.count() + held.count()
     for step, sizes in [*(x for x in STEPS if x[0] > least), (least, LAST)]:
         asked, known = open_ones.select("k", "query", F.col("query").alias("s")), held.select("k", "place", F.col("text").alias("s"))
-        pairs = _candidates(asked, known, step, sizes).join(held, ["k", "place"]).filter(F.length("text") >= F.length("query"))
+        near = _candidates(asked, known, step, sizes, count)
         if step == 100:
-            good = pairs.filter(F.instr("text", F.col("query")) > 0).withColumn("score", F.lit(100.0))
+            good = near.join(held, ["k", "place"]).filter(F.length("text") >= F.length("query"))
+            good = good.filter(F.instr("text", F.col("query")) > 0).withColumn("score", F.lit(100.0))
         else:
+            near = settle(near)
+            pairs, met = near.join(held, ["k", "place"]).filter(F.length("text") >= F.length("query")), near.count()
             longest = asked.groupBy("k").agg(F.max(F.length("query")).alias("longest"))
             short = known.join(longest, "k").filter(F.length("s") < F.col("longest")).select("k", "place", "s")
-            turned = _candidates(short, asked, step, sizes).join(held, ["k", "place"]).filter(F.length("text") < F.length("query"))
-            good = pairs.unionByName(turned).withColumn("score", partial(F.col("query"), F.col("text"))).filter(F.col("score") >= step)
-        best = settle(good.groupBy("k", "query").agg(F.min_by(F.struct("place", "score"), F.struct(-F.col("score"), "place")).alias("b")).select("k", "query", "b.place", "b.score"))
+            if not short.isEmpty():
+                turned = settle(_candidates(short, asked, step, sizes, count))
+                pairs, met = pairs.unionByName(turned.join(held, ["k", "place"]).filter(F.length("text") < F.length("query"))), met + turned.count()
+            good = dealt(pairs, met, "k", "query", "place").withColumn("score", partial(F.col("query"), F.col("text"), step)).filter(F.col("score") >= step)
+        best = settle(good.groupBy("k", "query").agg(F.min_by(F.struct("place", "score", "text"), F.struct(-F.col("score"), "place", "text")).alias("b")).select("k", "query", "b.place", "b.score", "b.text"))
         found = best if found is None else found.unionByName(best)
         open_ones = settle(open_ones.join(best, ["k", "query"], "left_anti"))
         if open_ones.isEmpty():

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.similarity import window_match
 from quillspark.functions.text import strip
-from quillspark.operators.approximate_search import find_likest
+from quillspark.operators.approximate_search import dealt, find_likest
+from quillspark.operators.lineage import counted, stored
 
 # Fixed values.
 PRIORITY_OF_TYPE = {"factual": "high", "contrast": "high", "methodological": "medium", "background": "low", "attribution": "low", "interpretive": "low"}
@@ -44,15 +45,16 @@ def place_claims(claims: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(session_id, claim_id, para_idx, start, similarity): each claim's first paragraph that holds its text, else the one of the largest partial ratio (at least 0.8).
 
     The place within it is that of the likest window of the claim's length. Equal claims of a session are looked for once.
+    Claims are stored, so that what makes their text runs once; paragraphs are read once, for their different texts.
     """
-    asked = claims.select("session_id", "claim_id", "claim_text")
+    asked = stored(claims.select("session_id", "claim_id", "claim_text"))
     found = find_likest(asked.select(F.col("session_id").alias("k"), F.col("claim_text").alias("query")), paragraphs.select(F.col("session_id").alias("k"), F.col("para_idx").alias("place"), "text"), 100 * LEAST_PARTIAL)
-    held = found.join(paragraphs.select(F.col("session_id").alias("k"), F.col("para_idx").alias("place"), "text"), ["k", "place"])
     at = F.instr("text", F.col("query"))
-    exact = held.filter(at > 0).withColumn("start", at - 1)
-    near = held.filter(at == 0).withColumn("start", window_match(F.col("query"), F.col("text"))["start"])
+    exact = found.filter(at > 0).withColumn("start", at - 1)
+    near = found.filter(at == 0)
+    near = dealt(near, near.count(), "k", "query").withColumn("start", window_match(F.col("query"), F.col("text"))["start"])
     placed = exact.unionByName(near).select(F.col("k").alias("session_id"), F.col("query").alias("claim_text"), F.col("place").alias("para_idx"), "start", (F.col("score") / 100).alias("similarity"))
-    return asked.join(placed, ["session_id", "claim_text"]).drop("claim_text")
+    return asked.join(counted(placed), ["session_id", "claim_text"]).drop("claim_text")
 
 
 def explode_for_verification(claims: DataFrame, references: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
+import pandas as pd
 import pytest
+from pyspark import TaskContext
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity
@@ -179,3 +182,63 @@ def test_sessions_of_any_size_are_settled_alike(spark):
     for small in (0, 30, 10**6):
         assert {(r.session_id, r.ref_num, r.pdf_ord) for r in matching.match_in_order(table, small).collect()} == want
         assert {(r.session_id, r.ref_num): r.duplicate_of for r in references.greedy_leaders(edges, small).collect()} == taken
+
+
+class Tasks(AccumulatorParam):
+    """The numbers of tasks that something ran in."""
+
+    def zero(self, value):
+        return frozenset()
+
+    def addInPlace(self, value, more):  # noqa: N802
+        return value | more
+
+
+def test_few_pairs_are_compared_in_several_tasks(spark, monkeypatch):
+    """Pairs are few bytes and much work, so their tasks follow from their number and not from their bytes."""
+    ran = spark.sparkContext.accumulator(frozenset(), Tasks())
+    least = similarity.partial_ratio
+
+    def scored(a, b):
+        ran.add(frozenset([TaskContext.get().partitionId()]))
+        return pd.Series([least(x, y) for x, y in zip(a, b, strict=True)])
+
+    monkeypatch.setattr(approximate_search, "partial", lambda a, b, least=0.0: F.pandas_udf(scored, "double")(a, b))
+    rng = random.Random(5)
+    texts = [("s", i, words(rng, 60)) for i in range(60)]
+    queries = [("s", edited(rng, t[5:45], 4)) for _, _, t in texts]
+    got = approximate_search.find_likest(spark.createDataFrame(queries, "k string, query string"), spark.createDataFrame(texts, "k string, place int, text string"), 80.0)
+    assert {r.query: r.place for r in got.collect()}.items() >= {q: i for i, (_, q) in enumerate(queries) if least(q, texts[i][2]) > 90}.items()
+    assert len(ran.value) == spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_claims_and_paragraphs_are_made_once(spark):
+    made, read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(count):
+        def same(texts):
+            count.add(len(texts))
+            return texts
+
+        return F.pandas_udf(same, "string").asNondeterministic()("text")  # else a filter makes it twice
+
+    rows = spark.createDataFrame([("s", i, f"paragraph {i % 7} of zinc and copper") for i in range(50)], "session_id string, para_idx int, text string")
+    asked = rows.select("session_id", F.col("para_idx").alias("claim_id"), F.replace(counting(made), F.lit("copper"), F.lit("coper")).alias("claim_text"))
+    got = claims.place_claims(asked, rows.withColumn("text", counting(read))).collect()
+    assert {r.claim_id: r.para_idx for r in got} == {i: i % 7 for i in range(50)}
+    assert (made.value, read.value) == (50, 50)
+
+
+def test_windows_below_the_least_ratio_change_nothing(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(similarity, "PLACE_CELLS", 100)
+    for _ in range(500):
+        text = words(rng, rng.randrange(1, 60))
+        query = edited(rng, text[rng.randrange(len(text)) :][:20], rng.randrange(6))
+        every = similarity.partial_ratio(query, text)
+        short, long = sorted((query, text), key=len)
+        brute = max((similarity.ratio(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))), default=0.0) if short else every
+        assert every == brute
+        for least in (60.0, 80.0, 95.0):
+            got = similarity.partial_ratio(query, text, least)
+            assert got == every if every >= least else got < least
