@@ -197,7 +197,7 @@ def _comparison(names: list[str], least: float, sort_tokens: bool, best: bool):
     return compare
 
 
-def _blocks(left: DataFrame, right: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+def pairs_of_blocks(left: DataFrame, right: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt to blocks, each block of one side with each of the other; ``g`` names a pair of blocks, and ``bucket`` a task's share of them."""
     count = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
     sizes = count(left, "left_rows").join(count(right, "right_rows"), by)
@@ -232,7 +232,7 @@ def similarity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], leas
     elif not names:
         x, y = x.withColumn("one", F.lit(0)), y.withColumn("one", F.lit(0))
         by = ["one"]
-    x, y = _blocks(x, y, by, block)
+    x, y = pairs_of_blocks(x, y, by, block)
     schema = ", ".join([*(f"{k} {left.schema[c].dataType.simpleString()}" for k, c in zip(names, keys, strict=True)), "a string", "b string", "score double"])
     found = x.groupBy("bucket").cogroup(y.groupBy("bucket")).applyInArrow(_comparison(names, least, sort_tokens, best), schema)
     found = found.distinct() if least > BLOCKS_ONLY else found

@@ -109,6 +109,64 @@ def test_lists_of_alternatives_are_written_with_the_result_only(spark, monkeypat
     assert written and not any("alternatives" in columns for columns in written)
 
 
+def alike(spark, n, name):
+    """Two sessions of n different titles each, all of them alike, and some copies."""
+    rng = random.Random(23)
+    rows = [(s, i, f"growth of zinc in cells {i % n:03d}" if i % 7 else f"cells in growth of zinc {rng.randrange(n):03d}", None) for s in "st" for i in range(n + 10)]
+    return spark.createDataFrame(rows, f"session_id string, {name} long, title string, doi string")
+
+
+def by_reading(refs, pdfs):
+    """Title matches of one session, one by one: as the reference reads its list."""
+    best = {}
+    for pdf, b in pdfs:
+        top, at, others = 0.0, None, []
+        for ref, a in refs:
+            score = similarity.token_sort_ratio(a.lower(), b.lower()) / 100
+            if score > top:
+                others += [at] if at is not None and top >= matching.CONFIRM else []
+                top, at = score, ref
+            elif score >= matching.CONFIRM:
+                others.append(ref)
+        if top >= matching.CONFIRM and at not in best:
+            best[at] = (pdf, pytest.approx(round(top * matching.TITLE_FACTOR, 3)), [f"ref_{x}" for x in others])
+    return best
+
+
+def test_alike_titles_are_matched_without_keeping_their_pairs(spark, monkeypatch):
+    from quillspark.operators import similarity_join
+
+    refs, pdfs = alike(spark, 60, "ref_num"), alike(spark, 50, "pdf_ord")
+    written = []
+    for module, name in ((matching, "settle"), (matching, "stored"), (similarity_join, "settle")):
+        monkeypatch.setattr(module, name, lambda df, write=getattr(lineage, name): written.append((kept := write(df)).count()) or kept)
+    got = matching.match_by_title(refs, pdfs).collect()
+    assert written and max(written) <= 2 * 70  # titles of both sessions; their pairs are 2 * 60 * 50
+    sides = [[tuple(r)[1:3] for r in df.filter("session_id = 's'").sort(df.columns[1]).collect()] for df in (refs, pdfs)]
+    assert {r.ref_num: (r.pdf_ord, r.confidence, r.alternatives) for r in got if r.session_id == "s"} == by_reading(*sides)
+    assert sum(len(r.alternatives) for r in got) > 2000
+
+
+def test_blocks_of_titles_are_matched_as_whole_sessions(spark, monkeypatch):
+    refs, pdfs = alike(spark, 30, "ref_num"), alike(spark, 25, "pdf_ord")
+    want = {(r.session_id, r.ref_num, r.pdf_ord, r.confidence, tuple(r.alternatives)) for r in matching.match_by_title(refs, pdfs).collect()}
+    monkeypatch.setattr(matching, "LISTED", 50)
+    monkeypatch.setattr(similarity, "TABLE_CELLS", 64)
+    won = matching.title_winners(refs, pdfs, 7)
+    assert {(r.session_id, r.ref_num, r.pdf_ord, r.confidence, tuple(r.alternatives)) for r in matching.with_alternatives(won, refs, 4).collect()} == want and len(want) > 20
+
+
+def test_compared_strings_have_the_ratios_of_pairs(monkeypatch):
+    rng = random.Random(29)
+    monkeypatch.setattr(similarity, "ABREAST", 16)
+    for longest in (5, 32, 70, 200):
+        a, b = (["", *("".join(rng.choice("abcd\u00e9 \u6f22\0" + more) for _ in range(rng.randrange(longest))) for _ in range(40))] for more in ("", "z"))
+        table = similarity.Compared(a).ratios(b)
+        assert [[similarity.ratio(x, y) for x in a] for y in b] == table.tolist()
+        parts = {i: row for some, rows in similarity.Compared(a).tables(b) for i, row in zip(some, rows.tolist(), strict=True)}
+        assert [parts[i] for i in range(len(b))] == table.tolist()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
